@@ -118,6 +118,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def times(base: np.uint64, k: int) -> np.uint64:
+    return U(int(base) * k & 0xFFFFFFFFFFFFFFFF)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Uniform in (0, 1] from 64 random bits."""
     return ((x >> U(11)).astype(np.float64) + 1.0) * (1.0 / (1 << 53))
