@@ -5,7 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+
+from .vectorised import vectorised
 
 # Character folds of the Arabic search form (targets in the same order; the last, tatweel, is deleted).
 FOLD_FROM = "أإآٱةؤئ٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹ـ"
@@ -15,7 +16,7 @@ BIDI = "[\\u200B-\\u200F\\u202A-\\u202E\\u2066-\\u2069\\uFEFF]"
 DIGITS_FROM, DIGITS_TO = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "0123456789" * 2
 
 
-@pandas_udf("string")
+@vectorised("string")
 def _nfc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFC")
 

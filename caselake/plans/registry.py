@@ -1,4 +1,6 @@
 """Query names, their callables and their DuckDB oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import cases, fixtures, texts
+
+QUERIES: dict = {**cases.QUERIES, **texts.QUERIES, **fixtures.QUERIES}
+ORACLES: dict = {**cases.ORACLES, **texts.ORACLES, **fixtures.ORACLES}
