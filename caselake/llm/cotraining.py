@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, pool: in
     share = counts.get(1, 0) / total if total else 1.0
     if not counts.get(0) or not counts.get(1):
         return share
-    keyed = docs.where("doc_id is not null")
+    keyed = docs.where("doc_id is not null").select("doc_id", "text", *(c for c in METADATA if c in docs.columns))
     marked_docs = keyed.join(marked, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).cast("int").alias("y"))
     chosen = []
     for value, n in ((0, per_class), (1, per_class), (-1, pool)):
