@@ -2,7 +2,7 @@
 
 Two strings are similar by the three-character subsequences they share, each weighted by decay to the
 power of the length it spans; spans are at most five characters, so one inserted character between any two
-still counts (``i-d-i-o-t``). Landmarks are strings that tell toxic training documents from others. A
+still counts; other signs than letters and digits are left out of a word first (``i-d-i-o-t``). Landmarks are strings that tell toxic training documents from others. A
 word's kernel values to the landmarks come from one table of their subsequences; a sentence takes the
 largest value of its words for each landmark, is mapped by the inverse root of the landmarks' own kernel
 matrix (Nyström), and scored by a support vector machine trained on sentences. Labels are by
@@ -42,6 +42,8 @@ BITS = 20
 BLOCK_CHARS = 1_000_000
 SENTENCE = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: What may be put between the letters of a word to hide it.
+INNER = re.compile(r"[\W_]+")
 
 
 def _triples(code: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -120,7 +122,7 @@ class Sentences:
             new = list(words)
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
-            k = self.kernel.values(part)
+            k = self.kernel.values([INNER.sub("", w) for w in part])
             on = np.flatnonzero(k.max(axis=1) >= ACTIVE)
             index = np.zeros(len(part), np.int64)
             index[on] = len(self.rows) + np.arange(len(on))
