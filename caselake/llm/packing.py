@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import Scratch, read_documents
-from .tokens import WordBpe, default_path
+from .tokens import default_path, word_bpe
 
 SIZE = 2048
 #: Rounds of the multiplicative weights and the rate at which a covered length loses weight.
@@ -125,7 +125,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordBpe(tokenizer)
+        encoder = word_bpe(tokenizer)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):

@@ -9,12 +9,15 @@ from __future__ import annotations
 import base64
 import json
 import os
+import re
+from functools import lru_cache
 
 import numpy as np
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+#: Entries of a generation of each cache.
 CACHE = 300_000
 
 
@@ -24,11 +27,35 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Generations(dict):
+    """A cache of two generations: what is looked up again outlives the others."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def lacking(self, wanted: set) -> list:
+        """Those of ``wanted`` that neither generation has; the others are in the young one afterwards."""
+        if len(self) + len(wanted) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        out = []
+        for w in wanted:
+            if w in self.old:
+                self[w] = self.old[w]
+            elif w not in self:
+                out.append(w)
+        return out
+
+
 class WordBpe:
-    """A tokenizers file whose pre-tokenizer starts with a pattern; texts become packed little-endian 32-bit ids."""
+    """A tokenizers file whose pieces never cross white space; texts become packed little-endian 32-bit ids.
 
-    #: Other characters take the library's own path, as Unicode versions may differ there.
-    SAFE = regex.compile(r"[\x00-ɏ‐-‧]*")
+    Texts of SAFE characters are cut at white space, and words and pieces are looked up; for them lower
+    case is all that the normaliser does. Other texts take the library's own path as a whole.
+    """
+
+    SAFE = re.compile(r"[\t\n\r\x20-\x7e\u00a1-\u00ac\u00ae-\u024f\u2010-\u2027]*")
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
@@ -38,31 +65,45 @@ class WordBpe:
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.normal = self.tokenizer.normalizer.normalize_str
-        self.known: dict[str, bytes] = {}
-        self.cache = cache
+        self.words, self.pieces = Generations(cache), Generations(cache)
 
     def _packed(self, ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
+    def _learn(self, words: list[str]) -> None:
+        cut = [self.pattern.findall(w) for w in words]
+        known = self.pieces
+        new = known.lacking({p for x in cut for p in x})
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[p] = self._packed(e.ids)
+        for w, x in zip(words, cut, strict=True):
+            self.words[w] = known[x[0]] if len(x) == 1 else b"".join(map(known.__getitem__, x))
+
     def encode(self, text: str) -> bytes:
         if not self.SAFE.fullmatch(text):
             return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        pieces = self.pattern.findall(self.normal(text))
-        known = self.known
-        new = list({p for p in pieces if p not in known})
-        if new:
-            if len(known) + len(new) > self.cache:
-                known.clear()
-                new = list(set(pieces))
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = self._packed(e.ids)
-        return b"".join(map(known.__getitem__, pieces))
+        words, known = text.lower().split(), self.words
+        missing = {w for w in words if w not in known}
+        if missing:
+            if len(known) + len(missing) > known.limit:
+                missing = set(words)
+            if new := known.lacking(missing):
+                self._learn(new)
+        return b"".join(map(known.__getitem__, words))
+
+
+@lru_cache(maxsize=2)
+def word_bpe(path: str) -> WordBpe:
+    """One encoder for each file in a worker process, so that its caches outlive a task."""
+    return WordBpe(path)
 
 
 class ByteBpe:
     """A tiktoken rank file; texts become the byte lengths of their tokens, which add up to the text."""
 
+    #: Other characters take the library's own path, as Unicode versions may differ there.
+    SAFE = re.compile(r"[\x00-\u024f\u2010-\u2027]*")
+
     def __init__(self, path: str, pattern: str, cache: int = CACHE):
         import tiktoken
 
@@ -81,7 +122,7 @@ class ByteBpe:
 
     def lengths(self, text: str) -> np.ndarray:
         """Bytes of each token of the text, in order."""
-        if not WordBpe.SAFE.fullmatch(text):
+        if not self.SAFE.fullmatch(text):
             return np.frombuffer(self._lengths(text), np.uint16)
         pieces = self.pattern.findall(text)
         known = self.known
