@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BASES, WORD, Rolling, Scratch, U, WordHashes, blocks, hash_words, mix, read_documents, signed, times, unit
@@ -33,6 +33,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Members of a band bucket are compared in pairs only if at least this share of components agrees (four standard deviations below 0.8).
 AGREE = 0.62
+#: Bits of a component that are compared there.
+PLANES = 4
 BLOCK_WORDS = 200_000
 
 
@@ -88,6 +90,31 @@ def signatures(doc: np.ndarray, s: np.ndarray, count: np.ndarray, n_docs: int, m
     return sig.reshape(n_docs, m)
 
 
+def bit_planes(sig: np.ndarray) -> np.ndarray:
+    """The low PLANES bits of all components of a row, each plane packed into 64-bit words: (rows, PLANES * words)."""
+    n, m = sig.shape
+    words = -(-m // 64)
+    out = np.zeros((n, PLANES, words), U)
+    for plane in range(PLANES):
+        bit = (sig >> U(plane)) & U(1)
+        for c in range(m):
+            out[:, plane, c // 64] |= bit[:, c] << U(c % 64)
+    return out.reshape(n, PLANES * words)
+
+
+def _agreeing(m: int) -> Column:
+    """Of the columns a0.. and b0.. (bit planes), the components that agree in every plane; one of 2^PLANES does by chance."""
+    words = -(-m // 64)
+    differ = F.lit(0)
+    for w in range(words):
+        mask = F.lit(0).cast("long")
+        for plane in range(PLANES):
+            i = plane * words + w
+            mask = mask.bitwiseOR(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}")))
+        differ = differ + F.bit_count(mask)
+    return m - differ
+
+
 def _sign(bands: int, rows: int, size: int):
     m = bands * rows
 
@@ -105,12 +132,12 @@ def _sign(bands: int, rows: int, size: int):
                 for r in range(rows):
                     band = mix(band * BASES[0] + sig[:, r::rows])
                 band = mix(band + np.arange(bands, dtype=U) * BASES[1])
-                sketch = (sig & U(255)).astype(np.uint8)
+                sketch = signed(bit_planes(sig))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(x), pa.array(y),
                         pa.array([list(r) if k else [] for r, k in zip(signed(band), n, strict=True)], pa.list_(pa.int64())),
-                        pa.array([r.tobytes() if k else None for r, k in zip(sketch, n, strict=True)], pa.binary()),
+                        pa.array([list(r) if k else None for r, k in zip(sketch, n, strict=True)], pa.list_(pa.int64())),
                     ],
                     names=["doc_id", "th", "x", "y", "bands", "sketch"],
                 )
@@ -182,7 +209,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     keyed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    signed_rows = scratch.cut(keyed.mapInArrow(_sign(bands, rows, size), "doc_id long, th long, x long, y long, bands array<long>, sketch binary").where("sketch is not null"))
+    signed_rows = scratch.cut(keyed.mapInArrow(_sign(bands, rows, size), "doc_id long, th long, x long, y long, bands array<long>, sketch array<long>").where("sketch is not null"))
     exact = scratch.cut(signed_rows.groupBy("x", "y").agg(F.min("doc_id").alias("copy_of")))
     unique = signed_rows.join(exact, ["x", "y"]).where("doc_id = copy_of").dropDuplicates(["x", "y"])
     reps = unique.select("doc_id", "th", "bands", "sketch")
@@ -205,10 +232,10 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE
     open_buckets = labelled.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("band")
     rest = scratch.cut(labelled.join(open_buckets, "band").join(known.select("doc_id", "sketch"), "doc_id"))
     m = bands * rows
-    a = rest.select("band", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.hex("sketch").alias("ka"))
-    b = rest.select("band", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.hex("sketch").alias("kb"))
-    # two hex digits a component: they agree unless either digit differs
-    alike = F.size(F.filter(F.sequence(F.lit(1), F.lit(2 * m - 1), F.lit(2)), lambda i: F.substr("ka", i, F.lit(2)) == F.substr("kb", i, F.lit(2)))) >= int(AGREE / SIMILARITY * least * m)
+    words = PLANES * -(-m // 64)
+    a = rest.select("band", F.col("doc_id").alias("a"), F.col("label").alias("la"), *(F.col("sketch")[i].alias(f"a{i}") for i in range(words)))
+    b = rest.select("band", F.col("doc_id").alias("b"), F.col("label").alias("lb"), *(F.col("sketch")[i].alias(f"b{i}") for i in range(words)))
+    alike = _agreeing(m) >= int(AGREE / SIMILARITY * least * m)
     cross = a.join(b, "band").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & alike).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     more = scratch.cut(verified(cross, vectors, least))
     final = components(scratch, links.unionByName(more))
