@@ -112,7 +112,7 @@ PLACED = [(1, "انقطاع المياه في حي العليا بالرياض")
 @query(f"WITH t(id, place, region) AS ({_sql([(1, 'الرياض', 'riyadh'), (2, 'الخرج', 'riyadh'), (3, 'Jeddah', 'makkah'), (5, 'جدة', 'makkah')])}) SELECT id, place, region FROM t")
 def place_lookup(spark, sf):
     """Attached particles are allowed; a name with an article also matches after one that swallows it."""
-    rows = [(n, r, c, a, M.place_pattern(n[1:] if n.startswith("ا") else n)) for n, r, c, a in PLACES]
+    rows = [(n, r, c, a, M.place_pattern(n[2:] if n.startswith("ال") else n)) for n, r, c, a in PLACES]
     dim = spark.createDataFrame(rows, "name string, region string, is_city boolean, ambiguous boolean, pattern string")
     return M.places(spark.createDataFrame(PLACED, "id int, t string"), "id", "t", dim)
 

@@ -50,8 +50,8 @@ _TOK = "unnest(regexp_extract_all(lower({0}.text), '[\\p{{L}}\\p{{N}}_]+'))"
 
 
 @query(f"""WITH i AS (SELECT item_id, token, count(*) AS n FROM (SELECT item_id, {_TOK.format('benchmark')} AS token FROM benchmark) GROUP BY 1, 2), d AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, {_TOK.format('documents')} AS token FROM documents) GROUP BY 1, 2),
- ti AS (SELECT item_id, sum(n) AS t FROM i GROUP BY 1), td AS (SELECT doc_id, sum(n) AS t FROM d GROUP BY 1), p AS (SELECT item_id, doc_id, sum(least(i.n, d.n)) AS both FROM i JOIN d USING (token) GROUP BY 1, 2)
- SELECT item_id, doc_id, CAST(floor(both * 1000000 / (ti.t + td.t - both) + 0.5) AS BIGINT) AS millionths FROM p JOIN ti USING (item_id) JOIN td USING (doc_id) WHERE both / (ti.t + td.t - both) >= 0.3""")
+ ti AS (SELECT item_id, sum(n) AS t FROM i GROUP BY 1), td AS (SELECT doc_id, sum(n) AS t FROM d GROUP BY 1), p AS (SELECT item_id, doc_id, sum(least(i.n, d.n)) AS common FROM i JOIN d USING (token) GROUP BY 1, 2)
+ SELECT item_id, doc_id, CAST(floor(common * 1000000 / (ti.t + td.t - common) + 0.5) AS BIGINT) AS millionths FROM p JOIN ti USING (item_id) JOIN td USING (doc_id) WHERE common / (ti.t + td.t - common) >= 0.3""")
 def jaccard_align(spark, sf):
     """Benchmark passages (a stated query set) against all documents."""
 
