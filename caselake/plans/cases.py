@@ -140,7 +140,7 @@ def rater_agreement(spark, sf):
 
 @query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS ref, l_shipdate AS last, 'status' AS field, nullif(l_returnflag, 'R') AS "from", l_linestatus AS "to" FROM lineitem
  UNION ALL SELECT l_orderkey * 10 + l_linenumber, l_shipdate, 'flag', l_linestatus, l_returnflag FROM lineitem), d AS (SELECT * FROM c WHERE "from" IS DISTINCT FROM "to"),
- g AS (SELECT field, "from", "to", count(*) AS n FROM d GROUP BY ALL ORDER BY n DESC, field, coalesce("from", ''), coalesce("to", '') LIMIT 10),
+ g AS (SELECT field, "from", "to", count(*) AS n FROM d GROUP BY field, "from", "to" ORDER BY n DESC, field, coalesce("from", ''), coalesce("to", '') LIMIT 10),
  r AS (SELECT *, row_number() OVER (PARTITION BY field, "from", "to" ORDER BY last DESC, ref) AS rn FROM d)
  SELECT g.field, g."from", g."to", g.n, string_agg(CAST(r.ref AS VARCHAR), ',' ORDER BY rn) AS refs FROM g JOIN r ON g.field = r.field AND g."from" IS NOT DISTINCT FROM r."from" AND g."to" IS NOT DISTINCT FROM r."to" WHERE rn <= 5 GROUP BY g.field, g."from", g."to", g.n""")
 def net_corrections_topk(spark, sf):
