@@ -9,9 +9,9 @@ the probability of their weighted Jaccard similarity, sum(min)/sum(max).
 
 Exact copies (equal word sequences) collapse first. Bands of the signatures give buckets; each
 member of a bucket is compared with the least id there. Components follow from verified links,
-and whatever a bucket then still holds of different components is compared in pairs, so that no
-link between different texts that share a band is lost, while a bucket of one component, however
-large, costs its size only. Every link is verified on the whole multisets.
+and in a bucket that still holds several components, all members outside the largest are compared
+with the whole bucket in slices, so that no link between different texts that share a band is lost,
+while a bucket of one component, however large, costs its size only. Every link is verified on the whole multisets.
 
 Defined results: texts of one to four words are one shingle of all their words; null or wordless
 texts are a class of their own each; rows with a null doc_id have a null class; rows that repeat
@@ -35,6 +35,8 @@ BANDS, ROWS = 20, 4
 AGREE = 0.62
 #: Bits of a component that are compared there.
 PLANES = 4
+#: Members of an open bucket that one task compares at a time.
+SLICE = 2_000
 BLOCK_WORDS = 200_000
 
 
@@ -229,14 +231,28 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE
         members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
         .select("band", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     )
-    open_buckets = labelled.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("band")
+    sizes = labelled.groupBy("band", "label").agg(F.count("*").alias("n"))
+    open_buckets = (
+        sizes.groupBy("band")
+        .agg(F.sum("n").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.max_by("label", F.struct("n", "label")).alias("main"))
+        .where("l0 < l1")
+        .select("band", "main", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
+    )
     rest = scratch.cut(labelled.join(open_buckets, "band").join(known.select("doc_id", "sketch"), "doc_id"))
     m = bands * rows
     words = PLANES * -(-m // 64)
-    a = rest.select("band", F.col("doc_id").alias("a"), F.col("label").alias("la"), *(F.col("sketch")[i].alias(f"a{i}") for i in range(words)))
-    b = rest.select("band", F.col("doc_id").alias("b"), F.col("label").alias("lb"), *(F.col("sketch")[i].alias(f"b{i}") for i in range(words)))
+    # Pairs within the bucket's largest component are settled: only the others meet all members, slice by slice.
+    a = rest.where("label != main").select(
+        "band", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("doc_id").alias("a"), F.col("label").alias("la"),
+        *(F.col("sketch")[i].alias(f"a{i}") for i in range(words)),
+    )
+    b = rest.select(
+        "band", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int").alias("slice"), F.col("doc_id").alias("b"), F.col("label").alias("lb"),
+        (F.col("label") == F.col("main")).alias("in_main"), *(F.col("sketch")[i].alias(f"b{i}") for i in range(words)),
+    )
     alike = _agreeing(m) >= int(AGREE / SIMILARITY * least * m)
-    cross = a.join(b, "band").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & alike).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    met = a.join(b, ["band", "slice"]).where((F.col("la") != F.col("lb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & alike)
+    cross = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = scratch.cut(verified(cross, vectors, least))
     final = components(scratch, links.unionByName(more))
     out = scratch.cut(
