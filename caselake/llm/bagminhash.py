@@ -37,6 +37,8 @@ AGREE = 0.62
 PLANES = 4
 #: Members of an open bucket that one task compares at a time.
 SLICE = 2_000
+#: Cells that bound the overlap of two documents from above, and the counts told apart in a cell.
+CELLS, LEVELS = 512, 2
 BLOCK_WORDS = 200_000
 
 
@@ -104,6 +106,20 @@ def bit_planes(sig: np.ndarray) -> np.ndarray:
     return out.reshape(n, PLANES * words)
 
 
+def cell_counts(doc: np.ndarray, s: np.ndarray, count: np.ndarray, n_docs: int) -> np.ndarray:
+    """Shingle counts summed in CELLS cells, each cut off at LEVELS and written in unary, and the sum of all counts: (n_docs, LEVELS * CELLS / 64 + 1)."""
+    cells = np.bincount(doc * CELLS + (s % U(CELLS)).astype(np.int64), weights=count, minlength=n_docs * CELLS).reshape(n_docs, CELLS)
+    bits = [np.packbits(cells >= level, axis=1).view(U) for level in range(1, LEVELS + 1)]
+    return np.hstack([*bits, cells.sum(axis=1).astype(U)[:, None]])
+
+
+def _may_reach(least: float, first: int) -> Column:
+    """Whether the cells of a.. and b.. from column ``first`` on allow the overlap ``least``. Cells never differ by more than the multisets do, so no true pair is lost."""
+    last = first + LEVELS * CELLS // 64
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(first, last)), F.lit(0))
+    return differ <= (F.col(f"a{last}") + F.col(f"b{last}")) * ((1 - least) / (1 + least)) + 1e-6
+
+
 def _agreeing(m: int) -> Column:
     """Of the columns a0.. and b0.. (bit planes), the components that agree in every plane; one of 2^PLANES does by chance."""
     words = -(-m // 64)
@@ -129,12 +145,13 @@ def _sign(bands: int, rows: int, size: int):
                 n = np.array([len(x) for x in lists])
                 h, starts = hash_words(lists, cache)
                 x, y = (signed(Rolling(h, i).span(starts[:-1], starts[1:])) for i in (0, 1))
-                sig = signatures(*shingles(lists, cache, size), len(lists), m)
+                parts = shingles(lists, cache, size)
+                sig = signatures(*parts, len(lists), m)
                 band = np.zeros((len(lists), bands), U)
                 for r in range(rows):
                     band = mix(band * BASES[0] + sig[:, r::rows])
                 band = mix(band + np.arange(bands, dtype=U) * BASES[1])
-                sketch = signed(bit_planes(sig))
+                sketch = signed(np.hstack([bit_planes(sig), cell_counts(*parts, len(lists))]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(x), pa.array(y),
@@ -220,7 +237,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE
     members = scratch.cut(banded.join(buckets, "band"))
     scratch.drop(banded)
     ids = members.select("doc_id").distinct()
-    known = scratch.cut(reps.join(ids, "doc_id").select("doc_id", "th", "sketch"))
+    known = scratch.cut(reps.join(ids, "doc_id").select("doc_id", "th", "bands", "sketch"))
     vectors = scratch.cut(keyed.join(known.select("doc_id", "th"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("doc_id", "text").mapInArrow(_vectors(size), "doc_id long, s binary, c binary"))
 
     stars = members.where("doc_id > center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -238,20 +255,23 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE
         .where("l0 < l1")
         .select("band", "main", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
     )
-    rest = scratch.cut(labelled.join(open_buckets, "band").join(known.select("doc_id", "sketch"), "doc_id"))
+    rest = scratch.cut(labelled.join(open_buckets, "band").join(known.select("doc_id", "bands", "sketch"), "doc_id"))
     m = bands * rows
-    words = PLANES * -(-m // 64)
+    planes = PLANES * -(-m // 64)
+    words = planes + LEVELS * CELLS // 64 + 1
     # Pairs within the bucket's largest component are settled: only the others meet all members, slice by slice.
     a = rest.where("label != main").select(
-        "band", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("doc_id").alias("a"), F.col("label").alias("la"),
+        "band", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("bands").alias("ha"),
         *(F.col("sketch")[i].alias(f"a{i}") for i in range(words)),
     )
     b = rest.select(
-        "band", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int").alias("slice"), F.col("doc_id").alias("b"), F.col("label").alias("lb"),
+        "band", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int").alias("slice"), F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("bands").alias("hb"),
         (F.col("label") == F.col("main")).alias("in_main"), *(F.col("sketch")[i].alias(f"b{i}") for i in range(words)),
     )
     alike = _agreeing(m) >= int(AGREE / SIMILARITY * least * m)
-    met = a.join(b, ["band", "slice"]).where((F.col("la") != F.col("lb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & alike)
+    # A pair of different components is open in every band it shares; the least of them tells it.
+    told = F.array_min(F.array_intersect("ha", "hb")) == F.col("band")
+    met = a.join(b, ["band", "slice"]).where((F.col("la") != F.col("lb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & alike & _may_reach(least, planes) & told)
     cross = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = scratch.cut(verified(cross, vectors, least))
     final = components(scratch, links.unionByName(more))

@@ -171,3 +171,17 @@ def test_drop_keeps_one_of_each_class(spark):
 def test_hash_words_starts():
     h, starts = hash_words([["a"], [], ["b", "a"]], WordHashes(limit=1))
     assert starts.tolist() == [0, 1, 1, 3] and h[0] == h[2] != h[1]
+
+
+def test_cells_bound_the_overlap_from_above():
+    rng = random.Random(5)
+    lists = [[f"w{rng.randrange(30 if i % 2 else 3000)}" for _ in range(rng.randrange(5, 400))] for i in range(20)]
+    lists += [[w if rng.random() > 0.03 else "new" for w in x] for x in lists]
+    doc, s, count = B.shingles(lists, WordHashes(), 2)
+    rows = B.cell_counts(doc, s, count, len(lists))
+    bags = [dict(zip(s[doc == i].tolist(), count[doc == i].tolist(), strict=True)) for i in range(len(lists))]
+    for i in range(len(lists)):
+        assert rows[i, -1] == sum(bags[i].values())
+        for j in range(i):
+            apart = sum(abs(bags[i].get(k, 0) - bags[j].get(k, 0)) for k in bags[i].keys() | bags[j].keys())
+            assert np.bitwise_count(rows[i, :-1] ^ rows[j, :-1]).sum() <= apart
