@@ -11,7 +11,9 @@ Exact copies (equal word sequences) collapse first. Bands of the signatures give
 member of a bucket is compared with the least id there. Components follow from verified links,
 and in a bucket that still holds several components, all members outside the largest are compared
 with the whole bucket in slices, so that no link between different texts that share a band is lost,
-while a bucket of one component, however large, costs its size only. Every link is verified on the whole multisets.
+while a bucket of one component, however large, costs its size only. Of these pairs the likeliest of each
+member and component is verified first; pairs that a verified link has joined by then need no look.
+Every link is verified on the whole multisets.
 
 Defined results: texts of one to four words are one shingle of all their words; null or wordless
 texts are a class of their own each; rows with a null doc_id have a null class; rows that repeat
@@ -174,7 +176,8 @@ def _vectors(size: int):
             for a, b in blocks(texts, [len(t) // 6 for t in texts], BLOCK_WORDS):
                 doc, s, count = shingles([WORD.findall(t) for t in texts[a:b]], cache, size)
                 cuts = np.searchsorted(doc, np.arange(b - a + 1))
-                pairs = [(s[i:j].tobytes(), count[i:j].astype(np.uint32).tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+                # Without repeats, the counts are left out.
+                pairs = [(s[i:j].tobytes(), count[i:j].astype(np.uint32).tobytes() if (count[i:j] > 1).any() else b"") for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1))], names=["doc_id", "s", "c"])
 
     return run
@@ -186,7 +189,7 @@ def _jaccard(least: float):
             keep = []
             for sa, ca, sb, cb in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
                 sa, sb = np.frombuffer(sa, U), np.frombuffer(sb, U)
-                ca, cb = np.frombuffer(ca, np.uint32).astype(np.int64), np.frombuffer(cb, np.uint32).astype(np.int64)
+                ca, cb = (np.frombuffer(c, np.uint32).astype(np.int64) if c else np.ones(len(s), np.int64) for s, c in ((sa, ca), (sb, cb)))
                 at = np.searchsorted(sb, sa)
                 at[at == len(sb)] = 0
                 hit = sb[at] == sa
@@ -272,9 +275,23 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE
     # A pair of different components is open in every band it shares; the least of them tells it.
     told = F.array_min(F.array_intersect("ha", "hb")) == F.col("band")
     met = a.join(b, ["band", "slice"]).where((F.col("la") != F.col("lb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & alike & _may_reach(least, planes) & told)
-    cross = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = scratch.cut(verified(cross, vectors, least))
-    final = components(scratch, links.unionByName(more))
+    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    seen = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    cross = scratch.cut(met.select("a", "b", "la", "lb", _agreeing(m).alias("agree")).distinct().join(seen, ["a", "b"], "left_anti"))
+    likely = scratch.cut(cross.groupBy("a", "lb").agg(F.max_by("b", F.struct("agree", "b")).alias("b")).select(*pair).distinct())
+    first = scratch.cut(verified(likely, vectors, least))
+    by_label = cross.select(*pair, "la", "lb").join(first, ["a", "b"], "left_semi").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    merged = components(scratch, by_label)
+    apart = (
+        cross.join(merged.select(F.col("id").alias("la"), F.col("label").alias("ma")), "la", "left")
+        .join(merged.select(F.col("id").alias("lb"), F.col("label").alias("mb")), "lb", "left")
+        .where(F.coalesce("ma", "la") != F.coalesce("mb", "lb"))
+        .select(*pair)
+        .join(likely, ["a", "b"], "left_anti")
+        .distinct()
+    )
+    more = scratch.cut(verified(apart, vectors, least))
+    final = components(scratch, links.unionByName(first).unionByName(more))
     out = scratch.cut(
         signed_rows.select("doc_id", "th", "x", "y")
         .join(exact, ["x", "y"])
@@ -282,7 +299,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE
         .select("doc_id", "th", "copy_of", F.coalesce("label", "copy_of").alias("class_id"))
         .distinct()
     )
-    scratch.drop(signed_rows, exact, members, known, vectors, links, rest, more)
+    scratch.drop(signed_rows, exact, members, known, vectors, links, rest, cross, likely, first, more)
     return out
 
 
