@@ -8,9 +8,9 @@ minimizer, so edges are compared only within a minimizer. Three kinds of repeats
 * an edge that occurs as a whole in several documents. Where an edge is always followed by the same
   edge, and that one always preceded by it, the path does not branch; pointer doubling by joins
   compacts such paths, and one row for the head of a path stands for a span of any length;
-* edges of one minimizer that differ as a whole may still share windows at their ends. The first
-  occurrence of each such edge is opened into its windows at its source coordinates and compared
-  window by window;
+* edges of one minimizer that differ as a whole may still share windows at their ends. Every
+  occurrence of such an edge in its first document is opened into its windows at its source
+  coordinates and compared window by window; occurrences in later documents go as a whole;
 * the rest is unique and never leaves the first step.
 
 Nothing is sampled: each window lies in exactly one edge.
@@ -162,11 +162,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     whole_spans = occ.where("doc_id > first").join(heads, ["v", "k"]).select("doc_id", "th", "pos", F.col("total").cast("int").alias("n"))
 
     mixed = classes.groupBy("v").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").select("v")
+    sources = classes.join(mixed, "v", "left_semi").select("v", "k", F.col("f.doc_id").alias("doc_id"))
     opened = (
-        classes.join(mixed, "v", "left_semi")
-        .select(F.col("f.doc_id").alias("doc_id"), F.col("f.th").alias("th"), F.struct("v", F.col("f.pos").alias("pos"), F.col("f.n").alias("n")).alias("e"))
+        cand.join(sources, ["v", "k", "doc_id"], "left_semi")
         .groupBy("doc_id", "th")
-        .agg(F.collect_list("e").alias("edges"))
+        .agg(F.collect_set(F.struct("v", "pos", "n")).alias("edges"))
     )
     texts = keyed.join(opened, ["doc_id", "th"]).select("doc_id", "th", "text", "edges")
     windows = scratch.cut(texts.mapInArrow(_windows(window, seed), "doc_id long, th long, v long, w long, pos int"))

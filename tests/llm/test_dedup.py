@@ -12,7 +12,7 @@ from caselake.llm import bagminhash as B
 from caselake.llm import substring_dedup as S
 from caselake.llm.common import WORD, Rolling, WordHashes, hash_words, sliding_min
 from tests.conftest import SMALL
-from tests.llm.common import empty_docs, odd_docs, odd_rows, write
+from tests.llm.common import empty_docs, odd_docs, odd_rows, sentence, write
 
 
 def brute_repeats(rows, window=S.WINDOW):
@@ -48,6 +48,16 @@ def test_substring_random_small_alphabet(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_repeats(rows)
 
 
+def test_substring_passage_in_a_unit_that_a_document_repeats(spark, tmp_path):
+    """The edges across the passage's ends occur several times in the same first document, also in rows that share its id."""
+    passage, before, after = sentence(120, "p"), sentence(70, "q"), sentence(70, "r")
+    unit = f"{before} {passage} {after}"
+    rows = [(3, passage), (5, " ".join([unit] * 3)), (5, f"{unit} {sentence(40, 's')} {unit}"), (7, f"{sentence(30, 't')} {unit} {unit}")]
+    got = sorted(map(tuple, S.op2_substring_dedup(spark, write(spark.createDataFrame(rows, "doc_id long, text string"), tmp_path)).collect()), key=repr)
+    assert got == brute_repeats(rows)
+    assert [r[2] for r in got if r[0] == 5 and r[1] == 780] == [360]
+
+
 def test_substring_whole_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, S.op2_substring_dedup(spark, SMALL).collect()), key=repr) == brute_repeats(rows)
