@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: All pairs are compared only up to this many.
 ALL_PAIRS = 9
+#: Scores held at once by a task.
+BLOCK_SCORES = 2_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,6 +43,40 @@ def nearest(queries: DataFrame, rows: DataFrame, q: str, r: str, vector: str, k:
     return short.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q", "r", "score", "rank")
 
 
+def best_pairs(left: DataFrame, right: DataFrame, key: str, vector: str) -> DataFrame:
+    """Pairs (a, b, score) of unit vectors that hold the best b of each a and the best a of each b, ties to the least.
+
+    Every row of ``left`` is scored against every row of ``right``. As in ``nearest``, ``left`` is a stated, bounded set and goes
+    to all tasks; a task emits the best a of each of its rows and its own best b of each a, so no pair is shuffled.
+    """
+    sides = sorted((r[0], r[1]) for r in left.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), vector).collect())
+    held = left.sparkSession.sparkContext.broadcast((np.array([i for i, _ in sides], np.int64), np.array([v for _, v in sides], np.float64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = held.value
+        best, partner = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
+        for batch in batches:
+            if not len(ids) or not len(batch):
+                continue
+            rows = batch.column(0).to_numpy(zero_copy_only=False)
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+            order = np.argsort(rows, kind="stable")
+            step = max(1, BLOCK_SCORES // len(ids))
+            for at in range(0, len(rows), step):
+                some = order[at : at + step]
+                scores = np.round(v[some] @ vectors.T, 6)
+                first = scores.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(rows[some]), pa.array(scores[np.arange(len(some)), first])], names=["a", "b", "score"])
+                at_best = scores.argmax(axis=0)
+                top, who = scores[at_best, np.arange(len(ids))], rows[some[at_best]]
+                better = (top > best) | ((top == best) & (who < partner))
+                best[better], partner[better] = top[better], who[better]
+        seen = best > -np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(ids[seen]), pa.array(partner[seen]), pa.array(best[seen])], names=["a", "b", "score"])
+
+    return right.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(run, "a long, b long, score double")
+
+
 def mutual_best(pairs: DataFrame) -> DataFrame:
     """From scored pairs (a, b, score): the best b of each a and the best a of each b, ties to the least; sorted and distinct."""
     forth = pairs.groupBy("a").agg(F.max_by("b", F.struct("score", (-F.col("b")).alias("m"))).alias("b"))

@@ -38,12 +38,19 @@ def vector_topk(spark, sf):
 @query(f"""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, round({_DOT}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 = 10)
  SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM p) WHERE rn = 1 UNION SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY b ORDER BY score DESC, a) AS rn FROM p) WHERE rn = 1""")
 def vector_mutual(spark, sf):
-    """Two sides of passages (ids 0 and 10 modulo 20), each passage with its best partner."""
+    """Two samples of passages (ids 0 and 10 modulo 20), each passage with its best partner; vector_mutual_all has every row."""
     v = C.unit_vectors(table(spark, sf, "embeddings"), "embedding")
-    left = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("va"))
-    right = v.where("vec_id % 20 = 10").select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
-    pairs = left.join(right, F.lit(True)).select("a", "b", F.bround(C.dot(F.col("va"), F.col("vb")), 6).alias("score"))
-    return C.mutual_best(pairs)
+    return C.mutual_best(C.best_pairs(v.where("vec_id % 20 = 0"), v.where("vec_id % 20 = 10"), "vec_id", "embedding"))
+
+
+@query()
+def vector_mutual_all(spark, sf):
+    """Two sides that hold the whole table, the ids divisible by 20 and all other rows; each row with its best partner on the other side.
+
+    Too many pairs for a SQL oracle; tested against a loop.
+    """
+    v = C.unit_vectors(table(spark, sf, "embeddings"), "embedding")
+    return C.mutual_best(C.best_pairs(v.where("vec_id % 20 = 0"), v.where("vec_id % 20 != 0"), "vec_id", "embedding"))
 
 
 _TOK = "unnest(regexp_extract_all(lower({0}.text), '[\\p{{L}}\\p{{N}}_]+'))"

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caselake.functions import dates, masking, text
+from caselake.operators import compare as C
 from caselake.operators import matching, register, segment
 from caselake.sources import intake
 from caselake.streaming import cases
@@ -175,3 +176,27 @@ def test_stream_intake_once(spark, tmp_path):
     q = cases.intake_once(cases.read_events(spark, str(src)), "user_id", "60 days").writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("once").count() == spark.read.parquet(str(src)).select("user_id").distinct().count()
+
+
+def test_vector_mutual_all_scores_every_row(spark):
+    from caselake.plans import registry
+    from tests.conftest import SMALL
+
+    unit = {}
+    for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect():
+        norm = sum(x * x for x in r["embedding"]) ** 0.5
+        unit[r["vec_id"]] = [x / norm for x in r["embedding"]]
+    left, right = [sorted(i for i in unit if (i % 20 == 0) == side) for side in (True, False)]
+    score = {(a, b): round(sum(x * y for x, y in zip(unit[a], unit[b], strict=True)), 6) for a in left for b in right}
+    want = {(a, max(right, key=lambda b: (score[a, b], -b))) for a in left} | {(max(left, key=lambda a: (score[a, b], -a)), b) for b in right}
+    assert len(left) + len(right) == len(unit) and {b for _, b in want} == set(right)
+    assert sorted(map(tuple, registry.QUERIES["vector_mutual_all"](spark, SMALL).collect())) == sorted(want)
+
+
+def test_best_pairs_ties_go_to_the_least_id_over_all_parts(spark):
+    left = spark.createDataFrame([(2, [1.0, 0.0]), (1, [1.0, 0.0]), (3, [0.0, 1.0]), (None, [1.0, 0.0])], "i long, v array<double>")
+    right = spark.createDataFrame([(9, [1.0, 0.0]), (8, [1.0, 0.0]), (7, [0.0, 1.0]), (6, [0.0, 1.0])], "i long, v array<double>")
+    for parts in (1, 4):
+        got = C.mutual_best(C.best_pairs(left, right.repartition(parts), "i", "v")).collect()
+        assert sorted(map(tuple, got)) == [(1, 8), (1, 9), (2, 8), (3, 6), (3, 7)]
+    assert C.mutual_best(C.best_pairs(left.where("i < 0"), right, "i", "v")).count() == 0
