@@ -159,33 +159,39 @@ def viterbi(score: np.ndarray, doc: np.ndarray, n_docs: int, switch: float) -> n
     return path
 
 
+def verdicts(texts: list[str | None], model: Model | None, switch: float = SWITCH) -> tuple[list[str], list[float], list[list[dict]]]:
+    """Language, its share of the letters and the spans of each text."""
+    texts = [t or "" for t in texts]
+    pred, score, spans = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
+    for a, b in blocks(texts, [len(t) for t in texts], BLOCK_CHARS) if model else ():
+        x = letters(texts[a:b])
+        if not len(x.word):
+            continue
+        path = viterbi(model.word_scores(x), x.doc, b - a, switch)
+        size = np.diff(np.append(x.word, len(x.at)))
+        votes = np.zeros((b - a, len(model.langs)), np.int64)
+        np.add.at(votes, (x.doc, path), size)
+        for i in np.flatnonzero(votes.any(axis=1)):
+            k = int(votes[i].argmax())
+            pred[a + i], score[a + i] = model.langs[k], float(votes[i, k] / votes[i].sum())
+        new = np.ones(len(path), bool)
+        new[1:] = (path[1:] != path[:-1]) | (x.doc[1:] != x.doc[:-1])
+        head = np.flatnonzero(new)
+        last = np.append(head[1:], len(path)) - 1
+        begin = x.at[x.word[head]] - x.start[x.doc[head]]
+        end = x.at[np.append(x.word[1:], len(x.at))[last] - 1] + 1 - x.start[x.doc[head]]
+        for i, s, e, k in zip(x.doc[head].tolist(), begin.tolist(), end.tolist(), path[head].tolist(), strict=True):
+            spans[a + i].append({"start": s, "end": e, "lang": model.langs[k]})
+    return pred, score, spans
+
+
 def identify(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> DataFrame:
     """doc_id, lang_pred, score (share of the letters in spans of lang_pred) and spans (start, end, lang) in code points of the lower-cased text."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            pred, score, spans = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
-            for a, b in blocks(texts, [len(t) for t in texts], BLOCK_CHARS) if model else ():
-                x = letters(texts[a:b])
-                if not len(x.word):
-                    continue
-                path = viterbi(model.word_scores(x), x.doc, b - a, switch)
-                size = np.diff(np.append(x.word, len(x.at)))
-                votes = np.zeros((b - a, len(model.langs)), np.int64)
-                np.add.at(votes, (x.doc, path), size)
-                for i in np.flatnonzero(votes.any(axis=1)):
-                    k = int(votes[i].argmax())
-                    pred[a + i], score[a + i] = model.langs[k], float(votes[i, k] / votes[i].sum())
-                new = np.ones(len(path), bool)
-                new[1:] = (path[1:] != path[:-1]) | (x.doc[1:] != x.doc[:-1])
-                head = np.flatnonzero(new)
-                last = np.append(head[1:], len(path)) - 1
-                begin = x.at[x.word[head]] - x.start[x.doc[head]]
-                end = x.at[np.append(x.word[1:], len(x.at))[last] - 1] + 1 - x.start[x.doc[head]]
-                for i, s, e, k in zip(x.doc[head].tolist(), begin.tolist(), end.tolist(), path[head].tolist(), strict=True):
-                    spans[a + i].append({"start": s, "end": e, "lang": model.langs[k]})
+            pred, score, spans = verdicts(batch.column(1).to_pylist(), model, switch)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, span)], names=schema.names)
 
     parts = T.StructType().add("start", "long").add("end", "long").add("lang", "string")
@@ -193,6 +199,18 @@ def identify(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> Da
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def keep_clear(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """Rows of ``docs`` whose text has a language with at least ``least`` of its letters. Each row is judged by its own text, whatever its id."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pred, score, _ = verdicts(batch.column(at).to_pylist(), model)
+            yield batch.filter(pa.array([k != "und" and s >= least for k, s in zip(pred, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(crc_of_id(F.col("doc_id"), 4) != 2)
 

@@ -7,7 +7,6 @@ written and read again as the next stage's docs. All but the last return the col
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from caselake.llm import bagminhash, decontamination, langid, packing, substring_dedup
 from caselake.llm.common import Scratch, read_documents
@@ -18,11 +17,11 @@ MIN_LANGUAGE_SHARE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject texts without a letter and texts in which no language has MIN_LANGUAGE_SHARE of the letters."""
-    model = langid.fit(langid.training_rows(docs))
-    good = langid.identify(docs.select("doc_id", "text"), model).where(F.col("lang_pred") != "und").where(F.col("score") >= MIN_LANGUAGE_SHARE)
-    kept = Scratch(spark, "language").cut(good.select(F.col("doc_id").alias("__cl_id")).distinct())
-    return docs.join(kept, docs["doc_id"] == kept["__cl_id"], "left_semi")
+    """Reject texts without a letter and texts in which no language has MIN_LANGUAGE_SHARE of the letters.
+
+    Each row is judged by its own text: rows with a null id stay or go like others, and so do rows that share an id.
+    """
+    return langid.keep_clear(docs, langid.fit(langid.training_rows(docs)), MIN_LANGUAGE_SHARE)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,15 @@ def test_stages_keep_columns_on_odd_and_empty_documents(spark, tmp_path):
                 docs = spark.read.parquet(f"{tmp_path}/{name}-{k}")
             else:
                 assert (out.count() > 0) == (name == "odd")
+
+
+def test_language_judges_each_row_by_its_text(spark):
+    """Null and repeated ids: clean texts stay, texts without a letter go."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    i, text = docs.orderBy("doc_id").select("doc_id", "text").first()
+    odd = [(None, text), (None, text), (None, "12 34 -- 56"), (None, None), (i, "99 00"), (i, text + " again")]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string"), allowMissingColumns=True)
+    got = corpus_pipeline.language(spark, docs, SMALL)
+    assert got.dtypes == docs.dtypes
+    assert sorted(r["text"] for r in got.where("doc_id is null").collect()) == [text, text]
+    assert sorted(r["text"] for r in got.where(f"doc_id = {i}").collect()) == [text, text + " again"]
