@@ -309,7 +309,10 @@ def _joined(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class: the one with the least id. Columns stay."""
+    """``docs`` with one document of each class: the one with the least id. Columns stay.
+
+    A document is a doc_id: all rows that repeat the kept doc_id stay, exact copies of each other too.
+    """
     names = docs.columns
     joined = _joined(docs, near_classes(docs, least))
     return joined.where(F.col("__cl_class").isNull() | (F.col("__cl_class") == F.col("doc_id"))).select(*names)

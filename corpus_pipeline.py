@@ -25,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each near-duplicate class."""
+    """Keep the document with the least id of each near-duplicate class, with all rows of that id."""
     return bagminhash.drop_near_copies(docs)
 
 
