@@ -63,7 +63,10 @@ def _machine(notices: tuple[tuple[str, str, int], ...]):
 
 
 def fuzzy_matches(text: str, notices: tuple[tuple[str, str, int], ...] = NOTICES) -> list[tuple[int, int, str, int]]:
-    """(start, end, label, edits) of the notices in normalised text; matches of one notice do not overlap."""
+    """(start, end, label, edits) of the notices in normalised text; matches of one notice do not overlap.
+
+    A search gives the best match of its region, so the parts on both sides of it are searched too.
+    """
     automaton, patterns = _machine(notices)
     near: dict[int, list[list[int]]] = {}
     for end, (size, where) in automaton.iter(text):
@@ -78,10 +81,13 @@ def fuzzy_matches(text: str, notices: tuple[tuple[str, str, int], ...] = NOTICES
                 spans.append([a, b])
     found = []
     for i, spans in near.items():
-        for a, b in spans:
-            while m := patterns[i].search(text, a, b):
+        least = len(notices[i][0]) - notices[i][2]
+        parts = list(spans)
+        while parts:
+            a, b = parts.pop()
+            if b - a >= least and (m := patterns[i].search(text, a, b)):
                 found.append((m.start(), m.end(), notices[i][1], sum(m.fuzzy_counts)))
-                a = max(m.end(), a + 1)
+                parts += [(a, m.start()), (m.end(), b)]
     return sorted(found)
 
 

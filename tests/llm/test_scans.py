@@ -147,3 +147,13 @@ def test_spans_are_word_positions(spark, tmp_path):
     docs = spark.createDataFrame([(1, "A b. Licensed under the Apache Licence, Version 2.0. end")], "doc_id long, text string")
     r = L.op6_fuzzy_license_notices(spark, write(docs, tmp_path)).first()
     assert r["labels"] == "apache-2.0" and (r["spans"][0]["first_word"], r["spans"][0]["last_word"], r["spans"][0]["edits"]) == (2, 9, 1) and 0.9 < r["score"] < 1
+
+
+def test_adjacent_notices_with_different_edits():
+    """The most exact of several notices in a row hides none on either side of it."""
+    forms = {"all rights reserved": 0, "all rights reservd": 1, "all rihts reservd": 2}
+    for order in (["all rights reservd", "all rights reserved"], ["all rihts reservd", "all rights reservd", "all rights reserved", "all rights reservd"], ["all rights reserved", "all rihts reservd"]):
+        text = f" {' '.join(order)} "
+        got = [(text[a:b], k) for a, b, label, k in L.fuzzy_matches(text) if label == "reserved"]
+        assert [k for _, k in got] == [forms[x] for x in order]
+        assert [x.strip() for x, _ in got] == order
