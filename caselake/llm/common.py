@@ -30,9 +30,11 @@ def read_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share. A temporary one stands in only on a local master; a cluster must name its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="caselake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -70,6 +72,22 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+#: Keys of more rows than this, and than a HOT_KEYS-th of all rows, are joined by broadcast: there are HOT_KEYS of them at most.
+HOT_ROWS, HOT_KEYS = 2_000, 10_000
+
+
+def join_counted(big: DataFrame, small: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join of ``big`` (``total`` rows) with ``small``, whose keys are unique and whose column ``n`` says how many rows of ``big`` each key has.
+
+    Rows of a hot key stay where they are and meet the few hot rows of ``small`` by broadcast (at most HOT_KEYS rows, as each
+    stands for more than total / HOT_KEYS rows of ``big``); all others are joined by a shuffle. ``small`` should be a table, as it is read three times.
+    """
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(small.where(F.col("n") > limit).drop("n"))
+    cold = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small.where(F.col("n") <= limit).drop("n"), keys)
+    return big.join(hot, keys).unionByName(cold)
+
+
 def crc_of_id(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)

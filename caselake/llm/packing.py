@@ -3,9 +3,8 @@
 Documents become token ids with a closing 0; only documents of more than ``size`` ids are cut. The
 number of pieces of each length (at most ``size`` different ones, so the histogram is bounded) is
 all that the driver sees. The configuration program, one variable for each way to fill a sequence,
-is solved by multiplicative weights: a length's weight is its size, falling as it is covered, and
-the next configuration is the best one at these weights, priced by a knapsack dynamic program over the
-sequence. Amounts are rounded down; what is left is packed by best fit over the histogram. The
+is solved by multiplicative weights in small steps, priced by a knapsack dynamic program over the
+sequence, which gives a dual bound as well. Amounts are rounded; what is left is packed by best fit over the histogram. The
 plan says for the r-th piece of a length which sequence and place it takes; ranks come from counts by
 (length, bucket), so neither a length nor a sequence is ever gathered.
 
@@ -25,74 +24,88 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Scratch, read_documents
+from .common import Scratch, blocks, read_documents
 from .tokens import default_path, word_bpe
 
 SIZE = 2048
-#: Rounds of the multiplicative weights and the rate at which a covered length loses weight.
-ROUNDS, RATE = 400, 1.0
+#: Rounds of the multiplicative weights at most, the share of its demand that a length may gain in one, the rate at which covered
+#: lengths lose weight, and how far below the best value a configuration may lie.
+ROUNDS, STEP, RATE, NEAR = 400, 0.05, 0.5, 0.05
 #: Rows of one length in one bucket, on average at most.
 BUCKET_ROWS = 200_000
+#: Characters whose new words are encoded together.
+BLOCK_CHARS = 3_000_000
 
 
-def _knapsack(lengths: np.ndarray, weights: np.ndarray, size: int) -> dict[int, int]:
-    """The most valuable configuration: how many pieces of each length, by dynamic programming over the capacity."""
+def _best_values(lengths: np.ndarray, weights: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """By capacity: the greatest weight of a configuration, and the length to take there (0: leave a place empty)."""
     best = np.zeros(size + 1)
     take = np.zeros(size + 1, np.int64)
-    for room in range(1, size + 1):
-        n = int(np.searchsorted(lengths, room, side="right"))
-        if not n:
-            continue
+    fits = np.searchsorted(lengths, np.arange(size + 1), side="right")
+    for room in range(int(lengths[0]), size + 1):
+        n = fits[room]
         value = best[room - lengths[:n]] + weights[:n]
         k = int(value.argmax())
         if value[k] > best[room - 1]:
             best[room], take[room] = value[k], lengths[k]
         else:
             best[room] = best[room - 1]
+    return best, take
+
+
+def _trace(take: np.ndarray, room: int) -> dict[int, int]:
+    """The configuration that reaches the best value of this capacity."""
     found: dict[int, int] = {}
-    room = size
     while room > 0:
-        if take[room]:
-            found[int(take[room])] = found.get(int(take[room]), 0) + 1
-            room -= int(take[room])
+        if k := int(take[room]):
+            found[k] = found.get(k, 0) + 1
+            room -= k
         else:
             room -= 1
     return found
 
 
-def plan(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[dict[int, int], int]]:
-    """Configurations and how often each is used; together they hold exactly the pieces of the histogram."""
-    left = {k: v for k, v in histogram.items() if v > 0}
-    used: list[tuple[dict[int, int], int]] = []
-    if full := left.pop(size, 0):
-        used.append(({size: 1}, full))
-    lengths = np.array(sorted(left), np.int64)
-    demand = np.array([left[k] for k in lengths.tolist()], float)
+def solve(histogram: dict[int, int], size: int, rounds: int = ROUNDS, step: float = STEP, rate: float = RATE, near_by: float = NEAR) -> tuple[dict[tuple, float], float]:
+    """Fractional amounts of configurations that cover the histogram, and a lower bound on the sequences needed.
+
+    Covering by multiplicative weights: a length weighs its size times exp(-rate * covered share), so that what lags
+    behind gains. Each round prices all configurations by one dynamic program; for every open length, the best
+    configuration with it is used if its value is within ``step`` of the best one, by a small amount: no length gains
+    more than ``step`` of its demand in a round. Any weights give a bound by duality: the demand's weight over the best value.
+    """
+    lengths = np.array(sorted(histogram), np.int64)
+    demand = np.array([histogram[k] for k in lengths.tolist()], float)
     place = {k: i for i, k in enumerate(lengths.tolist())}
-    amount = np.zeros(len(lengths))
-    program: list[tuple[dict[int, int], float]] = []
+    share = np.zeros(len(lengths))
+    program: dict[tuple, float] = {}
+    bound = (lengths * demand).sum() / size
     for _ in range(rounds):
-        open_ = amount < demand * (1 - 1e-9)
-        if not open_.any() or (lengths * np.maximum(demand - amount, 0)).sum() < 0.01 * (lengths * demand).sum():
-            break
-        weights = lengths[open_] * np.exp(-rate * amount[open_] / demand[open_])
-        found = _knapsack(lengths[open_], weights, size)
-        if not found:
+        open_ = share < 1 - 1e-9
+        if not open_.any():
             break
-        x = min((demand[place[k]] - amount[place[k]]) / n for k, n in found.items())
-        if x < 1:  # too few are left of a length to use this configuration once
-            rare = min(found, key=lambda k: (demand[place[k]] - amount[place[k]]) / found[k])
-            amount[place[rare]] = demand[place[rare]]
-            continue
-        program.append((found, x))
-        for k, n in found.items():
-            amount[place[k]] += n * x
-    for found, x in program:
-        times = min(int(x), *(left[k] // n for k, n in found.items()))
-        if times:
-            used.append((found, times))
-            for k, n in found.items():
-                left[k] -= n * times
+        weights = np.where(open_, lengths * np.exp(rate * (share[open_].min() - share)), 0.0)
+        best, take = _best_values(lengths, weights, size)
+        bound = max(bound, float(weights @ demand / best[size]))
+        near = open_ & (weights + best[size - lengths] >= (1 - near_by) * best[size])
+        chosen: dict[tuple, None] = {}
+        for k in lengths[near].tolist():
+            found = _trace(take, size - k)
+            found[k] = found.get(k, 0) + 1
+            chosen[tuple(sorted(found.items(), reverse=True))] = None
+        room = np.minimum(step, 1 - share) * demand  # pieces of each length that this round may still cover
+        for c in chosen:
+            x = min(room[place[k]] / n for k, n in c)
+            if x > 0:
+                program[c] = program.get(c, 0.0) + x
+                for k, n in c:
+                    room[place[k]] -= n * x
+                    share[place[k]] += n * x / demand[place[k]]
+    return program, bound
+
+
+def _fill(left: dict[int, int], size: int) -> list[tuple[dict[int, int], int]]:
+    """Best fit over a histogram: the longest piece first, then always the longest that still fits."""
+    left, used = dict(left), []
     keys = sorted((k for k in left if left[k]), reverse=True)
     while keys:
         found, room = {}, size
@@ -107,6 +120,33 @@ def plan(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS, rate
     return used
 
 
+def plan(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS, step: float = STEP) -> tuple[list[tuple[dict[int, int], int]], float]:
+    """Configurations and how often each is used, which together hold exactly the pieces of the histogram, and the lower bound.
+
+    The program's amounts are rounded along their running sum, so that about as many sequences come out as the program
+    uses; what they do not hold is packed by best fit. Best fit of everything is taken where it needs fewer sequences.
+    """
+    left = {k: v for k, v in histogram.items() if v > 0}
+    full = [({size: 1}, n)] if (n := left.pop(size, 0)) else []
+    if not left:
+        return full, float(n)
+    plain = _fill(left, size)
+    program, bound = solve(left, size, rounds, step)
+    if sum(t for _, t in plain) <= np.ceil(bound - 1e-6):
+        return full + plain, n + bound
+    used, running, done = [], 0.0, 0
+    for c, x in sorted(program.items(), key=lambda p: (-p[1], p[0])):
+        running += x
+        times = min(int(running) - done, *(left[k] // m for k, m in c))
+        done = int(running)
+        if times > 0:
+            used.append((dict(c), times))
+            for k, m in c:
+                left[k] -= m * times
+    used += _fill(left, size)
+    return full + min(used, plain, key=lambda u: sum(t for _, t in u)), n + bound
+
+
 def _slots(used: list[tuple[dict[int, int], int]]) -> np.ndarray:
     """Rows (length, first rank, first sequence, pieces of this length in a sequence, place of the first), by length and rank."""
     rank: dict[int, int] = {}
@@ -128,8 +168,9 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
         encoder = word_bpe(tokenizer)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                data = encoder.encode(text or "") + b"\0\0\0\0"
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for i, ids in ((a + k, x) for a, b in blocks(texts, [len(t) for t in texts], BLOCK_CHARS) for k, x in enumerate(encoder.encode_all(texts[a:b]))):
+                data = ids + b"\0\0\0\0"
                 n = len(data) // 4
                 for k, s in enumerate(range(0, n, size)):
                     part = data[4 * s : 4 * (s + size)]
@@ -155,7 +196,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     keyed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_buckets)))
     counts = scratch.cut(keyed.groupBy("length", "bucket").count())
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most ``size`` rows
-    slots = _slots(plan(histogram, size))
+    slots = _slots(plan(histogram, size)[0])
     key = slots[:, 0] * (1 << 44) + slots[:, 1] if len(slots) else np.zeros(0, np.int64)
     before = counts.select("length", "bucket", (F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).alias("before"))
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")

@@ -1,7 +1,7 @@
-"""Encoders of public vocabularies with a bounded cache of pieces.
+"""Encoders of public vocabularies with a bounded cache of words or pieces.
 
-A piece (what the vocabulary's own pattern cuts out of a text) always has the same tokens, so each
-distinct piece is encoded once while the cache holds it.
+A piece (what the vocabulary's own pattern cuts out of a text) always has the same tokens, and so has a word
+whose pieces never cross white space; each distinct one is encoded once while the cache holds it.
 """
 
 from __future__ import annotations
@@ -11,14 +11,19 @@ import json
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries of a generation of each cache.
-CACHE = 300_000
+#: Entries of a generation of the cache.
+CACHE = 600_000
+#: Signs that are neither letters nor digits nor blanks.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+#: Words that are encoded as one line.
+LINE = 2_000
 
 
 def default_path(name: str) -> str:
@@ -51,7 +56,7 @@ class Generations(dict):
 class WordBpe:
     """A tokenizers file whose pieces never cross white space; texts become packed little-endian 32-bit ids.
 
-    Texts of SAFE characters are cut at white space, and words and pieces are looked up; for them lower
+    Texts of SAFE characters are cut at white space, and words are looked up; for them lower
     case is all that the normaliser does. Other texts take the library's own path as a whole.
     """
 
@@ -65,31 +70,48 @@ class WordBpe:
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words, self.pieces = Generations(cache), Generations(cache)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Tokens that end a piece.
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words = Generations(cache)
 
     def _packed(self, ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        cut = [self.pattern.findall(w) for w in words]
-        known = self.pieces
-        new = known.lacking({p for x in cut for p in x})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = self._packed(e.ids)
-        for w, x in zip(words, cut, strict=True):
-            self.words[w] = known[x[0]] if len(x) == 1 else b"".join(map(known.__getitem__, x))
+        """Encode words in long lines. A word's ids end with the token that closes its last piece."""
+        for i in range(0, len(words), LINE):
+            line = words[i : i + LINE]
+            n = np.ones(len(line), np.int64)
+            for k, w in enumerate(line):
+                if not w.isalpha():  # letters are one piece of the pattern, and so are the signs after them
+                    core = w.rstrip(SIGNS)
+                    n[k] = 2 if core.isalpha() else len(self.pattern.findall(w))
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(line)], add_special_tokens=False)[0].ids, "<u4")
+            closed = np.flatnonzero(self.closes[ids]) + 1
+            if len(closed) == n.sum():
+                data, ends = ids.tobytes(), (closed[np.cumsum(n) - 1] * 4).tolist()
+                self.words.update(zip(line, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+            else:  # not the case in known vocabularies
+                self.words.update((w, self._packed(e.ids)) for w, e in zip(line, self.tokenizer.encode_batch_fast(line, add_special_tokens=False), strict=True))
 
     def encode(self, text: str) -> bytes:
-        if not self.SAFE.fullmatch(text):
-            return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        words, known = text.lower().split(), self.words
-        missing = {w for w in words if w not in known}
-        if missing:
-            if len(known) + len(missing) > known.limit:
-                missing = set(words)
-            if new := known.lacking(missing):
-                self._learn(new)
-        return b"".join(map(known.__getitem__, words))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text; the words that no cache holds are encoded together."""
+        safe = [self.SAFE.fullmatch(t) is not None for t in texts]
+        lists = [t.lower().split() if ok else () for t, ok in zip(texts, safe, strict=True)]
+        known = self.words
+        wanted = set(chain.from_iterable(lists))
+        missing = [w for w in wanted if w not in known]
+        if len(known) + len(missing) > known.limit:
+            missing = wanted
+        if new := known.lacking(missing):
+            self._learn(new)
+        look = dict(zip(wanted, map(known.__getitem__, wanted), strict=True)).__getitem__  # small enough for the processor's caches
+        return [b"".join(map(look, x)) if ok else self._packed(self.tokenizer.encode(t, add_special_tokens=False).ids) for t, x, ok in zip(texts, lists, safe, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -104,7 +126,7 @@ class ByteBpe:
     #: Other characters take the library's own path, as Unicode versions may differ there.
     SAFE = re.compile(r"[\x00-\u024f\u2010-\u2027]*")
 
-    def __init__(self, path: str, pattern: str, cache: int = CACHE):
+    def __init__(self, path: str, pattern: str, cache: int = CACHE // 2):
         import tiktoken
 
         with open(path, "rb") as f:

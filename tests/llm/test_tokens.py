@@ -103,18 +103,31 @@ def test_plan_holds_the_histogram_and_is_tight():
     rng = np.random.default_rng(1)
     for scale in (5, 300):
         h = Counter(np.clip(rng.lognormal(4, 1, 40 * scale).astype(int), 1, 512).tolist())
-        used = P.plan(dict(h), size=512, rounds=150)
+        used, bound = P.plan(dict(h), size=512)
         have = Counter()
         for found, times in used:
             assert sum(k * n for k, n in found.items()) <= 512 and times > 0
             for k, n in found.items():
                 have[k] += n * times
         assert have == h
-        assert sum(t for _, t in used) <= np.ceil(sum(k * n for k, n in h.items()) / 512) * 1.02 + 1
+        assert bound <= sum(t for _, t in used) <= np.ceil(sum(k * n for k, n in h.items()) / 512) * 1.02 + 1
+
+
+def test_plan_beats_best_fit_where_that_is_poor():
+    """Triples that fill a sequence exactly: the bound is their number, and best fit misses most of them."""
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(400, 900, 2000), rng.integers(400, 900, 2000)
+    h = dict(Counter(np.concatenate([a, b, 2048 - a - b]).tolist()))
+    used, bound = P.plan(h)
+    fit = sum(t for _, t in P._fill(h, 2048))
+    assert sum(k * n * t for found, t in used for k, n in found.items()) == 2000 * 2048
+    assert bound == 2000 and sum(t for _, t in used) < 2000 + (fit - 2000) / 3
 
 
 def test_knapsack_against_brute_force():
     lengths, weights = np.array([3, 5, 7]), np.array([3.1, 5.6, 7.2])
-    found = P._knapsack(lengths, weights, 17)
+    value, take = P._best_values(lengths, weights, 17)
+    found = P._trace(take, 17)
     best = max(3.1 * a + 5.6 * b + 7.2 * c for a in range(6) for b in range(4) for c in range(3) if 3 * a + 5 * b + 7 * c <= 17)
     assert abs(sum(weights[list(lengths).index(k)] * n for k, n in found.items()) - best) < 1e-9
+    assert abs(value[17] - best) < 1e-9
