@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from .vectorised import vectorised
 
-# Character folds of the Arabic search form (targets in the same order; the last, tatweel, is deleted).
-FOLD_FROM = "أإآٱةؤئ٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹ـ"
-FOLD_TO = "اااا" + "ه" + "وي" + "0123456789" * 2
-MARKS = "[\\u064B-\\u0652\\u0670]"
-BIDI = "[\\u200B-\\u200F\\u202A-\\u202E\\u2066-\\u2069\\uFEFF]"
-DIGITS_FROM, DIGITS_TO = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "0123456789" * 2
+# Character folds of the Arabic search form, each character beside its target.
+FOLD_FROM = "أإآٱةؤئ٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹٫٬"
+FOLD_TO = "ااااهوي01234567890123456789.,"
+# Vowel marks, tatweel, and invisible controls, which the search form drops.
+MARKS = "".join(map(chr, (*range(0x64B, 0x660), 0x670, *range(0x6D6, 0x6EE))))
+TATWEEL = "ـ"
+BIDI = "".join(map(chr, (*range(0x200B, 0x2010), 0x61C, *range(0x202A, 0x202F), *range(0x2066, 0x206A), 0xFEFF)))
+DIGITS_FROM, DIGITS_TO = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789"
 
 
 @vectorised("string")
@@ -27,15 +29,18 @@ def compose(c: Column) -> Column:
 
 
 def normalize(c: Column, nfc: bool = False) -> Column:
-    """Search form: invisible controls and vowel marks go, letter variants and digits fold, white space collapses."""
+    """Search form: invisible controls, vowel marks and tatweel go, letter variants and digits fold, white space collapses.
+
+    Arabic letters written with a combining hamza or madda come out as composed ones do, since both fold to the bare
+    letter; ``nfc`` composes other scripts too, outside the JVM.
+    """
     c = compose(c) if nfc else c
-    c = F.regexp_replace(F.regexp_replace(c, BIDI, ""), MARKS, "")
-    return F.trim(F.regexp_replace(F.translate(c, FOLD_FROM, FOLD_TO), "(?U)\\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(c, FOLD_FROM + TATWEEL + MARKS + BIDI, FOLD_TO), "(?U)\\s+", " "))
 
 
 def fold(c: Column) -> Column:
-    """Search form without case."""
-    return F.lower(normalize(c))
+    """Search form without case (the sharp s and the final sigma fold as well)."""
+    return F.replace(F.translate(F.lower(normalize(c)), "ς", "σ"), F.lit("ß"), F.lit("ss"))
 
 
 def ascii_digits(c: Column) -> Column:
@@ -43,21 +48,52 @@ def ascii_digits(c: Column) -> Column:
 
 
 def national_id(c: Column) -> Column:
-    """An identifier without spaces and invisible characters, in ASCII digits."""
-    return ascii_digits(F.regexp_replace(F.regexp_replace(c, BIDI, ""), "(?U)[\\s-]+", ""))
+    """An identifier without spaces, dashes and invisible characters, in ASCII digits."""
+    return F.regexp_replace(F.translate(c, DIGITS_FROM + BIDI, DIGITS_TO), "(?U)[\\s-]+", "")
 
 
 def tokens(c: Column) -> Column:
-    """Lower-case word tokens for comparison."""
-    return F.regexp_extract_all(F.lower(F.regexp_replace(c, MARKS, "")), F.lit("[\\p{L}\\p{N}_]+"), 0)
+    """Lower-case word tokens for comparison, without marks and with one form of alef."""
+    return F.regexp_extract_all(F.translate(F.lower(c), "أإآ" + TATWEEL + MARKS, "ااا"), F.lit("[\\p{L}\\p{N}_]+"), 0)
+
+
+def find_spans(c: Column, pattern: str | Column) -> Column:
+    """Every match of a pattern as array<struct<text, start, end>>, places from 0 in code points.
+
+    The parts between the matches come from the same pattern, so running lengths give the places without a Python step.
+    """
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    hits, parts = F.regexp_extract_all(c, pattern, 0), F.split(c, pattern, -1)
+    pairs = F.arrays_zip(hits.alias("hit"), F.slice(parts, 1, F.size(hits)).alias("part"))
+    none = F.expr("cast(array() as array<struct<text:string,start:int,end:int>>)")
+
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + F.length(x["part"])
+        to = at + F.length(x["hit"])
+        span = F.struct(x["hit"].alias("text"), at.alias("start"), to.alias("end"))
+        return F.struct(to.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
 
 # Protected tokens, in order of precedence: e-mail, IBAN, date, run of three or more digits.
-PROTECTED = "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]+|SA[0-9]{22}|[0-9]{1,4}[/-][0-9]{1,2}[/-][0-9]{1,4}|[0-9]{3,}"
+PROTECTED = (
+    "[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}",
+    "[A-Z]{2}[0-9]{2}[A-Za-z0-9]{10,}",
+    "[0-9٠-٩]{1,4}[/\\-.][0-9٠-٩]{1,2}[/\\-.][0-9٠-٩]{1,4}",
+    "[0-9٠-٩]{3,}",
+)
 
 
 def protected_tokens(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(PROTECTED), 0)
+    return F.regexp_extract_all(c, F.lit("|".join(PROTECTED)), 0)
+
+
+def token_changes(before: Column, after: Column) -> Column:
+    """Sorted protected tokens whose number of occurrences differs between two texts."""
+    a, b = protected_tokens(before), protected_tokens(after)
+    times = lambda tokens, t: F.size(F.filter(tokens, lambda x: x == t))
+    return F.array_sort(F.filter(F.array_union(a, b), lambda t: times(a, t) != times(b, t)))
 
 
 def same_multiset(a: Column, b: Column) -> Column:
@@ -79,9 +115,10 @@ def head_tail(c: Column, head: int, tail: int) -> Column:
 
 
 def token_estimate(c: Column) -> Column:
-    """ASCII at four characters a token, anything else at two."""
-    wide = F.length(F.regexp_replace(c, "[\\x00-\\x7F]", ""))
-    return F.ceil((F.length(c) - wide) / 4 + wide / 2).cast("long")
+    """Arabic letters at 2.2 characters a token, digits one each, all else at four, and 16 more for the frame."""
+    digits = F.regexp_count(c, F.lit("\\p{Nd}"))
+    arabic = F.regexp_count(c, F.lit("[\\u0600-\\u06FF&&[^\\u0660-\\u0669\\u06F0-\\u06F9]]"))
+    return (F.floor(arabic / 2.2 + digits + (F.length(c) - arabic - digits) / 4.0) + 16).cast("long")
 
 
 def utf16_offset(c: Column, at: Column) -> Column:
@@ -114,7 +151,7 @@ def scrub(c: Column) -> Column:
 def label_of(key: Column) -> Column:
     """A camelCase or snake_case key as words."""
     spaced = F.lower(F.regexp_replace(F.regexp_replace(key, "([a-z0-9])([A-Z])", "$1 $2"), "_+", " "))
-    return F.concat(F.upper(F.substring(spaced, 1, 1)), F.substring(spaced, 2, 1000))
+    return F.concat(F.upper(F.substring(spaced, 1, 1)), F.substr(spaced, F.lit(2)))
 
 
 def html_lines(c: Column) -> Column:
