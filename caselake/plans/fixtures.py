@@ -69,18 +69,6 @@ def numeric_dates(spark, sf):
     return spark.createDataFrame(DATES, "id int, s string").select("id", D.parse_numeric_date(F.col("s")).alias("p")).select("id", "p.y", "p.m", "p.d")
 
 
-TYPES = [("id10", "^[12][0-9]{9}$"), ("iban", "^SA[0-9]{22}$"), ("share", "^[0-9]+/[0-9]+$"), ("area", "^[0-9]+(\\.[0-9]+)?$")]
-VALUES = [(1, "id10", "1023456789"), (2, "id10", "3023456789"), (3, "iban", "SA0380000000608010167519"), (4, "iban", "SA12"), (5, "share", "1/2"), (6, "area", "120.5"), (7, "area", "wide"), (8, "free", "anything"), (9, "id10", None)]
-
-
-@query(f"WITH t(type, pattern) AS ({_sql(TYPES)}), v(id, type, value) AS ({_sql(VALUES)}) SELECT id, CASE WHEN coalesce(value, '') = '' THEN 'empty' WHEN pattern IS NULL OR regexp_matches(value, pattern) THEN 'ok' ELSE 'mismatch' END AS status FROM v LEFT JOIN t ON v.type = t.type")
-def valuetype_validate(spark, sf):
-    types = spark.createDataFrame(TYPES, "type string, pattern string")
-    v = spark.createDataFrame(VALUES, "id int, type string, value string").join(F.broadcast(types), "type", "left")
-    ok = F.col("pattern").isNull() | F.expr("regexp_like(value, pattern)")
-    return v.select("id", F.when(F.coalesce("value", F.lit("")) == "", "empty").when(ok, "ok").otherwise("mismatch").alias("status"))
-
-
 LABELS = [(1, "issued", 0, 10, 1), (1, "expires", 40, 50, 2), (2, "expires", 5, 12, 2), (3, "issued", 0, 5, 1)]
 FOUND = [(1, 12, "2020/01/01"), (1, 60, "2025/01/01"), (1, 80, "2026/01/01"), (2, 200, "2024/02/02"), (3, 5, "2021/05/05")]
 

@@ -1,6 +1,6 @@
 """Query names, their callables and their DuckDB oracles."""
 
-from . import cases, documents, fixtures, texts
+from . import cases, checks, documents, fixtures, texts
 
-QUERIES: dict = {**cases.QUERIES, **texts.QUERIES, **fixtures.QUERIES, **documents.QUERIES}
-ORACLES: dict = {**cases.ORACLES, **texts.ORACLES, **fixtures.ORACLES, **documents.ORACLES}
+QUERIES: dict = {**cases.QUERIES, **texts.QUERIES, **fixtures.QUERIES, **documents.QUERIES, **checks.QUERIES}
+ORACLES: dict = {**cases.ORACLES, **texts.ORACLES, **fixtures.ORACLES, **documents.ORACLES, **checks.ORACLES}
