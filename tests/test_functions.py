@@ -64,8 +64,15 @@ def test_expiry_edges(spark, days, status):
 
 
 def test_masks(spark):
-    assert one(spark, masking.long_numbers(F.lit("id 1023456789 and 12345"))) == "id ******6789 and 12345"
-    assert one(spark, masking.tail4(F.lit("123"))) == "***"
+    assert one(spark, masking.long_numbers(F.lit("id 1023456789 and 12345"))) == "id ••••••6789 and 12345"
+    for given, want in (
+        ("123456", "123456"), ("12345678", "12345678"), ("order 20240305", "order 20240305"), ("055 123 4567", "••• ••• 4567"), ("٠٥٥١٢٣٤٥٦٧", "••••••٤٥٦٧"), ("۱۲۳۴۵۶۷۸۹", "•••••۶۷۸۹"),
+        ("1445/03/12 500000", "1445/03/12 500000"), ("1234  56789", "1234  56789"), ("a123456789b", "a•••••6789b"),
+    ):
+        assert one(spark, masking.long_numbers(F.lit(given))) == want
+    assert [one(spark, masking.tail4(F.lit(x))) for x in ("123", "12345", "1234567")] == ["•••", "•••45", "•••4567"]
+    assert one(spark, masking.personal_value(F.lit("ali@x.sa"), F.lit("email"))) == "a•••@x.sa"
+    assert one(spark, masking.personal_value(F.lit("1990-05-06"), F.lit("birthDate"))) == "1990-••-••"
     assert one(spark, masking.masked_tail_matches(F.lit("**6789"), F.lit("1023456789")))
     assert not one(spark, masking.masked_tail_matches(F.lit("6789"), F.lit("1023456789")))
 
@@ -85,16 +92,53 @@ def test_chunks_are_lossless():
     for _ in range(50):
         t = "".join(rng.choice("ab. \n") for _ in range(rng.randrange(5000)))
         cuts = segment.cut_points(t)
-        assert "".join(t[a:b] for a, b in cuts) == t
-        assert all(0 < b - a <= segment.CHUNK for a, b in cuts)
+        at = 0
+        for a, b, page in cuts:
+            assert t[at:a].strip() == "" and 0 < b - a <= segment.CHUNK and page is None
+            at = b
+        assert t[at:].strip() == ""
+
+
+def test_chunks_keep_pages_apart_and_prefer_late_ends():
+    t = "--- Page 1 ---\n" + "a" * 700 + "\n" + "b" * 300 + ". " + "c" * 400 + "\n--- Page 2 ---\nend"
+    cuts = segment.cut_points(t)
+    assert [p for _, _, p in cuts] == [1, 1, 2] and t[cuts[0][0] : cuts[0][1]].endswith("b.") and t[cuts[2][0] :] == "end"
+
+
+def test_overlapping_windows():
+    rng = random.Random(5)
+    for _ in range(100):
+        t = "".join(rng.choice("abc\n") for _ in range(rng.randrange(1, 900)))
+        got = segment.overlapping(t, 200, overlap=50, most=4)
+        assert got[0][0] == 0 and 1 <= len(got) <= 4 and (got[-1][1] == len(t) or len(got) == 4)
+        for (a, b), (c, d) in zip(got, got[1:]):
+            assert c == max(a + 1, b - 50) and d - c <= 200
+        for a, b in got:
+            breaks = [i for i in range(a + 100, min(a + 200, len(t))) if t[i] == "\n"]
+            assert b == len(t) or b == (breaks[-1] if breaks else a + 200)
 
 
 def test_closed_json(spark):
-    rows = [('{"a": [1, {"b": "c', '{"a": [1, {"b": "c"}]}'), ('{"a": 1,', '{"a": 1}'), ("[1, 2]", "[1, 2]")]
+    rows = [('{"s": [{"a": 1}, {"b": "c', '{"s": [{"a": 1}]}'), ('{"a": [{"f": [{"x": 1}', '{"a": [{"f": [{"x": 1}]}]}'), ("[1, 2]", "[1, 2]"), ("nothing", None), ('{"a": 1,', None)]
     got = spark.createDataFrame(rows, "s string, e string").select(segment.closed_json(F.col("s")).alias("x"), "e").collect()
     assert all(r["x"] == r["e"] for r in got)
 
 
+def test_edit_distance_sizes_and_cells(spark):
+    rng = random.Random(11)
+    words = [("".join(rng.choice("abc") for _ in range(rng.randrange(8))), "".join(rng.choice("abc") for _ in range(rng.randrange(8)))) for _ in range(200)]
+    d = spark.createDataFrame(words, "a string, b string")
+    assert d.where(segment.edit_distance(F.col("a"), F.col("b")) != F.levenshtein("a", "b")).count() == 0
+    assert segment.size_groups([10.0, 10.4, 12.0, 10.8, 30.0]) == [10.5, 10.5, 12.0, 10.5, 30.0]
+    assert segment.ordered_cells("ali 10 ali 20", ["ali", "ali", "10", "20"]) == [0, 7, None, 11]
+
+
+def test_same_entries_near_each_other(spark):
+    left = spark.createDataFrame([(1, 1, "احمد", "اسم علم مذكر", 100.0), (2, 1, "نور", "ضوء", 500.0)], "id int, page int, name string, meaning string, y double")
+    right = spark.createDataFrame([(7, 1, "حمد", "اسم علم مذكر", 140.0), (8, 1, "احمد", "اسم علم مذكر", 300.0), (9, 2, "نور", "ضوء", 500.0)], left.schema)
+    assert [(r["a"], r["b"]) for r in segment.same_entries(left, right, "page").collect()] == [(1, 7)]
+
+
 def test_offsets_point_to_the_raw_text(spark):
     raw = "مُحَمّد  ـأحمد"
     got = one(spark, segment.normalized_with_offsets(F.lit(raw)))
