@@ -24,7 +24,19 @@ BASES = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
 INVERSES = tuple(U(pow(int(b), -1, 1 << 64)) for b in BASES)
 
 
+#: Rows and bytes that a Python worker gets at a time; texts are long, so Spark's own 10,000 rows are too many.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches for whole texts, where the session does not say otherwise."""
+    for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
+
+
 def read_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    bound_batches(spark)
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     return df.select(*columns) if columns else df
 
@@ -44,6 +56,7 @@ class Scratch:
     """Tables in the shared folder that cut lineage, so that a lost executor costs one step only."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0

@@ -5,8 +5,7 @@ trigrams (word ends included). Script ranges narrow the candidates first: a lang
 learned with a word's script is out, unless that holds for all. Viterbi decoding over the words, with a
 penalty for each switch, labels spans of mixed text; the language with most letters is the document's.
 
-The model is fitted on a bounded sample (``per_lang`` documents of each language, at most ``max_langs``
-languages by size); every document is scored as a whole.
+The model is fitted on a bounded sample (``per_lang`` documents of each language); every document is scored as a whole.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; with nothing to learn
 from, every text is ``und``; rows without language train nothing but are scored; repeated rows and null
@@ -28,8 +27,10 @@ from pyspark.sql import types as T
 from .common import U, blocks, crc_of_id, mix, read_documents
 
 BITS = 16
-PER_LANG, MAX_LANGS, SWITCH = 4000, 100, 12.0
-BLOCK_CHARS = 1_500_000
+PER_LANG, SWITCH = 4000, 12.0
+BLOCK_CHARS = 400_000
+#: A text of at least so many letters fits no language if they are, on average, so much less likely than those of its training texts (nats a letter).
+MIN_LETTERS, MAX_LOSS = 100, 3.0
 # First code points of the ranges told apart as scripts, and their numbers.
 SCRIPTS = (
     (0, 1), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x780, 7), (0x900, 8), (0x980, 9), (0xE00, 10), (0xE80, 11),
@@ -83,6 +84,7 @@ class Model:
     langs: list[str]
     logp: np.ndarray  # (2^BITS, languages)
     out: np.ndarray  # (scripts, languages): penalty per letter of a script that the language lacks
+    usual: np.ndarray  # mean log-probability of a letter of each language's own sample
 
     def word_scores(self, x: Letters) -> np.ndarray:
         if not len(x.word):
@@ -90,10 +92,10 @@ class Model:
         return np.stack([np.add.reduceat(self.logp[x.gram, k] + self.out[x.script, k], x.word) for k in range(len(self.langs))], axis=1)
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> Model | None:
+def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """Counts of hashed trigrams and scripts by language over a bounded sample of the rows with text, language and id."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    sizes = rows.groupBy("lang").count().collect()
     if not sizes:
         return None
     langs = sorted(r["lang"] for r in sizes)
@@ -124,9 +126,10 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -
     if not grams.any():
         return None
     logp = np.log((grams + 0.5) / (grams.sum(axis=1, keepdims=True) + 0.5 * (1 << BITS))).T
+    usual = (grams * logp.T).sum(axis=1) / np.maximum(1, grams.sum(axis=1))
     known = (scripts > 0.01 * np.maximum(1, scripts.sum(axis=1, keepdims=True))).T
     out = np.where(known | ~known.any(axis=1, keepdims=True), 0.0, -30.0)
-    return Model(langs, np.ascontiguousarray(logp, np.float32), out.astype(np.float32))
+    return Model(langs, np.ascontiguousarray(logp, np.float32), out.astype(np.float32), usual)
 
 
 def viterbi(score: np.ndarray, doc: np.ndarray, n_docs: int, switch: float) -> np.ndarray:
@@ -159,21 +162,25 @@ def viterbi(score: np.ndarray, doc: np.ndarray, n_docs: int, switch: float) -> n
     return path
 
 
-def verdicts(texts: list[str | None], model: Model | None, switch: float = SWITCH) -> tuple[list[str], list[float], list[list[dict]]]:
-    """Language, its share of the letters and the spans of each text."""
+def verdicts(texts: list[str | None], model: Model | None, switch: float = SWITCH) -> tuple[list[str], list[float], list[list[dict]], list[float]]:
+    """Language, its share of the letters, the spans of each text, and how much less likely its letters are than usual (0 for short texts)."""
     texts = [t or "" for t in texts]
-    pred, score, spans = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
+    pred, score, spans, loss = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts], [0.0] * len(texts)
     for a, b in blocks(texts, [len(t) for t in texts], BLOCK_CHARS) if model else ():
         x = letters(texts[a:b])
         if not len(x.word):
             continue
-        path = viterbi(model.word_scores(x), x.doc, b - a, switch)
+        scores = model.word_scores(x)
+        path = viterbi(scores, x.doc, b - a, switch)
         size = np.diff(np.append(x.word, len(x.at)))
+        behind = np.bincount(x.doc, weights=model.usual[path] * size - scores[np.arange(len(path)), path], minlength=b - a)
         votes = np.zeros((b - a, len(model.langs)), np.int64)
         np.add.at(votes, (x.doc, path), size)
         for i in np.flatnonzero(votes.any(axis=1)):
             k = int(votes[i].argmax())
             pred[a + i], score[a + i] = model.langs[k], float(votes[i, k] / votes[i].sum())
+            if votes[i].sum() >= MIN_LETTERS:
+                loss[a + i] = float(behind[i] / votes[i].sum())
         new = np.ones(len(path), bool)
         new[1:] = (path[1:] != path[:-1]) | (x.doc[1:] != x.doc[:-1])
         head = np.flatnonzero(new)
@@ -182,7 +189,7 @@ def verdicts(texts: list[str | None], model: Model | None, switch: float = SWITC
         end = x.at[np.append(x.word[1:], len(x.at))[last] - 1] + 1 - x.start[x.doc[head]]
         for i, s, e, k in zip(x.doc[head].tolist(), begin.tolist(), end.tolist(), path[head].tolist(), strict=True):
             spans[a + i].append({"start": s, "end": e, "lang": model.langs[k]})
-    return pred, score, spans
+    return pred, score, spans, loss
 
 
 def identify(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> DataFrame:
@@ -191,7 +198,7 @@ def identify(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, score, spans = verdicts(batch.column(1).to_pylist(), model, switch)
+            pred, score, spans, _ = verdicts(batch.column(1).to_pylist(), model, switch)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, span)], names=schema.names)
 
     parts = T.StructType().add("start", "long").add("end", "long").add("lang", "string")
@@ -199,14 +206,18 @@ def identify(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> Da
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def keep_clear(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
-    """Rows of ``docs`` whose text has a language with at least ``least`` of its letters. Each row is judged by its own text, whatever its id."""
+def keep_clear(docs: DataFrame, model: Model | None, least: float, most_loss: float = MAX_LOSS) -> DataFrame:
+    """Rows of ``docs`` whose text has a language with at least ``least`` of its letters, and letters that fit their languages.
+
+    Each row is judged by its own text, whatever its id. Texts of languages that were never learned, and noise, fit none: their
+    letters are less likely than usual by more than ``most_loss``.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, score, _ = verdicts(batch.column(at).to_pylist(), model)
-            yield batch.filter(pa.array([k != "und" and s >= least for k, s in zip(pred, score, strict=True)], pa.bool_()))
+            pred, score, _, loss = verdicts(batch.column(at).to_pylist(), model)
+            yield batch.filter(pa.array([k != "und" and s >= least and x <= most_loss for k, s, x in zip(pred, score, loss, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -12,8 +12,10 @@ repeated rows and null ids give a result each.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -59,11 +61,11 @@ def _machine(notices: tuple[tuple[str, str, int], ...]):
     for piece, where in at.items():
         automaton.add_word(piece, (len(piece), where))
     automaton.make_automaton()
-    return automaton, [regex.compile(f"(?b)(?:{regex.escape(n)}){{e<={k}}}") for n, _, k in notices]
+    return automaton, [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n)}){{e<={k}}}(?![^ ])") for n, _, k in notices]
 
 
 def fuzzy_matches(text: str, notices: tuple[tuple[str, str, int], ...] = NOTICES) -> list[tuple[int, int, str, int]]:
-    """(start, end, label, edits) of the notices in normalised text; matches of one notice do not overlap.
+    """(start, end, label, edits) of the notices in normalised text; matches stand on whole words, and those of one notice do not overlap.
 
     A search gives the best match of its region, so the parts on both sides of it are searched too.
     """
@@ -73,7 +75,7 @@ def fuzzy_matches(text: str, notices: tuple[tuple[str, str, int], ...] = NOTICES
         for i, offset in where:
             notice, _, edits = notices[i]
             begin = end + 1 - size - offset
-            a, b = max(0, begin - edits), min(len(text), begin + len(notice) + edits)
+            a, b = _whole_words(text, max(0, begin - edits), min(len(text), begin + len(notice) + edits))
             spans = near.setdefault(i, [])
             if spans and a <= spans[-1][1]:
                 spans[-1] = [min(a, spans[-1][0]), max(b, spans[-1][1])]
@@ -81,23 +83,59 @@ def fuzzy_matches(text: str, notices: tuple[tuple[str, str, int], ...] = NOTICES
                 spans.append([a, b])
     found = []
     for i, spans in near.items():
+        most = len(notices[i][0]) + notices[i][2] + 2
+        parts = [p for a, b in spans for p in _windows(text, a, b, most)]
         least = len(notices[i][0]) - notices[i][2]
-        parts = list(spans)
+        taken: set[tuple[int, int, int]] = set()
         while parts:
             a, b = parts.pop()
             if b - a >= least and (m := patterns[i].search(text, a, b)):
-                found.append((m.start(), m.end(), notices[i][1], sum(m.fuzzy_counts)))
-                parts += [(a, m.start()), (m.end(), b)]
+                start, end = m.start() + (text[m.start()] == " "), m.end() - (text[m.end() - 1] == " ")
+                taken.add((start, end, sum(m.fuzzy_counts)))
+                parts += [(a, start), (end, b)]
+        found += [(a, b, notices[i][1], k) for a, b, k in _best_apart(taken)]
     return sorted(found)
 
 
-def phrase_places(joined: str) -> tuple[list[int], set[str]]:
-    """Word positions where a base phrase starts, and the labels; ``joined`` has single spaces and one at either end."""
+def _windows(text: str, a: int, b: int, most: int) -> list[tuple[int, int]]:
+    """A region in overlapping windows of bounded size, so that long runs of notices cost their length only.
+
+    Every match of at most ``most`` characters lies whole in a window of four times that.
+    """
+    if b - a <= 4 * most:
+        return [(a, b)]
+    return [_whole_words(text, k, min(b, k + 4 * most)) for k in range(a, b - most, 3 * most)]
+
+
+def _whole_words(text: str, a: int, b: int) -> tuple[int, int]:
+    """A region widened to the blanks around it."""
+    end = text.find(" ", b)
+    return max(0, text.rfind(" ", 0, a + 1)), end if end >= 0 else len(text)
+
+
+def _best_apart(matches: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Matches without overlaps: of a cluster, the one with fewest edits first, then the earliest."""
+    kept: list[tuple[int, int, int]] = []
+    cluster: list[tuple[int, int, int]] = []
+    for m in [*sorted(matches), (1 << 60, 1 << 60, 0)]:
+        if cluster and m[0] >= max(c[1] for c in cluster):
+            best: list[tuple[int, int, int]] = []
+            for c in sorted(cluster, key=lambda c: (c[2], c[0])):
+                if all(c[0] >= o[1] or o[0] >= c[1] for o in best):
+                    best.append(c)
+            kept += best
+            cluster = []
+        cluster.append(m)
+    return kept
+
+
+def phrase_places(joined: str, starts: list[int]) -> tuple[list[int], set[str]]:
+    """Word positions where a base phrase starts, and the labels; ``joined`` has single spaces and one at either end, ``starts`` its words' places."""
     places, labels = [], set()
     for phrase, label in BASE:
         at = joined.find(f" {phrase} ")
         while at >= 0:
-            places.append(joined.count(" ", 0, at))
+            places.append(bisect_left(starts, at + 1))
             labels.add(label)
             at = joined.find(f" {phrase} ", at + 1)
     return places, labels
@@ -114,10 +152,11 @@ def license_scan(docs: DataFrame) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 words = TOKEN.findall((text or "").translate(LOWER))
                 joined = f" {' '.join(words)} " if words else ""
-                places, base = phrase_places(joined)
+                starts = list(accumulate((len(w) + 1 for w in words[:-1]), initial=1)) if words else []
+                places, base = phrase_places(joined, starts)
                 fuzzy = fuzzy_matches(joined)
                 labels = base | {m[2] for m in fuzzy}
-                spans = [{"label": label, "first_word": joined.count(" ", 0, a + 1) - 1 if a else 0, "last_word": joined.count(" ", 0, b - 1) - 1, "edits": k} for a, b, label, k in fuzzy]
+                spans = [{"label": label, "first_word": bisect_right(starts, a) - 1, "last_word": bisect_right(starts, b - 1) - 1, "edits": k} for a, b, label, k in fuzzy]
                 score = 1.0 if base else max((1 - k / (b - a) for a, b, _, k in fuzzy), default=0.0)
                 rows.append((len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, spans))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 8

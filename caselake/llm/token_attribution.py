@@ -1,6 +1,6 @@
 """Operator 7, token counts by offset-mapped attribution.
 
-A document is encoded once as a whole; the byte spans of its tokens are joined as intervals with its
+A document is encoded once as a whole; the spans of its tokens are joined as intervals with its
 sections (lines, each with its line end). A token that crosses a boundary goes to one section
 by an explicit rule: ``first`` (where it begins), ``last`` (where it ends) or ``most`` (where most of
 its bytes lie, the earlier on ties). Counts of a document add up to its tokens under every rule.
@@ -47,8 +47,14 @@ def line_bounds(data: bytes) -> np.ndarray:
     return np.concatenate(([0], inner, [len(data)])).astype(np.int64)
 
 
+def characters(data: bytes) -> np.ndarray:
+    """By byte offset, how many characters begin before it."""
+    begins = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+    return np.concatenate(([0], np.cumsum(begins)))
+
+
 def section_tokens(docs: DataFrame, ranks: str, pattern: str, rule: str = "first") -> DataFrame:
-    """doc_id, section, start, length (bytes), n_tokens, n_crossing."""
+    """doc_id, section, start and length (in characters), n_tokens, n_crossing."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
 
@@ -58,10 +64,12 @@ def section_tokens(docs: DataFrame, ranks: str, pattern: str, rule: str = "first
             rows, parts = [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
-                bounds = line_bounds(text.encode("utf-8", "surrogatepass"))
+                data = text.encode("utf-8", "surrogatepass")
+                bounds = line_bounds(data)
                 counts, crossing = attribute(encoder.lengths(text), bounds, rule)
+                chars = characters(data)[bounds]
                 rows.append(len(counts))
-                parts.append((np.arange(len(counts)), bounds[:-1], np.diff(bounds), counts, crossing))
+                parts.append((np.arange(len(counts)), chars[:-1], np.diff(chars), counts, crossing))
             if not rows:
                 continue
             columns = [np.concatenate([p[i] for p in parts]) for i in range(5)]

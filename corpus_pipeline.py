@@ -17,7 +17,7 @@ MIN_LANGUAGE_SHARE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject texts without a letter and texts in which no language has MIN_LANGUAGE_SHARE of the letters.
+    """Reject texts without a letter, texts in which no language has MIN_LANGUAGE_SHARE of the letters, and long enough texts that fit no language.
 
     Each row is judged by its own text: rows with a null id stay or go like others, and so do rows that share an id.
     """

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from caselake.llm import decontamination as D
 from caselake.llm.common import WORD
@@ -61,3 +63,14 @@ def test_language_judges_each_row_by_its_text(spark):
     assert got.dtypes == docs.dtypes
     assert sorted(r["text"] for r in got.where("doc_id is null").collect()) == [text, text]
     assert sorted(r["text"] for r in got.where(f"doc_id = {i}").collect()) == [text, text + " again"]
+
+
+def test_language_rejects_noise_and_keeps_the_rest(spark):
+    """Random letters and unlearned scripts go; every text of the small tables stays, and so do short odd ones."""
+    rng = random.Random(2)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(500)) for _ in range(5)] + ["обычный текст о погоде и людях " * 20]
+    odd = [(900_000 + i, t) for i, t in enumerate([*noise, "A. All rights reserved.", 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"'])]
+    more = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string"), allowMissingColumns=True)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, more, SMALL).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()} | {900_006, 900_007}

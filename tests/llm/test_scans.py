@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -126,7 +127,7 @@ def test_phrases_against_loops():
         t = rng.choice([" ", "", "-"]).join(rng.choice(["CC", "by", " ", "general", " public ", "license", "all rights", " reserved", "x"]) for _ in range(rng.randrange(30)))
         words = L.TOKEN.findall(t.translate(L.LOWER))
         joined = f" {' '.join(words)} " if words else ""
-        places, labels = L.phrase_places(joined)
+        places, labels = L.phrase_places(joined, [i + 1 for i, c in enumerate(joined[:-1]) if c == " "])
         assert (sorted(places), labels) == brute_phrases(t)
 
 
@@ -157,3 +158,37 @@ def test_adjacent_notices_with_different_edits():
         got = [(text[a:b], k) for a, b, label, k in L.fuzzy_matches(text) if label == "reserved"]
         assert [k for _, k in got] == [forms[x] for x in order]
         assert [x.strip() for x, _ in got] == order
+
+
+def test_inserted_deleted_and_neighbouring_notices():
+    """Brute force over edits: any mix of up to four inserted, deleted and replaced characters is found, wherever notices stand side by side."""
+    notice, label, most = L.NOTICES[0]
+    rng = random.Random(4)
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            t = list(notice)
+            for _ in range(rng.randrange(most + 1)):
+                k = rng.randrange(1, len(t) - 1)
+                kind = rng.randrange(3)
+                t[k : k + (kind > 0)] = ["q"] if kind < 2 else []
+            parts.append("".join(t))
+        text = f" a {' '.join(parts)} b "
+        found = [m for m in L.fuzzy_matches(text) if m[2] == label]
+        assert len(found) == len(parts) and all(k <= most for *_, k in found), (text, found)
+
+
+def test_notices_stand_on_whole_words():
+    assert [m for m in L.fuzzy_matches(" small rights reserveds ") if m[3] == 0] == []
+    both = "licensed under the apoche license version 2 0", "licensed under the apache license version 2 0"
+    for order in (both, both[::-1]):
+        assert len(L.fuzzy_matches(f" {' '.join(order)} ")) == 2
+
+
+def test_long_runs_of_notices_cost_their_length():
+    took = []
+    for n in (1500, 6000):
+        began = time.process_time()
+        assert len([m for m in L.fuzzy_matches(" " + "all rights reserved " * n) if m[2] == "reserved"]) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.2
