@@ -26,16 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASES, WORD, Rolling, Scratch, U, WordHashes, blocks, hash_words, mix, read_documents, signed, times, unit
+from .common import BASES, WORD, Rolling, Scratch, U, WordHashes, blocks, hash_words, join_counted, mix, read_documents, signed, times, unit
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
-#: Members of a band bucket are compared in pairs only if at least this share of components agrees (four standard deviations below 0.8).
-AGREE = 0.62
-#: Bits of a component that are compared there.
+#: Bits of a component that are compared in pairs.
 PLANES = 4
 #: Members of an open bucket that one task compares at a time.
 SLICE = 2_000
@@ -146,7 +145,8 @@ def _sign(bands: int, rows: int, size: int):
                 lists = [WORD.findall(t) for t in texts[a:b]]
                 n = np.array([len(x) for x in lists])
                 h, starts = hash_words(lists, cache)
-                x, y = (signed(Rolling(h, i).span(starts[:-1], starts[1:])) for i in (0, 1))
+                digest = b"".join(xxhash.xxh3_128_digest(h[s:e].tobytes()) for s, e in zip(starts[:-1], starts[1:], strict=True))
+                x, y = np.frombuffer(digest, np.int64).reshape(-1, 2).T.copy()
                 parts = shingles(lists, cache, size)
                 sig = signatures(*parts, len(lists), m)
                 band = np.zeros((len(lists), bands), U)
@@ -201,11 +201,14 @@ def _jaccard(least: float):
     return run
 
 
-def verified(pairs: DataFrame, vectors: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap by ``least`` or more."""
-    left = vectors.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"), F.col("c").alias("ca"))
+def verified(scratch: Scratch, pairs: DataFrame, vectors: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose multisets overlap by ``least`` or more. A document of very many pairs meets them in several tasks."""
+    pairs = scratch.cut(pairs)
+    degrees = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    left = vectors.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"), F.col("c").alias("ca")).join(degrees, "a")
     right = vectors.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"), F.col("c").alias("cb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(_jaccard(least), "a long, b long")
+    met = join_counted(pairs, left, ["a"], pairs.count(), ["b"]).join(right, "b")
+    return met.select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(_jaccard(least), "a long, b long")
 
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
@@ -226,25 +229,28 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
-def near_classes(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, th, class_id, copy_of) per distinct doc_id and text; ``th`` is xxhash64 of the text, ``copy_of`` the least id with the same words."""
+def near_classes(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, agree: float | None = None) -> DataFrame:
+    """(doc_id, th, class_id, copy_of) per distinct doc_id and text; ``th`` is xxhash64 of the text, ``copy_of`` the least id with the same words.
+
+    Within open buckets every pair is verified unless its counts by cell rule it out, which they do for no true pair. With ``agree``,
+    pairs of which a smaller share of signature components agrees are left out too; that is faster, and may lose a true pair.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     keyed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     signed_rows = scratch.cut(keyed.mapInArrow(_sign(bands, rows, size), "doc_id long, th long, x long, y long, bands array<long>, sketch array<long>").where("sketch is not null"))
-    exact = scratch.cut(signed_rows.groupBy("x", "y").agg(F.min("doc_id").alias("copy_of")))
-    unique = signed_rows.join(exact, ["x", "y"]).where("doc_id = copy_of").dropDuplicates(["x", "y"])
-    reps = unique.select("doc_id", "th", "bands", "sketch")
+    exact = scratch.cut(signed_rows.groupBy("x", "y").agg(F.min(F.struct("doc_id", "th")).alias("f"), F.count("*").alias("n")))
+    reps = signed_rows.join(exact.select("f.doc_id", "f.th"), ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "bands", "sketch")
     banded = scratch.cut(reps.select("doc_id", F.explode("bands").alias("band")))
-    buckets = banded.groupBy("band").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where("center < last").select("band", "center")
-    members = scratch.cut(banded.join(buckets, "band"))
-    scratch.drop(banded)
+    buckets = scratch.cut(banded.groupBy("band").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("center < last").select("band", "center", "n"))
+    members = scratch.cut(join_counted(banded, buckets, ["band"], banded.count(), ["doc_id"]))
+    scratch.drop(banded, buckets)
     ids = members.select("doc_id").distinct()
     known = scratch.cut(reps.join(ids, "doc_id").select("doc_id", "th", "bands", "sketch"))
     vectors = scratch.cut(keyed.join(known.select("doc_id", "th"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("doc_id", "text").mapInArrow(_vectors(size), "doc_id long, s binary, c binary"))
 
     stars = members.where("doc_id > center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = scratch.cut(verified(stars, vectors, least))
+    links = scratch.cut(verified(scratch, stars, vectors, least))
     labels = components(scratch, links)
 
     labelled = (
@@ -252,13 +258,13 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE
         .select("band", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     )
     sizes = labelled.groupBy("band", "label").agg(F.count("*").alias("n"))
-    open_buckets = (
+    open_buckets = scratch.cut(
         sizes.groupBy("band")
         .agg(F.sum("n").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.max_by("label", F.struct("n", "label")).alias("main"))
         .where("l0 < l1")
-        .select("band", "main", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
+        .select("band", "main", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"), "n")
     )
-    rest = scratch.cut(labelled.join(open_buckets, "band").join(known.select("doc_id", "bands", "sketch"), "doc_id"))
+    rest = scratch.cut(join_counted(labelled, open_buckets, ["band"], members.count(), ["doc_id"]).join(known.select("doc_id", "bands", "sketch"), "doc_id"))
     m = bands * rows
     planes = PLANES * -(-m // 64)
     words = planes + LEVELS * CELLS // 64 + 1
@@ -271,7 +277,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE
         "band", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int").alias("slice"), F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("bands").alias("hb"),
         (F.col("label") == F.col("main")).alias("in_main"), *(F.col("sketch")[i].alias(f"b{i}") for i in range(words)),
     )
-    alike = _agreeing(m) >= int(AGREE / SIMILARITY * least * m)
+    alike = _agreeing(m) >= int(agree * m) if agree else F.lit(True)
     # A pair of different components is open in every band it shares; the least of them tells it.
     told = F.array_min(F.array_intersect("ha", "hb")) == F.col("band")
     met = a.join(b, ["band", "slice"]).where((F.col("la") != F.col("lb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & alike & _may_reach(least, planes) & told)
@@ -279,7 +285,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE
     seen = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     cross = scratch.cut(met.select("a", "b", "la", "lb", _agreeing(m).alias("agree")).distinct().join(seen, ["a", "b"], "left_anti"))
     likely = scratch.cut(cross.groupBy("a", "lb").agg(F.max_by("b", F.struct("agree", "b")).alias("b")).select(*pair).distinct())
-    first = scratch.cut(verified(likely, vectors, least))
+    first = scratch.cut(verified(scratch, likely, vectors, least))
     by_label = cross.select(*pair, "la", "lb").join(first, ["a", "b"], "left_semi").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     merged = components(scratch, by_label)
     apart = (
@@ -290,16 +296,16 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE
         .join(likely, ["a", "b"], "left_anti")
         .distinct()
     )
-    more = scratch.cut(verified(apart, vectors, least))
+    more = scratch.cut(verified(scratch, apart, vectors, least))
     final = components(scratch, links.unionByName(first).unionByName(more))
-    out = scratch.cut(
-        signed_rows.select("doc_id", "th", "x", "y")
-        .join(exact, ["x", "y"])
+    named = scratch.cut(
+        exact.select("x", "y", "n", F.col("f.doc_id").alias("copy_of"))
         .join(final.withColumnRenamed("id", "copy_of"), "copy_of", "left")
-        .select("doc_id", "th", "copy_of", F.coalesce("label", "copy_of").alias("class_id"))
-        .distinct()
+        .select("x", "y", "n", "copy_of", F.coalesce("label", "copy_of").alias("class_id"))
     )
-    scratch.drop(signed_rows, exact, members, known, vectors, links, rest, cross, likely, first, more)
+    keys = signed_rows.select("doc_id", "th", "x", "y")
+    out = scratch.cut(join_counted(keys, named, ["x", "y"], signed_rows.count(), ["doc_id"]).select("doc_id", "th", "copy_of", "class_id").distinct())
+    scratch.drop(signed_rows, exact, members, known, vectors, links, open_buckets, rest, cross, likely, first, more, named)
     return out
 
 

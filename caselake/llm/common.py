@@ -85,20 +85,23 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
-#: Keys of more rows than this, and than a HOT_KEYS-th of all rows, are joined by broadcast: there are HOT_KEYS of them at most.
+#: A key of more rows than HOT_ROWS, and than a HOT_KEYS-th of all rows, is dealt to several tasks; there are HOT_KEYS such keys at most.
 HOT_ROWS, HOT_KEYS = 2_000, 10_000
 
 
-def join_counted(big: DataFrame, small: DataFrame, keys: list[str], total: int) -> DataFrame:
+def join_counted(big: DataFrame, small: DataFrame, keys: list[str], total: int, spread: list[str]) -> DataFrame:
     """Inner join of ``big`` (``total`` rows) with ``small``, whose keys are unique and whose column ``n`` says how many rows of ``big`` each key has.
 
-    Rows of a hot key stay where they are and meet the few hot rows of ``small`` by broadcast (at most HOT_KEYS rows, as each
-    stands for more than total / HOT_KEYS rows of ``big``); all others are joined by a shuffle. ``small`` should be a table, as it is read three times.
+    Rows of a hot key are dealt by ``spread`` to as many parts as it needs, and its row of ``small`` goes to each of them. The
+    list of hot keys is broadcast: HOT_KEYS rows at most, as each stands for more than total / HOT_KEYS rows. ``small`` should be a table, as it is read twice.
     """
     limit = max(HOT_ROWS, total // HOT_KEYS)
-    hot = F.broadcast(small.where(F.col("n") > limit).drop("n"))
-    cold = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small.where(F.col("n") <= limit).drop("n"), keys)
-    return big.join(hot, keys).unionByName(cold)
+    parts = F.when(F.col("n") > limit, F.ceil(F.col("n") / limit).cast("int")).otherwise(1)
+    hot = F.broadcast(small.where(F.col("n") > limit).select(*keys, parts.alias("__parts")))
+    part = F.pmod(F.xxhash64(*spread), F.coalesce("__parts", F.lit(1))).cast("int")
+    dealt = big.join(hot, keys, "left").withColumn("__part", part).drop("__parts")
+    copies = small.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return dealt.join(copies, [*keys, "__part"]).drop("__part")
 
 
 def crc_of_id(doc_id: Column, modulus: int) -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, Rolling, Scratch, WordHashes, blocks, hash_words, read_documents, signed, sliding_min
+from .common import WORD, Rolling, Scratch, WordHashes, blocks, hash_words, join_counted, read_documents, signed, sliding_min
 
 WINDOW, SEED = 50, 20
 BLOCK_WORDS = 400_000
@@ -103,11 +103,11 @@ def _windows(window: int, seed: int):
 
 
 def _compact(scratch: Scratch, occ: DataFrame) -> DataFrame:
-    """Heads of nonbranching paths: (v, k) of the head and the number of windows on the path."""
+    """Heads of nonbranching paths: (v, k) of the head, the number of windows on the path (total) and its occurrences (n)."""
     spark = scratch.spark
     nodes = scratch.cut(
         occ.groupBy("v", "k").agg(
-            F.max("n").alias("n"), F.min("prev").alias("p0"), F.max("prev").alias("p1"), F.min("next").alias("x0"), F.max("next").alias("x1")
+            F.max("n").alias("n"), F.count("*").alias("rows"), F.min("prev").alias("p0"), F.max("prev").alias("p1"), F.min("next").alias("x0"), F.max("next").alias("x1")
         )
     )
     a = nodes.where("x0 = x1 and x0 != 0").select(F.col("v").alias("av"), F.col("k").alias("ak"), F.col("x0").alias("bk"))
@@ -116,19 +116,19 @@ def _compact(scratch: Scratch, occ: DataFrame) -> DataFrame:
     state = scratch.cut(
         nodes.join(links.select(F.col("av").alias("v"), F.col("ak").alias("k"), F.col("bv").alias("xv"), F.col("bk").alias("xk")), ["v", "k"], "left")
         .join(links.select(F.col("bv").alias("v"), F.col("bk").alias("k"), F.lit(True).alias("inner")), ["v", "k"], "left")
-        .select("v", "k", F.col("n").cast("long").alias("n"), "xv", "xk", F.coalesce("inner", F.lit(False)).alias("inner"))
+        .select("v", "k", "rows", F.col("n").cast("long").alias("n"), "xv", "xk", F.coalesce("inner", F.lit(False)).alias("inner"))
     )
     old = [nodes]
     while not state.where("not inner and xk is not null").isEmpty():
         ahead = state.select(F.col("v").alias("xv"), F.col("k").alias("xk"), F.col("n").alias("n2"), F.col("xv").alias("xv2"), F.col("xk").alias("xk2"))
         moved = scratch.cut(
             state.join(ahead, ["xv", "xk"], "left").select(
-                "v", "k", (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.col("xv2").alias("xv"), F.col("xk2").alias("xk"), "inner"
+                "v", "k", "rows", (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.col("xv2").alias("xv"), F.col("xk2").alias("xk"), "inner"
             )
         )
         old.append(state)
         state = moved
-    heads = scratch.cut(state.where("not inner").select("v", "k", F.col("n").alias("total")))
+    heads = scratch.cut(state.where("not inner").select("v", "k", F.col("n").alias("total"), F.col("rows").alias("n")))
     scratch.drop(*old, state)
     return heads
 
@@ -142,24 +142,27 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     scratch = Scratch(spark, "substring")
     keyed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     edges = scratch.cut(keyed.mapInArrow(_edges(window, seed), EDGE))
-    shared = edges.groupBy("v").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("v")
-    cand = scratch.cut(edges.join(shared, "v", "left_semi"))
-    scratch.drop(edges)
+    shared = scratch.cut(edges.groupBy("v").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("rows")).where("a < b").select("v", F.col("rows").alias("n")))
+    cand = scratch.cut(join_counted(edges.withColumnRenamed("n", "size"), shared, ["v"], edges.count(), ["doc_id", "pos"]).withColumnRenamed("size", "n"))
+    scratch.drop(edges, shared)
     classes = scratch.cut(
-        cand.groupBy("v", "k").agg(F.min(F.struct("doc_id", "th", "pos", "n")).alias("f"), F.max("doc_id").alias("last"))
+        cand.groupBy("v", "k").agg(F.min(F.struct("doc_id", "th", "pos", "n")).alias("f"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
     )
+    total = cand.count()
 
-    whole = classes.where("f.doc_id < last").select("v", "k", F.col("f.doc_id").alias("first"))
+    whole = classes.where("f.doc_id < last").select("v", "k", F.col("f.doc_id").alias("first"), "n")
     seq = Window.partitionBy("doc_id", "th").orderBy("pos")
     occ = scratch.cut(
-        cand.join(whole, ["v", "k"])
+        join_counted(cand.withColumnRenamed("n", "size"), whole, ["v", "k"], total, ["doc_id", "pos"])
+        .withColumnRenamed("size", "n")
         .repartition("doc_id", "th")
         .dropDuplicates(["doc_id", "th", "pos"])
         .withColumn("prev", F.when(F.lag(F.col("pos") + F.col("n")).over(seq) == F.col("pos"), F.lag("k").over(seq)).otherwise(0))
         .withColumn("next", F.when(F.lead("pos").over(seq) == F.col("pos") + F.col("n"), F.lead("k").over(seq)).otherwise(0))
     )
     heads = _compact(scratch, occ)
-    whole_spans = occ.where("doc_id > first").join(heads, ["v", "k"]).select("doc_id", "th", "pos", F.col("total").cast("int").alias("n"))
+    later = occ.where("doc_id > first").select("v", "k", "doc_id", "th", "pos")
+    whole_spans = join_counted(later, heads, ["v", "k"], total, ["doc_id", "pos"]).select("doc_id", "th", "pos", F.col("total").cast("int").alias("n"))
 
     mixed = classes.groupBy("v").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").select("v")
     sources = classes.join(mixed, "v", "left_semi").select("v", "k", F.col("f.doc_id").alias("doc_id"))
@@ -170,12 +173,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     )
     texts = keyed.join(opened, ["doc_id", "th"]).select("doc_id", "th", "text", "edges")
     windows = scratch.cut(texts.mapInArrow(_windows(window, seed), "doc_id long, th long, v long, w long, pos int"))
-    first = windows.groupBy("v", "w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    part_spans = windows.join(first, ["v", "w"]).where("doc_id > first").select("doc_id", "th", "pos", F.lit(1).alias("n"))
+    first = scratch.cut(
+        windows.groupBy("v", "w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    )
+    repeated = join_counted(windows, first, ["v", "w"], windows.count(), ["doc_id", "pos"])
+    part_spans = repeated.where("doc_id > first").select("doc_id", "th", "pos", F.lit(1).alias("n"))
     spans = scratch.cut(
         whole_spans.unionByName(part_spans).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("spans"))
     )
-    scratch.drop(cand, classes, occ, heads, windows)
+    scratch.drop(cand, classes, occ, heads, windows, first)
     return spans
 
 
