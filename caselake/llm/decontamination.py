@@ -1,14 +1,14 @@
 """Operator 3, benchmark decontamination by greedy string tiling.
 
-Tokens are lower-case runs of letters, digits and underscores. Benchmark items are a stated query set: blocks of items of
-a bounded size go to the executors, each block against all documents. Documents and items join on
-shared ``min_tile`` -token seeds; pairs whose seeds could cover enough of the item are tiled:
-running Karp-Rabin finds the longest matches of unmarked tokens, marks them on both sides, and goes on
-with shorter ones, so that passages in another order are still covered. An item leaks into
-a document if tiles cover at least ``coverage`` of its tokens.
-
-Defined results: null or empty texts and items match nothing; items of fewer than ``min_tile``
-tokens cannot be tiled and match nothing; repeated rows give a result each; null ids are carried.
+Tokens are lower-case runs of letters, digits and underscores. Documents and benchmark items join on shared ``min_tile`` -token
+seeds: one pass over the documents keeps the seeds that a bit filter of the benchmark's seeds lets through (a filter of
+fixed size, so it may go to every task; what it lets through wrongly finds no partner in the join). Pairs whose seeds could cover
+enough of the item are tiled: running Karp-Rabin finds the longest matches of unmarked tokens, marks them on both sides, and goes
+on with shorter ones, so that passages in another order are still covered. An item leaks into a document if tiles
+cover at least ``coverage`` of its tokens.
+
+Defined results: null or empty texts and items match nothing; items of fewer than ``min_tile`` tokens cannot be tiled and match
+nothing; repeated rows of documents and of items give a result each; null ids are carried; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, U, WordHashes, blocks, hash_words, read_documents
+from .common import Rolling, Scratch, U, WordHashes, blocks, hash_words, read_documents, signed
 
 TOKEN = re.compile(r"\w+")
 MIN_TILE, COVERAGE = 5, 0.5
-#: Characters of benchmark text that one pass over the documents takes along.
-ITEM_BLOCK_CHARS = 4_000_000
+#: 64-bit words of the seed filter, and the bits of a seed that choose one.
+FILTER_WORDS = 1 << 20
 BLOCK_WORDS = 400_000
-SCHEMA = "row long, item_id long, n_tokens int, n_covered int, n_tiles int, longest int, coverage double"
+SCHEMA = "doc_id long, item_id long, n_tokens int, n_covered int, n_tiles int, longest int, coverage double"
 
 
 def _free_windows(free: list[bool], size: int) -> Iterator[int]:
@@ -89,83 +89,118 @@ def tiles(item: list[int], text: list[int], least: int = MIN_TILE) -> list[tuple
     return found
 
 
-def _scan(items: list[tuple[int, str]], least: int, share: float):
-    """One pass over (row, text) for a block of items."""
+def _token_rows(batch: pa.RecordBatch, least: int, cache: WordHashes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, token hashes, seed hashes) of the texts in the second column that have a seed."""
+    texts = batch.column(1).to_pylist()
+    for a, b in blocks(texts, [len(t) // 6 for t in texts], BLOCK_WORDS):
+        h, at = hash_words([TOKEN.findall(t.lower()) for t in texts[a:b]], cache)
+        grams = Rolling(h).all(least)
+        for i, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            if e - s >= least:
+                yield a + i, h[s:e], grams[s : e - least + 1]
+
+
+def _items(least: int):
+    """(item_id, no, tokens, seeds) of the benchmark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        tokens, starts = hash_words([TOKEN.findall(t.lower()) for _, t in items], cache)
-        seeds = Rolling(tokens).all(least)
-        item_of = np.repeat(np.arange(len(items)), np.diff(starts))[: len(seeds)]
-        ok = np.arange(len(seeds)) + least <= starts[1:][item_of] if len(seeds) else np.zeros(0, bool)
-        seeds, item_of, place = seeds[ok], item_of[ok], np.flatnonzero(ok)
-        order = np.argsort(seeds, kind="stable")
-        seeds, item_of, place = seeds[order], item_of[order], place[order]
-        distinct, begin = np.unique(seeds, return_index=True)
-        end = np.append(begin[1:], len(seeds))
-        sizes = np.diff(starts)
         for batch in batches:
-            rows, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = []
+            found = list(_token_rows(batch, least, cache))
+            rows = pa.array([i for i, _, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(2).take(rows), pa.array([h.tobytes() for _, h, _ in found], pa.binary()), pa.array([signed(g) for _, _, g in found], pa.list_(pa.int64()))],
+                names=["item_id", "no", "tokens", "seeds"],
+            )
+
+    return run
+
+
+def _candidates(held, least: int):
+    """Of each document with seeds in the filter: their tokens, run by run, with a 0 after each run, and the seeds with their places there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, bits = WordHashes(), held.value
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            out: list[tuple] = []
             for a, b in blocks(texts, [len(t) // 6 for t in texts], BLOCK_WORDS):
                 h, at = hash_words([TOKEN.findall(t.lower()) for t in texts[a:b]], cache)
                 grams = Rolling(h).all(least)
-                if not len(grams) or not len(distinct):
-                    continue
-                slot = np.searchsorted(distinct, grams)
-                slot[slot == len(distinct)] = 0
-                hits = np.flatnonzero(distinct[slot] == grams)
+                hits = np.flatnonzero((bits[(grams >> U(44)).astype(np.int64)] >> (grams & U(63))) & U(1))
                 doc = np.searchsorted(at, hits, side="right") - 1
                 inside = hits + least <= at[doc + 1]
-                seen: dict[tuple[int, int], tuple[list[int], set[int]]] = {}
-                for p, d in zip(hits[inside].tolist(), doc[inside].tolist(), strict=True):
-                    for s in range(begin[slot[p]], end[slot[p]]):
-                        where, covers = seen.setdefault((d, int(item_of[s])), ([], set()))
-                        where.append(p)
-                        covers.add(int(place[s] - starts[item_of[s]]))
-                for (d, i), (where, covers) in seen.items():
-                    n = int(sizes[i])
-                    # each token that a tile covers lies in a shared seed
-                    if len({c + k for c in covers for k in range(least)}) < share * n:
-                        continue
-                    text, last = [], -1
-                    for p in sorted(set(where)):
-                        if p > last:
-                            text.append(0)
-                        text.extend(h[max(p, last) : p + least].tolist())
-                        last = p + least
-                    got = tiles(tokens[starts[i] : starts[i + 1]].tolist(), text, least)
-                    total = sum(t[2] for t in got)
-                    if got and total >= share * n:
-                        out.append((rows[a + d], items[i][0], n, total, len(got), got[0][2] if len(got) == 1 else max(t[2] for t in got), total / n))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 7
-            kinds = (batch.schema.field(0).type, pa.int64(), *[pa.int32()] * 4, pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["row", "item_id", "n_tokens", "n_covered", "n_tiles", "longest", "coverage"])
+                hits, doc = hits[inside], doc[inside]
+                cuts = np.flatnonzero(np.diff(doc)) + 1
+                for p, d in zip(np.split(hits, cuts), doc[np.append(0, cuts)].tolist() if len(doc) else [], strict=False):
+                    tokens, place = _runs(h, p, least)
+                    out.append((a + d, tokens.tobytes(), signed(grams[p]), place))
+            rows = pa.array([r[0] for r in out], pa.int64())
+            columns = [pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.list_(pa.int64())), pa.array([r[3] for r in out], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), *columns], names=["doc_id", "row", "text", "seeds", "places"])
 
     return run
 
 
-def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    block, size = [], 0
-    for item_id, text in benchmark.where("text is not null").select("item_id", "text").toLocalIterator():
-        if block and size + len(text) > ITEM_BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-        block.append((item_id, text))
-        size += len(text)
-    if block:
-        yield block
+def _runs(h: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that windows from ``starts`` cover, a 0 after each unbroken run of them, and where each window starts in that."""
+    new = np.append(True, starts[1:] > starts[:-1] + least)
+    run = np.cumsum(new) - 1
+    first = starts[new]
+    last = np.append(starts[np.flatnonzero(new)[1:] - 1], starts[-1]) + least
+    offset = np.cumsum(last - first + 1) - (last - first + 1)
+    tokens = np.zeros(int((last - first + 1).sum()), U)
+    for f, e, o in zip(first.tolist(), last.tolist(), offset.tolist(), strict=True):
+        tokens[o : o + e - f] = h[f:e]
+    return tokens, (offset[run] + starts - first[run]).astype(np.int32)
+
+
+def _tiled(least: int, share: float):
+    """Tile the pairs of a document (its tokens and the places of the shared seeds) and an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for i, (text, item, places) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)):
+                h, n = np.frombuffer(text, U), len(item) // 8
+                part, _ = _runs(h, np.array(sorted(set(places)), np.int64), least)
+                got = tiles(np.frombuffer(item, U).tolist(), part.tolist(), least)
+                total = sum(t[2] for t in got)
+                if got and total >= share * n:
+                    out.append((i, n, total, len(got), max(t[2] for t in got), total / n))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            rows = pa.array(cols[0], pa.int64())
+            kinds = (*[pa.int32()] * 4, pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True))],
+                names=["doc_id", "item_id", "n_tokens", "n_covered", "n_tiles", "longest", "coverage"],
+            )
+
+    return run
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_TILE, share: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_tokens, n_covered, n_tiles, longest, coverage) of each pair of a document and an item that leaks into it."""
-    source = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("row"), "text")
-    out = None
-    for items in _item_blocks(benchmark):
-        part = source.mapInArrow(_scan(items, least, share), SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    out = source.sparkSession.createDataFrame([], SCHEMA) if out is None else out
-    return out.withColumnRenamed("row", "doc_id")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "leaks")
+    numbered = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text", F.monotonically_increasing_id().alias("no"))
+    items = scratch.cut(numbered.mapInArrow(_items(least), "item_id long, no long, tokens binary, seeds array<long>"))
+    seeds = items.select("no", F.size("seeds").alias("size"), F.posexplode("seeds").alias("at", "seed"))
+    word = F.shiftrightunsigned("seed", 44)
+    bits = np.zeros(FILTER_WORDS, U)
+    for r in seeds.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(seed & 63 as int))")).alias("bits")).toLocalIterator():  # FILTER_WORDS rows at most
+        bits[r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
+    held = spark.sparkContext.broadcast(bits)
+
+    source = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
+    found = scratch.cut(source.mapInArrow(_candidates(held, least), "doc_id long, row long, text binary, seeds array<long>, places array<int>"))
+    hits = found.select("row", F.explode(F.arrays_zip("seeds", "places")).alias("z")).select("row", F.col("z.seeds").alias("seed"), F.col("z.places").alias("place"))
+    met = hits.join(seeds, "seed").groupBy("row", "no").agg(F.collect_set("at").alias("covered"), F.collect_set("place").alias("places"), F.first("size").alias("size"))
+    # each token that a tile covers lies in a shared seed, so fewer than this cannot reach the share
+    tokens = F.aggregate(F.array_sort("covered"), F.struct(F.lit(0).alias("n"), F.lit(-least).alias("last")), lambda acc, at: F.struct((acc["n"] + F.least(F.lit(least), at - acc["last"])).alias("n"), at.alias("last")), lambda acc: acc["n"])
+    enough = met.where(tokens >= share * (F.col("size") + least - 1)).select("row", "no", "places")
+    pairs = enough.join(items.select("no", "item_id", "tokens"), "no").join(found.select("row", "doc_id", "text"), "row").select("doc_id", "item_id", "text", "tokens", "places")
+    return pairs.mapInArrow(_tiled(least, share), SCHEMA)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -61,11 +61,52 @@ def test_leaks(spark):
     assert sorted(r["doc_id"] or -1 for r in D.drop_leaks(docs, bench).collect()) == [-1, 3, 4, 5, 6]
 
 
-def test_leaks_blocks_of_items(spark, monkeypatch):
+def brute_tiles(item, text, least):
+    """Greedy tiling by trying every pair of places, longest match first (then the earliest in the item and the text)."""
+    free_a, free_b, found = [True] * len(item), [True] * len(text), []
+    while True:
+        best = (least - 1, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(text)):
+                n = 0
+                while i + n < len(item) and j + n < len(text) and item[i + n] == text[j + n] and free_a[i + n] and free_b[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            return found
+        free_a[i : i + n] = free_b[j : j + n] = [False] * n
+        found.append(n)
+
+
+def test_leaks_against_brute_force(spark):
+    """Whole tile sets of random texts that share pieces of items, in any order and more than once, and the rows that reach the share."""
+    rng = random.Random(12)
+    items = [" ".join(f"t{rng.randrange(40)}" for _ in range(rng.randrange(5, 20))) for _ in range(8)]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(4)):
+            w = rng.choice(items).split()
+            k = rng.randrange(len(w))
+            parts += [f"x{rng.randrange(5)}"] * rng.randrange(3) + w[k : k + rng.randrange(3, 14)]
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_covered"], r["n_tiles"], r["longest"]) for r in D.leaks(docs, _bench(spark, list(enumerate(items)))).collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        for i, x in enumerate(items):
+            tiles = brute_tiles(x.split(), t.split(), D.MIN_TILE)
+            if tiles and sum(tiles) >= D.COVERAGE * len(x.split()):
+                want[d, i] = (sum(tiles), len(tiles), max(tiles))
+    assert got.keys() == want.keys() and len(want) > 20
+    assert all(got[k] == want[k] for k in want), [(k, got[k], want[k]) for k in want if got[k] != want[k]][:3]
+
+
+def test_leaks_find_planted_items(spark):
     docs, bench = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
     whole = sorted(map(tuple, D.leaks(docs, bench).collect()))
-    monkeypatch.setattr(D, "ITEM_BLOCK_CHARS", 2500)
-    assert sorted(map(tuple, D.leaks(docs, bench).collect())) == whole
     texts = {r["doc_id"]: " ".join(D.TOKEN.findall(r["text"].lower())) for r in docs.collect()}
     items = {r["item_id"]: " ".join(D.TOKEN.findall(r["text"].lower())) for r in bench.collect()}
     planted = {(d, i) for d, t in texts.items() for i, x in items.items() if x in t}
