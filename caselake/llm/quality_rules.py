@@ -2,12 +2,12 @@
 
 Two histograms of a document, of character classes and of its common words, are compared with
 those of each language by Jensen-Shannon distance. The language references are the summed histograms of
-all documents of the language. A document is judged by the language nearest to it (the sum of both
+all documents of the language; common words are listed for four languages and counted over all documents for any other. A document is judged by the language nearest to it (the sum of both
 distances), so that a wrong language tag does not count against it, and only where it is long enough:
 shorter ones pass. Base rules (length, repeated words) come first.
 
 Defined results: null text has no words and fails the base rules; without any reference (an empty
-table or no known language) the method passes everything; repeated rows and null ids are judged each.
+table or no language given) the method passes everything; repeated rows and null ids are judged each.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import WORD, read_documents
 
@@ -31,7 +32,8 @@ COMMON = {
     "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il".split(),
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero".split(),
 }
-VOCABULARY = sorted({w for words in COMMON.values() for w in words})
+#: Common words that another language gets.
+COMMON_SIZE = 25
 SYMBOLS = frozenset("#*$%&|<>")
 LETTERS = re.compile(r"[^\W\d_]+")
 CLASSES = ("lower", "upper", "other letter", "digit", "blank", "line end", "stop", "symbol", "other")
@@ -71,20 +73,43 @@ def char_classes(text: str) -> np.ndarray:
     return np.bincount(_TABLE[codes], minlength=len(CLASSES))
 
 
-_SLOT = {w: i for i, w in enumerate(VOCABULARY)}
+def slots_of(words: dict[str, list[str]]) -> dict[str, int]:
+    """The bins of all languages' common words."""
+    return {w: i for i, w in enumerate(sorted({w for x in words.values() for w in x}))}
 
 
-def common_words(text: str) -> np.ndarray:
-    """Counts of the vocabulary's words, and of all other words at the end."""
-    counts = np.zeros(len(VOCABULARY) + 1, np.int64)
+def common_words(text: str, slots: dict[str, int]) -> np.ndarray:
+    """Counts of the common words, and of all other words at the end."""
+    counts = np.zeros(len(slots) + 1, np.int64)
     found = Counter(LETTERS.findall(text.lower()))
     counts[-1] = sum(found.values())
-    for w in found.keys() & _SLOT.keys():
-        counts[_SLOT[w]] = found[w]
+    for w in found.keys() & slots.keys():
+        counts[slots[w]] = found[w]
         counts[-1] -= found[w]
     return counts
 
 
+def counted_common(docs: DataFrame) -> dict[str, list[str]]:
+    """The most frequent words of each language that COMMON lacks, over all its documents; ties to the lesser word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[str, Counter] = {}
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+            rows = [(lang, w, n) for lang, c in sums.items() for w, n in c.items()]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "word", "n"])
+
+    others = docs.where(F.col("lang").isNotNull() & ~F.col("lang").isin(*COMMON) & F.col("text").isNotNull()).select("text", "lang")
+    counts = others.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    out: dict[str, list[str]] = {}
+    for r in counts.withColumn("rank", rank).where(F.col("rank") <= COMMON_SIZE).select("lang", "word").collect():  # COMMON_SIZE rows a language
+        out.setdefault(r["lang"], []).append(r["word"])
+    return out
+
+
 def distance(p: np.ndarray, q: np.ndarray) -> float:
     """Jensen-Shannon distance (base 2, 0 to 1) of two histograms; 0 if either is empty."""
     if not p.sum() or not q.sum():
@@ -95,25 +120,28 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, entropy(m) - (entropy(p) + entropy(q)) / 2)))
 
 
-def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Summed histograms of all documents of each language in COMMON; the driver gets a few hundred sums."""
+def references(docs: DataFrame) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], dict[str, int]]:
+    """Summed histograms of all documents of each language, and the bins of common words; the driver gets a few hundred sums a language."""
+    named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    langs = {r["lang"] for r in named.select("lang").distinct().collect()}
+    slots = slots_of(COMMON | (counted_common(docs) if langs - COMMON.keys() else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {k: (np.zeros(len(CLASSES), np.int64), np.zeros(len(VOCABULARY) + 1, np.int64)) for k in COMMON}
+        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, b = sums[lang]
+                a, b = sums.setdefault(lang, (np.zeros(len(CLASSES), np.int64), np.zeros(len(slots) + 1, np.int64)))
                 a += char_classes(text)
-                b += common_words(text)
+                b += common_words(text, slots)
         rows = [(lang, kind, i, int(n)) for lang, both in sums.items() for kind, x in enumerate(both) for i, n in enumerate(x) if n]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["lang", "kind", "bin", "n"])
 
-    sums = docs.where(F.col("lang").isin(*COMMON) & F.col("text").isNotNull()).select("text", "lang").mapInArrow(run, "lang string, kind int, bin int, n long")
+    sums = named.mapInArrow(run, "lang string, kind int, bin int, n long")
     out: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for r in sums.groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n")).collect():
-        out.setdefault(r["lang"], (np.zeros(len(CLASSES)), np.zeros(len(VOCABULARY) + 1)))[r["kind"]][r["bin"]] = r["n"]
-    return out
+        out.setdefault(r["lang"], (np.zeros(len(CLASSES)), np.zeros(len(slots) + 1)))[r["kind"]][r["bin"]] = r["n"]
+    return out, slots
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -134,9 +162,9 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), repeated
 
 
-def judge(text: str, n_words: int, refs: dict) -> tuple[str | None, float, float, bool]:
+def judge(text: str, n_words: int, refs: dict, slots: dict[str, int]) -> tuple[str | None, float, float, bool]:
     """Nearest language, both distances to it, and whether the document passes."""
-    chars, words = char_classes(text), common_words(text)
+    chars, words = char_classes(text), common_words(text, slots)
     best = min(((distance(chars, c), distance(words, w), lang) for lang, (c, w) in refs.items()), key=lambda x: (x[0] + x[1], x[2]), default=None)
     if best is None:
         return None, 0.0, 0.0, True
@@ -145,7 +173,7 @@ def judge(text: str, n_words: int, refs: dict) -> tuple[str | None, float, float
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    refs = references(docs)
+    refs, slots = references(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +182,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
                 text = text or ""
                 counts = base_counts(text)
                 failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
-                lang, a, b, passed = judge(text, counts[0], refs)
+                lang, a, b, passed = judge(text, counts[0], refs, slots)
                 rows.append((*counts, failed, not failed and passed, lang, a, b))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 10
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()] + [pa.float64()] * 2

@@ -9,7 +9,8 @@ matrix (Nyström), and scored by a support vector machine trained on sentences.
 document: each toxic document contributes its most toxic sentences, re-chosen over some rounds. The margins
 of a document's sentences and its length are calibrated to a probability.
 
-Fitted on a bounded sample (``per_class`` labelled documents of each class); every text is scored whole.
+Fitted on a bounded sample (``per_class`` labelled documents of each class, in the order of a hash of their ids, as far as
+``max_chars`` characters in all go); every text is scored whole.
 
 Defined results: null and empty texts get the score of a text without sentences; without both classes
 in training every score is 0; a document with several labels counts as toxic if any label says so;
@@ -35,7 +36,9 @@ from .linear import apply, fit_logistic, fit_svm, sigmoid
 #: Offsets of the second and third character; the decay of a spanned character.
 GAPS = ((1, 2), (1, 3), (2, 3), (2, 4), (1, 4), (3, 4))
 DECAY = 0.8
-PER_CLASS, LANDMARKS = 1500, 64
+PER_CLASS, MAX_CHARS, LANDMARKS = 1500, 8_000_000, 64
+#: Buckets that count strings before the frequent ones are told apart.
+STRING_BUCKETS = 1 << 22
 #: A word takes part from this squared share of a landmark's own kernel value on.
 ACTIVE = 0.15
 BITS = 20
@@ -158,11 +161,17 @@ def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS)
         words = set(letters.findall(text.lower()))
         return {w[i : i + n] for w in words for n in range(4, 10) for i in range(len(w) - n + 1)}
 
-    sets = [strings(t) for t in toxic]
-    seen = Counter(s for x in sets for s in x)
-    kept = {s for s, n in seen.items() if n >= max(3, len(toxic) // 200)}
-    against = Counter(s for t in clean for s in strings(t) & kept)
-    sets = [x & kept for x in sets]
+    # Counts by bucket first: only strings of a bucket that is full enough are held, so rare ones cost no memory.
+    need_docs = max(3, len(toxic) // 200)
+    bucket = np.zeros(STRING_BUCKETS, np.int32)
+    for t in toxic:
+        bucket[np.unique(np.fromiter((hash(x) % STRING_BUCKETS for x in strings(t)), np.int64))] += 1
+    full = (bucket >= need_docs).tobytes()
+    frequent = lambda t: {x for x in strings(t) if full[hash(x) % STRING_BUCKETS]}
+    seen = Counter(x for t in toxic for x in frequent(t))
+    kept = {x for x, n in seen.items() if n >= need_docs}
+    against = Counter(x for t in clean for x in strings(t) & kept)
+    sets = [strings(t) & kept for t in toxic]
     ratio = len(toxic) / max(1, len(clean))
     value = {s: max(0.0, 1 - (against[s] + 0.5) * ratio / seen[s]) for s in kept}
     need = np.full(len(sets), 3.0)
@@ -203,21 +212,28 @@ class Model:
         return sigmoid(apply(self.final, self.features(doc, values, n_words)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
-    """From at most ``per_class`` labelled documents of each class, taken by a hash of the id."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model | None:
+    """From at most ``per_class`` labelled documents of each class and ``max_chars`` characters, half for either class, taken by a hash of the id."""
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = None
-    for y in (0, 1):
-        part = marked.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        picked = part if picked is None else picked.unionByName(part)
-    chosen = {r["doc_id"]: int(r["toxic"]) for r in picked.collect()}
-    if len(set(chosen.values())) < 2:
-        return None
-    ids = docs.sparkSession.createDataFrame(list(chosen.items()), "doc_id long, y int")
-    sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y").toPandas()  # at most 2 * per_class texts
-    sample = sample.sort_values(["y", "text"])
+    sized = marked.join(docs.where("text is not null").select("doc_id", F.length("text").alias("size")), "doc_id")
+    texts, y = [], []
+    for value in (0, 1):
+        rows = sized.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id", "size").limit(per_class).collect()
+        room, chosen = max_chars // 2, set()
+        for r in rows:
+            room -= r["size"]
+            if room < 0:
+                break
+            chosen.add(r["doc_id"])
+        if not chosen:
+            return None
+        ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(chosen)], "doc_id long")
+        picked = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text")
+        found = sorted(r["text"] for r in picked.toLocalIterator())  # max_chars / 2 characters at most, as their sizes have been added up
+        texts += found
+        y += [value] * len(found)
     counts = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
-    return fit_texts(sample["text"].tolist(), sample["y"].to_numpy(), counts.get(1, 0) / max(1, counts.get(0, 0)))
+    return fit_texts(texts, np.array(y), counts.get(1, 0) / max(1, counts.get(0, 0)))
 
 
 def fit_texts(texts: list[str], y: np.ndarray, odds: float) -> Model | None:

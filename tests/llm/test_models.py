@@ -83,6 +83,8 @@ def test_toxicity_held_out(spark):
     rows = X.op10_subsequence_kernel_toxicity(spark, MEDIUM).join(labels, "doc_id").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    rows = [r for r in rows if r["held_out"]]
+    assert len(rows) > 40
     clean = [r["predicted"] for r in rows if not r["toxic"]]
     toxic = [r["predicted"] for r in rows if r["toxic"]]
     assert sum(clean) / len(clean) < 0.05 and sum(toxic) / len(toxic) > 0.6

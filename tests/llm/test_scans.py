@@ -1,3 +1,4 @@
+import math
 import random
 import time
 from collections import Counter
@@ -233,3 +234,45 @@ def test_long_runs_of_notices_cost_their_length():
         assert len([m for m in L.fuzzy_matches(" " + "all rights reserved " * n) if m[2] == "reserved"]) == n
         took.append(time.process_time() - began)
     assert took[1] < 10 * took[0] + 0.2
+
+
+def test_other_languages_get_references_of_their_own(spark):
+    """Prose of a language without a word list is judged by its own counts; symbols under the same tag fail."""
+    rng = random.Random(9)
+    words = ["и", "в", "не", "на", "что", "он", "как", "это", *(f"слово{chr(1072 + i)}" for i in range(30))]
+    prose = [(i, " ".join(rng.choices(words, weights=[9] * 8 + [1] * 30, k=120)) + ".", "ru") for i in range(40)]
+    small = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang").limit(60).collect()]
+    docs = spark.createDataFrame([*prose, *((1000 + i, t, k) for i, t, k in small), (99, "## $$ %% && || << >> ** " * 40, "ru"), (98, prose[0][1] + " ещё", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in Q.quality_rules(docs).collect()}
+    assert all(not got[i]["kept"] if got[i]["base_failed"] else got[i]["kept"] and got[i]["nearest_lang"] == "ru" for i in [*range(40), 98])
+    assert sum(got[i]["kept"] for i in range(40)) > 30 and not got[99]["kept"]
+
+
+def test_distances_and_verdicts_against_loops(spark):
+    """Histograms, references, distances and verdicts of the small table by plain loops."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    vocabulary = {w for x in Q.COMMON.values() for w in x}
+    classes = lambda t: Counter(Q._class_of(ord(c)) for c in t)
+    common = lambda t: Counter(w if w in vocabulary else None for w in Q.LETTERS.findall(t.lower()))
+    refs = {}
+    for _, t, lang in rows:
+        a, b = refs.setdefault(lang, (Counter(), Counter()))
+        a.update(classes(t))
+        b.update(common(t))
+
+    def apart(p, q):
+        if not p.total() or not q.total():
+            return 0.0
+        total = 0.0
+        for k in p.keys() | q.keys():
+            x, y = p[k] / p.total(), q[k] / q.total()
+            total += sum(v / 2 * math.log2(v / ((x + y) / 2)) for v in (x, y) if v)
+        return math.sqrt(max(0.0, total))
+
+    got = {r["doc_id"]: r for r in Q.quality_rules(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()}
+    for i, t, _ in rows:
+        a, b, lang = min(((apart(classes(t), c), apart(common(t), w), k) for k, (c, w) in refs.items()), key=lambda x: (x[0] + x[1], x[2]))
+        r = got[i]
+        assert r["nearest_lang"] == lang and abs(r["char_distance"] - a) < 1e-6 and abs(r["word_distance"] - b) < 1e-6
+        passed = not (len(t) >= Q.MIN_CHARS and a > Q.MAX_CHAR_DISTANCE or r["n_words"] >= Q.MIN_WORDS and b > Q.MAX_WORD_DISTANCE)
+        assert r["kept"] == (passed and not r["base_failed"])
