@@ -50,10 +50,10 @@ def net_corrections(df: DataFrame, fields: dict[str, tuple[str, str]], ref: str,
     """Most frequent (field, from, to) changes with the newest references; equal values (empty is null) are no change."""
     rows = F.array(*(F.struct(F.lit(k).alias("field"), F.nullif(F.col(a), F.lit("")).alias("from"), F.nullif(F.col(b), F.lit("")).alias("to")) for k, (a, b) in fields.items()))
     long = df.select(F.col(ref).alias("ref"), F.col(last).alias("last"), F.explode(rows).alias("c")).select("ref", "last", "c.*").where(~F.col("from").eqNullSafe(F.col("to")))
-    # only the few newest references of a change are kept while aggregating: ranks are cut before the lists are built
     counts = long.groupBy("field", "from", "to").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "field", F.coalesce("from", F.lit("")), F.coalesce("to", F.lit(""))).limit(top)
     w = Window.partitionBy("field", "from", "to").orderBy(F.desc("last"), "ref")
-    newest = long.join(F.broadcast(counts.select("field", "from", "to")), [long[c].eqNullSafe(counts[c]) for c in ("field", "from", "to")], "left_semi").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= refs)
+    # ranks are cut in each task before the shuffle, so only the newest references of a change travel
+    newest = long.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= refs)
     lists = newest.groupBy("field", "from", "to").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", F.col("ref").cast("string").alias("r")))), lambda x: x["r"]), ",").alias("refs"))
     return counts.alias("c").join(lists.alias("l"), [F.col(f"c.{k}").eqNullSafe(F.col(f"l.{k}")) for k in ("field", "from", "to")]).select("c.field", "c.from", "c.to", "c.n", "l.refs")
 
@@ -81,11 +81,11 @@ def percent(n: Column, total: Column) -> Column:
     return F.when(total > 0, F.floor(n * 100 / total + 0.5)).cast("long")
 
 
-def resolve_floor(signals: DataFrame, key: str, rank: str) -> DataFrame:
-    """Highest floor by key, but never above the second-highest level (3), with the signals at that floor."""
-    capped = signals.withColumn("r", F.least(F.col(rank), F.lit(3)))
-    top = capped.groupBy(key).agg(F.max("r").alias("floor"))
-    return capped.join(top, key).where(F.col("r") == F.col("floor")).groupBy(key, "floor").agg(F.array_join(F.array_sort(F.collect_set("signal")), ",").alias("signals"))
+def resolve_floor(signals: DataFrame, key: str, rank: str, top: int = 4) -> DataFrame:
+    """Highest floor by key with the signals at that floor; floors at the top level are ignored."""
+    usable = signals.where(F.col(rank) < top)
+    best = usable.groupBy(key).agg(F.max(rank).alias("floor"))
+    return usable.join(best, key).where(F.col(rank) == F.col("floor")).groupBy(key, "floor").agg(F.array_join(F.array_sort(F.collect_set("signal")), ",").alias("signals"))
 
 
 def gaps_islands(df: DataFrame, keys: list[str], value: str, gap: int) -> DataFrame:

@@ -6,12 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: All pairs are compared only up to this many.
+from ..functions import text as X
+
+#: Pairs of two documents' chunks up to which all of them are compared.
 ALL_PAIRS = 9
+#: Queries of a block.
+QUERY_BLOCK = 20_000
 #: Scores held at once by a task.
 BLOCK_SCORES = 2_000_000
 
@@ -20,27 +25,71 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def unit_vectors(df: DataFrame, vector: str) -> DataFrame:
-    """Vectors as unit length; rows with a non-finite part or no length are dropped."""
+def unit_vectors(df: DataFrame, vector: str, size: int | None = None) -> DataFrame:
+    """Vectors as unit length; rows with a non-finite part, no length, or another dimension than ``size`` (the first row's) are dropped."""
+    if size is None:
+        first = df.where(F.col(vector).isNotNull()).select(F.size(vector).alias("n")).first()
+        size = first["n"] if first else 0
     v = F.transform(vector, lambda x: x.cast("double"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     norm = F.sqrt(dot(v, v))
-    return df.where(finite & (norm > 0)).withColumn(vector, F.transform(v, lambda x: x / norm))
+    return df.where((F.size(vector) == size) & finite & (norm > 0)).withColumn(vector, F.transform(v, lambda x: x / norm))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, q: str, r: str, vector: str, k: int) -> DataFrame:
-    """Top ``k`` rows by cosine for each query, ties to the least id.
+def nearest(queries: DataFrame, rows: DataFrame, q: str, r: str, vector: str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """Top ``k`` rows by cosine for each query of a stated set, ties to the least id; a query is no partner of itself.
 
-    The queries are a stated, bounded set (their number is the caller's promise) and are broadcast, so that the
-    rows are read once and never shuffled; a partial top-k by task comes before the shuffle.
+    Queries go out in blocks of bounded size, each in one pass over the rows; a task multiplies matrices and keeps the
+    best ``k`` of each query, so what is shuffled does not grow with the number of rows in a task.
     """
-    qs = queries.select(F.col(q).alias("q"), F.col(vector).alias("qv"))
-    scored = rows.select(F.col(r).alias("r"), F.col(vector).alias("rv")).join(F.broadcast(qs), F.col("q") != F.col("r")).select("q", "r", F.bround(dot(F.col("qv"), F.col("rv")), 6).alias("score"))
-    local = scored.withColumn("part", F.spark_partition_id())
-    by_part = Window.partitionBy("q", "part").orderBy(F.desc("score"), "r")
-    short = local.withColumn("n", F.row_number().over(by_part)).where(F.col("n") <= k)
+    out = None
+    for held in _blocks(queries.where(F.col(q).isNotNull()).select(F.col(q).cast("long"), vector), block):
+        part = rows.where(F.col(r).isNotNull()).select(F.col(r).cast("long"), vector).mapInArrow(_topk(held, k), "q long, r long, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = rows.sparkSession.createDataFrame([], "q long, r long, score double")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "r")
-    return short.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q", "r", "score", "rank")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _blocks(queries: DataFrame, block: int) -> Iterator[Broadcast]:
+    """Queries (id, vector) as broadcast arrays of at most ``block`` rows, in the order of their ids."""
+    ids, vectors, context = [], [], queries.sparkSession.sparkContext
+    for i, v in queries.orderBy(queries.columns[0]).toLocalIterator():
+        ids.append(i)
+        vectors.append(v)
+        if len(ids) == block:
+            yield context.broadcast((np.array(ids, np.int64), np.array(vectors, np.float64)))
+            ids, vectors = [], []
+    if ids:
+        yield context.broadcast((np.array(ids, np.int64), np.array(vectors, np.float64)))
+
+
+def _topk(held: Broadcast, k: int):
+    """A task's best ``k`` rows of each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = held.value
+        best, who = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch.column(0).to_numpy(zero_copy_only=False)
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+            step = max(k, BLOCK_SCORES // len(ids))
+            for at in range(0, len(rows), step):
+                scores = np.round(vectors @ v[at : at + step].T, 6)
+                some = rows[at : at + step]
+                scores[ids[:, None] == some[None, :]] = -np.inf
+                scores = np.hstack([best, scores])
+                names = np.hstack([who, np.broadcast_to(some, (len(ids), len(some)))])
+                top = np.lexsort((names, -scores))[:, :k] if scores.shape[1] > k else np.argsort(-scores, axis=1, kind="stable")
+                best, who = np.take_along_axis(scores, top, 1), np.take_along_axis(names, top, 1)
+        seen = best > -np.inf
+        query = np.broadcast_to(ids[:, None], best.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(query[seen]), pa.array(who[seen]), pa.array(best[seen])], names=["q", "r", "score"])
+
+    return run
 
 
 def best_pairs(left: DataFrame, right: DataFrame, key: str, vector: str) -> DataFrame:
@@ -84,15 +133,29 @@ def mutual_best(pairs: DataFrame) -> DataFrame:
     return forth.select("a", "b").union(back.select("a", "b")).distinct()
 
 
-def weighted_jaccard(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Sum of least over sum of greatest counts, for pairs that share a token; both sides are (id, token, count).
+def all_or_best(left: DataFrame, right: DataFrame, doc: str, best: DataFrame) -> DataFrame:
+    """Pairs (doc, a, b) of two documents' chunks: all of them where they are ALL_PAIRS at most, else the given best pairs."""
+    sizes = left.groupBy(doc).agg(F.count("*").alias("na")).join(right.groupBy(doc).agg(F.count("*").alias("nb")), doc)
+    few = sizes.where(F.col("na") * F.col("nb") <= ALL_PAIRS).select(doc)
+    every = left.join(few, doc).select(doc, F.col("id").alias("a")).join(right.select(doc, F.col("id").alias("b")), doc)
+    return every.unionByName(best.join(few, doc, "left_anti").select(doc, "a", "b"))
 
-    Only the shared tokens are joined; the union follows from the sides' totals.
+
+def weighted_jaccard(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """Pairs (a, b, jaccard) whose sum of least over sum of greatest counts is at least ``least``; both sides are (id, tokens).
+
+    Multisets of such pairs have sizes within that factor of each other: texts of ``right`` outside the range of ``left`` are
+    dropped before their tokens are spread, and no other pair of one token is joined. Sizes travel with the tokens.
     """
-    la = left.groupBy(a).agg(F.sum("n").alias("ta"))
-    lb = right.groupBy(b).agg(F.sum("n").alias("tb"))
-    both = left.select(a, "token", F.col("n").alias("na")).join(right.select(b, "token", F.col("n").alias("nb")), "token").groupBy(a, b).agg(F.sum(F.least("na", "nb")).alias("both"))
-    return both.join(la, a).join(lb, b).select(a, b, (F.col("both") / (F.col("ta") + F.col("tb") - F.col("both"))).alias("jaccard"))
+    sized = lambda df, key: df.select(key, "tokens", F.size("tokens").alias(f"size_{key}")).where(F.size("tokens") > 0)
+    counts = lambda df, key: df.select(key, f"size_{key}", F.explode("tokens").alias("token")).groupBy(key, f"size_{key}", "token").agg(F.count("*").alias(f"n_{key}"))
+    x, y = sized(left, a), sized(right, b)
+    span = x.agg(F.min(f"size_{a}").alias("low"), F.max(f"size_{a}").alias("high")).first()
+    y = y.where(F.col(f"size_{b}").between((span["low"] or 0) * least, (span["high"] or 0) / least))
+    sa, sb = F.col(f"size_{a}"), F.col(f"size_{b}")
+    both = counts(x, a).join(counts(y, b), "token").where((sb >= sa * least) & (sb * least <= sa))
+    shared = both.groupBy(a, b, sa, sb).agg(F.sum(F.least(f"n_{a}", f"n_{b}")).alias("both"))
+    return shared.select(a, b, (F.col("both") / (sa + sb - F.col("both"))).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def same_but_numbers(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -102,14 +165,20 @@ def same_but_numbers(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "skeleton").where("na != nb and a < b").select("a", "b", "line_a", "line_b")
 
 
-def finding_ok(status: Column, evidence_a: Column, evidence_b: Column) -> Column:
-    """Valid findings: known status, evidence on each side it needs, and no "same" with different digits."""
+# What a finding may say of two documents.
+STATUSES = ("same", "changed", "only_a", "only_b")
+
+
+def finding_ok(status: Column, quote_a: Column, quote_b: Column, explanation: Column, found_a: Column, found_b: Column) -> Column:
+    """Valid findings: a known status and an explanation of at most 2,500 characters; a quote found on each side that it needs, and no quote
+    that was not found; no "same" for wordings that are equal but for their numbers."""
     has = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
-    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
-    return (
-        F.when(status == "same", has(evidence_a) & has(evidence_b) & (digits(evidence_a) == digits(evidence_b)))
-        .when(status == "changed", has(evidence_a) & has(evidence_b)).when(status == "only_a", has(evidence_a)).when(status == "only_b", has(evidence_b)).otherwise(False)
-    )
+    bare = lambda c: F.trim(F.regexp_replace(F.regexp_replace(X.ascii_digits(c), "[0-9]+", "#"), r"\s+", " "))
+    contradicts = (status == "same") & (bare(quote_a) == bare(quote_b)) & (X.numbers(quote_a) != X.numbers(quote_b))
+    needed = ((status == "only_b") | found_a) & ((status == "only_a") | found_b)
+    invented = (has(quote_a) & ~found_a) | (has(quote_b) & ~found_b)
+    said = has(explanation) & (F.length(explanation) <= 2500)
+    return F.coalesce(status.isin(*STATUSES) & said & needed & ~invented & ~F.coalesce(contradicts, F.lit(False)), F.lit(False))
 
 
 def verdicts(register: DataFrame, document: DataFrame, key: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import small
+
 
 def section_spans(marks: DataFrame, doc: str, pos: str, length: str) -> DataFrame:
     """Each mark's section reaches to the next mark, or to the end."""
@@ -103,17 +105,17 @@ def place_pattern(name: str, proclitics: str = "(?:[وفبلك]|ال|وال|با
 def places(docs: DataFrame, doc: str, text: str, dim: DataFrame) -> DataFrame:
     """By document and region, the winning place: unambiguous before ambiguous, cities first, longest, earliest.
 
-    ``dim`` (name, region, is_city, ambiguous, pattern) is a stated vocabulary of bounded size and is broadcast.
+    ``dim`` (name, region, is_city, ambiguous, pattern) is a stated vocabulary, broadcast if it is small.
     """
-    hit = docs.join(F.broadcast(dim), F.expr(f"regexp_like({text}, pattern)"))
+    hit = docs.join(small(dim), F.expr(f"regexp_like({text}, pattern)"))
     at = F.expr(f"regexp_instr({text}, pattern)")
     key = F.struct((~F.col("ambiguous")).alias("clear"), F.col("is_city"), F.length("name").alias("size"), (-at).alias("early"), "name", "region")
     return hit.groupBy(doc).agg(F.max(key).alias("w")).select(doc, F.col("w.name").alias("place"), F.col("w.region").alias("region"))
 
 
 def signals(docs: DataFrame, doc: str, text: str, dim: DataFrame) -> DataFrame:
-    """(doc, signal, floor) of every phrase pattern that occurs; each signal once. ``dim`` is a bounded vocabulary."""
-    return docs.join(F.broadcast(dim), F.expr(f"regexp_like({text}, pattern)")).select(doc, "signal", "floor").distinct()
+    """(doc, signal, floor) of every phrase pattern that occurs; each signal once. ``dim`` is a vocabulary, broadcast if it is small."""
+    return docs.join(small(dim), F.expr(f"regexp_like({text}, pattern)")).select(doc, "signal", "floor").distinct()
 
 
 def label_regex_prefill(lines: DataFrame, doc: str, order: str, text: str, dim: DataFrame) -> DataFrame:
@@ -121,5 +123,5 @@ def label_regex_prefill(lines: DataFrame, doc: str, order: str, text: str, dim:
     label = F.trim(F.substring_index(text, ":", 1))
     value = F.trim(F.expr(f"substring({text}, instr({text}, ':') + 1)"))
     rows = lines.where(F.contains(text, F.lit(":"))).withColumn("label", label).withColumn("value", value)
-    hit = rows.join(F.broadcast(dim), F.expr("regexp_like(label, pattern)")).where("value != ''")
+    hit = rows.join(small(dim), F.expr("regexp_like(label, pattern)")).where("value != ''")
     return hit.groupBy(doc, "field").agg(F.min(F.struct("rank", order, "value")).alias("m")).select(doc, "field", F.col("m.value").alias("value"))

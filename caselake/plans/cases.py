@@ -281,7 +281,7 @@ def review_flags(spark, sf):
     return o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderpriority") == "1-URGENT").alias("urgent"), G.needs_review(pending, F.col("o_orderkey") % 5 == 0, F.col("o_orderkey") % 3 == 0, reasons).alias("review"))
 
 
-@query("""WITH g AS (SELECT l_orderkey AS id, CASE WHEN l_quantity > 40 THEN 'health_risk' WHEN l_quantity > 20 THEN 'service_down' ELSE 'repeat' END AS signal, CASE WHEN l_quantity > 40 THEN 3 WHEN l_quantity > 20 THEN 3 ELSE 2 END AS r FROM lineitem),
+@query("""WITH g AS (SELECT l_orderkey AS id, CASE WHEN l_quantity > 40 THEN 'health_risk' WHEN l_quantity > 20 THEN 'service_down' ELSE 'repeat' END AS signal, CASE WHEN l_quantity > 40 THEN 4 WHEN l_quantity > 20 THEN 3 ELSE 2 END AS r FROM lineitem WHERE l_quantity <= 40),
  t AS (SELECT *, max(r) OVER (PARTITION BY id) AS floor FROM g) SELECT id, floor, string_agg(DISTINCT signal, ',' ORDER BY signal) AS signals FROM t WHERE r = floor GROUP BY 1, 2""")
 def priority_floor(spark, sf):
     q = F.col("l_quantity")

@@ -61,12 +61,9 @@ _TOK = "unnest(regexp_extract_all(lower({0}.text), '[\\p{{L}}\\p{{N}}_]+'))"
  SELECT item_id, doc_id, CAST(floor(common * 1000000 / (ti.t + td.t - common) + 0.5) AS BIGINT) AS millionths FROM p JOIN ti USING (item_id) JOIN td USING (doc_id) WHERE common / (ti.t + td.t - common) >= 0.3""")
 def jaccard_align(spark, sf):
     """Benchmark passages (a stated query set) against all documents."""
-
-    def counted(df, key):
-        return df.select(key, F.explode(X.tokens(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-
-    j = C.weighted_jaccard(counted(table(spark, sf, "benchmark"), "item_id"), counted(table(spark, sf, "documents"), "doc_id"), "item_id", "doc_id")
-    return j.where("jaccard >= 0.3").select("item_id", "doc_id", F.floor(F.col("jaccard") * 1000000 + 0.5).alias("millionths"))
+    side = lambda name, key: table(spark, sf, name).select(key, X.tokens(F.col("text")).alias("tokens"))
+    j = C.weighted_jaccard(side("benchmark", "item_id"), side("documents", "doc_id"), "item_id", "doc_id", 0.3)
+    return j.select("item_id", "doc_id", F.floor(F.col("jaccard") * 1000000 + 0.5).alias("millionths"))
 
 
 @query("""WITH c AS (SELECT c_custkey AS id, 'Account of ' || c_name || ' since ' || c_nationkey AS line FROM customer), k AS (SELECT id, line, regexp_replace(line, '[0-9]+', '#', 'g') || ' ' || (id // 10) AS skeleton, regexp_extract_all(line, '[0-9]+') AS nums FROM c)

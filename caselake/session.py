@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -28,3 +29,12 @@ def get_session(app: str = "caselake", cpus: str = "*", shuffle_partitions: int
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables under ``sf_dir``; any path that Spark can read will do."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+#: Rows of a vocabulary that is broadcast.
+SMALL = 20_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """A table with a broadcast hint if it has at most ``most`` rows; else as it is, so that Spark chooses another join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
