@@ -34,9 +34,11 @@ def due_at(created: Column, priority: Column) -> Column:
     return created + F.make_dt_interval(hours=hours)
 
 
-def sla_bucket(due: Column, now: Column) -> Column:
-    """overdue, due_soon (within a day) or on_track."""
-    return F.when(due < now, "overdue").when(due <= now + F.make_dt_interval(hours=F.lit(24)), "due_soon").otherwise("on_track")
+def sla_bucket(due: Column, now: Column, created: Column | None = None, priority: Column | None = None) -> Column:
+    """overdue, due_soon (within a day) or on_track. Without a due time, creation plus the priority's hours count; without those, null."""
+    if created is not None:
+        due = F.coalesce(due, created + F.make_dt_interval(hours=sla_hours(priority)))
+    return F.when(due < now, "overdue").when(due <= now + F.make_dt_interval(hours=F.lit(24)), "due_soon").when(due.isNotNull(), "on_track")
 
 
 def blank(c: Column) -> Column:
@@ -58,7 +60,69 @@ def needs_review(pending: Column, again: Column, reviewed: Column, reasons: Colu
     return (pending > 0) | again | (~reviewed & F.exists(reasons, lambda r: r != "fields_unverified"))
 
 
-def equal_filters(df: DataFrame, wanted: dict[str, str | None]) -> DataFrame:
+# Columns of the register's list.
+SUMMARY = (
+    "id", "ref", "created_at", "updated_at", "source", "filename", "file_kind", "page_count", "stage", "error", "status", "subject", "summary", "complainant_name", "category",
+    "subcategory", "ministry", "priority", "region", "governorate", "model_category", "model_ministry", "model_priority", "model_governorate", "needs_review", "review_reasons", "reviewed",
+    "due_at", "provider", "model", "pending_fields",
+)
+DETAIL = (*SUMMARY, "text", "analysis", "timings", "national_id", "model_region", "processed_at", "attempts", "file_ext", "field_reviews")
+# What set a priority, as an export says it.
+SOURCES = {"llm": "تقدير النموذج", "rule_floor": "رفعتها القواعد", "rule_cap": "أبقتها القواعد دون الأعلى لحين المراجعة"}
+REVIEWED_PRIORITY = "تعديل المراجع"
+
+
+def summary(df: DataFrame, home: str | None = None, columns: tuple[str, ...] = SUMMARY) -> DataFrame:
+    """The list's columns of those that ``df`` has: flags as booleans, the answered reason dropped, and whether the case lies outside."""
+    have = df.select(*[c for c in columns if c in df.columns])
+    pending = F.coalesce(F.col("pending_fields"), F.lit(0)).cast("int")
+    reasons = F.when(pending == 0, F.array_remove("review_reasons", "fields_unverified")).otherwise(F.col("review_reasons"))
+    out = have.withColumns({"needs_review": F.col("needs_review").cast("boolean"), "reviewed": F.col("reviewed").cast("boolean"), "pending_fields": pending, "review_reasons": reasons})
+    return out.withColumn("outside_jurisdiction", outside(F.col("region"), home, F.col("review_reasons")))
+
+
+def merged_fields(fields: Column, reviews: Column) -> Column:
+    """Fields array<struct<key, value, verified>> as a reviewer left them: a reviewed one has the review's value, an open one is pending.
+
+    ``reviews`` is map<key, struct<value, action>>.
+    """
+
+    def one(f: Column) -> Column:
+        review = F.try_element_at(reviews, f["key"])
+        open_ = review.isNull() & f["verified"].eqNullSafe(F.lit(False)) & (F.trim(F.coalesce(f["value"], F.lit(""))) != "")
+        return F.struct(
+            f["key"].alias("key"), F.when(review.isNotNull(), review["value"]).otherwise(f["value"]).alias("value"), f["verified"].alias("verified"), review["action"].alias("action"), open_.alias("pending")
+        )
+
+    return F.transform(fields, one)
+
+
+def priority_source(stage: Column, reviewed: Column, priority: Column, model: Column, source: Column) -> Column:
+    """The export's word for what set a priority; empty for unfinished cases and unknown sources."""
+    table = F.create_map(*[F.lit(x) for pair in SOURCES.items() for x in pair])
+    by_rule = F.coalesce(F.try_element_at(table, source), F.lit(""))
+    return F.when(stage != "done", "").when(reviewed & ~priority.eqNullSafe(model), REVIEWED_PRIORITY).otherwise(by_rule)
+
+
+def checked_filters(params: dict[str, str | None], vocabulary: dict[str, list[str]], most_query: int = 200) -> dict[str, str | bool]:
+    """Filters of a request held to the vocabulary before any plan is made; empty values mean none, a bad one is an error."""
+    out: dict[str, str | bool] = {}
+    for key in FILTERS:
+        if value := params.get(key):
+            if value not in vocabulary.get(key, ()):
+                raise ValueError(f"no such value of {key}: {value}")
+            out[key] = value
+    if flag := (params.get("needs_review") or "").strip():
+        if (parsed := parse_flag(flag)) is None:
+            raise ValueError(f"no such value of needs_review: {flag}")
+        out["needs_review"] = parsed
+    query = (params.get("q") or "").strip()
+    if len(query) > most_query:
+        raise ValueError("the query is too long")
+    return out | ({"q": query} if query else {})
+
+
+def equal_filters(df: DataFrame, wanted: dict[str, str | bool | None]) -> DataFrame:
     """Conjunction of equalities; empty values filter nothing; unknown columns are an error before any plan is made."""
     if unknown := set(wanted) - set(df.columns):
         raise ValueError(f"no such filter: {sorted(unknown)}")
@@ -101,3 +165,23 @@ def order_by(df: DataFrame, kind: str, descending: bool = False, open_: Column |
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """One page, of MAX_PAGE rows at most; Spark plans it as a top-k."""
     return df.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, MAX_PAGE)))
+
+
+def page_with_total(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+    """One page with the number of all rows beside each of its rows; the count is its own aggregate, so the page stays a top-k."""
+    total = df.agg(F.count("*").alias("total"))
+    return page(df, order, limit, offset).join(F.broadcast(total))
+
+
+def newest_done(df: DataFrame, limit: int = 30) -> DataFrame:
+    """The newest finished cases, MAX_PAGE at most."""
+    return df.where(F.col("stage") == "done").orderBy(F.desc("created_at"), F.desc("id")).limit(max(0, min(limit, MAX_PAGE)))
+
+
+def oldest_queued(df: DataFrame) -> DataFrame:
+    return df.where(F.col("stage") == "queued").orderBy("created_at", "id").limit(1)
+
+
+def export(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Every row in order, for a file: a range sort, not a page at a time."""
+    return df.orderBy(*order)

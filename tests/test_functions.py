@@ -1,8 +1,11 @@
 """Functions and operators against direct Python definitions and stated cases."""
 
 import datetime as dt
+import gzip
+import json
 import random
 import unicodedata
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,11 +182,60 @@ def test_intake(spark, tmp_path):
     (tmp_path / "d.jpg").write_bytes(b"not a picture")
     got = {r["path"].rsplit("/", 1)[1]: (r["kind"], r["text"]) for r in intake.read_files(spark, str(tmp_path)).collect()}
     assert got == {"a.bin": ("pdf", None), "b.txt": ("txt", "one\ntwo"), "c.txt": ("txt", None), "d.jpg": (None, None)}
+    webp, junk = b"RIFF\x00\x00\x00\x00WEBPVP8 ", b"\n\n%PDF-1.4"
+    rows = [(b"\x12\x55\x04\x44\x62\xd1", "x", "", None, None), (webp, "x", "", "image/webp", "image"), (junk, "a.pdf", "", "pdf/pdf", "pdf"), (junk, "a.bin", "", None, None), (b"hi", "x", "text/plain; charset=x", "txt/txt", None),
+            (b"BM..", "x", "", None, "image"), (b"none", "scan.TIFF", "", None, "image"), (b"\x89PNG\r\n\x1a\n", "", "", "image/png", "image")]
+    df = spark.createDataFrame(rows, "c binary, n string, t string, kind string, readable string")
+    k = intake.kind_of(F.col("c"), F.col("n"), F.col("t"))
+    assert df.where(~F.concat_ws("/", k["kind"], k["extension"]).eqNullSafe(F.coalesce("kind", F.lit(""))) | ~intake.readable_kind(F.col("c"), F.col("n")).eqNullSafe(F.col("readable"))).count() == 0
+
+
+def test_answers_and_pages(spark):
+    body = '{"اسم": 1}'.encode()
+    rows = [(gzip.compress(zlib.compress(body)), None, '{"اسم": 1}'), (json.dumps('{"a": 1}').encode(), None, '{"a": 1}'), ('{"é": 1}'.encode("latin-1"), "latin-1", '{"é": 1}'), (gzip.compress(body)[:-4], None, None), (None, None, None), (b"no json", None, None)]
+    df = spark.createDataFrame(rows, "b binary, c string, want string").withColumn("got", intake.answer_text("b", "c"))
+    assert df.where(~F.col("got").eqNullSafe(F.col("want"))).count() == 0
+    blocks = spark.createDataFrame([(1, 1, 2, "<p>b</p>", False, False), (1, 1, 1, "<p>a</p>", None, None), (1, 1, 3, "<p>c</p>", True, False), (1, 2, 1, "<p>d</p>", False, True)], "doc int, page int, order int, html string, error boolean, skipped boolean")
+    assert [tuple(r) for r in intake.pages_of(blocks, "doc", "page").collect()] == [(1, 1, "a\nb")]
+
+
+def test_vocabulary(spark, tmp_path):
+    (tmp_path / "v.json").write_text('{"regions": [{"id": "a_1", "label_ar": "x"}, {"id": "b"}]}', encoding="utf-8")
+    assert [tuple(r) for r in intake.vocabulary(spark, str(tmp_path / "v.json"), ("regions",)).orderBy("at").collect()] == [("regions", "a_1", "x", "", 0), ("regions", "b", "", "", 1)]
+    (tmp_path / "w.json").write_text('{"regions": [{"id": "A"}]}', encoding="utf-8")
+    with pytest.raises(ValueError, match="regions"):
+        intake.vocabulary(spark, str(tmp_path / "w.json"), ("regions",))
+
+
+def test_register_summary_fields_and_sources(spark):
+    rows = [(1, "riyadh", 0, ["low_confidence", "fields_unverified"], 1, 0, None, "done", True, "high", "low", "llm"), (2, "makkah", 2, ["fields_unverified"], 0, 1, None, "done", False, "low", "low", "rule_cap"), (3, None, None, [], 0, 0, None, "ocr", False, "low", "low", "llm")]
+    df = spark.createDataFrame(rows, "id int, region string, pending_fields int, review_reasons array<string>, needs_review int, reviewed int, text string, stage string, seen boolean, priority string, model_priority string, by string")
+    got = {r["id"]: r for r in register.summary(df, "riyadh").collect()}
+    assert got[1]["review_reasons"] == ["low_confidence"] and got[1]["needs_review"] is True and "text" not in got[1].asDict()
+    assert [got[i]["outside_jurisdiction"] for i in (1, 2, 3)] == [False, True, False] and got[3]["pending_fields"] == 0
+    said = df.select("id", register.priority_source(F.col("stage"), F.col("seen"), F.col("priority"), F.col("model_priority"), F.col("by")).alias("s")).collect()
+    assert [r["s"] for r in said] == [register.REVIEWED_PRIORITY, register.SOURCES["rule_cap"], ""]
+    fields = F.expr("array(named_struct('key','a','value','1','verified',false), named_struct('key','b','value','2','verified',false), named_struct('key','c','value','','verified',false))")
+    merged = one(spark, register.merged_fields(fields, F.expr("map('a', named_struct('value', '9', 'action', 'edit'))")))
+    assert [(f["key"], f["value"], f["action"], f["pending"]) for f in merged] == [("a", "9", "edit", False), ("b", "2", None, True), ("c", "", None, False)]
+    assert register.checked_filters({"stage": "done", "needs_review": "TRUE", "q": " x ", "region": ""}, {"stage": ["done"]}) == {"stage": "done", "needs_review": True, "q": "x"}
+    for bad in ({"stage": "x"}, {"needs_review": "maybe"}, {"q": "y" * 300}):
+        with pytest.raises(ValueError):
+            register.checked_filters(bad, {"stage": ["done"]})
+    paged = register.page_with_total(df.withColumn("created_at", F.col("id")), [F.col("id").desc()], 2)
+    assert [(r["id"], r["total"]) for r in paged.orderBy(F.desc("id")).collect()] == [(3, 3), (2, 3)]
+
+
+def test_missing_due_times_fall_back(spark):
+    at = lambda s: F.lit(s).cast("timestamp")
+    bucket = lambda due, p: one(spark, register.sla_bucket(due, at("2026-01-05"), at("2026-01-03"), F.lit(p)))
+    none = F.lit(None).cast("timestamp")
+    assert [bucket(none, "critical"), bucket(none, "high"), bucket(none, "low"), bucket(none, "odd"), bucket(at("2026-01-04"), "low")] == ["overdue", "due_soon", "on_track", None, "overdue"]
 
 
 def test_csv_sink(spark, tmp_path):
-    intake.write_csv(spark.createDataFrame([("=1+1", 2)], "a string, b int").coalesce(1), str(tmp_path / "out"))
-    assert b"".join(p.read_bytes() for p in (tmp_path / "out").glob("*.csv")) == b"a,b\r\n'=1+1,2\r\n"
+    intake.write_csv(spark.createDataFrame([("=1+1", 2)], "a string, b int").coalesce(1), str(tmp_path / "out"), ["A", "b"])
+    assert b"".join(p.read_bytes() for p in (tmp_path / "out").glob("*.csv")) == b"\xef\xbb\xbfA,b\r\n'=1+1,2\r\n"
 
 
 def test_ocr_lines(spark):
