@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASES, WORD, Rolling, Scratch, U, WordHashes, blocks, hash_words, join_counted, mix, read_documents, signed, times, unit
+from .common import BASES, U, WORD, Rolling, Scratch, WordHashes, blocks, hash_words, join_counted, lean, mix, read_documents, signed, times, unit
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -40,7 +40,7 @@ PLANES = 4
 SLICE = 2_000
 #: Cells that bound the overlap of two documents from above, and the counts told apart in a cell.
 CELLS, LEVELS = 512, 2
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 100_000
 
 
 def shingles(lists: list[list[str]], cache: WordHashes, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +139,7 @@ def _sign(bands: int, rows: int, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
+        for batch in lean(batches):
             texts = batch.column(2).to_pylist()
             for a, b in blocks(texts, [len(t) // 6 for t in texts], BLOCK_WORDS):
                 lists = [WORD.findall(t) for t in texts[a:b]]
@@ -171,7 +171,7 @@ def _vectors(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
+        for batch in lean(batches):
             texts = batch.column(1).to_pylist()
             for a, b in blocks(texts, [len(t) // 6 for t in texts], BLOCK_WORDS):
                 doc, s, count = shingles([WORD.findall(t) for t in texts[a:b]], cache, size)
@@ -185,7 +185,7 @@ def _vectors(size: int):
 
 def _jaccard(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             keep = []
             for sa, ca, sb, cb in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
                 sa, sb = np.frombuffer(sa, U), np.frombuffer(sb, U)

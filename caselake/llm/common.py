@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +54,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what the work on each has freed goes back to the system, as a worker outlives its tasks."""
+    for batch in batches:
+        yield batch
+        del batch
+        if _trim:
+            _trim(0)
+
+
 class Scratch:
     """Tables in the shared folder that cut lineage, so that a lost executor costs one step only."""
 
@@ -112,7 +129,7 @@ def crc_of_id(doc_id: Column, modulus: int) -> Column:
 class WordHashes(dict):
     """64-bit hashes of words, kept while there are fewer than ``limit``."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
 

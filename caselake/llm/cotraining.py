@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, Scratch, U, WordHashes, blocks, hash_words, read_documents
+from .common import U, WORD, Scratch, WordHashes, blocks, hash_words, lean, read_documents
 from .linear import apply, fit_logistic, sigmoid
 
 PER_CLASS = 2000
@@ -86,7 +86,7 @@ def views(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
+        for batch in lean(batches):
             texts, *meta = (batch.column(i).to_pylist() for i in (2, 3, 4))
             text_x: list[bytes] = []
             for a, b in blocks(texts, [len(t or "") for t in texts], BLOCK_CHARS):
@@ -172,7 +172,7 @@ def naming_over(pool: DataFrame) -> Naming:
     def ask(weights: list[list[np.ndarray]], taken: dict[Key, set[int]], take: dict[int, int]) -> dict[Key, list[tuple[int, np.ndarray, np.ndarray]]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept: dict[Key, list[tuple[float, int, bytes, bytes]]] = {}
-            for batch in batches:
+            for batch in lean(batches):
                 if not batch.num_rows:
                     continue
                 rows, cells = batch.column(0).to_numpy(), [batch.column(i).to_pylist() for i in (1, 2)]
@@ -223,7 +223,7 @@ def score(table: DataFrame, model: CoTrained | float) -> DataFrame:
     """doc_id, text_score and meta_score (calibrated views) and score, from a table of views."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             n = batch.num_rows
             if isinstance(model, float) or not n:
                 out = [np.full(n, model if isinstance(model, float) else 0.0)] * 3

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, U, WordHashes, blocks, hash_words, read_documents, signed
+from .common import U, Rolling, Scratch, WordHashes, blocks, hash_words, lean, read_documents, signed
 
 TOKEN = re.compile(r"\w+")
 MIN_TILE, COVERAGE = 5, 0.5
@@ -105,7 +105,7 @@ def _items(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
+        for batch in lean(batches):
             found = list(_token_rows(batch, least, cache))
             rows = pa.array([i for i, _, _ in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -121,7 +121,7 @@ def _candidates(held, least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, bits = WordHashes(), held.value
-        for batch in batches:
+        for batch in lean(batches):
             texts = batch.column(1).to_pylist()
             out: list[tuple] = []
             for a, b in blocks(texts, [len(t) // 6 for t in texts], BLOCK_WORDS):
@@ -159,7 +159,7 @@ def _tiled(least: int, share: float):
     """Tile the pairs of a document (its tokens and the places of the shared seeds) and an item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             out: list[tuple] = []
             for i, (text, item, places) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)):
                 h, n = np.frombuffer(text, U), len(item) // 8

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, blocks, crc_of_id, mix, read_documents
+from .common import U, blocks, crc_of_id, lean, mix, read_documents
 
 BITS = 16
 PER_LANG, SWITCH = 4000, 12.0
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = np.zeros((len(langs), 1 << BITS), np.int64)
         scripts = np.zeros((len(langs), N_SCRIPTS), np.int64)
-        for batch in batches:
+        for batch in lean(batches):
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in blocks(texts, [len(t) for t in texts], BLOCK_CHARS):
                 x = letters(texts[a:b])
@@ -197,7 +197,7 @@ def identify(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> Da
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             pred, score, spans, _ = verdicts(batch.column(1).to_pylist(), model, switch)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, span)], names=schema.names)
 
@@ -215,7 +215,7 @@ def keep_clear(docs: DataFrame, model: Model | None, least: float, most_loss: fl
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             pred, score, _, loss = verdicts(batch.column(at).to_pylist(), model)
             yield batch.filter(pa.array([k != "und" and s >= least and x <= most_loss for k, s, x in zip(pred, score, loss, strict=True)], pa.bool_()))
 

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import read_documents
+from .common import lean, read_documents
 
 TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -147,7 +147,7 @@ _ARROW_SPAN = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int6
 
 def license_scan(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 words = TOKEN.findall((text or "").translate(LOWER))

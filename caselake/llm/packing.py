@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Scratch, blocks, read_documents
+from .common import Scratch, blocks, lean, read_documents
 from .tokens import default_path, word_bpe
 
 SIZE = 2048
@@ -34,7 +34,7 @@ ROUNDS, STEP, RATE, NEAR = 400, 0.05, 0.5, 0.05
 #: Rows of one length in one bucket, on average at most.
 BUCKET_ROWS = 200_000
 #: Characters whose new words are encoded together.
-BLOCK_CHARS = 3_000_000
+BLOCK_CHARS = 2_000_000
 
 
 def _best_values(lengths: np.ndarray, weights: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +166,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_bpe(tokenizer)
-        for batch in batches:
+        for batch in lean(batches):
             row, piece, start, length, crc = [], [], [], [], []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for i, ids in ((a + k, x) for a, b in blocks(texts, [len(t) for t in texts], BLOCK_CHARS) for k, x in enumerate(encoder.encode_all(texts[a:b]))):
@@ -203,7 +203,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     ranked = keyed.withColumn("r", F.row_number().over(order) - 1).join(before, ["length", "bucket"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("r") + F.col("before")).alias("r"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             length, r = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 5))
             s = slots[np.searchsorted(key, length * (1 << 44) + r, side="right") - 1]
             j = r - s[:, 1]

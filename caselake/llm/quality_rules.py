@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, read_documents
+from .common import WORD, lean, read_documents
 
 # Common words by language.
 COMMON = {
@@ -93,7 +93,7 @@ def counted_common(docs: DataFrame) -> dict[str, list[str]]:
     """The most frequent words of each language that COMMON lacks, over all its documents; ties to the lesser word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             sums: dict[str, Counter] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 sums.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
@@ -128,7 +128,7 @@ def references(docs: DataFrame) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
+        for batch in lean(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 a, b = sums.setdefault(lang, (np.zeros(len(CLASSES), np.int64), np.zeros(len(slots) + 1, np.int64)))
                 a += char_classes(text)
@@ -176,7 +176,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     refs, slots = references(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 text = text or ""

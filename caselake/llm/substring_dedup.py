@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, Rolling, Scratch, WordHashes, blocks, hash_words, join_counted, read_documents, signed, sliding_min
+from .common import WORD, Rolling, Scratch, WordHashes, blocks, hash_words, join_counted, lean, read_documents, signed, sliding_min
 
 WINDOW, SEED = 50, 20
 BLOCK_WORDS = 400_000
@@ -48,7 +48,7 @@ def _minimizers(h: np.ndarray, window: int, seed: int) -> tuple[Rolling, np.ndar
 def _edges(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
+        for batch in lean(batches):
             ids, ths = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             texts = batch.column(2).to_pylist()
             for a, b in blocks(texts, [len(t) // 6 for t in texts], BLOCK_WORDS):
@@ -81,7 +81,7 @@ def _windows(window: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
+        for batch in lean(batches):
             ids, ths = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             texts, lists = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for a, b in blocks(texts, [len(t) // 6 for t in texts], BLOCK_WORDS):
@@ -164,8 +164,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     later = occ.where("doc_id > first").select("v", "k", "doc_id", "th", "pos")
     whole_spans = join_counted(later, heads, ["v", "k"], total, ["doc_id", "pos"]).select("doc_id", "th", "pos", F.col("total").cast("int").alias("n"))
 
-    mixed = classes.groupBy("v").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").select("v")
-    sources = classes.join(mixed, "v", "left_semi").select("v", "k", F.col("f.doc_id").alias("doc_id"))
+    mixed = scratch.cut(classes.groupBy("v").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("n")).where("a < b").select("v", "n"))
+    sources = join_counted(classes.select("v", "k", F.col("f.doc_id").alias("doc_id")), mixed, ["v"], classes.count(), ["k"])
     opened = (
         cand.join(sources, ["v", "k", "doc_id"], "left_semi")
         .groupBy("doc_id", "th")
@@ -181,7 +181,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     spans = scratch.cut(
         whole_spans.unionByName(part_spans).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("spans"))
     )
-    scratch.drop(cand, classes, occ, heads, windows, first)
+    scratch.drop(cand, classes, occ, heads, mixed, windows, first)
     return spans
 
 
@@ -204,7 +204,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             spans = batch.column(len(names)).to_pylist()
             texts = batch.column(at)
             if any(spans):
@@ -226,7 +226,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             total, removed, digest = [], [], []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = WORD.findall(text or "")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import read_documents
+from .common import lean, read_documents
 from .tokens import ByteBpe, default_path
 
 RULES = ("first", "last", "most")
@@ -60,7 +60,7 @@ def section_tokens(docs: DataFrame, ranks: str, pattern: str, rule: str = "first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ByteBpe(ranks, pattern)
-        for batch in batches:
+        for batch in lean(batches):
             rows, parts = [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""

@@ -19,7 +19,7 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries of a generation of the cache.
-CACHE = 600_000
+CACHE = 400_000
 #: Signs that are neither letters nor digits nor blanks.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 #: Words that are encoded as one line.
@@ -126,7 +126,7 @@ class ByteBpe:
     #: Other characters take the library's own path, as Unicode versions may differ there.
     SAFE = re.compile(r"[\x00-\u024f\u2010-\u2027]*")
 
-    def __init__(self, path: str, pattern: str, cache: int = CACHE // 2):
+    def __init__(self, path: str, pattern: str, cache: int = 300_000):
         import tiktoken
 
         with open(path, "rb") as f:

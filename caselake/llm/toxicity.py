@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, blocks, crc_of_id, mix, read_documents
+from .common import U, blocks, crc_of_id, lean, mix, read_documents
 from .linear import apply, fit_logistic, fit_svm, sigmoid
 
 #: Offsets of the second and third character; the decay of a spanned character.
@@ -271,7 +271,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sentences = Sentences(model.kernel) if model else None
-        for batch in batches:
+        for batch in lean(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             out = np.zeros(len(texts))
             for a, b in blocks(texts, [len(t) for t in texts], BLOCK_CHARS) if model else ():
