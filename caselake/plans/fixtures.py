@@ -12,6 +12,7 @@ from ..operators import compare as C
 from ..operators import matching as M
 from ..operators import records as R
 from ..operators import register as G
+from ..session import table
 
 QUERIES, ORACLES = {}, {}
 
@@ -42,19 +43,17 @@ def arabic_fold(spark, sf):
     return spark.createDataFrame(TEXTS, "id int, s string").select("id", X.fold(F.col("s")).alias("folded"))
 
 
-HIJRI = [(1, 1445, 1, 1), (2, 1450, 1, 1), (3, 1447, 1, 1), (4, 1447, 3, 29), (5, 1400, 12, 29), (6, 1420, 6, 15)]
+_JDN = "datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 2440588"
 
 
-@query(f"WITH t(id, y, m, d) AS ({_sql(HIJRI)}) SELECT id, CAST(DATE '1970-01-01' + CAST(d + ceil(29.5 * (m - 1)) + (y - 1) * 354 + floor((3 + 11 * y) / 30) + 1948439 - 2440588 AS INTEGER) AS VARCHAR) AS gregorian FROM t")
-def hijri_tabular(spark, sf):
-    t = spark.createDataFrame(HIJRI, "id int, y int, m int, d int")
-    return t.select("id", D.hijri_to_date(F.col("y"), F.col("m"), F.col("d")).cast("string").alias("gregorian"))
-
-
-@query(f"WITH t(id, y, m, d) AS ({_sql(HIJRI)}) SELECT id, y, m, d FROM t")
+@query(f"""WITH j AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, {_JDN} AS jdn FROM orders),
+ y AS (SELECT *, CAST(floor((30 * (jdn - 1948440) + 10646) / 10631) AS BIGINT) AS y FROM j), s AS (SELECT *, jdn - (354 * (y - 1) + (3 + 11 * y) // 30 + 1948439) AS n FROM y),
+ m AS (SELECT *, (SELECT max(k) FROM range(1, 13) t(k) WHERE n > 30 * (k // 2) + 29 * ((k - 1) // 2)) AS m FROM s)
+ SELECT id, CAST(y AS INT) AS y, CAST(m AS INT) AS m, CAST(n - 30 * (m // 2) - 29 * ((m - 1) // 2) AS INT) AS d, day FROM m""")
 def hijri_round_trip(spark, sf):
-    t = spark.createDataFrame(HIJRI, "id int, y int, m int, d int")
-    return t.select("id", D.date_to_hijri(D.hijri_to_date(F.col("y"), F.col("m"), F.col("d"))).alias("h")).select("id", "h.*")
+    """Dates of the orders in the tabular calendar (months of 30 and 29 days in turn), and back."""
+    t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), D.date_to_hijri(F.to_date("o_orderdate")).alias("h"))
+    return t.select("id", "h.*", D.hijri_to_date(F.col("h.y"), F.col("h.m"), F.col("h.d")).alias("day"))
 
 
 DATES = [(1, "2024/03/05"), (2, "5-3-2024"), (3, "12/10/24"), (4, "1445/13/1"), (5, "1445/12/31"), (6, "29/12/1445"), (7, "2024/02/31"), (8, "1700/01/01"), (9, "29.2.2024"), (10, "1500/1/1")]
@@ -111,31 +110,35 @@ def dictionary_merge(spark, sf):
     return R.merge_names(spark.createDataFrame(ENTRIES, "exact string, canonical string, page int, raw string, gender string, meaning string, confidence double"))
 
 
-REGISTER = [(1, "name", "Ali"), (1, "id", "******6789"), (1, "amount", "100.50"), (1, "date", "2024/03/05"), (1, "city", "Riyadh"), (1, "phone", "0500")]
-DOCUMENT = [(1, "name", "ali "), (1, "id", "1023456789"), (1, "amount", "100.5"), (1, "date", "05/03/2024"), (1, "city", "Jeddah")]
-
-
-@query("SELECT * FROM (VALUES ('match', 4::BIGINT), ('mismatch', 1), ('missing', 1), ('unclear', 0)) t(verdict, n)")
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 6 AS way FROM orders), v AS (SELECT CASE WHEN way = 5 THEN 'missing' WHEN way = 4 THEN 'mismatch' ELSE 'match' END AS verdict FROM o)
+ SELECT d.verdict, count(v.verdict) AS n FROM (VALUES ('match'), ('mismatch'), ('missing'), ('unclear')) d(verdict) LEFT JOIN v USING (verdict) GROUP BY 1""")
 def register_compare_counts(spark, sf):
-    v = C.verdicts(spark.createDataFrame(REGISTER, "case_id int, label string, value string"), spark.createDataFrame(DOCUMENT, "case_id int, label string, value string"), ["case_id", "label"])
+    """Register and document values that differ in case, masks, zeros and the order of a date; one that differs, one that is missing."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), (F.col("o_orderkey") % 6).alias("way"), F.date_format("o_orderdate", "yyyy/MM/dd").alias("ymd"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("dmy"))
+    n = F.lpad((F.col("case_id") + 1000000).cast("string"), 10, "1")
+    kept = F.element_at(F.array(F.lit("Ali"), F.concat(F.lit("******"), F.right(n, F.lit(4))), F.concat(n, F.lit(".50")), F.col("ymd"), F.lit("Riyadh"), F.lit("x")), (F.col("way") + 1).cast("int"))
+    said = F.element_at(F.array(F.lit("ali "), n, F.concat(n, F.lit(".5")), F.col("dmy"), F.lit("Jeddah"), F.lit(None)), (F.col("way") + 1).cast("int"))
+    v = C.verdicts(o.select("case_id", kept.alias("value")), o.select("case_id", said.alias("value")), ["case_id"])
     dim = spark.createDataFrame([("match", 0), ("mismatch", 1), ("missing", 2), ("unclear", 3)], "id string, rank int")
     return A.zero_filled(v, "verdict", dim, "rank").select(F.col("id").alias("verdict"), "n")
 
 
-SECTIONS = '[{"fields":[{"label":"City","value":"Riyadh"},{"label":"Note","value":""}],"record_label":"Owner","records":[[{"label":"Name","value":"Ali"},{"label":"Share","value":"1/2"}],[{"label":"Name","value":"Sara"}]]}]'
-_SHAPE = "array<struct<fields:array<struct<label:string,value:string>>,record_label:string,records:array<array<struct<label:string,value:string>>>>>"
-
-
-@query("SELECT * FROM (VALUES (1, 1, 'City', 'Riyadh'), (1, 2, 'Owner 1 - Name', 'Ali'), (1, 3, 'Owner 1 - Share', '1/2'), (1, 4, 'Owner 2 - Name', 'Sara')) t(id, line, label, value)")
+@query("""WITH c AS (SELECT o_orderkey AS id, 0 AS s, -1 AS r, 0 AS i, 'City' AS label, o_clerk AS value FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS o_clerk FROM orders)
+ UNION ALL SELECT l_orderkey, 0, l_linenumber - 1, 0, 'Owner ' || l_linenumber || ' - Name', l_returnflag FROM (SELECT DISTINCT l_orderkey, l_linenumber, min(l_returnflag) OVER (PARTITION BY l_orderkey, l_linenumber) AS l_returnflag FROM lineitem))
+ SELECT id, row_number() OVER (PARTITION BY id ORDER BY s, r, i) AS line, label, value FROM c WHERE value <> ''""")
 def flatten_pairs(spark, sf):
-    df = spark.createDataFrame([(1, SECTIONS)], "id int, j string").select("id", F.from_json("j", _SHAPE).alias("s"))
-    return R.flatten_sections(df, "id", "s").select("id", F.col("line").cast("int").alias("line"), "label", "value")
+    """Orders as a section with a field and a record for each line; empty values are no lines."""
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id"), "l_linenumber").agg(F.min("l_returnflag").alias("flag"))
+    field = lambda label, value: F.struct(F.lit(label).alias("label"), value.alias("value"))
+    numbered = lines.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "flag"))).alias("l"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderstatus")).alias("city"))
+    wide = F.transform(F.sequence(F.lit(1), F.greatest(F.array_max(F.transform("l", lambda x: x["l_linenumber"])), F.lit(1))), lambda n: F.array(field("Name", F.try_element_at(F.filter("l", lambda x: x["l_linenumber"] == n), F.lit(1))["flag"])))
+    d = orders.join(numbered, "id", "left").select("id", F.array(F.struct(F.array(field("City", F.col("city"))).alias("fields"), F.lit("Owner").alias("record_label"), wide.alias("records"))).alias("s"))
+    return R.flatten_sections(d, "id", "s").select("id", F.col("line").cast("long").alias("line"), "label", "value")
 
 
 @query("SELECT 'k' AS key, count(json_extract_string(props, '$.k')) AS n, count(*) AS \"of\", 'number' AS types FROM events")
 def schema_profile(spark, sf):
-    from ..session import table
-
     return R.presence(table(spark, sf, "events"), "props")
 
 
@@ -156,13 +159,12 @@ def fill_blocks(spark, sf):
     return M.fill_both_ways(spark.createDataFrame(LINES, "doc string, ln int, block string"), "doc", "ln", "block")
 
 
-CARRY = [("p", 1, "head", 0.9, False), ("p", 2, "ali: one", 0.8, True), ("p", 3, "more", 0.4, False), ("p", 4, "sara: two", 0.7, True)]
-
-
-@query("SELECT * FROM (VALUES ('p', 1::BIGINT, 'ali: one more', 0.4::DOUBLE), ('p', 2, 'sara: two', 0.7)) t(page, entry, text, confidence)")
+@query("""WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents), s AS (SELECT *, sum(CASE WHEN length(line) % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ln) AS entry FROM t)
+ SELECT doc_id, CAST(entry AS BIGINT) AS entry, string_agg(line, ' ' ORDER BY ln) AS text, min(1.0 / ln) AS confidence FROM s WHERE entry > 0 GROUP BY 1, 2""")
 def carry_lines(spark, sf):
-    df = spark.createDataFrame(CARRY, "page string, ln int, text string, confidence double, starts boolean")
-    return M.carry_forward(df, "page", "ln", F.col("starts"))
+    """Lines whose length is divisible by three open an entry; the others continue the one before."""
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).withColumn("ln", F.col("i") + 1)
+    return M.carry_forward(d.withColumn("confidence", 1 / F.col("ln")), "doc_id", "ln", F.length("text") % 3 == 0)
 
 
 CELLS = [(1, "=SUM(A1)"), (2, "+1"), (3, "plain"), (4, "-x"), (5, "@y"), (6, None), (7, "a=b")]
@@ -173,20 +175,20 @@ def csv_cells(spark, sf):
     return spark.createDataFrame(CELLS, "id int, c string").select("id", X.csv_cell(F.col("c")).alias("cell"))
 
 
-NAMES = [(1, "../../etc/pass?wd", "pass_wd"), (2, "C:\\a\\b:c.pdf", "b_c.pdf"), (3, "...", "file"), (4, "تقرير.pdf", "تقرير.pdf"), (5, "", "file")]
-
-
-@query(f"WITH t(id, s, e) AS ({_sql(NAMES)}) SELECT id, e AS name FROM t")
+@query("""SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'file' WHEN 1 THEN 'a_b ' || c_custkey || '.pdf' WHEN 2 THEN 'تقرير' || c_custkey || '.pdf' ELSE left(c_custkey || repeat('x', 200), 120) END AS name FROM customer""")
 def safe_names(spark, sf):
-    return spark.createDataFrame(NAMES, "id int, s string, e string").select("id", X.safe_name(F.col("s")).alias("name"))
-
-
-KEYS = [(1, "deedNumber", "Deed number"), (2, "owner_id", "Owner id"), (3, "plain", "Plain")]
+    """Names of dots only, with folders and forbidden signs, in Arabic, and too long."""
+    n = F.col("c_custkey").cast("string")
+    ways = [F.lit(" ... "), F.concat(F.lit("../up\\x/a?b "), n, F.lit(".pdf")), F.concat(F.lit("C:\\تقرير"), n, F.lit(".pdf")), F.concat(n, F.repeat(F.lit("x"), 200))]
+    name = F.element_at(F.array(*ways), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), X.safe_name(name).alias("name"))
 
 
-@query(f"WITH t(id, k, e) AS ({_sql(KEYS)}) SELECT id, e AS label FROM t")
+@query("""SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'Deed' || c_custkey || ' number' WHEN 1 THEN 'Owner id ' || c_custkey ELSE 'Plain' || repeat('k', 1200) END AS label FROM customer""")
 def key_labels(spark, sf):
-    return spark.createDataFrame(KEYS, "id int, k string, e string").select("id", X.label_of(F.col("k")).alias("label"))
+    n = F.col("c_custkey").cast("string")
+    key = F.element_at(F.array(F.concat(F.lit("deed"), n, F.lit("Number")), F.concat(F.lit("owner__id_"), n), F.concat(F.lit("plain"), F.repeat(F.lit("k"), 1200))), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), X.label_of(key).alias("label"))
 
 
 OUTSIDE = [(1, "riyadh", "a"), (2, "makkah", "a"), (3, "unknown", "outside_jurisdiction"), (4, None, "a"), (5, "", "outside_jurisdiction")]
@@ -206,14 +208,14 @@ def confidence_blend(spark, sf):
     return t.select("id", F.round(1000 * D.confidence(F.col("a"), F.col("b"), F.col("c"))).cast("long").alias("thousandths"))
 
 
-EDITS = [(1, '{"city":"a","note":""}', '{"city":"b","note":null,"x":"1"}'), (2, '{"k":"v"}', '{"k":"v"}')]
-
-
-@query("SELECT * FROM (VALUES (1, 'city', 'a', 'b'), (1, 'x', NULL, '1')) t(id, field, old, new)")
+@query("""SELECT o_orderkey AS id, 'status' AS field, o_orderstatus AS old, 'F' AS new FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, 'note', NULL, 'new' FROM orders WHERE o_orderkey % 2 = 0""")
 def real_changes(spark, sf):
-    t = spark.createDataFrame(EDITS, "id int, a string, b string")
-    m = R.changes_of(F.from_json("a", "map<string,string>"), F.from_json("b", "map<string,string>"))
-    return t.select("id", F.explode(m).alias("field", "c")).select("id", "field", F.col("c.from").alias("old"), F.col("c.to").alias("new"))
+    """Old and new maps of every order; empty and absent values are the same."""
+    o = table(spark, sf, "orders")
+    old = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("gone"), F.lit(""))
+    new = F.create_map(F.lit("status"), F.lit("F"), F.lit("note"), F.when(F.col("o_orderkey") % 2 == 0, "new").otherwise(""))
+    d = o.select(F.col("o_orderkey").alias("id"), F.explode(R.changes_of(old, new)).alias("field", "c"))
+    return d.select("id", "field", F.col("c.from").alias("old"), F.col("c.to").alias("new"))
 
 
 ALIASES = [("owner name", "owner"), ("name", "owner"), ("name", "agent"), ("deed no", "deed")]
@@ -225,12 +227,13 @@ def label_alignment(spark, sf):
     return R.align_labels(spark.createDataFrame(ROWS, "id int, label string"), spark.createDataFrame(ALIASES, "alias string, key string")).select("id", "key")
 
 
-QUOTES = [(1, 0, 10), (1, 5, 15), (1, 10, 12), (1, 12, 30), (1, 40, 50)]
-
-
-@query("SELECT * FROM (VALUES (1, '0-10 10-12 12-30')) t(id, kept)")
+@query("""WITH RECURSIVE s AS (SELECT l_orderkey AS id, l_linenumber * 10 AS a, l_linenumber * 10 + CAST(l_quantity AS INT) AS b FROM lineitem), k(id, n, b, kept) AS (SELECT DISTINCT id, 0, -1, '' FROM s UNION ALL
+ SELECT k.id, n + 1, x.b, kept || CASE WHEN n > 0 THEN ' ' ELSE '' END || x.a || '-' || x.b FROM k JOIN LATERAL (SELECT a, b FROM s WHERE s.id = k.id AND a >= k.b ORDER BY a, b LIMIT 1) x ON true WHERE n < 3)
+ SELECT id, arg_max(kept, n) AS kept FROM k GROUP BY 1""")
 def greedy_quotes(spark, sf):
-    t = spark.createDataFrame(QUOTES, "id int, start int, end int").groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("s"))
+    """Spans of the lines of an order, from the left, without overlaps, three at most."""
+    start = F.col("l_linenumber") * 10
+    t = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(start.alias("start"), (start + F.col("l_quantity").cast("int")).alias("end"))).alias("s"))
     kept = F.transform(M.greedy_spans(F.col("s")), lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string")))
     return t.select("id", F.array_join(kept, " ").alias("kept"))
 
@@ -244,12 +247,12 @@ def personal_fields(spark, sf):
     return spark.createDataFrame(PERSONAL, "id int, p string").select("id", K.personal_path(F.col("p"), ["principals.id"]).alias("personal"))
 
 
-BAGS = [(1, "a b b", "b a b"), (2, "a b", "a b b"), (3, "", "")]
-
-
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, true)) t(id, same)")
+@query("SELECT doc_id AS id, doc_id % 3 <> 0 OR length(text) = 0 AS same FROM documents")
 def multiset_equal(spark, sf):
-    return spark.createDataFrame(BAGS, "id int, a string, b string").select("id", X.same_multiset(F.split("a", " "), F.split("b", " ")).alias("same"))
+    """The characters of a text against themselves in reverse, and against the text with its first one doubled."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.split("text", "").alias("c"), "text")
+    other = F.when(F.col("id") % 3 == 0, F.split(F.concat(F.left("text", F.lit(1)), "text"), "")).otherwise(F.reverse("c"))
+    return d.select("id", X.same_multiset(F.col("c"), other).alias("same"))
 
 
 CALLS = [(1, "deed", False), (1, "company", True), (2, "deed", True), (2, "free", False)]
@@ -269,8 +272,6 @@ FINDINGS = [("same", "10 SAR", "10 sar", "x", True), ("same", "a 10", "a 11", "x
 
 @query("WITH f(way, ok) AS (VALUES " + ", ".join(f"({i}, {str(f[-1]).lower()})" for i, f in enumerate(FINDINGS)) + ") SELECT o_orderkey AS id, ok FROM orders JOIN f ON o_orderkey % 10 = way")
 def finding_rules(spark, sf):
-    from ..session import table
-
     pick = lambda k: F.element_at(F.array(*[F.lit(f[k]).cast("string") for f in FINDINGS]), (F.col("o_orderkey") % 10 + 1).cast("int"))
     found = lambda q: F.coalesce((q != "") & (F.length(q) <= 6), F.lit(False))
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), C.finding_ok(pick(0), pick(1), pick(2), pick(3), found(pick(1)), found(pick(2))).alias("ok"))
