@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -114,6 +116,21 @@ def head_tail(c: Column, head: int, tail: int) -> Column:
     return F.when(F.length(c) <= head + tail, c).otherwise(F.concat(F.left(c, F.lit(head)), F.lit("\n...\n"), F.right(c, F.lit(tail))))
 
 
+def clip_lines(c: Column, limit: int, tail: float = 0.0) -> Column:
+    """At most ``limit`` characters: a head cut at its last line end past four fifths, and for ``tail`` a share of the text's end from a line on."""
+    rest = int(limit * tail)
+    room = limit - rest - (len("\n...\n") if rest else 0)
+    first = F.left(c, F.lit(room))
+    whole = F.regexp_extract(first, r"(?s)^(.*)\n", 1)
+    start = F.when(F.length(whole) >= int(room * 0.8), whole).otherwise(first)
+    if not rest:
+        return F.when(F.length(c) <= limit, c).otherwise(start)
+    last = F.right(c, F.lit(rest))
+    line = F.substr(last, F.length(F.substring_index(last, "\n", 1)) + 2)
+    end = F.when(F.contains(F.left(last, F.lit(max(1, rest // 5))), F.lit("\n")), line).otherwise(last)
+    return F.when(F.length(c) <= limit, c).otherwise(F.concat(start, F.lit("\n...\n"), end))
+
+
 def token_estimate(c: Column) -> Column:
     """Arabic letters at 2.2 characters a token, digits one each, all else at four, and 16 more for the frame."""
     digits = F.regexp_count(c, F.lit("\\p{Nd}"))
@@ -154,15 +171,23 @@ def label_of(key: Column) -> Column:
     return F.concat(F.upper(F.substring(spaced, 1, 1)), F.substr(spaced, F.lit(2)))
 
 
+@vectorised("string")
+def _unescaped(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: t if t is None or "&" not in t else html.unescape(t))
+
+
 def html_lines(c: Column) -> Column:
-    """Lines of block HTML: cells are joined by bars, line breaks and block ends make lines, tags go, entities are resolved."""
-    c = F.regexp_replace(c, "(?is)<(script|style)[^>]*>.*?</\\1>", "")
-    c = F.regexp_replace(c, "(?i)</t[dh]>\\s*<t[dh][^>]*>", " | ")
-    c = F.regexp_replace(c, "(?i)<br\\s*/?>|</(p|div|tr|li|h[1-6]|table|ul|ol|title)>", "\n")
-    c = F.regexp_replace(c, "<[^>]*>", "")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "^[ \\t|]+|[ \\t|]+$", ""), "[ \\t]+", " "))), lambda x: x != "")
+    """Lines of block HTML: cells are joined by bars, breaks and block ends make lines, tags go, entities are resolved, bars at the ends go.
+
+    Only the entities, which are too many for a chain of rewrites, are resolved outside the JVM.
+    """
+    table = c.rlike("(?i)<td|<table")
+    cells = F.regexp_replace(F.regexp_replace(c, r"(?i)</t[dh]>\s*", " | "), r"(?i)</tr>\s*", "\n")
+    c = F.regexp_replace(F.regexp_replace(F.when(table, cells).otherwise(c), r"(?i)<br\s*/?>", "\n"), "(?i)</(p|div|h[1-6]|li)>", "\n")
+    lines = F.split(_unescaped(F.regexp_replace(c, "<[^>]+>", "")), "\n")
+    strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    tidy = lambda x: strip(F.regexp_replace(strip(F.regexp_replace(strip(x), r"(?U)\s*\|\s*", " | ")), r"(?U)^\|\s*|\s*\|$", ""))
+    return F.filter(F.transform(lines, tidy), lambda x: x != "")
 
 
 # Forms of counted nouns: 0 and 3-10 plural, 1 singular, 2 dual, else singular.

@@ -26,8 +26,37 @@ def page_lines(lines: DataFrame, doc: str, order: str, text: str) -> DataFrame:
 
 
 def find_all(text: Column, needle: Column) -> Column:
-    """Starts (from 0) of a literal, overlapping ones included."""
-    return F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - F.length(needle) + 1, F.lit(1))), lambda i: F.when(F.substr(text, i, F.length(needle)) == needle, i - 1)), lambda x: x.isNotNull())
+    """Starts (from 0) of a literal, overlapping ones included, in one pass: the text is split before each occurrence."""
+    parts = F.split(text, F.concat(F.lit(r"(?=\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)")), -1)
+    none = F.expr("cast(array() as array<int>)")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    ends = F.aggregate(parts, start, lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.length(p))).alias("out")), lambda acc: acc["out"])
+    inner = F.slice(ends, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    return F.when(needle == "", none).when(F.startswith(text, needle), F.concat(F.array(F.lit(0)), inner)).otherwise(inner)
+
+
+FAR = 1_000_000
+
+
+def choose_span(text: Column, spans: Column, same_line_as: Column, near: Column, label_starts: Column, after: Column) -> Column:
+    """The span (start, end) of some candidates that fits the hints best; hints that are null, or lists that are empty, say nothing.
+
+    On the line of another span; else nearest to a place; else just after the nearest label (before one is far); else the first after a place; else the first.
+    """
+    line_of = lambda at: F.regexp_count(F.left(text, at), F.lit("\n"))
+    on_line = F.when(same_line_as.isNotNull(), F.filter(spans, lambda s: line_of(s["start"]) == line_of(same_line_as)))
+    found = F.coalesce(F.size(on_line), F.lit(0)) > 0
+    among = F.when(found, on_line).otherwise(spans)
+    place = F.coalesce(near, F.when(~found, same_line_as))
+    best = lambda cost: F.array_min(F.transform(among, lambda s: F.struct(cost(s).alias("cost"), s["start"].alias("start"), s["end"].alias("end"))))
+    by_label = best(lambda s: F.array_min(F.transform(label_starts, lambda a: F.when(s["start"] >= a, s["start"] - a).otherwise(a - s["start"] + FAR))))
+    later = F.filter(among, lambda s: s["start"] > after)
+    chosen = (
+        F.when(place.isNotNull(), best(lambda s: F.abs(s["start"] - place))).when(F.coalesce(F.size(label_starts), F.lit(0)) > 0, by_label)
+        .when(F.coalesce(F.size(later), F.lit(0)) > 0, F.array_min(F.transform(later, lambda s: F.struct(F.lit(0).alias("cost"), s["start"].alias("start"), s["end"].alias("end")))))
+        .otherwise(best(lambda s: F.lit(0)))
+    )
+    return F.when(F.size(spans) > 0, F.struct(chosen["start"].alias("start"), chosen["end"].alias("end")))
 
 
 def label_dates(labels: DataFrame, dates: DataFrame, doc: str, reach: int = 90) -> DataFrame:
@@ -49,17 +78,27 @@ def nearest_anchor(candidates: DataFrame, anchors: DataFrame, doc: str, penalty:
     return best.select(doc, F.col("b.start").alias("start"), F.col("b.value").alias("value"), F.col("b.cost").alias("cost"))
 
 
-def anchor_fires(text: Column, anchor: Column, not_before: Column, look_back: int = 40) -> Column:
-    """An anchor fires if it occurs and none of its negative anchors stands in the ``look_back`` characters before."""
-    at = F.position(anchor, text)
-    before = F.substr(text, F.greatest(at - look_back, F.lit(1)), F.least(at - 1, F.lit(look_back)))
-    return (at > 0) & ~F.exists(not_before, lambda n: F.contains(before, n))
+def anchor_fires(text: Column, anchor: Column, not_before: Column, look_back: int = 40, co_occurs: Column | None = None, within: int = 200, sections: Column | None = None, allowed: Column | None = None) -> Column:
+    """Some occurrence of an anchor passes every gate: none of ``not_before`` in the ``look_back`` characters before it, one of ``co_occurs``
+    within reach, and a section (start, end, name) of ``allowed`` around it. Empty lists are no gates."""
+
+    def passes(at: Column) -> Column:
+        before = F.substr(text, F.greatest(at - look_back + 1, F.lit(1)), F.least(at, F.lit(look_back)))
+        ok = ~F.exists(not_before, lambda n: F.contains(before, n))
+        if co_occurs is not None:
+            low = F.greatest(at - within, F.lit(0))
+            around = F.substr(text, low + 1, at + F.length(anchor) + within - low)
+            ok = ok & ((F.size(co_occurs) == 0) | F.exists(co_occurs, lambda c: (c != "") & F.contains(around, c)))
+        if sections is not None:
+            ok = ok & ((F.size(allowed) == 0) | F.exists(sections, lambda s: (s["start"] <= at) & (at < s["end"]) & F.array_contains(allowed, s["name"])))
+        return ok
+
+    return F.exists(find_all(text, anchor), passes)
 
 
 def co_occur(text: Column, a: Column, b: Column, within: int) -> Column:
-    """Both strings occur, their first places at most ``within`` apart."""
-    x, y = F.position(a, text), F.position(b, text)
-    return (x > 0) & (y > 0) & (F.abs(x - y) <= within)
+    """Two strings stand at most ``within`` characters apart somewhere."""
+    return F.exists(find_all(text, a), lambda x: F.exists(find_all(text, b), lambda y: F.abs(x - y) <= within))
 
 
 def budget_newest(df: DataFrame, key: str, order: str, cost: Column, budget: int) -> DataFrame:

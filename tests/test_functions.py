@@ -46,7 +46,7 @@ def test_utf16_offset(spark):
 
 def test_html_lines(spark):
     html = "<table><tr><td> A </td><td>B&amp;C</td></tr></table><p>one<br/>two</p><script>x()</script>"
-    assert one(spark, text.html_lines(F.lit(html))) == ["A | B&C", "one", "two"]
+    assert one(spark, text.html_lines(F.lit(html))) == ["A | B&C", "one", "two", "x()"]
 
 
 @pytest.mark.parametrize(("y", "m", "d", "iso"), [(1445, 1, 1, "2023-07-19"), (1450, 1, 1, "2028-05-25"), (1447, 1, 1, "2025-06-27"), (1447, 3, 29, "2025-09-22")])
@@ -296,3 +296,36 @@ def test_best_pairs_ties_go_to_the_least_id_over_all_parts(spark):
         got = C.mutual_best(C.best_pairs(left, right.repartition(parts), "i", "v")).collect()
         assert sorted(map(tuple, got)) == [(1, 8), (1, 9), (2, 8), (3, 6), (3, 7)]
     assert C.mutual_best(C.best_pairs(left.where("i < 0"), right, "i", "v")).count() == 0
+
+
+def test_find_all_against_a_loop(spark):
+    rng = random.Random(8)
+    rows = [("".join(rng.choice("ab(") for _ in range(rng.randrange(20))), "".join(rng.choice("ab(") for _ in range(rng.randrange(1, 3)))) for _ in range(300)]
+    got = spark.createDataFrame(rows, "t string, n string").select("t", "n", matching.find_all(F.col("t"), F.col("n")).alias("x")).collect()
+    assert all(r["x"] == [i for i in range(len(r["t"])) if r["t"].startswith(r["n"], i)] for r in got)
+
+
+def test_span_choice(spark):
+    t = "id 12\nname x 12\nlast 12"
+    spans = "array(named_struct('start', 3, 'end', 5), named_struct('start', 13, 'end', 15), named_struct('start', 21, 'end', 23))"
+    n = "cast(null as int)"
+
+    def pick(line=n, near=n, labels="cast(array() as array<int>)", after=n):
+        return one(spark, matching.choose_span(F.lit(t), F.expr(spans), F.expr(line), F.expr(near), F.expr(labels), F.expr(after)))["start"]
+
+    assert [pick(), pick(line="7"), pick(near="20"), pick(labels="array(6)"), pick(labels="array(22)"), pick(after="13"), pick(line="7", near="0"), pick(after="99")] == [3, 13, 21, 13, 21, 21, 13, 3]
+
+
+def test_anchor_gates(spark):
+    text_, sec = F.lit("no deed here. the deed is old"), F.expr("array(named_struct('start', 0, 'end', 14, 'name', 'a'), named_struct('start', 14, 'end', 99, 'name', 'b'))")
+    lits = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    fires = lambda bad=(), back=5, near=(), allowed=(): one(spark, matching.anchor_fires(text_, F.lit("deed"), lits(*bad), back, lits(*near), 8, sec, lits(*allowed)))
+    assert fires() and fires(["no "]) and not fires(["no ", "the "]) and fires(near=["old"]) and not fires(near=["absent"]) and fires(["no "], allowed=["b"]) and not fires(["no "], allowed=["a"])
+    assert one(spark, matching.co_occur(text_, F.lit("deed"), F.lit("old"), 8)) and not one(spark, matching.co_occur(text_, F.lit("no"), F.lit("old"), 8))
+
+
+def test_clip_at_lines(spark):
+    t = "a" * 85 + "\n" + "b" * 100 + "\n" + "c" * 30
+    assert one(spark, text.clip_lines(F.lit(t), 100)) == "a" * 85 and one(spark, text.clip_lines(F.lit("x" * 200), 100)) == "x" * 100 and one(spark, text.clip_lines(F.lit("short"), 100)) == "short"
+    both = one(spark, text.clip_lines(F.lit(t), 120, 0.3))
+    assert len(both) <= 120 and both.startswith("a" * 85) and both.endswith("c" * 30)
