@@ -328,4 +328,33 @@ def test_clip_at_lines(spark):
     t = "a" * 85 + "\n" + "b" * 100 + "\n" + "c" * 30
     assert one(spark, text.clip_lines(F.lit(t), 100)) == "a" * 85 and one(spark, text.clip_lines(F.lit("x" * 200), 100)) == "x" * 100 and one(spark, text.clip_lines(F.lit("short"), 100)) == "short"
     both = one(spark, text.clip_lines(F.lit(t), 120, 0.3))
-    assert len(both) <= 120 and both.startswith("a" * 85) and both.endswith("c" * 30)
+    assert len(both) <= 120 and both.startswith("a" * 79) and both.endswith("c" * 30)
+
+
+def test_steps_and_retries(spark):
+    q = spark.createDataFrame([(1, "queued"), (2, "done"), (3, "ocr"), (4, "error")], "id int, stage string")
+    new, log = cases.step(q, spark.createDataFrame([(1, "ocr"), (2, "ocr"), (3, "done")], "id int, to string"), F.lit("2026-01-01").cast("timestamp"))
+    assert {r["id"]: r["stage"] for r in new.collect()} == {1: "ocr", 2: "done", 3: "ocr", 4: "error"} and [(r["id"], r["old"], r["new"]) for r in log.collect()] == [(1, "queued", "ocr")]
+    runs = spark.createDataFrame([(1, "ok", 0, False, 1), (2, "busy", 1, False, 1), (3, "busy", 3, False, 3), (4, "busy", 3, True, 3), (5, "failed", 0, False, 2), (6, "failed", 0, False, 3)], "id int, outcome string, busy_tries int, reloaded boolean, attempts int")
+    now = F.lit("2026-01-01").cast("timestamp")
+    got = {r["id"]: (r["stage"], r["tries"], r["was_reloaded"], r["late"]) for r in cases.after_run(runs, now).withColumn("late", F.col("not_before") > now).collect()}
+    assert got == {1: ("done", 0, False, None), 2: ("queued", 2, False, True), 3: ("queued", 3, True, False), 4: ("error", 3, True, None), 5: ("queued", 0, False, False), 6: ("error", 0, False, None)}
+
+
+def test_stale_accepts_go(spark):
+    reviews = spark.createDataFrame([(1, "a", "accept", "x"), (1, "b", "accept", "x"), (1, "c", "edit", "y"), (2, "a", "accept", "x")], "id int, key string, action string, value string")
+    fields = spark.createDataFrame([(1, "a", "x"), (1, "b", "z"), (1, "c", "q")], "id int, key string, value string")
+    assert {(r["id"], r["key"]) for r in cases.kept_reviews(reviews, fields).collect()} == {(1, "a"), (1, "c")}
+
+
+def test_single_owner_and_progress(spark, tmp_path):
+    lock = str(tmp_path / "lock")
+    with cases.single_owner(lock):
+        with pytest.raises(RuntimeError, match="owns"), cases.single_owner(lock):
+            pass
+    with cases.single_owner(lock):
+        pass
+    spark.sparkContext.setJobGroup("g1", "test")
+    spark.range(10).count()
+    assert cases.progress(spark, "g1")["done"] >= 1
+    spark.sparkContext.setJobGroup("", "")
