@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caselake.functions import text
 from caselake.operators import answers as A
-from caselake.operators import citation, cleaning, gazetteer, segment
+from caselake.operators import citation, cleaning, gazetteer, layout, segment
 
 
 def one(spark, column):
@@ -127,3 +127,32 @@ def test_small_rules(spark):
     assert [(s["title"], [tuple(f) for f in s["fields"]]) for s in cut] == [("t", [("ab", "xy")])]
     cols = spark.createDataFrame([("a", True, ["x"]), ("b", False, ["اسم"]), ("c", False, ["قط"])], "key string, required boolean, names array<string>")
     assert [r["key"] for r in A.printed_columns(cols, F.lit("الاسم هنا"), "required", "names").orderBy("key").collect()] == ["a", "b"]
+
+
+def test_layouts_are_kept_or_dropped_whole(spark):
+    block = {"label": "Text", "bbox": [-0.1, 0.2, 0.5, 2], "lines": ["a", "b"]}
+    bad = [{**block, "bbox": [0.5, 0, 0.5, 1]}, {**block, "bbox": [0, 0, 1]}, {**block, "label": "x" * 41}, {**block, "lines": None}, {**block, "lines": ["a"] * 4001}, {**block, "label": None}]
+    rows = [json.dumps({"blocks": [block]}), json.dumps({"blocks": []}), *(json.dumps({"blocks": [block, b]}) for b in bad), "{}", "none", None, json.dumps({"blocks": [block] * 801})]
+    got = [r["p"] for r in spark.createDataFrame([(r,) for r in rows], "r string").select(layout.clean_page(F.col("r")).alias("p")).collect()]
+    assert got[0]["blocks"][0]["bbox"] == [0.0, 0.2, 0.5, 1.0] and got[1]["blocks"] == [] and all(g is None for g in got[2:])
+
+
+def test_lines_find_their_blocks(spark):
+    df = spark.createDataFrame([([["title", "one"], ["two", "three"]], ["title", "on", "new", "three"]), ([], ["x"]), ([["a"]], ["zz", "q"])], "b array<array<string>>, l array<string>")
+    got = [[p and tuple(p) for p in r["p"]] for r in df.select(layout.places_of_lines("b", "l").alias("p")).collect()]
+    assert got == [[(0, 0), (0, 1), (1, 0), (1, 1)], [None], [(0, 0), (0, 0)]]
+
+
+def test_label_and_value_lines(spark):
+    lines = [(1, 1, "City"), (1, 2, "Riyadh"), (1, 3, "Date: 2024"), (1, 4, "Name"), (1, 5, "Number"), (1, 6, "12"), (1, 7, "prose"), (1, 8, "City"), (1, 9, "a | b")]
+    got = layout.label_values(spark.createDataFrame(lines, "doc int, ln int, t string"), "doc", "ln", "t", spark.createDataFrame([("City",), ("Name",), ("Number",)], "label string")).orderBy("ln").collect()
+    assert [(r["ln"], r["label"], r["value"]) for r in got] == [(1, "City", "Riyadh"), (3, "Date", "2024"), (4, None, None), (5, "Number", "12"), (7, None, None), (8, None, None), (9, None, None)]
+
+
+def test_answers_as_display_rows(spark):
+    tree = {"crName": "Firm", "owners": [{"name": "Ali", "nationalId": "1023456789"}, {"name": "Sara", "nationalId": "1098765432"}], "acts": ["a", "b"], "boards": [{"title": "x", "members": [{"n": 1}, {"n": 2}]}], "note": "call 055 123 4567 now", "empty": ""}
+    rows = layout.answer_rows(spark.createDataFrame([(1, json.dumps(tree)), (2, "broken")], "doc int, j string"), "doc", "j")
+    got = {(r["path"], r["record"]): (r["label"], r["value"]) for r in layout.display_rows(rows, spark.createDataFrame([("crName", "الاسم")], "path string, label string")).collect()}
+    assert got["crName", ""] == ("الاسم", "Firm") and got["owners[].nationalId", "/owners.1"] == ("National id", "••••••6789") and got["note", ""][1] == "call ••• ••• 4567 now" and ("empty", "") not in got
+    shapes = {r["list"]: r["shape"] for r in layout.list_shapes(rows, "doc").collect()}
+    assert shapes == {"/owners": "table", "/acts": "list", "/boards": "cards", "/boards.1/members": "table"}
