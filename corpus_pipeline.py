@@ -25,22 +25,32 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each near-duplicate class, with all rows of that id."""
+    """Keep the document with the least id of each near-duplicate class, with all rows of that id.
+
+    A document is a doc_id: rows that repeat the kept id stay, exact copies of each other too. Rows with a null id are in no class and
+    stay; null or wordless texts are classes of their own.
+    """
     return bagminhash.drop_near_copies(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut out what windows of 50 words repeat from documents with a smaller id; every document stays."""
+    """Cut out what windows of 50 words repeat from documents with a smaller id; every document stays.
+
+    Rows with a null id or text stay as they are; rows that share an id are no sources for each other.
+    """
     return substring_dedup.remove_repeats(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop documents of which tiles cover half of a benchmark item or more; a tie at the share drops.
+
+    All rows of such a doc_id go; rows with a null id or text stay; null, empty and very short items drop nothing.
+    """
     return decontamination.drop_leaks(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their sequence and place."""
+    """Pieces with their sequence and place; null texts are one token, rows that repeat an id or have none are packed like others."""
     return packing.pack(docs, default_path("word_bpe_49k.json"))
 
 
@@ -59,7 +69,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents under ``sf_dir``."""
     scratch = Scratch(spark, "pipeline")
-    docs = read_documents(spark, sf_dir)
+    docs, before = read_documents(spark, sf_dir), None
     for _, stage in STAGES[:-1]:
         docs = scratch.cut(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from caselake.llm import bagminhash as B
+from caselake.llm import common
 from caselake.llm import substring_dedup as S
 from caselake.llm.common import WORD, Rolling, WordHashes, hash_words, sliding_min
 from tests.conftest import SMALL
@@ -195,3 +196,23 @@ def test_cells_bound_the_overlap_from_above():
         for j in range(i):
             apart = sum(abs(bags[i].get(k, 0) - bags[j].get(k, 0)) for k in bags[i].keys() | bags[j].keys())
             assert np.bitwise_count(rows[i, :-1] ^ rows[j, :-1]).sum() <= apart
+
+
+def test_joins_of_hot_keys_against_a_plain_join(spark, monkeypatch):
+    """A key of half of all rows is dealt to several tasks and joins like any other; keys without a partner go."""
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = [(0 if i % 2 else i % 7, i) for i in range(400)]
+    big = spark.createDataFrame(rows, "k long, i long")
+    counts = Counter(k for k, _ in rows)
+    small = spark.createDataFrame([(k, n, f"v{k}") for k, n in counts.items() if k != 3] + [(99, 0, "none")], "k long, n long, v string")
+    got = common.join_counted(big, small, ["k"], 400, ["i"])
+    assert sorted(tuple(r) for r in got.select("k", "i", "v").collect()) == sorted((k, i, f"v{k}") for k, i in rows if k != 3)
+    assert got.columns == ["k", "i", "v"]
+
+
+def test_equal_words_are_told_by_digests(spark):
+    """Two texts over two words that collide in polynomial hashes modulo 2^64 are no copies of each other."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = (" ".join("xy"[bit ^ flip] for bit in bits) for flip in (0, 1))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    assert {r["doc_id"]: r["copy_of"] for r in B.near_classes(docs).collect()} == {1: 1, 2: 2, 3: 1}
