@@ -138,7 +138,7 @@ def codes_beside_names(spark, sf):
     return A.without_codes(rows, "id").groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("keys"))
 
 
-@query("""SELECT l_orderkey AS page, l_linenumber % 2 AS line, string_agg(l_returnflag, ' ' ORDER BY l_partkey, l_suppkey, l_returnflag) AS text, min(l_partkey) AS x0, max(l_partkey + 10) AS x1, round(avg(CASE WHEN l_quantity >= 10 THEN l_quantity END), 2) AS conf
+@query("""SELECT l_orderkey AS page, l_linenumber % 2 AS line, string_agg(l_returnflag, ' ' ORDER BY l_partkey, l_suppkey, l_returnflag) AS text, min(l_partkey) AS x0, max(l_partkey + 10) AS x1, round_even(avg(CASE WHEN l_quantity >= 10 THEN l_quantity END), 2) AS conf
  FROM lineitem GROUP BY 1, 2""")
 def recognised_lines(spark, sf):
     """Words of a page to lines, with hull and mean confidence; negative confidence does not count."""
