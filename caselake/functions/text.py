@@ -49,6 +49,16 @@ def ascii_digits(c: Column) -> Column:
     return F.translate(c, DIGITS_FROM, DIGITS_TO)
 
 
+#: Digits that compatibility forms add: full width, superscript and subscript.
+COMPATIBLE_FROM, COMPATIBLE_TO = "０１２３４５６７８９⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉", "0123456789" * 3
+
+
+def bare_number(c: Column) -> Column:
+    """A typed number in ASCII digits, whatever system or form it was typed in, without blanks, dashes, dots and invisible characters."""
+    digits = F.translate(c, DIGITS_FROM + COMPATIBLE_FROM + BIDI, DIGITS_TO + COMPATIBLE_TO)
+    return F.regexp_replace(digits, r"(?U)[\s.\-‐-―]+", "")
+
+
 def national_id(c: Column) -> Column:
     """An identifier without spaces, dashes and invisible characters, in ASCII digits."""
     return F.regexp_replace(F.translate(c, DIGITS_FROM + BIDI, DIGITS_TO), "(?U)[\\s-]+", "")

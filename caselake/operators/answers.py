@@ -20,7 +20,7 @@ ARTICLE = "ال"
 
 def number_kind(c: Column) -> Column:
     """struct(digits, kind) of a typed register number: unified (begins with 70) or cr, ten digits both; null for anything else."""
-    digits = F.regexp_replace(F.translate(c, X.DIGITS_FROM + X.BIDI, X.DIGITS_TO), r"(?U)[\s.\-‐-―]+", "")
+    digits = X.bare_number(c)
     kind = F.when(digits.rlike("^70[0-9]{8}$"), "unified").when(digits.rlike("^[1-57][0-9]{9}$"), "cr")
     return F.when(kind.isNotNull(), F.struct(digits.alias("digits"), kind.alias("kind")))
 

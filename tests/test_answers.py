@@ -15,7 +15,7 @@ def one(spark, column):
 
 
 def test_number_kinds(spark):
-    rows = [("٧٠٠ ١٢٣ ٤٥٦٧", "7001234567", "unified"), ("1010-123.456", "1010123456", "cr"), ("12345", None, None), ("70012345ab", None, None), (None, None, None), ("9010123456", None, None)]
+    rows = [("٧٠٠ ١٢٣ ٤٥٦٧", "7001234567", "unified"), ("７００1234567", "7001234567", "unified"), ("1010-123.456", "1010123456", "cr"), ("12345", None, None), ("70012345ab", None, None), (None, None, None), ("9010123456", None, None)]
     df = spark.createDataFrame(rows, "raw string, digits string, kind string").withColumn("got", A.number_kind(F.col("raw")))
     assert df.where(~F.col("got.digits").eqNullSafe(F.col("digits")) | ~F.col("got.kind").eqNullSafe(F.col("kind"))).count() == 0
 
