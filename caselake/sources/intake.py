@@ -160,3 +160,10 @@ def write_csv(df: DataFrame, path: str, headers: list[str] | None = None) -> Non
 def write_json(df: DataFrame, path: str, by: str | None = None) -> None:
     """Newline-delimited JSON, split by a column if one is named."""
     (df.write.partitionBy(by) if by else df.write).json(path)
+
+
+def write_exports(df: DataFrame, path: str, simple: list[str], by: str) -> None:
+    """Three exports of records: full (nested), simple (some columns), and simple ones split by a column, such as gender."""
+    df.write.json(f"{path}/full")
+    df.select(*simple).write.json(f"{path}/simple")
+    write_json(df.select(*dict.fromkeys([*simple, by])), f"{path}/by_{by}", by)

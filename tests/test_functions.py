@@ -358,3 +358,17 @@ def test_single_owner_and_progress(spark, tmp_path):
     spark.range(10).count()
     assert cases.progress(spark, "g1")["done"] >= 1
     spark.sparkContext.setJobGroup("", "")
+
+
+def test_exports(spark, tmp_path):
+    df = spark.createDataFrame([("a", "male", [1, 2]), ("b", "female", [3])], "name string, gender string, pages array<int>")
+    intake.write_exports(df, str(tmp_path), ["name"], "gender")
+    assert spark.read.json(f"{tmp_path}/full").where("pages[0] = 3").count() == 1 and spark.read.json(f"{tmp_path}/simple").columns == ["name"]
+    assert [r["name"] for r in spark.read.json(f"{tmp_path}/by_gender/gender=female").collect()] == ["b"]
+
+
+def test_cascade_delete(spark):
+    cases_ = spark.createDataFrame([(1,), (2,)], "id int")
+    events = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z")], "case_id int, e string")
+    left = cases.without_cases({"cases": (cases_, "id"), "events": (events, "case_id")}, spark.createDataFrame([(2,)], "id int"))
+    assert [r["id"] for r in left["cases"].collect()] == [1] and [r["e"] for r in left["events"].collect()] == ["x"]
