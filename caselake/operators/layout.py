@@ -135,7 +135,8 @@ def list_shapes(rows: DataFrame, doc: str) -> DataFrame:
     plain = F.col("path").endswith("[]")
     depth = F.size(F.split(F.element_at(F.split("path", r"\[\]"), -1), r"\.")) - 1
     per = inside.groupBy(doc, "list").agg(F.count_distinct("record").alias("items"), F.count_distinct("key").alias("keys"), F.max(depth).alias("deep"), F.bool_and(plain).alias("plain"))
-    nested = inside.select(doc, F.regexp_extract("record", r"^(.*)/[^/]*$", 1).alias("outer")).where("outer != ''").select(doc, F.regexp_replace("outer", r"\.[0-9]+$", "").alias("list"), F.lit(True).alias("nested")).distinct()
+    outer = inside.select(doc, F.regexp_extract("record", r"^(.*)/[^/]*$", 1).alias("outer")).where("outer != ''")
+    nested = outer.select(doc, F.regexp_replace("outer", r"\.[0-9]+$", "").alias("list"), F.lit(True).alias("nested")).distinct()
     j = per.join(nested, [doc, "list"], "left")
     table = (F.col("items") > 1) & (F.col("keys") <= MOST_COLUMNS) & (F.col("deep") <= 1) & F.col("nested").isNull()
     return j.select(doc, "list", F.when(F.col("plain"), "list").when(table, "table").otherwise("cards").alias("shape"))

@@ -104,7 +104,8 @@ def co_occur(text: Column, a: Column, b: Column, within: int) -> Column:
 def budget_newest(df: DataFrame, key: str, order: str, cost: Column, budget: int) -> DataFrame:
     """Rows from the newest back while the running cost fits; the newest always stays; stops at the first overflow."""
     w = Window.partitionBy(key).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running", F.sum(cost).over(w)).withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where((F.col("rn") == 1) | (F.col("running") <= budget)).drop("rn")
+    newest = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))
+    return df.withColumn("running", F.sum(cost).over(w)).withColumn("rn", newest).where((F.col("rn") == 1) | (F.col("running") <= budget)).drop("rn")
 
 
 def fill_both_ways(df: DataFrame, key: str, order: str, column: str) -> DataFrame:
@@ -124,13 +125,20 @@ def carry_forward(df: DataFrame, key: str, order: str, is_start: Column) -> Data
 def greedy_spans(spans: Column, most: int = 3) -> Column:
     """Non-overlapping spans (start, end) from the left, ``most`` at most."""
     empty = F.filter(spans, lambda x: F.lit(False))
-    return F.aggregate(F.array_sort(spans), empty, lambda acc, s: F.when((F.size(acc) < most) & ((F.size(acc) == 0) | (F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))["end"] <= s["start"])), F.concat(acc, F.array(s))).otherwise(acc))
+
+    def step(kept: Column, span: Column) -> Column:
+        behind = F.element_at(kept, F.greatest(F.size(kept), F.lit(1)))["end"] <= span["start"]
+        return F.when((F.size(kept) < most) & ((F.size(kept) == 0) | behind), F.concat(kept, F.array(span))).otherwise(kept)
+
+    return F.aggregate(F.array_sort(spans), empty, step)
 
 
 def best_clause(clauses: DataFrame, doc: str, least: float) -> DataFrame:
     """The clause with most of the wanted words (share at least ``least``); ties take the shortest, then the greatest text."""
     ratio = F.size(F.array_intersect("words", "wanted")) / F.size(F.array_distinct("wanted"))
-    return clauses.withColumn("ratio", ratio).where(F.col("ratio") >= least).groupBy(doc).agg(F.max(F.struct("ratio", (-F.length("clause")).alias("short"), "clause")).alias("b")).select(doc, F.col("b.ratio").alias("ratio"), F.col("b.clause").alias("clause"))
+    rated = clauses.withColumn("ratio", ratio).where(F.col("ratio") >= least)
+    best = rated.groupBy(doc).agg(F.max(F.struct("ratio", (-F.length("clause")).alias("short"), "clause")).alias("b"))
+    return best.select(doc, F.col("b.ratio").alias("ratio"), F.col("b.clause").alias("clause"))
 
 
 def place_pattern(name: str, proclitics: str = "(?:[وفبلك]|ال|وال|بال|لل)?") -> str:

@@ -37,7 +37,8 @@ def dense_group(df: DataFrame, key: str, page: str, weight: str, gap: int = 4) -
     w = Window.partitionBy(key).orderBy(page)
     runs = df.withColumn("__new", F.coalesce(F.col(page) - F.lag(page).over(w) > gap, F.lit(False)).cast("int")).withColumn("__run", F.sum("__new").over(w))
     totals = runs.groupBy(key, "__run").agg(F.sum(weight).alias("total"), F.min(page).alias("first_page"), F.max(page).alias("last_page"))
-    return totals.groupBy(key).agg(F.max(F.struct("total", (-F.col("first_page")).alias("m"), "first_page", "last_page")).alias("b")).select(key, F.col("b.first_page").alias("first_page"), F.col("b.last_page").alias("last_page"), F.col("b.total").alias("total"))
+    best = totals.groupBy(key).agg(F.max(F.struct("total", (-F.col("first_page")).alias("m"), "first_page", "last_page")).alias("b"))
+    return best.select(key, F.col("b.first_page").alias("first_page"), F.col("b.last_page").alias("last_page"), F.col("b.total").alias("total"))
 
 
 def exact_copies(df: DataFrame, key: str, content: str) -> DataFrame:
@@ -52,7 +53,8 @@ def flatten_sections(df: DataFrame, doc: str, sections: str, most: int = 120) ->
     s = df.select(doc, F.posexplode(sections).alias("s", "sec"))
     f = s.select(doc, "s", F.lit(-1).alias("r"), F.posexplode("sec.fields").alias("i", "f")).select(doc, "s", "r", "i", F.col("f.label").alias("label"), F.col("f.value").alias("value"))
     rec = s.select(doc, "s", F.col("sec.record_label").alias("role"), F.posexplode("sec.records").alias("r", "rec"))
-    g = rec.select(doc, "s", "r", "role", F.posexplode("rec").alias("i", "f")).select(doc, "s", "r", "i", F.concat_ws(" ", "role", (F.col("r") + 1).cast("string"), F.lit("-"), F.col("f.label")).alias("label"), F.col("f.value").alias("value"))
+    numbered = F.concat_ws(" ", "role", (F.col("r") + 1).cast("string"), F.lit("-"), F.col("f.label")).alias("label")
+    g = rec.select(doc, "s", "r", "role", F.posexplode("rec").alias("i", "f")).select(doc, "s", "r", "i", numbered, F.col("f.value").alias("value"))
     w = Window.partitionBy(doc).orderBy("s", "r", "i")
     return f.unionByName(g).where("value is not null and value != ''").withColumn("line", F.row_number().over(w)).where(F.col("line") <= most).select(doc, "line", "label", "value")
 
