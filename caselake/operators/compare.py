@@ -147,7 +147,9 @@ def weighted_jaccard(left: DataFrame, right: DataFrame, a: str, b: str, least: f
     Multisets of such pairs have sizes within that factor of each other: texts of ``right`` outside the range of ``left`` are
     dropped before their tokens are spread, and no other pair of one token is joined. Sizes travel with the tokens.
     """
-    sized = lambda df, key: df.select(key, "tokens", F.size("tokens").alias(f"size_{key}")).where(F.size("tokens") > 0)
+    # filters on a generated column stay above its generator, so that tokens are cut out of a text once only
+    once = lambda df, key: df.select(key, F.explode(F.array("tokens")).alias("tokens"))
+    sized = lambda df, key: once(df, key).select(key, "tokens", F.size("tokens").alias(f"size_{key}")).where(F.size("tokens") > 0)
     counts = lambda df, key: df.select(key, f"size_{key}", F.explode("tokens").alias("token")).groupBy(key, f"size_{key}", "token").agg(F.count("*").alias(f"n_{key}"))
     x, y = sized(left, a), sized(right, b)
     span = x.agg(F.min(f"size_{a}").alias("low"), F.max(f"size_{a}").alias("high")).first()
