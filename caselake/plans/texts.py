@@ -10,7 +10,7 @@ from ..operators import analytics as A
 from ..operators import compare as C
 from ..operators import matching as M
 from ..operators import segment as S
-from ..session import table
+from ..session import spread, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -61,7 +61,7 @@ _TOK = "unnest(regexp_extract_all(lower({0}.text), '[\\p{{L}}\\p{{N}}_]+'))"
  SELECT item_id, doc_id, CAST(floor(common * 1000000 / (ti.t + td.t - common) + 0.5) AS BIGINT) AS millionths FROM p JOIN ti USING (item_id) JOIN td USING (doc_id) WHERE common / (ti.t + td.t - common) >= 0.3""")
 def jaccard_align(spark, sf):
     """Benchmark passages (a stated query set) against all documents."""
-    side = lambda name, key: table(spark, sf, name).select(key, X.tokens(F.col("text")).alias("tokens"))
+    side = lambda name, key: spread(table(spark, sf, name).select(key, "text")).select(key, X.tokens(F.col("text")).alias("tokens"))
     j = C.weighted_jaccard(side("benchmark", "item_id"), side("documents", "doc_id"), "item_id", "doc_id", 0.3)
     return j.select("item_id", "doc_id", F.floor(F.col("jaccard") * 1000000 + 0.5).alias("millionths"))
 
@@ -85,7 +85,7 @@ _PLANTED = "text || ' رقم ' || translate(CAST(doc_id * 7919 + 100 AS VARCHAR)
 def _planted(spark, sf):
     number = F.translate((F.col("doc_id") * 7919 + 100).cast("string"), "0123456789", "٠١٢٣٤٥٦٧٨٩")
     code = F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0")
-    return table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(" رقم "), number, F.lit(" DE89370400440532013"), code, F.lit(" 5.3.2024")).alias("t"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.concat("text", F.lit(" رقم "), number, F.lit(" DE89370400440532013"), code, F.lit(" 5.3.2024")).alias("t"))
 
 
 @query(f"""SELECT doc_id, CAST(len(t) AS BIGINT) AS n, array_to_string(t, ' ') AS tokens
@@ -132,7 +132,7 @@ def history_budget(spark, sf):
 @query()
 def html_lines(spark, sf):
     """Block HTML to lines; the rules are a chain of rewrites that is tested on fixtures."""
-    return table(spark, sf, "pages").select("page_id", F.posexplode(X.html_lines(F.col("html"))).alias("line", "text"))
+    return spread(table(spark, sf, "pages").select("page_id", "html")).select("page_id", F.posexplode(X.html_lines(F.col("html"))).alias("line", "text"))
 
 
 _LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents)"

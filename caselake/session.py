@@ -38,3 +38,14 @@ SMALL = 20_000
 def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     """A table with a broadcast hint if it has at most ``most`` rows; else as it is, so that Spark chooses another join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+#: Splits below which an input may leave cores idle.
+FEW_SPLITS = 32
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to more tasks where an input has few splits (a small table, often one row group), for work that costs more than moving
+    the rows. Inputs of FEW_SPLITS splits or more, some gigabytes, stay as they are."""
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, FEW_SPLITS)
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
