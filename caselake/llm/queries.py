@@ -1,13 +1,16 @@
-"""The registered queries of the training-data operators. None has a SQL oracle: the methods (signatures,
-graph compaction, tiling, trained models, packing) are tested against brute force in tests/llm."""
+"""The registered queries of the training-data operators. Sharding and fill-in-the-middle have SQL oracles; the other methods
+(signatures, graph compaction, tiling, trained models, packing) are tested against brute force in tests/llm."""
 
+from . import fill_middle, rendezvous
 from .bagminhash import op4_bagminhash_near_dedup
 from .cotraining import op9_cotraining_quality
 from .decontamination import op3_greedy_string_tiling
+from .fill_middle import op12_lookaround_fill_middle
 from .langid import op5_viterbi_language_id
 from .license_scan import op6_fuzzy_license_notices
 from .packing import op8_best_fit_packing
 from .quality_rules import op1_distribution_divergence
+from .rendezvous import op11_rendezvous_shards
 from .substring_dedup import op2_substring_dedup
 from .token_attribution import op7_offset_mapped_tokens
 from .toxicity import op10_subsequence_kernel_toxicity
@@ -25,6 +28,8 @@ QUERIES = {
         op8_best_fit_packing,
         op9_cotraining_quality,
         op10_subsequence_kernel_toxicity,
+        op11_rendezvous_shards,
+        op12_lookaround_fill_middle,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {op11_rendezvous_shards.__name__: rendezvous.ORACLE, op12_lookaround_fill_middle.__name__: fill_middle.ORACLE}
