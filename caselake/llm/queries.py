@@ -1,7 +1,7 @@
-"""The registered queries of the training-data operators. Sharding and fill-in-the-middle have SQL oracles; the other methods
+"""The registered queries of the training-data operators. Sharding, fill-in-the-middle and periodic runs have SQL oracles; the other methods
 (signatures, graph compaction, tiling, trained models, packing) are tested against brute force in tests/llm."""
 
-from . import fill_middle, rendezvous
+from . import fill_middle, rendezvous, tandem_runs
 from .bagminhash import op4_bagminhash_near_dedup
 from .cotraining import op9_cotraining_quality
 from .decontamination import op3_greedy_string_tiling
@@ -12,6 +12,7 @@ from .packing import op8_best_fit_packing
 from .quality_rules import op1_distribution_divergence
 from .rendezvous import op11_rendezvous_shards
 from .substring_dedup import op2_substring_dedup
+from .tandem_runs import op13_tandem_runs
 from .token_attribution import op7_offset_mapped_tokens
 from .toxicity import op10_subsequence_kernel_toxicity
 
@@ -30,6 +31,11 @@ QUERIES = {
         op10_subsequence_kernel_toxicity,
         op11_rendezvous_shards,
         op12_lookaround_fill_middle,
+        op13_tandem_runs,
     )
 }
-ORACLES: dict[str, str] = {op11_rendezvous_shards.__name__: rendezvous.ORACLE, op12_lookaround_fill_middle.__name__: fill_middle.ORACLE}
+ORACLES: dict[str, str] = {
+    op11_rendezvous_shards.__name__: rendezvous.ORACLE,
+    op12_lookaround_fill_middle.__name__: fill_middle.ORACLE,
+    op13_tandem_runs.__name__: tandem_runs.ORACLE,
+}
