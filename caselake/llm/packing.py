@@ -4,7 +4,8 @@ Documents become token ids with a closing 0; only documents of more than ``size`
 number of pieces of each length (at most ``size`` different ones, so the histogram is bounded) is
 all that the driver sees. The configuration program, one variable for each way to fill a sequence,
 is solved by multiplicative weights in small steps, priced by a knapsack dynamic program over the
-sequence, which gives a dual bound as well. Amounts are rounded; what is left is packed by best fit over the histogram. The
+sequence, which gives a dual bound as well. Amounts are rounded, the program is solved again for
+what is left, and the last pieces are packed by best fit over the histogram. The
 plan says for the r-th piece of a length which sequence and place it takes; ranks come from counts by
 (length, bucket), so neither a length nor a sequence is ever gathered.
 
@@ -28,9 +29,9 @@ from .common import Scratch, blocks, lean, read_documents
 from .tokens import default_path, word_bpe
 
 SIZE = 2048
-#: Rounds of the multiplicative weights at most, the share of its demand that a length may gain in one, the rate at which covered
+#: Rounds of the multiplicative weights at most, of all pieces and then of those that rounding leaves; the share of its demand that a length may gain in one, the rate at which covered
 #: lengths lose weight, and how far below the best value a configuration may lie.
-ROUNDS, STEP, RATE, NEAR = 400, 0.05, 0.5, 0.05
+ROUNDS, STEP, RATE, NEAR = (200, 100, 50, 50), 0.05, 0.5, 0.05
 #: Rows of one length in one bucket, on average at most.
 BUCKET_ROWS = 200_000
 #: Characters whose new words are encoded together.
@@ -65,7 +66,7 @@ def _trace(take: np.ndarray, room: int) -> dict[int, int]:
     return found
 
 
-def solve(histogram: dict[int, int], size: int, rounds: int = ROUNDS, step: float = STEP, rate: float = RATE, near_by: float = NEAR) -> tuple[dict[tuple, float], float]:
+def solve(histogram: dict[int, int], size: int, rounds: int = ROUNDS[0], step: float = STEP, rate: float = RATE, near_by: float = NEAR) -> tuple[dict[tuple, float], float]:
     """Fractional amounts of configurations that cover the histogram, and a lower bound on the sequences needed.
 
     Covering by multiplicative weights: a length weighs its size times exp(-rate * covered share), so that what lags
@@ -120,20 +121,8 @@ def _fill(left: dict[int, int], size: int) -> list[tuple[dict[int, int], int]]:
     return used
 
 
-def plan(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS, step: float = STEP) -> tuple[list[tuple[dict[int, int], int]], float]:
-    """Configurations and how often each is used, which together hold exactly the pieces of the histogram, and the lower bound.
-
-    The program's amounts are rounded along their running sum, so that about as many sequences come out as the program
-    uses; what they do not hold is packed by best fit. Best fit of everything is taken where it needs fewer sequences.
-    """
-    left = {k: v for k, v in histogram.items() if v > 0}
-    full = [({size: 1}, n)] if (n := left.pop(size, 0)) else []
-    if not left:
-        return full, float(n)
-    plain = _fill(left, size)
-    program, bound = solve(left, size, rounds, step)
-    if sum(t for _, t in plain) <= np.ceil(bound - 1e-6):
-        return full + plain, n + bound
+def rounded(left: dict[int, int], program: dict[tuple, float]) -> list[tuple[dict[int, int], int]]:
+    """Configurations of the program in whole numbers, along the running sum of their amounts; what they hold is taken from ``left``."""
     used, running, done = [], 0.0, 0
     for c, x in sorted(program.items(), key=lambda p: (-p[1], p[0])):
         running += x
@@ -143,6 +132,26 @@ def plan(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS, step
             used.append((dict(c), times))
             for k, m in c:
                 left[k] -= m * times
+    return used
+
+
+def plan(histogram: dict[int, int], size: int = SIZE, rounds: tuple[int, ...] = ROUNDS, step: float = STEP) -> tuple[list[tuple[dict[int, int], int]], float]:
+    """Configurations and how often each is used, which together hold exactly the pieces of the histogram, and the lower bound.
+
+    The program is solved and rounded, then solved again for the pieces that rounding left, with fewer rounds each time; what is left
+    at last, some pieces of each length, is packed by best fit. Only where best fit of everything needs fewer sequences is that taken.
+    """
+    left = {k: v for k, v in histogram.items() if v > 0}
+    full = [({size: 1}, n)] if (n := left.pop(size, 0)) else []
+    if not left:
+        return full, float(n)
+    plain, used, bound = _fill(left, size), [], 0.0
+    for most in rounds:
+        left = {k: v for k, v in left.items() if v > 0}
+        if left:
+            program, below = solve(left, size, most, step)
+            bound = bound or below
+            used += rounded(left, program)
     used += _fill(left, size)
     return full + min(used, plain, key=lambda u: sum(t for _, t in u)), n + bound
 
@@ -191,15 +200,15 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     """The pieces with sequence_id and offset."""
     scratch = Scratch(docs.sparkSession, "packing")
-    cut = scratch.cut(pieces(docs, tokenizer, size))
+    cut = scratch.cut(pieces(docs, tokenizer, size).withColumn("row", F.monotonically_increasing_id()))  # written, so a row keeps its number
     n_buckets = max(64, cut.count() // BUCKET_ROWS)
-    keyed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_buckets)))
+    keyed = cut.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(n_buckets)))
     counts = scratch.cut(keyed.groupBy("length", "bucket").count())
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most ``size`` rows
     slots = _slots(plan(histogram, size)[0])
     key = slots[:, 0] * (1 << 44) + slots[:, 1] if len(slots) else np.zeros(0, np.int64)
     before = counts.select("length", "bucket", (F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).alias("before"))
-    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    order = Window.partitionBy("length", "bucket").orderBy("row")
     ranked = keyed.withColumn("r", F.row_number().over(order) - 1).join(before, ["length", "bucket"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("r") + F.col("before")).alias("r"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,8 @@ from caselake.llm.tokens import ByteBpe, WordBpe, default_path
 from tests.conftest import SMALL
 from tests.llm.common import empty_docs, odd_docs, odd_rows, write
 
+MEDIUM = "/root/testdata/sf0.01"
+
 TEXTS = ["", "Hello, it's 3 o'clock", "ΑΣ ς é é ǅ <|endoftext|> a", "  tabs\t and\nlines ", "漢字 😀 text", "a" * 500, "don't WON'T İ"]
 
 
@@ -124,6 +126,37 @@ def test_plan_beats_best_fit_where_that_is_poor():
     assert bound == 2000 and sum(t for _, t in used) < 2000 + (fit - 2000) / 3
 
 
+def test_plan_is_the_rounded_program_where_best_fit_needs_as_many(spark):
+    """On the lengths of the table best fit is no better, and the configurations returned are those of the program."""
+    pieces = P.pieces(spark.read.parquet(f"{MEDIUM}/documents.parquet"), default_path("word_bpe_49k.json"))
+    h = {r["length"]: r["count"] for r in pieces.where(f"length < {P.SIZE}").groupBy("length").count().collect()}
+    used, bound = P.plan(h)
+    left, want = dict(h), []
+    for most in P.ROUNDS:
+        left = {k: v for k, v in left.items() if v}
+        if left:
+            want += P.rounded(left, P.solve(left, P.SIZE, most)[0])
+    want += P._fill(left, P.SIZE)
+    assert used == want and used != P._fill(h, P.SIZE)
+    assert bound <= sum(t for _, t in used) <= sum(t for _, t in P._fill(h, P.SIZE))
+
+
+def test_rows_without_id_or_text_are_dealt_over_the_buckets(spark):
+    """A third of all rows is one and the same; slots stay gapless and no bucket holds them all."""
+    docs = spark.createDataFrame([(None, None)] * 400 + [(i, f"word {i}") for i in range(800)], "doc_id long, text string")
+    rows = P.pack(docs, default_path("word_bpe_49k.json")).collect()
+    assert len(rows) == 1200
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in by.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= P.SIZE
+
+
 def test_knapsack_against_brute_force():
     lengths, weights = np.array([3, 5, 7]), np.array([3.1, 5.6, 7.2])
     value, take = P._best_values(lengths, weights, 17)
