@@ -9,8 +9,8 @@ matrix (Nyström), and scored by a support vector machine trained on sentences.
 document: each toxic document contributes its most toxic sentences, re-chosen over some rounds. The margins
 of a document's sentences and its length are calibrated to a probability.
 
-Fitted on a bounded sample (``per_class`` labelled documents of each class, in the order of a hash of their ids, as far as
-``max_chars`` characters in all go); every text is scored whole.
+Fitted on a bounded sample (``per_class`` labelled documents of each class in the order of a hash of their ids, those that fit into
+``max_chars`` characters in all, very long ones by some of their sentences); every text is scored whole.
 
 Defined results: null and empty texts get the score of a text without sentences; without both classes
 in training every score is 0; a document with several labels counts as toxic if any label says so;
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,8 @@ from .linear import apply, fit_logistic, fit_svm, sigmoid
 GAPS = ((1, 2), (1, 3), (2, 3), (2, 4), (1, 4), (3, 4))
 DECAY = 0.8
 PER_CLASS, MAX_CHARS, LANDMARKS = 1500, 8_000_000, 64
+#: A document fills at most this part of the characters of its class.
+LONGEST = 20
 #: Buckets that count strings before the frequent ones are told apart.
 STRING_BUCKETS = 1 << 22
 #: A word takes part from this squared share of a landmark's own kernel value on.
@@ -212,23 +214,37 @@ class Model:
         return sigmoid(apply(self.final, self.features(doc, values, n_words)))
 
 
+def part_of(text: Column, most: int) -> Column:
+    """The text, or of a longer one every k-th sentence by hash, so that at most ``most`` characters are left."""
+    k = F.ceil(F.length(text) / most)
+    some = F.filter(F.split(text, SENTENCE.pattern), lambda s: F.pmod(F.xxhash64(s), k) == 0)
+    return F.when(k > 1, F.substring(F.array_join(some, ". "), 1, most)).otherwise(text)
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model | None:
-    """From at most ``per_class`` labelled documents of each class and ``max_chars`` characters, half for either class, taken by a hash of the id."""
+    """From at most ``per_class`` labelled documents of each class and ``max_chars`` characters, half for either class, taken by a hash of the id.
+
+    A document that does not fit into the room left is passed over, and one of over a LONGEST-th of the room takes part with some of its sentences.
+    """
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sized = marked.join(docs.where("text is not null").select("doc_id", F.length("text").alias("size")), "doc_id")
+    longest = max(1, max_chars // 2 // LONGEST)
+    known = docs.where("text is not null").select("doc_id", "text")
+    sized = marked.join(known.select("doc_id", F.least(F.length("text"), F.lit(longest)).alias("size")), "doc_id")
     texts, y = [], []
     for value in (0, 1):
         rows = sized.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id", "size").limit(per_class).collect()
-        room, chosen = max_chars // 2, set()
+        together: dict[int, int] = {}
         for r in rows:
-            room -= r["size"]
-            if room < 0:
-                break
-            chosen.add(r["doc_id"])
+            together[r["doc_id"]] = together.get(r["doc_id"], 0) + r["size"]
+        room, chosen = max_chars // 2, []
+        for doc_id, size in together.items():
+            if size <= room:
+                room -= size
+                chosen.append(doc_id)
         if not chosen:
             return None
         ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(chosen)], "doc_id long")
-        picked = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text")
+        picked = known.join(F.broadcast(ids), "doc_id").select(part_of(F.col("text"), longest).alias("text"))
         found = sorted(r["text"] for r in picked.toLocalIterator())  # max_chars / 2 characters at most, as their sizes have been added up
         texts += found
         y += [value] * len(found)

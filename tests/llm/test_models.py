@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from caselake.llm import cotraining as C
 from caselake.llm import langid as G
@@ -90,6 +91,23 @@ def test_toxicity_held_out(spark):
     assert sum(clean) / len(clean) < 0.05 and sum(toxic) / len(toxic) > 0.6
 
 
+def test_one_very_long_document_does_not_stop_the_fit(spark):
+    """The first toxic documents by hash are longer than the room of their class; the others, and some of their sentences, train the model."""
+    insult, fine = "you worthless idiot number {0}. go away {0}.", "the garden number {0} was green. we sat there {0}."
+    rows = [(i, (insult if i % 2 else fine).format(i), i % 2) for i in range(120)]
+    order = [r.id for r in spark.range(120).where("id % 2 = 1").orderBy("id").selectExpr("id", "xxhash64(id) as h").orderBy("h").collect()]
+    rows = [(i, t + " the river was calm." * 400 if i in order[:3] else t, y) for i, t, y in rows]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = X.fit(docs, labels, max_chars=12_000)
+    assert model is not None
+    scores = {r.doc_id: r.score for r in X.score(docs, model).collect()}
+    short = [i for i, t, _ in rows if len(t) < 200]
+    assert all((scores[i] >= 0.5) == (i % 2 == 1) for i in short)
+    cut = docs.select(F.length(X.part_of(F.col("text"), 500)).alias("n")).collect()
+    assert all(r.n <= 500 for r in cut)
+
+
 def test_gapped_insults_are_near():
     k = X.Kernel(["idiot", "worthless"])
     v = k.values(["idiiot", "idxiot", "worthhless", "therein", "idiot"])
