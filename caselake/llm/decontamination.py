@@ -2,8 +2,9 @@
 
 Tokens are lower-case runs of letters, digits and underscores. Documents and benchmark items join on shared ``min_tile`` -token
 seeds: one pass over the documents keeps the seeds that a bit filter of the benchmark's seeds lets through (a filter of
-fixed size, so it may go to every task; what it lets through wrongly finds no partner in the join). Pairs whose seeds could cover
-enough of the item are tiled: running Karp-Rabin finds the longest matches of unmarked tokens, marks them on both sides, and goes
+fixed size, so it may go to every task; what it lets through wrongly finds no partner in the join). An item joins by its rarer seeds
+only: its most frequent ones are left out as long as they cover too little of it to leak alone, and rows of a seed that is frequent even so are dealt to
+several tasks. Pairs that met, and whose seeds could cover enough of the item, are tiled: running Karp-Rabin finds the longest matches of unmarked tokens, marks them on both sides, and goes
 on with shorter ones, so that passages in another order are still covered. An item leaks into a document if tiles
 cover at least ``coverage`` of its tokens.
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, Rolling, Scratch, WordHashes, blocks, hash_words, lean, read_documents, signed
+from .common import U, Rolling, Scratch, WordHashes, blocks, hash_words, join_counted, lean, read_documents, signed
 
 TOKEN = re.compile(r"\w+")
 MIN_TILE, COVERAGE = 5, 0.5
@@ -155,16 +156,47 @@ def _runs(h: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np
     return tokens, (offset[run] + starts - first[run]).astype(np.int32)
 
 
+def _probes(least: int, share: float):
+    """Of each item, the seeds that join: the rest, its most frequent ones, cover too few of its tokens to reach the share alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nos, seeds = [], []
+            for no, size, counted in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                n = size + least - 1
+                places = defaultdict(list)
+                for x in counted:
+                    places[-x["n"], x["seed"]].append(x["at"])
+                covered, left_out = np.zeros(n, bool), True
+                for key in sorted(places):
+                    for at in places[key]:
+                        covered[at : at + least] = True
+                    left_out = left_out and covered.sum() < share * n
+                    if not left_out:
+                        nos.append(no)
+                        seeds.append(key[1])
+            yield pa.RecordBatch.from_arrays([pa.array(nos, pa.int64()), pa.array(seeds, pa.int64())], names=["no", "seed"])
+
+    return run
+
+
 def _tiled(least: int, share: float):
-    """Tile the pairs of a document (its tokens and the places of the shared seeds) and an item."""
+    """Tile the pairs of a document (its tokens, seeds and their places) and an item (its tokens and seeds)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in lean(batches):
             out: list[tuple] = []
-            for i, (text, item, places) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)):
-                h, n = np.frombuffer(text, U), len(item) // 8
-                part, _ = _runs(h, np.array(sorted(set(places)), np.int64), least)
-                got = tiles(np.frombuffer(item, U).tolist(), part.tolist(), least)
+            text, at, item = (batch.column(k) for k in (2, 4, 5))
+            for i in range(batch.num_rows):
+                h, n = np.frombuffer(item[i].as_py(), U), len(item[i].as_py()) // 8
+                seeds, own = (np.asarray(batch.column(k)[i].values) for k in (3, 6))
+                # each token that a tile covers lies in a shared seed, so fewer than this cannot reach the share
+                marks = np.flatnonzero(np.isin(own, seeds))
+                if not len(marks) or least + np.minimum(np.diff(marks), least).sum() < share * n:
+                    continue
+                places = np.unique(np.asarray(at[i].values)[np.isin(seeds, own)]).astype(np.int64)
+                part, _ = _runs(np.frombuffer(text[i].as_py(), U), places, least)
+                got = tiles(h.tolist(), part.tolist(), least)
                 total = sum(t[2] for t in got)
                 if got and total >= share * n:
                     out.append((i, n, total, len(got), max(t[2] for t in got), total / n))
@@ -194,13 +226,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_TILE, share: f
 
     source = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
     found = scratch.cut(source.mapInArrow(_candidates(held, least), "doc_id long, row long, text binary, seeds array<long>, places array<int>"))
-    hits = found.select("row", F.explode(F.arrays_zip("seeds", "places")).alias("z")).select("row", F.col("z.seeds").alias("seed"), F.col("z.places").alias("place"))
-    met = hits.join(seeds, "seed").groupBy("row", "no").agg(F.collect_set("at").alias("covered"), F.collect_set("place").alias("places"), F.first("size").alias("size"))
-    # each token that a tile covers lies in a shared seed, so fewer than this cannot reach the share
-    tokens = F.aggregate(F.array_sort("covered"), F.struct(F.lit(0).alias("n"), F.lit(-least).alias("last")), lambda acc, at: F.struct((acc["n"] + F.least(F.lit(least), at - acc["last"])).alias("n"), at.alias("last")), lambda acc: acc["n"])
-    enough = met.where(tokens >= share * (F.col("size") + least - 1)).select("row", "no", "places")
-    pairs = enough.join(items.select("no", "item_id", "tokens"), "no").join(found.select("row", "doc_id", "text"), "row").select("doc_id", "item_id", "text", "tokens", "places")
-    return pairs.mapInArrow(_tiled(least, share), SCHEMA)
+    hits = found.select("row", F.explode(F.array_distinct("seeds")).alias("seed"))
+    counts = scratch.cut(hits.groupBy("seed").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    listed = seeds.join(counts, "seed").groupBy("no").agg(F.first("size").alias("size"), F.collect_list(F.struct("n", "seed", "at")).alias("counted"))
+    probes = listed.mapInArrow(_probes(least, share), "no long, seed long")
+    asked = scratch.cut(probes.groupBy("seed").agg(F.collect_list("no").alias("nos")).join(counts, "seed"))
+    met = join_counted(hits, asked, ["seed"], total, ["row"]).select("row", F.explode("nos").alias("no")).distinct()
+    pairs = met.join(items.select("no", "item_id", "tokens", F.col("seeds").alias("item_seeds")), "no").join(found, "row")
+    return pairs.select("doc_id", "item_id", "text", "seeds", "places", "tokens", "item_seeds").mapInArrow(_tiled(least, share), SCHEMA)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from caselake.llm import decontamination as D
@@ -105,6 +106,31 @@ def test_leaks_against_brute_force(spark):
     assert all(got[k] == want[k] for k in want), [(k, got[k], want[k]) for k in want if got[k] != want[k]][:3]
 
 
+def test_leaks_with_seeds_in_a_third_of_the_rows(spark):
+    """Five common words that every item and a third of the documents hold bring few pairs together, and no leak is lost; an item of common words alone is found too."""
+    hot = "this is a very common phrase"
+    items = [f"{hot} " + " ".join(f"q{i}w{j}" for j in range(12)) for i in range(40)] + [hot]
+    texts = [f"d{i} {hot} e{i}" if i % 3 == 0 else " ".join(f"p{i}x{j}" for j in range(10)) for i in range(600)]
+    texts += [f"{items[i]} and more" for i in range(0, 40, 5)]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), _bench(spark, list(enumerate(items)))
+    df = D.leaks(docs, bench)
+    got = {(r["doc_id"], r["item_id"]) for r in df.collect()}
+    assert got == {(600 + i // 5, i) for i in range(0, 40, 5)} | {(d, 40) for d, t in enumerate(texts) if hot in t}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "__part" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_probes_leave_out_frequent_seeds():
+    """What is left out covers less than the share, and the rarest seeds are asked first."""
+    counted = [{"n": 100 if i < 6 else 1, "seed": i, "at": i} for i in range(12)]
+    batch = pa.RecordBatch.from_pylist([{"no": 7, "size": 12, "counted": counted}])
+    (out,) = D._probes(5, 0.5)(iter([batch]))
+    seeds = set(out.column(1).to_pylist())
+    left = sorted(set(range(12)) - seeds)
+    assert left and left == list(range(len(left))) and len({a + j for a in left for j in range(5)}) < 0.5 * 16
+    assert set(range(6, 12)) <= seeds
+
+
 def test_leaks_find_planted_items(spark):
     docs, bench = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
     whole = sorted(map(tuple, D.leaks(docs, bench).collect()))
