@@ -1,9 +1,8 @@
-"""Register answers and labels: numbers and their kinds, trees as pairs, code and name tidying, roles by vote, labels and letters."""
+"""Register answers and labels: numbers and their kinds, code and name tidying, roles by vote, labels and letters."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,10 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..functions.vectorised import vectorised
 
-#: Lines of a register answer, rows of a table and items of a list at most.
-MOST_LINES, MOST_ROWS, MOST_ITEMS = 120, 10, 8
 ARTICLE = "ال"
 
 
@@ -25,46 +21,6 @@ def number_kind(c: Column) -> Column:
     return F.when(kind.isNotNull(), F.struct(digits.alias("digits"), kind.alias("kind")))
 
 
-def _lines(node: object, prefix: str) -> Iterator[tuple[str, str]]:
-    """(label, value) lines of a view tree, in the order in which the page shows them."""
-    if isinstance(node, list):
-        for child in node:
-            yield from _lines(child, prefix)
-        return
-    if not isinstance(node, dict):
-        return
-    own = str(node.get("label") or "").strip()
-    name = " - ".join(x for x in (prefix, own) if x)
-    match node.get("type"):
-        case "field":
-            yield name, node.get("value")
-        case "group":
-            yield from _lines(node.get("children") or [], name)
-        case "list":
-            yield name, "، ".join(str(x).strip() for x in (node.get("items") or [])[:MOST_ITEMS])
-        case "table":
-            for i, row in enumerate((node.get("rows") or [])[:MOST_ROWS], 1):
-                for column, cell in zip(node.get("columns") or [], row if isinstance(row, list) else [], strict=False):
-                    yield f"{name} {i} - {column}", cell
-        case "cards":
-            yield from _lines((node.get("items") or [])[:MOST_ROWS], prefix)
-
-
-@vectorised("array<struct<label:string,value:string>>")
-def register_pairs(views: pd.Series) -> pd.Series:
-    """A register answer's view tree (JSON) as lines with a value, the first MOST_LINES; null or damaged JSON gives none."""
-
-    def one(view: str | None) -> list[dict]:
-        try:
-            tree = json.loads(view) if view else []
-        except ValueError:
-            return []
-        text = lambda v: "" if v is None or isinstance(v, (list, dict)) else str(v).strip()
-        return [{"label": label, "value": text(v)} for label, v in _lines(tree, "") if text(v)][:MOST_LINES]
-
-    return pd.Series([one(v) for v in views])
-
-
 def without_codes(rows: DataFrame, record: str, key: str = "key", value: str = "value") -> DataFrame:
     """Flat rows without the codes that stand beside their name: ``cityId`` beside ``cityName``, a short ``id`` beside a plain name.
 

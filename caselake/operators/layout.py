@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import masking as K
-from ..functions.vectorised import vectorised
 from ..session import small
+from . import variants as V
 
 MOST_BLOCKS, MOST_LINES, MOST_CHARS, MOST_LABEL = 800, 4000, 20_000, 40
 PAGE = "struct<blocks:array<struct<label:string,bbox:array<double>,lines:array<string>>>>"
@@ -41,25 +35,37 @@ def clean_page(raw: Column) -> Column:
     return F.when(sound, F.struct(cleaned.alias("blocks")))
 
 
-@vectorised("array<struct<block:int,line:int>>")
-def places_of_lines(blocks: pd.Series, lines: pd.Series) -> pd.Series:
-    """The (block, line) of a layout (lines by block) that each line of a corrected text comes from.
+def places_of_lines(blocks: DataFrame, lines: DataFrame, doc: str) -> DataFrame:
+    """(doc, at, block, line) of a layout that each line of a corrected text comes from; ``blocks`` (doc, block, line, text), ``lines`` (doc, at, text).
 
-    Equal lines pair up, changed stretches spread evenly over what they replaced, and other lines stand with the line before, or else the next.
+    A text that stands as often in both, white space aside, ties its occurrences together in order. Of these ties those stay that
+    cross none: one that leaps over both ties after it goes, then each that falls behind an earlier one. A line between two ties takes
+    the place at the same share of the way between them, or the earlier tie's where nothing lies between; before the first tie the layout's start stands for one, after the last
+    its end. A document without a layout has null places.
     """
-    out = []
-    for page, text in zip(blocks, lines, strict=True):
-        origin = [(b, i) for b, x in enumerate(page if page is not None else []) for i in range(len(x))]
-        flat = [" ".join(str(t).split()) for x in (page if page is not None else []) for t in x]
-        new = [" ".join(str(t).split()) for t in (text if text is not None else [])]
-        found: list[tuple[int, int] | None] = [None] * len(new)
-        for op, a, b, c, d in difflib.SequenceMatcher(None, flat, new, autojunk=False).get_opcodes() if origin else ():
-            if op in ("equal", "replace"):
-                for k in range(c, d):
-                    found[k] = origin[a + (k - c) * (b - a) // (d - c)]
-        placed = pd.Series(found, dtype=object).ffill().bfill() if any(f is not None for f in found) else pd.Series([origin[0] if origin else None] * len(new), dtype=object)
-        out.append([None if p is None else {"block": p[0], "line": p[1]} for p in placed])
-    return pd.Series(out)
+    folded = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    by_doc, by_text = Window.partitionBy(doc), Window.partitionBy(doc, "t")
+    old = blocks.select(doc, "block", "line", folded("text").alias("t")).withColumn("o", F.row_number().over(by_doc.orderBy("block", "line")) - 1)
+    new = lines.select(doc, "at", folded("text").alias("t")).withColumn("n", F.row_number().over(by_doc.orderBy("at")) - 1)
+    numbered = lambda df, place: df.withColumns({"k": F.row_number().over(by_text.orderBy(place)), "times": F.count("*").over(by_text)})
+    ties = numbered(new, "n").join(numbered(old, "o").select(doc, "t", "k", "times", "o"), [doc, "t", "k", "times"]).select(doc, "n", "o")
+    in_order = by_doc.orderBy("n")
+    leaps = F.coalesce(F.col("o") > F.greatest(F.lead("o", 1).over(in_order), F.lead("o", 2).over(in_order)), F.lit(False)) & F.lead("o", 2).over(in_order).isNotNull()
+    kept = ties.withColumn("leaps", leaps).where("not leaps").withColumn("best", F.max("o").over(in_order.rowsBetween(Window.unboundedPreceding, -1))).where(F.coalesce(F.col("o") > F.col("best"), F.lit(True)))
+    sizes = old.groupBy(doc).agg(F.count("*").alias("size"))
+    placed = new.join(kept.select(doc, "n", "o"), [doc, "n"], "left").join(sizes, doc, "left").withColumn("last", F.max("n").over(by_doc) + 1)
+    known = lambda c: F.when(F.col("o").isNotNull(), F.col(c))
+    back, ahead = in_order.rowsBetween(Window.unboundedPreceding, 0), in_order.rowsBetween(0, Window.unboundedFollowing)
+    ends = {
+        "n0": F.coalesce(F.last(known("n"), True).over(back), F.lit(-1)),
+        "o0": F.coalesce(F.last(known("o"), True).over(back), F.lit(-1)),
+        "n1": F.coalesce(F.first(known("n"), True).over(ahead), F.col("last")),
+        "o1": F.coalesce(F.first(known("o"), True).over(ahead), F.col("size")),
+    }
+    gap, way = F.col("o1") - F.col("o0") - 1, F.col("n") - F.col("n0") - 1
+    inside = F.col("o0") + 1 + F.floor(way * gap / (F.col("n1") - F.col("n0") - 1)).cast("int")
+    found = placed.withColumns(ends).withColumn("to", F.when(F.col("o").isNotNull(), F.col("o")).when(gap > 0, inside).when(F.col("o0") >= 0, F.col("o0")).otherwise(F.col("o1")))
+    return found.select(doc, "at", F.col("to").alias("o")).join(old.select(doc, "o", "block", "line"), [doc, "o"], "left").select(doc, "at", "block", "line")
 
 
 def label_values(lines: DataFrame, doc: str, order: str, text: str, labels: DataFrame) -> DataFrame:
@@ -79,40 +85,19 @@ def label_values(lines: DataFrame, doc: str, order: str, text: str, labels: Data
     return nxt.withColumn("__taken", taken).where("not __taken").select(doc, order, text, pair.alias("pair")).select(doc, order, text, "pair.label", "pair.value")
 
 
-MOST_ITEMS, MOST_COLUMNS, MOST_DEPTH = 300, 12, 10
-
-
-def _flat(value: object, path: str, key: str, parent: str, record: str, depth: int) -> Iterator[tuple[str, str, str, str, str]]:
-    if depth > MOST_DEPTH or value in (None, "", [], {}):
-        return
-    if isinstance(value, dict):
-        for k, v in value.items():
-            yield from _flat(v, f"{path}.{k}" if path else k, k, key, record, depth + 1)
-    elif isinstance(value, list):
-        for i, v in enumerate(value[:MOST_ITEMS], 1):
-            yield from _flat(v, path + "[]", key, parent, f"{record}/{key}.{i}", depth + 1)
-    else:
-        yield path, key, parent, record, value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+MOST_COLUMNS = 12
+#: How true and false read (fixed values).
+YES, NO = "نعم", "لا"
 
 
 def answer_rows(answers: DataFrame, doc: str, answer: str) -> DataFrame:
-    """Register answers (JSON) as rows (doc, at, record, path, key, parent, value); ``record`` names the list item that a value belongs to."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = []
-            for d, text in zip(p[doc], p[answer], strict=True):
-                try:
-                    tree = json.loads(text) if text else {}
-                except ValueError:
-                    tree = {}
-                rows += [(d, i, record, path, key, parent, value) for i, (path, key, parent, record, value) in enumerate(_flat(tree, "", "", "", "", 0))]
-            yield pd.DataFrame(rows, columns=[doc, "at", "record", "path", "key", "parent", "value"])
-
-    schema = T.StructType([answers.schema[doc]]).add("at", "integer")
-    for c in ("record", "path", "key", "parent", "value"):
-        schema = schema.add(c, "string")
-    return answers.select(doc, answer).mapInPandas(run, schema)
+    """Register answers (JSON) as rows (doc, at, record, path, key, parent, value); ``record`` names the list item that a value belongs to, ``at`` orders them.
+
+    Empty values are left out, damaged JSON has none. Members of an object come in the order of their names.
+    """
+    found = V.nodes(answers.select(doc, F.try_parse_json(answer).alias("__v")), doc, "__v", above=False)
+    text = F.when(F.col("kind") == "boolean", F.when(F.try_variant_get("value", "$", "boolean"), YES).otherwise(NO)).otherwise(V.limited(V.scalar(F.col("value"))))
+    return found.select(doc, "at", "record", "path", "key", "parent", text.alias("value")).where("value != ''")
 
 
 def display_rows(rows: DataFrame, labels: DataFrame, personal: list[str] = (), redact: list[str] = ()) -> DataFrame:

@@ -12,14 +12,22 @@ from ..session import table
 QUERIES, ORACLES = {}, {}
 
 
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
+def query_into(queries: dict, oracles: dict):
+    """A decorator that registers a query, with its SQL if there is one."""
+
+    def query(sql: str | None = None):
+        def keep(f):
+            queries[f.__name__] = f
+            if sql:
+                oracles[f.__name__] = sql
+            return f
+
+        return keep
+
+    return query
+
+
+query = query_into(QUERIES, ORACLES)
 
 
 def _pick(key: str, values: list):

@@ -1,6 +1,6 @@
 """Query names, their callables and their DuckDB oracles."""
 
-from . import answers, cases, checks, documents, fixtures, texts
+from . import answers, answers_json, cases, checks, documents, fixtures, texts
 
-QUERIES: dict = {**cases.QUERIES, **texts.QUERIES, **fixtures.QUERIES, **documents.QUERIES, **checks.QUERIES, **answers.QUERIES}
-ORACLES: dict = {**cases.ORACLES, **texts.ORACLES, **fixtures.ORACLES, **documents.ORACLES, **checks.ORACLES, **answers.ORACLES}
+QUERIES: dict = {**cases.QUERIES, **texts.QUERIES, **fixtures.QUERIES, **documents.QUERIES, **checks.QUERIES, **answers.QUERIES, **answers_json.QUERIES}
+ORACLES: dict = {**cases.ORACLES, **texts.ORACLES, **fixtures.ORACLES, **documents.ORACLES, **checks.ORACLES, **answers.ORACLES, **answers_json.ORACLES}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caselake.functions import text
 from caselake.operators import answers as A
-from caselake.operators import citation, cleaning, gazetteer, layout, segment
+from caselake.operators import citation, cleaning, gazetteer, layout, segment, variants
 
 
 def one(spark, column):
@@ -25,9 +25,12 @@ def test_register_trees(spark):
         {"type": "group", "label": "City", "children": [{"type": "field", "label": "Name", "value": "Riyadh"}, {"type": "field", "label": "Empty", "value": ""}]}, {"type": "list", "label": "Acts", "items": ["a", "b"]},
         {"type": "table", "label": "Owners", "columns": ["Name", "Share"], "rows": [["Ali", 0.5], ["Sara", None]]}, {"type": "cards", "items": [{"type": "group", "label": "Card (1)", "children": [{"type": "field", "label": "X", "value": 1}]}]},
     ]
-    df = spark.createDataFrame([(json.dumps(tree),), ("broken",), (None,)], "v string").select(A.register_pairs("v").alias("p"))
-    got = [[tuple(x) for x in r["p"]] for r in df.collect()]
-    assert got == [[("City - Name", "Riyadh"), ("Acts", "a، b"), ("Owners 1 - Name", "Ali"), ("Owners 1 - Share", "0.5"), ("Owners 2 - Name", "Sara"), ("Card (1) - X", "1")], [], []]
+    got = variants.view_lines(spark.createDataFrame([(1, json.dumps(tree)), (2, "broken"), (3, None)], "doc int, v string"), "doc", "v").orderBy("doc", "line").collect()
+    want = [("City - Name", "Riyadh"), ("Acts", "a، b"), ("Owners 1 - Name", "Ali"), ("Owners 1 - Share", "0.5"), ("Owners 2 - Name", "Sara"), ("Card (1) - X", "1")]
+    assert [tuple(r) for r in got] == [(1, i, *x) for i, x in enumerate(want, 1)]
+    many = [{"type": "cards", "items": [{"type": "group", "label": f"c{i}", "children": [{"type": "field", "label": "deep", "value": variants.DEEPER}, *({"type": "field", "label": str(j), "value": f" a  b{j}"} for j in range(9))]} for i in range(12)]}]
+    got = variants.view_lines(spark.createDataFrame([(1, json.dumps(many))], "doc int, v string"), "doc", "v").orderBy("line").collect()
+    assert [(r["label"], r["value"]) for r in got] == [(f"c{i} - {j}", f"a b{j}") for i in range(10) for j in range(9)][: variants.MOST_LINES]
 
 
 def test_codes_beside_names(spark):
@@ -138,9 +141,13 @@ def test_layouts_are_kept_or_dropped_whole(spark):
 
 
 def test_lines_find_their_blocks(spark):
-    df = spark.createDataFrame([([["title", "one"], ["two", "three"]], ["title", "on", "new", "three"]), ([], ["x"]), ([["a"]], ["zz", "q"])], "b array<array<string>>, l array<string>")
-    got = [[p and tuple(p) for p in r["p"]] for r in df.select(layout.places_of_lines("b", "l").alias("p")).collect()]
-    assert got == [[(0, 0), (0, 1), (1, 0), (1, 1)], [None], [(0, 0), (0, 0)]]
+    pages = [([["title", "one"], ["two", "three"]], ["title", "on", "new", "three"]), ([], ["x"]), ([["a"]], ["zz", "q"]), ([["a", "b"], ["c", "d", "e"]], ["d", "a", "b", "c", "e"]), ([["x", "x"], ["y", "x"]], ["x", "new", " x ", "y", "x"]), ([["p", "q", "r", "s"]], ["p", "z", "s"])]
+    blocks = spark.createDataFrame([(d, b, i, t) for d, (page, _) in enumerate(pages) for b, x in enumerate(page) for i, t in enumerate(x)], "doc int, block int, line int, text string")
+    lines = spark.createDataFrame([(d, i, t) for d, (_, new) in enumerate(pages) for i, t in enumerate(new)], "doc int, at int, text string")
+    got = {}
+    for r in layout.places_of_lines(blocks, lines, "doc").orderBy("doc", "at").collect():
+        got.setdefault(r["doc"], []).append(None if r["block"] is None else (r["block"], r["line"]))
+    assert got == {0: [(0, 0), (0, 1), (1, 0), (1, 1)], 1: [None], 2: [(0, 0), (0, 0)], 3: [(0, 0), (0, 0), (0, 1), (1, 0), (1, 2)], 4: [(0, 0), (0, 0), (0, 1), (1, 0), (1, 1)], 5: [(0, 0), (0, 1), (0, 3)]}
 
 
 def test_label_and_value_lines(spark):
