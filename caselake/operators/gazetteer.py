@@ -1,31 +1,37 @@
 """Places named in text: lookups of one place or all, what is no place, and the place of a case.
 
-The gazetteer is a stated vocabulary of bounded size; texts are read once for all of its names.
+The gazetteer is a stated vocabulary of bounded size; a text is read once for all of its names.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .signals import folded
-
-MOST_NAMES = 5_000
-# Words before a name that make it a road or a person, words that make it the region, and their Latin counterparts.
-NAME_BEFORE = "طريق شارع الامير الملك الشيخ بن ابن بنت ابو".split()
-REGION_BEFORE = "منطقه اماره امير".split()
-PERSON_EN = r"(?i)(?:^|\W)(?:king|prince|princess|sheikh|shaikh|bin|ibn|bint|abu)\s+$"
-ROAD_EN = r"(?i)^\s+(?:road|rd|street|st|highway|hwy|expressway|avenue|ave)(?!\w)"
-REGION_BEFORE_EN = r"(?i)(?:^|\W)(?:region|province|emirate|principality|prince|emir|amir)\s+of\s+(?:the\s+)?$"
-REGION_AFTER_EN = r"(?i)^\s+(?:region|province|emirate|principality)(?!\w)"
-ARTICLES_EN = "al el ar as az ad adh ash at ath an".split()
-_CONTEXT = 40
-_SEPARATOR = r"[\s'’‘`\-]+"
-_ARTICLE_EN = rf"(?:(?:al|el)[\s'’‘`\-]*|(?:ar|as|az|ad|adh|ash|at|ath|an){_SEPARATOR})"
+from .wordings import NAME_PARTICLES, Finder, Form, as_name, bounded, cached, exact, folded, next_word, words_before
+
+# Words before a name that make it a road or a person, and words that make it the region or its emirate.
+NAME_BEFORE = ("طريق", "شارع", "الامير", "الملك", "الشيخ", "بن", "ابن", "بنت", "ابو")
+REGION_BEFORE = ("منطقه", "اماره", "امير")
+# The same for names in Latin script, persons before a name and roads after it, regions and their rulers.
+PERSONS_EN = ("king", "prince", "princess", "sheikh", "shaikh", "bin", "ibn", "bint", "abu")
+ROADS_EN = ("road", "rd", "street", "st", "highway", "hwy", "expressway", "avenue", "ave")
+REGIONS_EN = ("region", "province", "emirate", "principality")
+RULERS_EN = ("prince", "emir", "amir")
+# Articles of Latin names; the joined ones may be written together with the name.
+ARTICLES_EN, JOINED_EN = ("al", "el", "ar", "as", "az", "ad", "adh", "ash", "at", "ath", "an"), ("al", "el")
+# What follows an ambiguous name that opens an address.
+ADDRESS_WORDS = ("حي", "شارع")
+_LATIN_WORD, _LATIN_GAP = re.compile("[a-zà-ɏ]+"), re.compile(r"[\s'’‘`\-]+")
+FOUND = "array<struct<clear:boolean,city:boolean,size:int,early:int,area:string,name:string>>"
+#: Where segments of an address end.
+SEGMENTS = r"[\n\r,،;؛/|()\[\]\-–—]+"
 
 
 @dataclass(frozen=True)
@@ -41,64 +47,119 @@ class Place:
     def latin(self) -> bool:
         return self.name.isascii()
 
-    @property
-    def size(self) -> int:
-        return len(" ".join(self.words)) if self.latin else len(folded(self.name))
-
     @property
     def words(self) -> list[str]:
-        return [w for w in re.findall("[a-z]+", self.name.lower()) if w not in ARTICLES_EN]
+        """The words of a Latin name without articles."""
+        return [w for w in _LATIN_WORD.findall(self.name.lower()) if w not in ARTICLES_EN]
 
     @property
-    def pattern(self) -> str:
-        """Whole words in search form; attached particles, and loose articles for Latin names outside addresses."""
-        if self.latin:
-            return r"(?iU)(?<![\w@.])(?:" + _SEPARATOR.join(_ARTICLE_EN + "?" + w for w in self.words) + r")(?!\w|@|\.\w)"
-        name = folded(self.name)
-        ways = ["[وف]?[بلك]?" + re.escape(name)] + (["[وف]?لل" + re.escape(name[2:])] if name.startswith("ال") else [])
-        return r"(?U)(?<!\w)(?:" + "|".join(ways) + r")(?!\w)"
-
-
-def _no_place(norm: Column, hit: Column, latin: bool, towns: bool) -> Column:
-    """The name at ``hit`` is a road or a person, or (``towns``) the region or its emirate."""
-    before = F.substr(norm, F.greatest(hit["start"] - _CONTEXT + 1, F.lit(1)), F.least(hit["start"], F.lit(_CONTEXT)))
-    if latin:
-        after = F.substr(norm, hit["end"] + 1, F.lit(_CONTEXT))
-        bad = before.rlike(PERSON_EN) | after.rlike(ROAD_EN)
-        return bad | before.rlike(REGION_BEFORE_EN) | after.rlike(REGION_AFTER_EN) if towns else bad
-    word = F.regexp_extract(before, r"(?U)(\w+)\s+$", 1)
-    bad = word.isin(NAME_BEFORE)
-    return bad | word.rlike("^[وف]?[بلك]?(?:" + "|".join(REGION_BEFORE) + ")$") if towns else bad
-
-
-def _counts(norm: Column, latin: bool, towns: bool):
-    return lambda hit: ~_no_place(norm, hit, latin, towns)
+    def size(self) -> int:
+        return len(" ".join(self.words)) if self.latin else len(folded(self.name))
 
 
-def _segment(text: Column, place: Place) -> Column:
-    """An ambiguous name is a whole segment between commas and the like, or the first word before a district or street."""
-    parts = F.transform(F.split(text, r"[\n\r,،;؛/|()\[\]\-–—]+"), lambda p: F.regexp_replace(X.normalize(p), r"(?U)^\W+|\W+$", ""))
-    whole = F.exists(parts, lambda p: p.rlike("^(?:" + place.pattern + ")$"))
-    return whole | X.normalize(text).rlike("^" + place.pattern + r" (?:حي|شارع)(?![\p{L}\p{N}_])")
+class _Latin:
+    """Latin names in a text: words one after the other, an article before each or not, outside addresses and domains."""
+
+    def __init__(self, places: list[tuple[int, Place]]):
+        self.by_first: dict[str, list[tuple[int, list[str]]]] = {}
+        for i, p in places:
+            if p.words:
+                self.by_first.setdefault(p.words[0], []).append((i, p.words))
+
+    def hits(self, text: str) -> Iterator[tuple[int, int, int]]:
+        if not self.by_first:
+            return
+        text = text.lower()
+        words = [(m[0], m.start(), m.end()) for m in _LATIN_WORD.finditer(text)]
+        near = [k == 0 or bool(_LATIN_GAP.fullmatch(text, words[k - 1][2], words[k][1])) for k in range(len(words))]
+
+        def core(k: int) -> list[str]:
+            word = words[k][0]
+            return [word, *(word[len(a) :] for a in JOINED_EN if word.startswith(a) and len(word) > len(a))]
+
+        for k in range(len(words)):
+            for first in core(k):
+                for i, names in self.by_first.get(first, ()):
+                    last = k
+                    for name in names[1:]:
+                        last += 1
+                        if last < len(words) and near[last] and words[last][0] in ARTICLES_EN and name not in core(last):
+                            last += 1
+                        if last >= len(words) or not near[last] or name not in core(last):
+                            break
+                    else:
+                        start = words[k - 1][1] if k and near[k] and words[k - 1][0] in ARTICLES_EN else words[k][1]
+                        end = words[last][2]
+                        whole = not re.match(r"[\w@.]", text[start - 1 : start]) and not re.match(r"\w|@|\.\w", text[end : end + 2])
+                        if whole:
+                            yield i, start, end
+
+
+class _Gazetteer:
+    """The places that a text in search form names, each at its first counting occurrence."""
+
+    def __init__(self, places: list[Place], towns: bool):
+        self.places, self.towns = places, towns
+        clear = [(i, p) for i, p in enumerate(places) if not p.ambiguous and not p.latin]
+        self.number = [i for i, _ in clear]
+        self.finder = Finder([self._forms(p.name) for _, p in clear])
+        self.latin = _Latin([(i, p) for i, p in enumerate(places) if p.latin and not p.ambiguous])
+        self.vague = [(i, self._forms(p.name)) for i, p in enumerate(places) if p.ambiguous]
+        self.vague_finder = Finder([forms for _, forms in self.vague])
+        self.region = [Form(w, NAME_PARTICLES, frozenset({""})) for w in REGION_BEFORE]
+
+    @staticmethod
+    def _forms(name: str) -> list[list[Form]]:
+        first, *rest = name.split()
+        return [as_name(first), *([exact(w) for w in rest])]
+
+    def _arabic_counts(self, text: str, start: int) -> bool:
+        before = words_before(text, start, 1)
+        return not before or not (before[0] in NAME_BEFORE or (self.towns and any(f.fits(before[0]) for f in self.region)))
+
+    def _latin_counts(self, text: str, start: int, end: int) -> bool:
+        before, after = words_before(text, start), next_word(text, end, adjacent=True)
+        if before[:1] and before[0] in PERSONS_EN or after in ROADS_EN:
+            return False
+        owner = [w for w in before if w != "the"] if before[:1] == ["the"] else before
+        ruled = len(owner) > 1 and owner[0] == "of" and owner[1] in (*REGIONS_EN, *RULERS_EN)
+        return not self.towns or not (ruled or after in REGIONS_EN)
+
+    def _whole_segments(self, text: str, segments: list[str]) -> Iterator[int]:
+        """Ambiguous names that are a whole segment, or that open the text before a word of addresses."""
+        if self.vague:
+            for part in segments:
+                part = part.strip()
+                bare = re.sub(r"^\W+|\W+$", "", part)
+                yield from (self.vague[k][0] for k, a, b in self.vague_finder.hits(bare) if a == 0 and b == len(bare))
+            yield from (self.vague[k][0] for k, a, b in self.vague_finder.hits(text[:200]) if a == 0 and text[b : b + 1] == " " and next_word(text, b) in ADDRESS_WORDS)
+
+    def of(self, text: str, segments: list[str]) -> list[dict]:
+        first: dict[int, int] = {}
+        for k, a, _ in self.finder.hits(text):
+            if self.number[k] not in first and self._arabic_counts(text, a):
+                first[self.number[k]] = a
+        lower = text.lower()
+        for i, a, b in self.latin.hits(text):
+            if i not in first and self._latin_counts(lower, a, b):
+                first[i] = a
+        for i in self._whole_segments(text, segments):
+            first[i] = 0
+        return [{"clear": not p.ambiguous, "city": p.city, "size": p.size, "early": -at, "area": p.area, "name": p.name} for i, at in sorted(first.items()) for p in (self.places[i],)]
 
 
 def _candidates(text: Column, places: list[Place], towns: bool) -> Column:
     """array<struct<clear, city, size, early, area, name>> of the names that count, each at its first place; the greatest wins."""
-    if len(places) > MOST_NAMES:
-        raise ValueError("too many names for one pass")
-    norm = X.normalize(text)
-    found = []
-    for p in places:
-        if p.ambiguous:
-            start = F.when(_segment(text, p), F.lit(0))
-        else:
-            spans = F.when(norm.rlike(p.pattern), X.find_spans(norm, p.pattern))
-            start = F.try_element_at(F.filter(spans, _counts(norm, p.latin, towns)), F.lit(1))["start"]
-        key = F.struct(
-            F.lit(not p.ambiguous).alias("clear"), F.lit(p.city).alias("city"), F.lit(p.size).alias("size"), (-start).alias("early"), F.lit(p.area).alias("area"), F.lit(p.name).alias("name")
-        )
-        found.append(F.when(start.isNotNull(), key))
-    return F.filter(F.array(*found), lambda k: k.isNotNull())
+    bounded(places)
+    model = cached(lambda: _Gazetteer(list(places), towns))
+
+    def run(norms: pd.Series, segments: pd.Series) -> pd.Series:
+        gazetteer = model()
+        return pd.Series([gazetteer.of(t or "", list(x) if x is not None else []) for t, x in zip(norms, segments, strict=True)])
+
+    vague = any(p.ambiguous for p in places)
+    segments = F.transform(F.split(text, SEGMENTS), lambda p: X.normalize(p)) if vague else F.array().cast("array<string>")
+    return F.pandas_udf(run, FOUND)(X.normalize(text), segments)
 
 
 def area_of(text: Column, places: list[Place], towns: bool = False) -> Column:
@@ -111,27 +172,26 @@ def areas_in(text: Column, places: list[Place], towns: bool = False) -> Column:
     return F.array_sort(F.array_distinct(F.transform(_candidates(text, places, towns), lambda k: k["area"])))
 
 
-def names_in(text: Column, places: list[Place]) -> Column:
-    """The names that occur as whole words, in the order of the vocabulary; ambiguous and Latin ones are not listed."""
-    norm = X.normalize(text)
-    return F.filter(F.array(*[F.when(norm.rlike(p.pattern), F.lit(p.name)) for p in places if not p.ambiguous and not p.latin]), lambda n: n.isNotNull())
-
-
 def resolve(
-    incident: Column, city: Column, district: Column, model_region: Column, model_town: Column, support: Column, home: str, towns: list[Place], regions: list[Place]
-) -> Column:
-    """struct(region, region_source, town, town_source) of a case from its verified place values, then the model.
+    df: DataFrame, incident: Column, city: Column, district: Column, model_region: Column, model_town: Column, support: Column, home: str, towns: list[Place], regions: list[Place], into: str = "place"
+) -> DataFrame:
+    """``df`` with struct(region, region_source, town, town_source) of a case from its verified place values, then the model.
 
     Tried in turn: where it happened, the city, city with district. A town sets both; another region's city stops the search
     unless the home region was named before. The model's word counts only if ``support`` names the same place.
     """
     blank = lambda c: F.coalesce(c, F.lit("")) == ""
     both = F.when(~blank(city) & ~blank(district), F.concat_ws("، ", city, district)).otherwise(F.coalesce(city, district))
+    looked = {}
+    for k, text in enumerate((incident, city, both)):
+        looked |= {f"__town{k}": area_of(text, towns, towns=True), f"__region{k}": area_of(text, regions), f"__text{k}": ~blank(text)}
+    looked |= {"__regions": areas_in(support, regions), "__towns": areas_in(support, towns, towns=True)}
+    found = df.withColumns(looked)
     tries = []
-    for text in (incident, city, both):
-        town = area_of(text, towns, towns=True)
-        region = F.when(town.isNotNull(), F.lit(home)).otherwise(area_of(text, regions))
-        tries.append(F.when(~blank(text), F.struct(town.alias("town"), region.alias("region"))))
+    for k in range(3):
+        town = F.col(f"__town{k}")
+        region = F.when(town.isNotNull(), F.lit(home)).otherwise(F.col(f"__region{k}"))
+        tries.append(F.when(F.col(f"__text{k}"), F.struct(town.alias("town"), region.alias("region"))))
 
     def step(acc: Column, t: Column) -> Column:
         stop = acc["done"] | t.isNull()
@@ -144,21 +204,18 @@ def resolve(
 
     nothing = F.lit(None).cast("string")
     start = F.struct(F.lit(False).alias("done"), F.lit(False).alias("home"), nothing.alias("town"), nothing.alias("foreign"))
-    got = F.aggregate(F.array(*tries), start, step)
+    g = F.col("__got")
     known = lambda c: ~blank(c) & (c != "unknown")
-    said_region = known(model_region) & F.array_contains(areas_in(support, regions), model_region)
-    said_town = known(model_town) & F.array_contains(areas_in(support, towns, towns=True), model_town)
-
-    def finish(g: Column) -> Column:
-        region = F.when(g["town"].isNotNull() | g["home"], F.lit(home)).when(g["foreign"].isNotNull(), g["foreign"]).when(said_region, model_region).when(said_town, F.lit(home))
-        source = F.when(g["town"].isNotNull(), "place_map").when(g["home"] | g["foreign"].isNotNull(), "city_map").when(said_region | said_town, "llm")
-        town = F.when(g["town"].isNotNull(), g["town"]).when(said_town & g["foreign"].isNull() & (region == home), model_town)
-        return F.struct(
-            F.coalesce(region, F.lit("unknown")).alias("region"), F.coalesce(source, F.lit("none")).alias("region_source"), F.coalesce(town, F.lit("unknown")).alias("town"),
-            F.when(g["town"].isNotNull(), "place_map").when(town.isNotNull(), "llm").otherwise("none").alias("town_source"),
-        )
-
-    return F.transform(F.array(got), finish)[0]
+    said_region = known(model_region) & F.array_contains("__regions", model_region)
+    said_town = known(model_town) & F.array_contains("__towns", model_town)
+    region = F.when(g["town"].isNotNull() | g["home"], F.lit(home)).when(g["foreign"].isNotNull(), g["foreign"]).when(said_region, model_region).when(said_town, F.lit(home))
+    source = F.when(g["town"].isNotNull(), "place_map").when(g["home"] | g["foreign"].isNotNull(), "city_map").when(said_region | said_town, "llm")
+    town = F.when(g["town"].isNotNull(), g["town"]).when(said_town & g["foreign"].isNull() & (region == home), model_town)
+    place = F.struct(
+        F.coalesce(region, F.lit("unknown")).alias("region"), F.coalesce(source, F.lit("none")).alias("region_source"), F.coalesce(town, F.lit("unknown")).alias("town"),
+        F.when(g["town"].isNotNull(), "place_map").when(town.isNotNull(), "llm").otherwise("none").alias("town_source"),
+    )
+    return found.withColumn("__got", F.aggregate(F.array(*tries), start, step)).withColumn(into, place).drop(*looked, "__got")
 
 
 def support_text(text: Column, addressee: Column, entity_names: list[str]) -> Column:

@@ -112,7 +112,7 @@ def _letters(spark, sf):
     o = table(spark, sf, "orders")
     text = F.element_at(F.array(*[F.lit(t) for t, _, _ in LETTERS]), (F.col("o_orderkey") % 8 + 1).cast("int"))
     d = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("person"), F.col("o_orderpriority").alias("p"), X.normalize(text).alias("text"))
-    found = S.detect(d, "text", PHRASES, {"حامل": ["بطاقة", "البطاقة"]}, ["الحريق"])
+    found = S.detect(F.col("text"), PHRASES, {"حامل": ["بطاقة", "البطاقة"]}, ["الحريق"])
     return d.withColumn("found", found).withColumn("ids", F.transform("found", lambda s: s["id"]))
 
 
@@ -176,5 +176,5 @@ CASES = (
 @query("WITH c(way, region, region_source, town, town_source) AS (VALUES " + ", ".join(f"({i}, '{c[5]}', '{c[6]}', '{c[7]}', '{c[8]}')" for i, c in enumerate(CASES)) + ") SELECT c_custkey AS id, region, region_source, town, town_source FROM customer JOIN c ON c_custkey % 6 = way")
 def place_resolution(spark, sf):
     pick = lambda k: F.element_at(F.array(*[F.lit(c[k]).cast("string") for c in CASES]), (F.col("c_custkey") % 6 + 1).cast("int"))
-    r = P.resolve(pick(0), pick(1), F.lit(None).cast("string"), pick(2), pick(3), pick(4), "riyadh", TOWNS, REGIONS)
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), r.alias("r")).select("id", "r.*")
+    r = P.resolve(table(spark, sf, "customer"), pick(0), pick(1), F.lit(None).cast("string"), pick(2), pick(3), pick(4), "riyadh", TOWNS, REGIONS)
+    return r.select(F.col("c_custkey").alias("id"), "place.*")
