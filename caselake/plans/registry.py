@@ -1,6 +1,7 @@
 """Query names, their callables and their DuckDB oracles."""
 
-from . import answers, answers_json, cases, checks, documents, fixtures, texts
+from . import answers, answers_json, cases, checks, documents, fixtures, streams, texts
 
-QUERIES: dict = {**cases.QUERIES, **texts.QUERIES, **fixtures.QUERIES, **documents.QUERIES, **checks.QUERIES, **answers.QUERIES, **answers_json.QUERIES}
-ORACLES: dict = {**cases.ORACLES, **texts.ORACLES, **fixtures.ORACLES, **documents.ORACLES, **checks.ORACLES, **answers.ORACLES, **answers_json.ORACLES}
+_MODULES = (cases, texts, fixtures, documents, checks, answers, answers_json, streams)
+QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES: dict = {k: sql for m in _MODULES for k, sql in m.ORACLES.items()}
