@@ -178,3 +178,22 @@ def place_resolution(spark, sf):
     pick = lambda k: F.element_at(F.array(*[F.lit(c[k]).cast("string") for c in CASES]), (F.col("c_custkey") % 6 + 1).cast("int"))
     r = P.resolve(table(spark, sf, "customer"), pick(0), pick(1), F.lit(None).cast("string"), pick(2), pick(3), pick(4), "riyadh", TOWNS, REGIONS)
     return r.select(F.col("c_custkey").alias("id"), "place.*")
+
+
+# Months of 30 days (1) and of 29 (0) of the official calendar by year; the first year begins 7,863 days after 1970-01-01.
+OFFICIAL = {
+    1412: "101010111001", 1413: "010010111010", 1414: "101001011011", 1415: "010100101011", 1416: "101010010101", 1417: "101100101010",
+    1418: "101101010101", 1419: "010101011100", 1420: "010010111101", 1421: "001000111101", 1422: "100100011101", 1423: "101010010101",
+}
+
+
+@query(f"""WITH l(y, flags) AS (VALUES {", ".join(f"({y}, '{f}')" for y, f in OFFICIAL.items())}), m AS (SELECT y, unnest(range(1, 13)) AS m, flags FROM l), n AS (SELECT y, m, 29 + CAST(flags[m] AS INT) AS size FROM m),
+ s AS (SELECT y::INT AS y, m::INT AS m, DATE '1970-01-01' + (7863 + sum(size) OVER (ORDER BY y, m) - size)::INT AS first FROM n), o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day FROM orders)
+ SELECT id, y, m, (day - first + 1)::INT AS d, day, CASE WHEN id % 2 = 0 THEN day ELSE first END AS said FROM o ASOF JOIN s ON day >= first""")
+def official_hijri(spark, sf):
+    """Dates of the orders by the official calendar's table, back again, and as a written month of a deed."""
+    months = D.MonthStarts.of_runtime(spark)
+    t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), months.from_date(F.to_date("o_orderdate")).alias("h"))
+    t = t.select("id", "h.*").withColumn("day", D.hijri_day(F.col("y"), F.col("m"), F.col("d"), months))
+    written = F.concat_ws("/", F.col("y").cast("string"), F.col("m").cast("string"), F.when(F.col("id") % 2 == 0, F.col("d")).otherwise(1).cast("string"))
+    return t.withColumn("said", F.get(D.dates_in(D.dated_text(F.concat(F.lit("تاريخ الانتهاء "), written, F.lit(" هـ"))), months), 0)["on"])

@@ -378,3 +378,23 @@ def test_cascade_delete(spark):
     events = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z")], "case_id int, e string")
     left = cases.without_cases({"cases": (cases_, "id"), "events": (events, "case_id")}, spark.createDataFrame([(2,)], "id int"))
     assert [r["id"] for r in left["cases"].collect()] == [1] and [r["e"] for r in left["events"].collect()] == ["x"]
+
+
+def test_official_calendar(spark):
+    """Known days, the table's ends, days that a month lacks, and the tabular rule outside."""
+    months = dates.MonthStarts.of_runtime(spark)
+    day = lambda *x: one(spark, dates.hijri_day(*map(F.lit, x), months))
+    assert day(1447, 1, 1) == dt.date(2025, 6, 26) and day(1447, 3, 29) == dt.date(2025, 9, 21)
+    assert day(1447, 2, 30) is None and day(1447, 1, 30) == dt.date(2025, 7, 25) and day(1447, 13, 1) is None and day(1447, 1, 0) is None
+    assert day(1250, 1, 1) == one(spark, dates.hijri_to_date(F.lit(1250), F.lit(1), F.lit(1)))
+    back = lambda c: tuple(one(spark, dates.hijri_of(F.lit(c).cast("date"), months)))
+    assert back("2025-06-26") == (1447, 1, 1) and back("2025-06-25")[:2] == (1446, 12)
+    assert back("1840-01-01") == tuple(one(spark, dates.date_to_hijri(F.lit("1840-01-01").cast("date"))))
+    days = spark.range(0, 60000, 7).select(F.date_from_unix_date((F.col("id") - 25000).cast("int")).alias("g"))
+    h = days.select("g", months.from_date(F.col("g")).alias("h")).where("h is not null")
+    assert h.count() > 8000 and h.where(months.to_date(F.col("h.y"), F.col("h.m"), F.col("h.d")) != F.col("g")).count() == 0
+    table = spark.createDataFrame([(1447, 1, dt.date(2025, 6, 26)), (1447, 2, dt.date(2025, 7, 26)), (1447, 3, dt.date(2025, 8, 24))], "year int, month int, start date")
+    own = dates.MonthStarts.of_table(table)
+    assert own.days == months.days[(1447 - months.year) * 12 :][:3] and one(spark, own.to_date(F.lit(1447), F.lit(2), F.lit(29))) == dt.date(2025, 8, 23)
+    with pytest.raises(ValueError):
+        dates.MonthStarts.of_table(table.where("month <> 2"))
