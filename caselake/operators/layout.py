@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import masking as K
+from ..functions import text as X
 from ..session import small
 from . import variants as V
+from .wordings import folded
 
 MOST_BLOCKS, MOST_LINES, MOST_CHARS, MOST_LABEL = 800, 4000, 20_000, 40
 PAGE = "struct<blocks:array<struct<label:string,bbox:array<double>,lines:array<string>>>>"
@@ -85,6 +87,80 @@ def label_values(lines: DataFrame, doc: str, order: str, text: str, labels: Data
     return nxt.withColumn("__taken", taken).where("not __taken").select(doc, order, text, pair.alias("pair")).select(doc, order, text, "pair.label", "pair.value")
 
 
+#: Words of a label, characters of a label and value line, words and characters of a heading at most.
+LABEL_WORDS, LABEL_LINE, HEADING_WORDS, HEADING_CHARS = 5, 60, 6, 48
+_DIGIT = "[0-9٠-٩۰-۹]"
+#: A label of up to 32 signs, a colon and a value; a label and the date or number that ends the line; a date or number alone; what no heading ends with.
+_FIELD = r"^([^:：]{1,32}?)\s*([:：])\s*(.*\S)$"
+_NUMBER = rf"{_DIGIT}(?:[0-9٠-٩۰-۹/\-.\s]*{_DIGIT})?\s*(?:هـ|ه|م)?"
+_TAIL = rf"^([^0-9٠-٩۰-۹|:：]*[^0-9٠-٩۰-۹|:：\s])\s+({_NUMBER})$"
+_HEADING_ENDS = r"[.،:؛]$"
+
+
+def line_shapes(lines: DataFrame, doc: str, order: str, text: str, labels: list[str], sections: list[str] = (), letter: str = r"\p{L}") -> DataFrame:
+    """(doc, order, text, shape, cells) of the lines of documents: rows with their cells, headings and body; blank lines are left out.
+
+    A row is a line cut by bars, a field with a declared label, a line that opens with one, or a declared label with the line under it. In company
+    of others, so are a field with any label next to another field, a label with a date or number next to a row (and the next one next to that, as far as they
+    go), and a label with a date or number on the line under it, next to a row. Everything looks at neighbours through windows of a document; ``letter``
+    is what a label must hold.
+    """
+    declared, held = [sorted({folded(x).lower() for x in names}) for names in (labels, sections)]
+    w = Window.partitionBy(doc).orderBy(order)
+    s = F.col("__s")
+    among = lambda c, names: X.fold(c).isin(names) if names else F.lit(False)
+    is_label = lambda c: among(c, declared) & ~among(c, held)
+    words = lambda c: F.size(F.split(c, r"\s+"))
+
+    def field(c: Column) -> Column:
+        part = lambda k: F.regexp_extract(c, _FIELD, k)
+        fine = (part(2) != "") & part(1).rlike(letter) & ~part(1).rlike(_DIGIT + "$") & ~part(3).rlike(_FIELD)
+        return F.when(fine, F.struct(part(1).alias("k"), part(2).alias("c"), part(3).alias("v")))
+
+    # a declared label takes the line under it
+    base = lines.select(doc, order, F.trim(F.regexp_replace(text, r"(?U)\s+", " ")).alias("__s")).where("__s != ''")
+    base = base.withColumns({"__label": is_label(s), "__field": field(s), "__bar": F.contains(s, F.lit("|"))})
+    plain = ~F.col("__bar") & F.col("__field").isNull()
+    takes = F.coalesce(F.col("__label") & plain & F.lead(plain & ~F.col("__label")).over(w), F.lit(False))
+    base = base.withColumns({"__takes": takes, "__under": F.lead("__s").over(w)})
+    base = base.withColumn("__taken", F.coalesce(F.lag("__takes").over(w), F.lit(False))).where("not __taken")
+    # what is a row by itself
+    bars = F.filter(F.transform(F.split(s, r"\|"), lambda c: F.trim(c)), lambda c: c != "")
+    parts = F.split(s, " ")
+    heads = F.filter(F.sequence(F.lit(1), F.least(F.lit(LABEL_WORDS), words(s) - 1)), lambda n: is_label(F.array_join(F.slice(parts, 1, n), " ")))
+    opens = F.when((F.length(s) <= LABEL_LINE) & (words(s) > 1) & ~among(s, held), F.array_max(heads))
+    f = F.col("__field")
+    of_field = F.array(F.concat(f["k"], f["c"]), f["v"])
+    cells = (
+        F.when(F.col("__takes"), F.array("__s", "__under"))
+        .when(F.col("__bar"), F.when(F.size(bars) >= 2, bars))
+        .when(f.isNotNull() & is_label(f["k"]), of_field)
+        .when(opens.isNotNull(), F.array(F.array_join(F.slice(parts, 1, opens), " "), F.array_join(F.slice(parts, opens + 1, F.size(parts)), " ")))
+    )
+    near = lambda c: F.coalesce(F.lag(c).over(w), F.lit(False)) | F.coalesce(F.lead(c).over(w), F.lit(False))
+    company = near(f.isNotNull() & ~F.col("__takes"))
+    rows = base.withColumn("cells", cells).withColumn("cells", F.coalesce("cells", F.when(f.isNotNull() & company, of_field)))
+    # labels with a number after them, from row to row: an unbroken stretch of such lines and rows that holds a row
+    name = F.regexp_extract(s, _TAIL, 1)
+    tail = F.col("cells").isNull() & name.rlike(letter) & (words(name) <= LABEL_WORDS) & ~among(name, held)
+    rows = rows.withColumns({"__tail": tail, "__row": F.col("cells").isNotNull()})
+    rows = rows.withColumn("__stretch", F.sum((~(F.col("__tail") | F.col("__row"))).cast("int")).over(w))
+    holds = F.max(F.col("__row")).over(Window.partitionBy(doc, "__stretch"))
+    rows = rows.withColumn("cells", F.when(F.col("__tail") & holds, F.array(name, F.regexp_extract(s, _TAIL, 2))).otherwise(F.col("cells")))
+    # a label over a number, next to a row
+    alone = F.col("cells").isNull()
+    caption = alone & s.rlike(letter) & ~s.rlike(_DIGIT) & (words(s) <= LABEL_WORDS) & ~among(s, held) & ~F.col("__bar")
+    number = alone & s.rlike(f"^{_NUMBER}$")
+    rows = rows.withColumns({"__caption": caption, "__number": number, "__row": ~alone})
+    beside = F.coalesce(F.lag("__row").over(w), F.lit(False)) | F.coalesce(F.lead("__row", 2).over(w), F.lit(False))
+    rows = rows.withColumns({"__over": F.coalesce(F.col("__caption") & F.lead("__number").over(w) & beside, F.lit(False)), "__under": F.lead("__s").over(w)})
+    rows = rows.withColumn("__taken", F.coalesce(F.lag("__over").over(w), F.lit(False))).where("not __taken").withColumn("cells", F.when(F.col("__over"), F.array("__s", "__under")).otherwise(F.col("cells")))
+    letters, digits = F.regexp_count(s, F.lit(r"\p{L}")), F.regexp_count(s, F.lit(_DIGIT))
+    heading = (words(s) <= HEADING_WORDS) & (F.length(s) <= HEADING_CHARS) & s.rlike(letter) & ~((digits >= letters) & (digits > 0)) & ~F.coalesce(F.col("__tail"), F.lit(False)) & ~s.rlike(_HEADING_ENDS)
+    shape = F.when(F.col("cells").isNotNull(), "row").when(heading, "heading").otherwise("body")
+    return rows.select(doc, order, F.col("__s").alias(text), shape.alias("shape"), "cells")
+
+
 MOST_COLUMNS = 12
 #: How true and false read (fixed values).
 YES, NO = "نعم", "لا"

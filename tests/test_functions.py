@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from caselake.functions import dates, masking, text
 from caselake.operators import compare as C
-from caselake.operators import matching, register, segment
+from caselake.operators import layout, matching, register, segment
 from caselake.sources import intake
 from caselake.streaming import cases
+from tests.shapes import shapes
 
 
 def one(spark, column):
@@ -108,17 +109,18 @@ def test_chunks_keep_pages_apart_and_prefer_late_ends():
     assert [p for _, _, p in cuts] == [1, 1, 2] and t[cuts[0][0] : cuts[0][1]].endswith("b.") and t[cuts[2][0] :] == "end"
 
 
-def test_overlapping_windows():
+def test_overlapping_windows(spark):
     rng = random.Random(5)
-    for _ in range(100):
-        t = "".join(rng.choice("abc\n") for _ in range(rng.randrange(1, 900)))
-        got = segment.overlapping(t, 200, overlap=50, most=4)
+    texts = ["".join(rng.choice("abc\n") for _ in range(rng.randrange(1, 900))) for _ in range(100)]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", segment.overlapping(F.col("t"), 200, overlap=50, most=4).alias("w")).collect()
+    for t, got in ((r["t"], [tuple(x) for x in r["w"]]) for r in found):
         assert got[0][0] == 0 and 1 <= len(got) <= 4 and (got[-1][1] == len(t) or len(got) == 4)
         for (a, b), (c, d) in zip(got, got[1:]):
             assert c == max(a + 1, b - 50) and d - c <= 200
         for a, b in got:
             breaks = [i for i in range(a + 100, min(a + 200, len(t))) if t[i] == "\n"]
             assert b == len(t) or b == (breaks[-1] if breaks else a + 200)
+    assert one(spark, segment.overlapping(F.lit(None).cast("string"), 200)) is None and [tuple(x) for x in one(spark, segment.overlapping(F.lit(""), 200))] == [(0, 0)]
 
 
 def test_closed_json(spark):
@@ -138,8 +140,47 @@ def test_edit_distance_sizes_and_cells(spark):
             for j in range(1, len(row)):
                 row[j] = min(row[j], row[j - 1] + 1)
         assert r["n"] == row[-1]
-    assert segment.size_groups([10.0, 10.4, 12.0, 10.8, 30.0]) == [10.5, 10.5, 12.0, 10.5, 30.0]
-    assert segment.ordered_cells("ali 10 ali 20", ["ali", "ali", "10", "20"]) == [0, 7, None, 11]
+    sizes = lambda *x: one(spark, segment.size_groups(F.array(*map(F.lit, x)).cast("array<double>")))
+    assert sizes(10.0, 10.4, 12.0, 10.8, 30.0) == [10.5, 10.5, 12.0, 10.5, 30.0] and sizes() == [] and sizes(7.3, 7.3) == [7.5, 7.5]
+    cells = lambda line, *x: one(spark, segment.ordered_cells(F.lit(line), F.array(*map(F.lit, x))))
+    assert cells("ali 10 ali 20", "ali", "ali", "10", "20") == [0, 7, None, 11] and cells("a", "", "a") == [None, 0]
+
+
+def test_recovered_entries_against_a_loop(spark):
+    """Second readings correct or extend a page, each entry once, in order."""
+    rng = random.Random(6)
+    names, meanings = ["karim", "karem", "salim", "salima", "nour", "noor"], ["generous and noble", "generous and nobel", "safe and sound", "light of day", "x"]
+    rows = lambda first: [(first + i, rng.randrange(4), i, f"k{rng.randrange(9)}", rng.choice(names), rng.choice(meanings), rng.randrange(5) * 30, float(rng.randrange(9))) for i in range(40)]
+    columns = "id int, page int, at int, key string, name string, meaning string, y int, quality double"
+    old, new = rows(0), rows(100)
+    a, b = spark.createDataFrame(old, columns), spark.createDataFrame(new, columns)
+    same = {tuple(r) for r in segment.same_entries(a, b, "page").select("a", "b").collect()}
+    want = {r[0]: (r[1], r[3], r[4], r[5], "read") for r in old}
+    taken, known = set(), {(r[1], r[3]) for r in old}
+    for r in new:
+        if (r[1], r[3]) in known:
+            continue
+        known.add((r[1], r[3]))
+        hit = next((o for o in old if o[1] == r[1] and o[0] not in taken and (o[0], r[0]) in same), None)
+        if hit:
+            taken.add(hit[0])
+            want[hit[0]] = (hit[1], r[3], r[4], r[5] if r[7] > hit[7] else hit[5], "corrected")
+        else:
+            want[r[0]] = (r[1], r[3], r[4], r[5], "added")
+    got = {r["id"]: (r["page"], r["key"], r["name"], r["meaning"], r["how"]) for r in segment.recovered(a, b, "page").collect()}
+    assert got == want and {x[-1] for x in want.values()} == {"read", "corrected", "added"}
+
+
+def test_line_shapes(spark):
+    rng = random.Random(4)
+    pool = ["Deed of sale", "City", "Riyadh", "Name: Ali", "Time: 10:30 today", "Number 1234", "Issued on", "1445/01/02", "a | b | c", "Total sum 99", "plain words that end here.", "Alone: x", "  ", "Owner Sara Ahmad", "Part one", "77", "Owner: me", "City : a b", "x |", "12: no", "seven words are too many for headings", "Last 5"]
+    texts = [[rng.choice(pool) for _ in range(rng.randrange(1, 14))] for _ in range(300)]
+    d = spark.createDataFrame([(k, i, t) for k, x in enumerate(texts) for i, t in enumerate(x)], "doc int, n int, t string")
+    got = {}
+    for r in layout.line_shapes(d, "doc", "n", "t", ["City", "Owner"], ["Part one"]).orderBy("doc", "n").collect():
+        got.setdefault(r["doc"], []).append((r["n"], r["shape"], r["cells"]))
+    for k, x in enumerate(texts):
+        assert got.get(k, []) == shapes(list(enumerate(x)), {"city", "owner"}, {"part one"}), x
 
 
 def test_same_entries_near_each_other(spark):
