@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..session import small
 
 # Answers that mean nothing was found.
 PLACEHOLDERS = ("-", "—", "–", "لا يوجد", "لايوجد", "غير مذكور", "غير محدد", "غير متوفر", "غير معروف", "لا ينطبق", "n/a", "na", "none", "null", "unknown", "not mentioned", "not specified")
@@ -190,3 +191,9 @@ def planned(calls: DataFrame, conflicts: DataFrame, available: list[str]) -> Dat
     bad = conflicts.select("call").distinct().withColumn("bad", F.lit(True))
     return calls.join(bad, "call", "left").withColumn("skip", F.when(~F.col("endpoint").isin(available), "unavailable").when(F.col("bad"), "invalid")).drop("bad")
 
+
+
+def call_costs(calls: DataFrame, prices: DataFrame, key: str, surcharge: int) -> DataFrame:
+    """(key, cost) of the chosen register calls (key, endpoint, old): each endpoint's price, and a surcharge for a call by an old number."""
+    each = F.col("price") + F.when(F.col("old"), surcharge).otherwise(0)
+    return calls.join(small(prices), "endpoint").groupBy(key).agg(F.sum(each).cast("long").alias("cost"))

@@ -167,6 +167,11 @@ def area_of(text: Column, places: list[Place], towns: bool = False) -> Column:
     return F.array_max(_candidates(text, places, towns))["area"]
 
 
+def place_of(text: Column, places: list[Place], towns: bool = False) -> Column:
+    """struct(clear, city, size, early, area, name) of the winning name, as ``area_of`` chooses it; null without one."""
+    return F.array_max(_candidates(text, places, towns))
+
+
 def areas_in(text: Column, places: list[Place], towns: bool = False) -> Column:
     """Every area named, sorted."""
     return F.array_sort(F.array_distinct(F.transform(_candidates(text, places, towns), lambda k: k["area"])))

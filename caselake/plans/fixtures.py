@@ -1,4 +1,4 @@
-"""Queries over small stated tables, for semantics that the driver's tables do not hold (Arabic text, calendars, records, register answers)."""
+"""Queries of folds, calendars, records and register answers; inputs are written from columns of whole tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from ..functions import dates as D
 from ..functions import masking as K
 from ..functions import text as X
 from ..operators import analytics as A
+from ..operators import cleaning as L
 from ..operators import compare as C
+from ..operators import gazetteer as P
 from ..operators import matching as M
 from ..operators import records as R
 from ..operators import register as G
@@ -34,13 +36,14 @@ def _sql(rows: list[tuple]) -> str:
     return "VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
 
 
-TEXTS = [(1, "أحمد  بن محمّد"), (2, "إدارة المُرور"), (3, "رقم ١٢٣٤٥ في مكة"), (4, "مدينـــة الرياض"), (5, "Riyadh City"), (6, None), (7, ""), (8, "١٢٣٬٤٥٦٫٧٨"), (9, "مُؤَسَّسَةٌ ۖ")]
+#: Documents of which some letters are written as Arabic ones that fold, with marks, signs of length and digits of either system.
+_SPELLED = "translate(text, 'abcdghnot', 'أإآٱةؤئ١ـ') || ' مُؤَسَّسَةٌ ۖ ١٢٣٬٤٥٦٫٧٨ ' || CAST(doc_id AS VARCHAR(20))"
 
 
-@query(f"""WITH t(id, s) AS ({_sql(TEXTS)}) SELECT id, lower(trim(regexp_replace(translate(regexp_replace(s, '[\u064B-\u065F\u0670\u06D6-\u06ED\u0640]', '', 'g'),
- 'أإآٱةؤئ٠١٢٣٤٥٦٧٨٩٫٬', 'ااااهوي0123456789.,'), '\\s+', ' ', 'g'))) AS folded FROM t""")
+@query(f"""SELECT doc_id AS id, replace(replace(lower(trim(regexp_replace(translate(regexp_replace({_SPELLED}, '[\u064B-\u065F\u0670\u06D6-\u06ED\u0640]', '', 'g'),
+ 'أإآٱةؤئ٠١٢٣٤٥٦٧٨٩٫٬', 'ااااهوي0123456789.,'), '[\\s\u00a0\u0085\u2000-\u200a\u3000]+', ' ', 'g'), ' ')), 'ς', 'σ'), 'ß', 'ss') AS folded FROM documents""")
 def arabic_fold(spark, sf):
-    return spark.createDataFrame(TEXTS, "id int, s string").select("id", X.fold(F.col("s")).alias("folded"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), X.fold(F.expr(_SPELLED)).alias("folded"))
 
 
 _JDN = "datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 2440588"
@@ -56,58 +59,67 @@ def hijri_round_trip(spark, sf):
     return t.select("id", "h.*", D.hijri_to_date(F.col("h.y"), F.col("h.m"), F.col("h.d")).alias("day"))
 
 
-DATES = [(1, "2024/03/05"), (2, "5-3-2024"), (3, "12/10/24"), (4, "1445/13/1"), (5, "1445/12/31"), (6, "29/12/1445"), (7, "2024/02/31"), (8, "1700/01/01"), (9, "29.2.2024"), (10, "1500/1/1")]
+#: A date of each order with its numbers in several orders, and numbers that are no date.
+_DATED = """CASE o_orderkey % 8 WHEN 0 THEN year(o_orderdate) || '/' || month(o_orderdate) || '/' || day(o_orderdate) WHEN 1 THEN day(o_orderdate) || '-' || month(o_orderdate) || '-' || year(o_orderdate)
+ WHEN 2 THEN day(o_orderdate) || '/' || month(o_orderdate) || '/' || (o_orderkey % 100) WHEN 3 THEN (1400 + o_custkey % 200) || '/' || (1 + o_custkey % 14) || '/' || (1 + o_orderkey % 32) WHEN 4 THEN (1 + o_orderkey % 32) || '.' || (1 + o_custkey % 13) || '.' || (1300 + o_custkey % 300)
+ WHEN 5 THEN '2024/' || (1 + o_custkey % 14) || '/' || (1 + o_orderkey % 32) WHEN 6 THEN (1600 + o_custkey % 700) || '-1-1' ELSE (1 + o_orderkey % 32) || '.2.' || (1896 + o_custkey % 300) END"""
 
 
-@query(f"""WITH t(id, s) AS ({_sql(DATES)}), p AS (SELECT id, list_transform(regexp_split_to_array(s, '[-/.]'), lambda x: CAST(x AS INT)) AS p, length(regexp_extract(s, '^[0-9]+')) >= 3 AS first FROM t),
- q AS (SELECT id, CASE WHEN first THEN p[1] ELSE p[3] END AS y, p[2] AS m, CASE WHEN first THEN p[3] ELSE p[1] END AS d FROM p),
+@query(f"""WITH t AS (SELECT o_orderkey AS id, {_DATED} AS s FROM orders), p AS (SELECT id, list_transform(regexp_split_to_array(s, '[-/.]'), lambda x: CAST(x AS INT)) AS p, length(regexp_extract(s, '^[0-9]+')) >= 3 AS first, length(regexp_extract(s, '[0-9]+$')) >= 3 AS last FROM t),
+ q AS (SELECT id, CASE WHEN first THEN p[1] WHEN last THEN p[3] END AS y, p[2] AS m, CASE WHEN first THEN p[3] ELSE p[1] END AS d FROM p),
  v AS (SELECT *, CASE WHEN y BETWEEN 1200 AND 1499 THEN m BETWEEN 1 AND 12 AND d BETWEEN 1 AND 30
  WHEN y BETWEEN 1900 AND 2199 THEN try_cast(y || '-' || m || '-' || d AS DATE) IS NOT NULL ELSE false END AS ok FROM q)
  SELECT id, CASE WHEN ok THEN y END AS y, CASE WHEN ok THEN m END AS m, CASE WHEN ok THEN d END AS d FROM v""")
 def numeric_dates(spark, sf):
-    return spark.createDataFrame(DATES, "id int, s string").select("id", D.parse_numeric_date(F.col("s")).alias("p")).select("id", "p.y", "p.m", "p.d")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), D.parse_numeric_date(F.expr(_DATED)).alias("p")).select("id", "p.y", "p.m", "p.d")
 
 
-LABELS = [(1, "issued", 0, 10, 1), (1, "expires", 40, 50, 2), (2, "expires", 5, 12, 2), (3, "issued", 0, 5, 1)]
-FOUND = [(1, 12, "2020/01/01"), (1, 60, "2025/01/01"), (1, 80, "2026/01/01"), (2, 200, "2024/02/02"), (3, 5, "2021/05/05")]
-
-
-@query(f"""WITH l(doc, label, "start", "end", rank) AS ({_sql(LABELS)}), d(doc, s, date_text) AS ({_sql(FOUND)}) SELECT doc, label, date_text FROM (SELECT l.doc, label, date_text, row_number() OVER (PARTITION BY l.doc, label, "start" ORDER BY s) AS rn FROM l JOIN d ON l.doc = d.doc AND d.s BETWEEN l."end" AND l."end" + 90) WHERE rn = 1""")
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS doc, l_returnflag AS label, l_partkey % 300 AS a, l_partkey % 300 + 10 AS b FROM lineitem WHERE l_linenumber % 2 = 1), d AS (SELECT l_orderkey AS doc, l_suppkey * 7 % 400 AS s, strftime(l_shipdate, '%Y/%m/%d') AS date_text FROM lineitem WHERE l_linenumber % 2 = 0)
+ SELECT doc, label, a AS start, date_text FROM (SELECT l.doc, label, a, date_text, row_number() OVER (PARTITION BY l.doc, label, a ORDER BY s, date_text) AS rn FROM l JOIN d ON l.doc = d.doc AND d.s BETWEEN b AND b + 90) WHERE rn = 1""")
 def nearest_label_date(spark, sf):
-    l = spark.createDataFrame(LABELS, "doc int, label string, start int, end int, rank int")
-    d = spark.createDataFrame(FOUND, "doc int, start int, date_text string")
-    return M.label_dates(l, d, "doc").select("doc", "label", "date_text")
-
+    """Labels at odd lines of an order, each with the first date that follows it within reach at an even one."""
+    t, at = table(spark, sf, "lineitem"), F.col("l_partkey") % 300
+    labels = t.where("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("doc"), F.col("l_returnflag").alias("label"), at.alias("start"), (at + 10).alias("end"), F.lit(1).alias("rank"))
+    dates = t.where("l_linenumber % 2 = 0").select(F.col("l_orderkey").alias("doc"), (F.col("l_suppkey") * 7 % 400).alias("start"), F.date_format("l_shipdate", "yyyy/MM/dd").alias("date_text"))
+    return M.label_dates(labels, dates, "doc").select("doc", "label", "start", "date_text")
 
-CANDIDATES = [(1, 5, "a"), (1, 40, "b"), (1, 90, "c"), (2, 10, "d"), (2, 30, "e")]
-NEAR = [(1, 50), (2, 20)]
 
-
-@query(f"WITH c(doc, s, value) AS ({_sql(CANDIDATES)}), a(doc, p) AS ({_sql(NEAR)}) SELECT doc, value, cost FROM (SELECT c.doc, value, abs(s - p) + CASE WHEN s < p THEN 1000000 ELSE 0 END AS cost, row_number() OVER (PARTITION BY c.doc ORDER BY abs(s - p) + CASE WHEN s < p THEN 1000000 ELSE 0 END, s) AS rn FROM c JOIN a ON c.doc = a.doc) WHERE rn = 1")
+@query("""WITH c AS (SELECT l_orderkey AS doc, l_partkey % 500 AS s, l_returnflag || l_linenumber AS value FROM lineitem), a AS (SELECT o_orderkey AS doc, o_custkey % 500 AS p FROM orders), k AS (SELECT c.doc, s, value, abs(s - p) + CASE WHEN s < p THEN 1000000 ELSE 0 END AS cost FROM c JOIN a USING (doc))
+ SELECT doc, value, cost FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY cost, s, value) AS rn FROM k) WHERE rn = 1""")
 def nearest_anchor(spark, sf):
-    c = spark.createDataFrame(CANDIDATES, "doc int, start int, value string")
-    return M.nearest_anchor(c, spark.createDataFrame(NEAR, "doc int, pos int"), "doc").select("doc", "value", "cost")
+    """Of an order's lines as spans, the one nearest to the order's anchor."""
+    c = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.col("l_partkey") % 500).alias("start"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("value"))
+    anchors = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), (F.col("o_custkey") % 500).alias("pos"))
+    return M.nearest_anchor(c, anchors, "doc").select("doc", "value", "cost")
 
 
-PLACES = [("الرياض", "riyadh", True, False), ("الخرج", "riyadh", False, False), ("العليا", "riyadh", False, True), ("جدة", "makkah", True, False), ("Jeddah", "makkah", True, False)]
-PLACED = [(1, "انقطاع المياه في حي العليا بالرياض"), (2, "حفرة في الخرج"), (3, "road works in Jeddah city"), (4, "لا مكان هنا"), (5, "وجدة القديمة")]
+PLACES = [P.Place("الرياض", "riyadh"), P.Place("الخرج", "riyadh", city=False), P.Place("جدة", "makkah"), P.Place("مكة المكرمة", "makkah"), P.Place("العليا", "riyadh", city=False), P.Place("Jeddah", "makkah"), P.Place("Wadi Al-Dawasir", "riyadh", city=False)]
+#: How each is written in a text, with a particle or another article, its size without them, and its city flag.
+_WRITTEN = (("بالرياض", 6, True), ("للخرج", 5, False), ("وجدة", 3, True), ("مكة المكرمة", 11, True), ("العليا", 6, False), ("jeddah", 6, True), ("wadi dawasir", 12, False))
+_PLANTED = "left(text, CAST(doc_id * 31 % 2000 AS INT)) || ' حفرة في ' || {0} || ' ثم ' || substr(text, CAST(doc_id * 31 % 2000 + 1 AS INT)) || ' in ' || {1} || '.'"
 
 
-@query(f"WITH t(id, place, region) AS ({_sql([(1, 'الرياض', 'riyadh'), (2, 'الخرج', 'riyadh'), (3, 'Jeddah', 'makkah'), (5, 'جدة', 'makkah')])}) SELECT id, place, region FROM t")
+@query("WITH w(i, said, size, city, place, region) AS (VALUES " + ", ".join(f"({i}, '{w}', {n}, {str(c).lower()}, '{PLACES[i].name}', '{PLACES[i].area}')" for i, (w, n, c) in enumerate(_WRITTEN))
+ + """), d AS (SELECT doc_id AS id, doc_id % 7 AS i, doc_id // 7 % 7 AS j FROM documents), k AS (SELECT id, i AS at, 0 AS late FROM d UNION ALL SELECT id, j, 1 FROM d), r AS (SELECT id, place, region, row_number() OVER (PARTITION BY id ORDER BY city DESC, size DESC, late) AS rn FROM k JOIN w ON w.i = k.at)
+ SELECT id, place, region FROM r WHERE rn = 1""")
 def place_lookup(spark, sf):
-    """Attached particles are allowed; a name with an article also matches after one that swallows it."""
-    rows = [(n, r, c, a, M.place_pattern(n[2:] if n.startswith("ال") else n)) for n, r, c, a in PLACES]
-    dim = spark.createDataFrame(rows, "name string, region string, is_city boolean, ambiguous boolean, pattern string")
-    return M.places(spark.createDataFrame(PLACED, "id int, t string"), "id", "t", dim)
+    """Two places written into each document, one at a place that varies and one at its end: the city wins, then the longer name, then the earlier."""
+    said = F.array(*(F.lit(w) for w, *_ in _WRITTEN))
+    d = table(spark, sf, "documents").withColumns({"first": F.get(said, (F.col("doc_id") % 7).cast("int")), "second": F.get(said, (F.floor(F.col("doc_id") / 7) % 7).cast("int"))})
+    found = d.select(F.col("doc_id").alias("id"), P.place_of(F.expr(_PLANTED.format("first", "second")), PLACES).alias("p"))
+    return found.select("id", F.col("p.name").alias("place"), F.col("p.area").alias("region"))
 
 
-ENTRIES = [("ahmad", "ahmd", 1, "أحمد", "male", "praised", 0.9), ("ahmed", "ahmd", 2, "احمد", "male", "most praised", 0.8), ("nur", "nr", 1, "نور", "female", "light", 0.7), ("noor", "nr", 1, "نوور", "male", "light", 0.6), ("sama", "sm", 3, "سما", None, "sky", 0.5), ("samaa", "sm", 4, "سماء", "female", "sky", 0.5), ("samaa", "sm", 5, "سماء", "male", "heaven", 0.4)]
+#: Parts as entries of a dictionary: the last word of a name is its canonical key.
+_ENTRIES = "SELECT p_name || p_size % 3 AS exact, p_name AS canonical, CAST(p_partkey % 800 AS INT) AS page, upper(p_name) || p_size % 4 AS raw, CASE p_size % 9 WHEN 0 THEN 'male' WHEN 1 THEN 'female' WHEN 2 THEN 'odd' END AS gender, p_type AS meaning, p_retailprice AS confidence FROM part"
 
 
-@query(f"""WITH e(exact, canonical, page, raw, gender, meaning, confidence) AS ({_sql(ENTRIES)}), v AS (SELECT canonical, max(n) > 1 AS veto FROM (SELECT canonical, page, count(DISTINCT exact) AS n FROM e GROUP BY 1, 2) GROUP BY 1), k AS (SELECT *, CASE WHEN veto THEN exact ELSE canonical END AS key FROM e JOIN v USING (canonical))
- SELECT key, arg_max(raw, (confidence, raw)) AS name, string_agg(DISTINCT raw, '|' ORDER BY raw) AS variants, string_agg(DISTINCT meaning, '|' ORDER BY meaning) AS meanings, CASE count(DISTINCT gender) WHEN 0 THEN 'unknown' WHEN 1 THEN min(gender) ELSE 'unisex' END AS gender, count(*) AS n FROM k GROUP BY 1""")
+@query(f"""WITH e AS ({_ENTRIES}), v AS (SELECT canonical, max(n) > 1 AS veto FROM (SELECT canonical, page, count(DISTINCT exact) AS n FROM e GROUP BY 1, 2) GROUP BY 1), k AS (SELECT *, CASE WHEN veto THEN exact ELSE canonical END AS key FROM e JOIN v USING (canonical))
+ SELECT key, arg_max(raw, (confidence, raw)) AS name, string_agg(DISTINCT raw, '|' ORDER BY raw) AS variants, string_agg(DISTINCT meaning, '|' ORDER BY meaning) AS meanings,
+ CASE count(DISTINCT gender) FILTER (gender <> 'odd') WHEN 0 THEN 'unknown' WHEN 1 THEN min(gender) FILTER (gender <> 'odd') ELSE 'unisex' END AS gender, count(*) AS n FROM k GROUP BY 1""")
 def dictionary_merge(spark, sf):
-    return R.merge_names(spark.createDataFrame(ENTRIES, "exact string, canonical string, page int, raw string, gender string, meaning string, confidence double"))
+    table(spark, sf, "part").createOrReplaceTempView("part")
+    return R.merge_names(spark.sql(_ENTRIES))
 
 
 @query("""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 6 AS way FROM orders), v AS (SELECT CASE WHEN way = 5 THEN 'missing' WHEN way = 4 THEN 'mismatch' ELSE 'match' END AS verdict FROM o)
@@ -142,21 +154,22 @@ def schema_profile(spark, sf):
     return R.presence(table(spark, sf, "events"), "props")
 
 
-CLAUSES = [(1, "the water was cut for three days", "water cut days"), (1, "water cut", "water cut days"), (1, "nothing here", "water cut days"), (2, "b a", "a b"), (2, "a b", "a b"), (3, "none at all", "x y")]
-
-
-@query(f"""WITH c(id, clause, wanted) AS ({_sql(CLAUSES)}), r AS (SELECT id, clause, len(list_intersect(string_split(clause, ' '), string_split(wanted, ' '))) / len(string_split(wanted, ' ')) AS ratio FROM c) SELECT id, CAST(round(ratio * 100) AS BIGINT) AS percent, clause FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ratio DESC, length(clause), clause DESC) AS rn FROM r WHERE ratio >= 0.5) WHERE rn = 1""")
+@query("""WITH c AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS clause, string_split(text, chr(10))[-1] AS wanted FROM documents), r AS (SELECT id, clause, len(list_intersect(string_split(clause, ' '), string_split(wanted, ' '))) / len(list_distinct(string_split(wanted, ' '))) AS ratio FROM c)
+ SELECT id, CAST(round(ratio * 100) AS BIGINT) AS percent, clause FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ratio DESC, length(clause), clause DESC) AS rn FROM r WHERE ratio >= 0.15) WHERE rn = 1""")
 def best_clause(spark, sf):
-    c = spark.createDataFrame(CLAUSES, "id int, clause string, wanted string").select("id", "clause", F.split("clause", " ").alias("words"), F.split("wanted", " ").alias("wanted"))
-    return M.best_clause(c, "id", 0.5).select("id", F.round(F.col("ratio") * 100).cast("long").alias("percent"), "clause")
-
-
-LINES = [("d", 1, "x"), ("d", 2, None), ("d", 3, "y"), ("d", 4, None), ("e", 1, None), ("e", 2, "z"), ("f", 1, None)]
+    """The line of each document that holds most of its last line's words."""
+    lines = F.split("text", "\n")
+    c = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(lines).alias("clause"), F.element_at(lines, -1).alias("wanted"))
+    return M.best_clause(c.select("id", "clause", F.split("clause", " ").alias("words"), F.split("wanted", " ").alias("wanted")), "id", 0.15).select("id", F.round(F.col("ratio") * 100).cast("long").alias("percent"), "clause")
 
 
-@query(f"WITH t(doc, ln, block) AS ({_sql(LINES)}) SELECT doc, ln, coalesce(last_value(block IGNORE NULLS) OVER (PARTITION BY doc ORDER BY ln), first_value(block IGNORE NULLS) OVER (PARTITION BY doc ORDER BY ln ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS block FROM t")
+@query("""WITH t AS (SELECT doc_id AS doc, generate_subscripts(string_split(text, chr(10)), 1) AS ln, unnest(string_split(text, chr(10))) AS line FROM documents), b AS (SELECT doc, ln, CASE WHEN length(line) % 4 = 1 THEN left(line, 9) END AS block FROM t)
+ SELECT doc, ln, coalesce(last_value(block IGNORE NULLS) OVER (PARTITION BY doc ORDER BY ln), first_value(block IGNORE NULLS) OVER (PARTITION BY doc ORDER BY ln ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS block FROM b""")
 def fill_blocks(spark, sf):
-    return M.fill_both_ways(spark.createDataFrame(LINES, "doc string, ln int, block string"), "doc", "ln", "block")
+    """Lines of documents without a block take that of the line before, or else the next."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    d = d.select("doc", (F.col("i") + 1).cast("long").alias("ln"), F.when(F.length("line") % 4 == 1, F.left("line", F.lit(9))).alias("block"))
+    return M.fill_both_ways(d, "doc", "ln", "block")
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents), s AS (SELECT *, sum(CASE WHEN length(line) % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ln) AS entry FROM t)
@@ -167,12 +180,12 @@ def carry_lines(spark, sf):
     return M.carry_forward(d.withColumn("confidence", 1 / F.col("ln")), "doc_id", "ln", F.length("text") % 3 == 0)
 
 
-CELLS = [(1, "=SUM(A1)"), (2, "+1"), (3, "plain"), (4, "-x"), (5, "@y"), (6, None), (7, "a=b")]
+_CELL = "CASE doc_id % 8 WHEN 0 THEN '=' WHEN 1 THEN '+' WHEN 2 THEN '-' WHEN 3 THEN '@' WHEN 4 THEN chr(9) WHEN 5 THEN ' =' ELSE '' END || text"
 
 
-@query(f"WITH t(id, c) AS ({_sql(CELLS)}) SELECT id, CASE WHEN regexp_matches(c, '^[=+@\\t\\r-]') THEN '''' || c ELSE c END AS cell FROM t")
+@query(f"SELECT doc_id AS id, CASE WHEN regexp_matches(c, '^[=+@\\t\\r-]') THEN chr(39) || c ELSE c END AS cell FROM (SELECT doc_id, {_CELL} AS c FROM documents)")
 def csv_cells(spark, sf):
-    return spark.createDataFrame(CELLS, "id int, c string").select("id", X.csv_cell(F.col("c")).alias("cell"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), X.csv_cell(F.expr(_CELL)).alias("cell"))
 
 
 @query("""SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'file' WHEN 1 THEN 'a_b ' || c_custkey || '.pdf' WHEN 2 THEN 'تقرير' || c_custkey || '.pdf' ELSE left(c_custkey || repeat('x', 200), 120) END AS name FROM customer""")
@@ -191,21 +204,19 @@ def key_labels(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), X.label_of(key).alias("label"))
 
 
-OUTSIDE = [(1, "riyadh", "a"), (2, "makkah", "a"), (3, "unknown", "outside_jurisdiction"), (4, None, "a"), (5, "", "outside_jurisdiction")]
+_REGION = "CASE c_nationkey % 5 WHEN 0 THEN 'riyadh' WHEN 1 THEN lower(c_mktsegment) WHEN 2 THEN 'unknown' WHEN 3 THEN '' END"
 
 
-@query(f"WITH t(id, region, reason) AS ({_sql(OUTSIDE)}) SELECT id, CASE WHEN coalesce(region, '') NOT IN ('', 'unknown') THEN region <> 'riyadh' ELSE reason = 'outside_jurisdiction' END AS outside FROM t")
+@query(f"WITH t AS (SELECT c_custkey AS id, {_REGION} AS region, c_acctbal < 3000 AS said FROM customer) SELECT id, CASE WHEN coalesce(region, '') NOT IN ('', 'unknown') THEN region <> 'riyadh' ELSE said END AS outside FROM t")
 def outside_jurisdiction(spark, sf):
-    return spark.createDataFrame(OUTSIDE, "id int, region string, reason string").select("id", G.outside(F.col("region"), "riyadh", F.array("reason")).alias("outside"))
-
-
-BLEND = [(1, 0.9, 0.8, True), (2, 0.5, 0.25, True), (3, 0.5, 0.25, False)]
+    reasons = F.when(F.col("c_acctbal") < 3000, F.array(F.lit("low_confidence"), F.lit("outside_jurisdiction"))).otherwise(F.array(F.lit("low_confidence")))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), G.outside(F.expr(_REGION), "riyadh", reasons).alias("outside"))
 
 
-@query(f"WITH t(id, a, b, c) AS ({_sql(BLEND)}) SELECT id, CAST(round(1000 * CASE WHEN c THEN least(1, 0.6 * a + 0.4 * b + 0.2) ELSE 0.8 * a END) AS BIGINT) AS thousandths FROM t")
+@query("""SELECT l_orderkey AS id, l_linenumber AS line, l_partkey AS part, CAST(floor(1000 * CASE WHEN l_returnflag = 'R' THEN least(1, 0.6::DOUBLE * (l_discount * 10) + 0.4::DOUBLE * (l_tax * 10) + 0.2::DOUBLE) ELSE l_discount * 10 * 0.8::DOUBLE END + 0.5) AS BIGINT) AS thousandths FROM lineitem""")
 def confidence_blend(spark, sf):
-    t = spark.createDataFrame(BLEND, "id int, a double, b double, c boolean")
-    return t.select("id", F.round(1000 * D.confidence(F.col("a"), F.col("b"), F.col("c"))).cast("long").alias("thousandths"))
+    blend = D.confidence(F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("l_returnflag") == "R")
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.floor(1000 * blend + 0.5).alias("thousandths"))
 
 
 @query("""SELECT o_orderkey AS id, 'status' AS field, o_orderstatus AS old, 'F' AS new FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, 'note', NULL, 'new' FROM orders WHERE o_orderkey % 2 = 0""")
@@ -218,13 +229,15 @@ def real_changes(spark, sf):
     return d.select("id", "field", F.col("c.from").alias("old"), F.col("c.to").alias("new"))
 
 
-ALIASES = [("owner name", "owner"), ("name", "owner"), ("name", "agent"), ("deed no", "deed")]
-ROWS = [(1, "Owner Name "), (2, "name"), (3, "Deed No"), (4, "other")]
+_LABEL = "CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN ' ' || p_name || ' ' || p_size || '  ' ELSE p_type END"
 
 
-@query(f"WITH a(alias, key) AS ({_sql(ALIASES)}), r(id, label) AS ({_sql(ROWS)}), o AS (SELECT alias, CASE WHEN count(DISTINCT key) = 1 THEN min(key) END AS key FROM a GROUP BY 1) SELECT id, key FROM r LEFT JOIN o ON lower(trim(label)) = alias")
+@query(f"WITH a AS (SELECT p_name || CASE WHEN p_size > 25 THEN ' ' || p_size ELSE '' END AS alias, p_brand AS key FROM part), o AS (SELECT alias, CASE WHEN count(DISTINCT key) = 1 THEN min(key) END AS key FROM a GROUP BY 1) SELECT id, key FROM (SELECT p_partkey AS id, {_LABEL} AS label FROM part) LEFT JOIN o ON lower(trim(label)) = alias")
 def label_alignment(spark, sf):
-    return R.align_labels(spark.createDataFrame(ROWS, "id int, label string"), spark.createDataFrame(ALIASES, "alias string, key string")).select("id", "key")
+    """Labels of parts against aliases of their names; aliases of several keys stand for none."""
+    p = table(spark, sf, "part")
+    aliases = p.select(F.expr("p_name || CASE WHEN p_size > 25 THEN ' ' || p_size ELSE '' END").alias("alias"), F.col("p_brand").alias("key"))
+    return R.align_labels(p.select(F.col("p_partkey").alias("id"), F.expr(_LABEL).alias("label")), aliases).select("id", "key")
 
 
 @query("""WITH RECURSIVE s AS (SELECT l_orderkey AS id, l_linenumber * 10 AS a, l_linenumber * 10 + CAST(l_quantity AS INT) AS b FROM lineitem), k(id, n, b, kept) AS (SELECT DISTINCT id, 0, -1, '' FROM s UNION ALL
@@ -238,13 +251,15 @@ def greedy_quotes(spark, sf):
     return t.select("id", F.array_join(kept, " ").alias("kept"))
 
 
-PERSONAL = [(1, "owner.id"), (2, "deed.number"), (3, "nationalId"), (4, "company.phone"), (5, "owner.identity.id"), (6, "Principals[].Id"), (7, "person.id"), (8, "a.birthDateHijri"), (9, "id"), (10, "company.emails")]
+_PARENTS = ("owner", "identity", "Principals[]", "deed", "Person", "a.company", "list[].personalId")
+_KEYS = ("id", "nationalId", "phone", "number", "birthDateHijri", "emails", "Email", "id_number", "mobileNo", "ID", "idNo")
+_SPELT = "CASE WHEN c_nationkey % 2 = 0 THEN 'x' || c_nationkey || '.' ELSE '' END || CASE c_custkey % 7 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_PARENTS)) + " END || '.' || CASE c_custkey % 11 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_KEYS)) + " END"
 
 
-@query(f"""WITH t(id, p) AS ({_sql(PERSONAL)}), k AS (SELECT id, string_split(lower(replace(p, '[]', '')), '.') AS s FROM t)
- SELECT id, s[-1] IN ('nationalid', 'phone', 'birthdatehijri') OR (s[-1] = 'id' AND coalesce(s[-2], '') IN ('identity', 'person')) OR array_to_string(s, '.') = 'principals.id' AS personal FROM k""")
+@query(f"""WITH k AS (SELECT c_custkey AS id, string_split(lower(replace({_SPELT}, '[]', '')), '.') AS s FROM customer)
+ SELECT id, s[-1] IN ('nationalid', 'phone', 'birthdatehijri', 'email', 'mobileno', 'idno') OR (s[-1] = 'id' AND s[-2] IN ('identity', 'person', 'personalid')) OR array_to_string(s, '.') = 'principals.id' AS personal FROM k""")
 def personal_fields(spark, sf):
-    return spark.createDataFrame(PERSONAL, "id int, p string").select("id", K.personal_path(F.col("p"), ["principals.id"]).alias("personal"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), K.personal_path(F.expr(_SPELT), ["principals.id"]).alias("personal"))
 
 
 @query("SELECT doc_id AS id, doc_id % 3 <> 0 OR length(text) = 0 AS same FROM documents")
@@ -255,14 +270,14 @@ def multiset_equal(spark, sf):
     return d.select("id", X.same_multiset(F.col("c"), other).alias("same"))
 
 
-CALLS = [(1, "deed", False), (1, "company", True), (2, "deed", True), (2, "free", False)]
-PRICES = [("deed", 5), ("company", 8), ("free", 0)]
+PRICES = [("A", 5), ("N", 8), ("R", 0)]
 
 
-@query(f"WITH c(id, endpoint, old) AS ({_sql(CALLS)}), p(endpoint, price) AS ({_sql(PRICES)}) SELECT id, CAST(sum(price + CASE WHEN old THEN 2 ELSE 0 END) AS BIGINT) AS cost FROM c JOIN p USING (endpoint) GROUP BY 1")
+@query(f"WITH p(endpoint, price) AS ({_sql(PRICES)}) SELECT l_orderkey AS id, CAST(sum(price + CASE WHEN l_linestatus = 'O' THEN 2 ELSE 0 END) AS BIGINT) AS cost FROM lineitem JOIN p ON l_returnflag = endpoint GROUP BY 1")
 def call_costs(spark, sf):
-    c, p = spark.createDataFrame(CALLS, "id int, endpoint string, old boolean"), spark.createDataFrame(PRICES, "endpoint string, price int")
-    return c.join(F.broadcast(p), "endpoint").groupBy("id").agg(F.sum(F.col("price") + F.when(F.col("old"), 2).otherwise(0)).alias("cost"))
+    """What the calls chosen for each order cost, those by an old number more."""
+    calls = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("endpoint"), (F.col("l_linestatus") == "O").alias("old"))
+    return L.call_costs(calls, spark.createDataFrame(PRICES, "endpoint string, price int"), "id", 2)
 
 
 # Status, both quotes, an explanation, and whether the finding holds; a quote of more than five characters was not found.
