@@ -17,6 +17,8 @@ FOLD_TO = "ااااهوي01234567890123456789.,"
 MARKS = "".join(map(chr, (*range(0x64B, 0x660), 0x670, *range(0x6D6, 0x6EE))))
 TATWEEL = "ـ"
 BIDI = "".join(map(chr, (*range(0x200B, 0x2010), 0x61C, *range(0x202A, 0x202F), *range(0x2066, 0x206A), 0xFEFF)))
+#: White space of Unicode other than the blank.
+SPACES = "".join(map(chr, (*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 DIGITS_FROM, DIGITS_TO = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789"
 
 
@@ -37,7 +39,8 @@ def normalize(c: Column, nfc: bool = False) -> Column:
     letter; ``nfc`` composes other scripts too, outside the JVM.
     """
     c = compose(c) if nfc else c
-    return F.trim(F.regexp_replace(F.translate(c, FOLD_FROM + TATWEEL + MARKS + BIDI, FOLD_TO), "(?U)\\s+", " "))
+    # white space becomes blanks with the letters, so that only runs of blanks are left to the pattern
+    return F.trim(F.regexp_replace(F.translate(c, FOLD_FROM + SPACES + TATWEEL + MARKS + BIDI, FOLD_TO + " " * len(SPACES)), " {2,}", " "))
 
 
 def fold(c: Column) -> Column:

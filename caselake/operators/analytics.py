@@ -97,13 +97,21 @@ def gaps_islands(df: DataFrame, keys: list[str], value: str, gap: int) -> DataFr
 
 
 def category_scores(hits: DataFrame, doc: str) -> DataFrame:
-    """Evidence by template: the best weight of each group, summed, over the ceiling of the template, less a penalty for negatives."""
-    best = hits.groupBy(doc, "template", "group").agg(F.max("weight").alias("w"), F.max("negatives").alias("neg"), F.max("ceiling").alias("ceiling"))
-    s = best.groupBy(doc, "template").agg(F.sum("w").alias("w"), F.max("neg").alias("neg"), F.max("ceiling").alias("ceiling"))
-    raw = F.col("w") / F.col("ceiling") - F.least(0.3 * F.col("neg"), F.lit(0.6))
+    """Evidence by template of hits (doc, template, group, weight, ceiling): the best weight of each group, summed, over the template's ceiling.
+
+    Groups of negative weight take off 0.3 each, 0.6 at most. One aggregate by group, then one by template, both combined before they move.
+    """
+    best = hits.groupBy(doc, "template", "ceiling", "group").agg(F.max("weight").alias("w"))
+    s = best.groupBy(doc, "template", "ceiling").agg(F.sum(F.greatest(F.col("w"), F.lit(0))).alias("w"), F.count_if(F.col("w") < 0).alias("against"))
+    raw = F.col("w") / F.col("ceiling") - F.least(0.3 * F.col("against"), F.lit(0.6))
     return s.select(doc, "template", F.greatest(F.lit(0.0), raw).alias("score"))
 
 
+def ranked_templates(scores: DataFrame, doc: str, tie: str) -> DataFrame:
+    """All templates of a document, the best first."""
+    return scores.withColumn("rank", F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("score"), tie)))
+
+
 def best_with_margin(scores: DataFrame, doc: str, tie: str) -> DataFrame:
     """The best template by document and its lead over the runner-up."""
     w = Window.partitionBy(doc).orderBy(F.desc("score"), tie)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import small
+from ..functions import text as X
+
 
 
 def section_spans(marks: DataFrame, doc: str, pos: str, length: str) -> DataFrame:
@@ -141,34 +144,43 @@ def best_clause(clauses: DataFrame, doc: str, least: float) -> DataFrame:
     return best.select(doc, F.col("b.ratio").alias("ratio"), F.col("b.clause").alias("clause"))
 
 
-def place_pattern(name: str, proclitics: str = "(?:[وفبلك]|ال|وال|بال|لل)?") -> str:
-    """A whole-word pattern of a place name that allows attached particles; Latin names allow an article."""
-    body = "".join("\\" + ch if ch in "\\.^$|?*+()[]{}" else ch for ch in name)
-    if name.isascii():
-        return f"(?iU)\\b(?:al[- ])?{body}\\b"
-    return f"(?U)(?<![\\p{{L}}\\p{{N}}_]){proclitics}{body}(?![\\p{{L}}\\p{{N}}_])"
+def pattern_hits(text: Column, vocabulary: list[tuple[str, str]]) -> Column:
+    """Names of a short stated vocabulary (name, pattern) whose pattern occurs in a text, in order; a name with several patterns comes once.
+
+    One expression over the text: nothing is joined, and each pattern is compiled once. Longer vocabularies belong to ``signals.detect``.
+    """
+    names = dict.fromkeys(n for n, _ in vocabulary)
+    any_of = {n: [text.rlike(p) for m, p in vocabulary if m == n] for n in names}
+    return F.array_compact(F.array(*(F.when(reduce(Column.__or__, tests), F.lit(n)) for n, tests in any_of.items())))
 
 
-def places(docs: DataFrame, doc: str, text: str, dim: DataFrame) -> DataFrame:
-    """By document and region, the winning place: unambiguous before ambiguous, cities first, longest, earliest.
+def anchor_weights(text: Column, anchors: list[tuple[str, str, str, int]]) -> Column:
+    """array<struct<template, group, weight, ceiling>> of the anchors (template, group, literal, weight) that a text holds.
 
-    ``dim`` (name, region, is_city, ambiguous, pattern) is a stated vocabulary, broadcast if it is small.
+    A template's ceiling is the sum of the greatest weight of each of its groups; groups with a negative weight count evidence against it, and have none.
     """
-    hit = docs.join(small(dim), F.expr(f"regexp_like({text}, pattern)"))
-    at = F.expr(f"regexp_instr({text}, pattern)")
-    key = F.struct((~F.col("ambiguous")).alias("clear"), F.col("is_city"), F.length("name").alias("size"), (-at).alias("early"), "name", "region")
-    return hit.groupBy(doc).agg(F.max(key).alias("w")).select(doc, F.col("w.name").alias("place"), F.col("w.region").alias("region"))
+    best: dict[str, dict[str, int]] = {}
+    for template, group, _, weight in anchors:
+        groups = best.setdefault(template, {})
+        groups[group] = max(weight, groups.get(group, weight))
+    ceiling = {t: sum(w for w in groups.values() if w > 0) for t, groups in best.items()}
+    hit = lambda t, g, a, w: F.when(F.contains(text, F.lit(a)), F.struct(F.lit(t).alias("template"), F.lit(g).alias("group"), F.lit(w).alias("weight"), F.lit(ceiling[t]).alias("ceiling")))
+    return F.array_compact(F.array(*(hit(*x) for x in anchors)))
+
 
+def prefill(rows: DataFrame, doc: str, order: str, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """(doc, field, value): of rows (doc, order, label, value), what fills a service's inputs; ``rules`` are (field, label pattern, shape of the folded value).
 
-def signals(docs: DataFrame, doc: str, text: str, dim: DataFrame) -> DataFrame:
-    """(doc, signal, floor) of every phrase pattern that occurs; each signal once. ``dim`` is a vocabulary, broadcast if it is small."""
-    return docs.join(small(dim), F.expr(f"regexp_like({text}, pattern)")).select(doc, "signal", "floor").distinct()
+    The first rule of a field that any row fits decides, and of the rows that fit it the first.
+    """
+    value = X.fold(F.col("value"))
+    fits = F.array_compact(
+        F.array(*(F.when(F.col("label").rlike(f"(?i){label}") & value.rlike(f"^(?:{shape})"), F.struct(F.lit(field).alias("field"), F.lit(i).alias("rank"))) for i, (field, label, shape) in enumerate(rules)))
+    )
+    hit = rows.select(doc, order, value.alias("value"), F.explode(fits).alias("f"))
+    return hit.groupBy(doc, "f.field").agg(F.min(F.struct("f.rank", order, "value")).alias("m")).select(doc, "field", F.col("m.value").alias("value"))
 
 
-def label_regex_prefill(lines: DataFrame, doc: str, order: str, text: str, dim: DataFrame) -> DataFrame:
-    """First value by (pattern order, line order) of ``label: value`` lines whose label matches a pattern."""
-    label = F.trim(F.substring_index(text, ":", 1))
-    value = F.trim(F.expr(f"substring({text}, instr({text}, ':') + 1)"))
-    rows = lines.where(F.contains(text, F.lit(":"))).withColumn("label", label).withColumn("value", value)
-    hit = rows.join(small(dim), F.expr("regexp_like(label, pattern)")).where("value != ''")
-    return hit.groupBy(doc, "field").agg(F.min(F.struct("rank", order, "value")).alias("m")).select(doc, "field", F.col("m.value").alias("value"))
+def identity_kind(number: Column) -> Column:
+    """What an identity number says of its owner (fixed values): a citizen's begins with 1, a resident's with 2."""
+    return F.when(number.startswith("1"), "National_ID").when(number.startswith("2"), "Resident_ID")

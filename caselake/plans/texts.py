@@ -168,23 +168,37 @@ _VALUES = ", ".join(f"('{t}', '{g}', '{a}', {w})" for t, g, a, w in ANCHORS)
  h AS (SELECT doc_id, template, grp, max(weight) AS w FROM documents JOIN a ON contains(lower(text), anchor) GROUP BY 1, 2, 3), s AS (SELECT doc_id, template, CAST(sum(w) AS DOUBLE) / max(ceiling) AS score FROM h JOIN c USING (template) GROUP BY 1, 2)
  SELECT doc_id, template, CAST(round(score * 10000) AS BIGINT) AS score, CAST(round((score - coalesce(next, 0)) * 10000) AS BIGINT) AS margin FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template) AS rn, lead(score) OVER (PARTITION BY doc_id ORDER BY score DESC, template) AS next FROM s) WHERE rn = 1""")
 def classify_scores(spark, sf):
-    """A bounded vocabulary of anchors is broadcast; documents are folded and read once."""
-    dim = spark.createDataFrame([(t, g, a, w) for t, g, a, w in ANCHORS], "template string, `group` string, anchor string, weight int")
-    ceiling = dim.groupBy("template", "group").agg(F.max("weight").alias("m")).groupBy("template").agg(F.sum("m").alias("ceiling"))
-    d = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))
-    hits = d.join(F.broadcast(dim), F.contains("t", F.col("anchor"))).drop("t", "anchor").join(F.broadcast(ceiling), "template").withColumn("negatives", F.lit(0))
+    """A bounded vocabulary of anchors in one expression over each text, and the best template with its lead."""
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.lower("text").alias("t"))
+    hits = d.select("doc_id", F.explode(M.anchor_weights(F.col("t"), ANCHORS)).alias("h")).select("doc_id", "h.*")
     best = A.best_with_margin(A.category_scores(hits, "doc_id"), "doc_id", "template")
     return best.select("doc_id", "template", F.round(F.col("score") * 10000).cast("long").alias("score"), F.round(F.col("margin") * 10000).cast("long").alias("margin"))
 
 
-SIGNALS = (("rights", "all rights reserved", 3), ("license", "licen[cs]ed? under", 2), ("insult", "idiot|clown|moron", 4), ("account", "[a-z0-9]+@[a-z0-9]+", 1))
+#: Anchors against a template have a negative weight.
+AGAINST = (*ANCHORS, ("grant", "n1", "clown", -1), ("grant", "n2", "worthless", -1), ("insult", "n3", "version 2.0", -1), ("plain", "g5", "the", 1), ("plain", "g6", "e", 3), ("plain", "n4", "licensed under", -1))
 
 
-@query("WITH s(signal, pattern, floor) AS (VALUES " + ", ".join(f"('{s}', '{p}', {f})" for s, p, f in SIGNALS) + ") SELECT signal, count(DISTINCT doc_id) AS n FROM documents JOIN s ON regexp_matches(lower(text), pattern) GROUP BY 1")
+@query("WITH a(template, grp, anchor, weight) AS (VALUES " + ", ".join(f"('{t}', '{g}', '{a}', {w})" for t, g, a, w in AGAINST) + """), c AS (SELECT template, sum(m) AS ceiling FROM (SELECT template, grp, max(weight) AS m FROM a WHERE weight > 0 GROUP BY 1, 2) GROUP BY 1),
+ h AS (SELECT doc_id, template, grp, max(weight) AS w FROM documents JOIN a ON contains(lower(text), anchor) GROUP BY 1, 2, 3), s AS (SELECT doc_id, template, greatest(0, CAST(coalesce(sum(w) FILTER (w > 0), 0) AS DOUBLE) / max(ceiling) - least(0.3::DOUBLE * count(*) FILTER (w < 0), 0.6::DOUBLE)) AS score FROM h JOIN c USING (template) GROUP BY 1, 2)
+ SELECT doc_id, template, CAST(floor(score * 10000 + 0.5) AS BIGINT) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template) AS rank FROM s""")
+def template_ranks(spark, sf):
+    """Every template of a document with its rank; evidence against it takes off."""
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.lower("text").alias("t"))
+    hits = d.select("doc_id", F.explode(M.anchor_weights(F.col("t"), AGAINST)).alias("h")).select("doc_id", "h.*")
+    ranked = A.ranked_templates(A.category_scores(hits, "doc_id"), "doc_id", "template")
+    return ranked.select("doc_id", "template", F.floor(F.col("score") * 10000 + 0.5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+SIGNALS = (("rights", "all rights reserved"), ("license", "licen[cs]ed? under"), ("insult", "idiot|clown|moron"), ("account", "[a-z0-9]+@[a-z0-9]+"), ("license", "permission is hereby granted"))
+
+
+@query("WITH s(signal, pattern) AS (VALUES " + ", ".join(f"('{s}', '{p}')" for s, p in SIGNALS) + ") SELECT signal, count(DISTINCT doc_id) AS n FROM documents JOIN s ON regexp_matches(lower(text), pattern) GROUP BY 1")
 def signal_counts(spark, sf):
-    dim = spark.createDataFrame([(s, f"(?U){p}", f) for s, p, f in SIGNALS], "signal string, pattern string, floor int")
-    d = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))
-    return M.signals(d, "doc_id", "t", dim).groupBy("signal").agg(F.count("*").alias("n"))
+    """Documents by signal, each signal once a document."""
+    d = spread(table(spark, sf, "documents").select("text")).select(F.lower("text").alias("t"))
+    found = d.select(F.explode(M.pattern_hits(F.col("t"), SIGNALS)).alias("signal"))
+    return found.groupBy("signal").agg(F.count("*").alias("n"))
 
 
 @query()
