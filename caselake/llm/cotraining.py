@@ -186,7 +186,8 @@ def naming_over(pool: DataFrame) -> Naming:
 
         named = pool.select("row", *VIEWS).mapInArrow(run, "m int, k int, label int, sure double, row long, text_x binary, meta_x binary")
         order = F.row_number().over(Window.partitionBy("m", "k", "label").orderBy(F.desc("sure"), "row"))
-        top = named.withColumn("n", order).where(F.when(F.col("label") == 1, F.col("n") <= take[1]).otherwise(F.col("n") <= take[0]))
+        # the plain bound comes first, as Spark cuts the lists in each task by it
+        top = named.withColumn("n", order).where(F.col("n") <= max(take.values())).where(F.when(F.col("label") == 1, F.col("n") <= take[1]).otherwise(F.col("n") <= take[0]))
         found: dict[Key, list[tuple[int, np.ndarray, np.ndarray]]] = {}
         for r in sorted(top.collect(), key=lambda r: r["n"]):  # 2 * (FOLDS + 1) * TAKE rows at most
             found.setdefault((r["m"], r["k"], r["label"]), []).append((r["row"], *(unpacked([bytes(r[v])])[0] for v in VIEWS)))

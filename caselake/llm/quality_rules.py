@@ -12,6 +12,7 @@ table or no language given) the method passes everything; repeated rows and null
 
 from __future__ import annotations
 
+import sys
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -68,7 +69,7 @@ _TABLE = None
 def char_classes(text: str) -> np.ndarray:
     global _TABLE
     if _TABLE is None:
-        _TABLE = np.array([_class_of(i) for i in range(0x3000)] + [2] * (0x110000 - 0x3000), np.uint8)
+        _TABLE = np.array([_class_of(i) for i in range(sys.maxunicode + 1)], np.uint8)  # once a worker
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     return np.bincount(_TABLE[codes], minlength=len(CLASSES))
 

@@ -302,3 +302,9 @@ def test_distances_and_verdicts_against_loops(spark):
         assert r["nearest_lang"] == lang and abs(r["char_distance"] - a) < 1e-6 and abs(r["word_distance"] - b) < 1e-6
         passed = not (len(t) >= Q.MIN_CHARS and a > Q.MAX_CHAR_DISTANCE or r["n_words"] >= Q.MIN_WORDS and b > Q.MAX_WORD_DISTANCE)
         assert r["kept"] == (passed and not r["base_failed"])
+
+
+def test_classes_of_signs_beyond_the_first_planes():
+    """Emoji are no letters, ideographic blanks are blanks, ideographs are letters."""
+    got = dict(zip(Q.CLASSES, Q.char_classes("😀。　　🎉漢字가").tolist(), strict=True))
+    assert sum(got.values()) == 8 and got[Q.CLASSES[2]] == 3 and got[Q.CLASSES[4]] == 2 and got[Q.CLASSES[8]] == 3
