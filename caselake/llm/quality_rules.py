@@ -12,8 +12,8 @@ table or no language given) the method passes everything; repeated rows and null
 
 from __future__ import annotations
 
-import sys
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 

@@ -141,3 +141,9 @@ def missing_required(fields: Column, required: list[str]) -> Column:
     """Keys that are required but absent or empty, in order, from array<struct<key, value>>."""
     filled = F.transform(F.filter(fields, lambda f: F.trim(F.coalesce(f["value"], F.lit(""))) != ""), lambda f: f["key"])
     return F.array_except(F.array(*map(F.lit, required)), filled)
+
+
+def present_required(fields: Column, required: list[str]) -> Column:
+    """Keys that are required and hold a value, in the order of ``required``."""
+    keys = F.array(*map(F.lit, required))
+    return F.array_except(keys, missing_required(fields, required))

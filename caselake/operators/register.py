@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as X
 
@@ -182,6 +183,27 @@ def oldest_queued(df: DataFrame) -> DataFrame:
     return df.where(F.col("stage") == "queued").orderBy("created_at", "id").limit(1)
 
 
+def latest_in_progress(df: DataFrame) -> DataFrame:
+    """The case that was begun last and is being worked on."""
+    return df.where(F.col("stage").isin("ocr", "structuring", "classifying")).orderBy(F.desc("created_at"), F.desc("id")).limit(1)
+
+
+def flag_of(c: Column) -> Column:
+    """Booleans of a query string, as ``parse_flag`` reads them; null for anything unclear."""
+    low = F.lower(F.trim(c))
+    return F.when(low.isin("1", "true", "yes"), True).when(low.isin("0", "false", "no"), False)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, buckets: int = 256) -> DataFrame:
+    """Every row with its place in a total order, without a task that holds them all: rows are range-partitioned by a sort, ranked within their part, and
+    moved on by the sizes of the parts before. ``buckets`` bounds the parts; their sizes are all that goes to every task."""
+    parts = df.repartitionByRange(buckets, *order).withColumn("__part", F.spark_partition_id())
+    ranked = parts.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    sizes = ranked.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return ranked.join(F.broadcast(before.drop("__n")), "__part").withColumn(name, F.col("__before") + F.col("__rank")).drop("__part", "__rank", "__before")
+
+
 def export(df: DataFrame, order: list[Column]) -> DataFrame:
     """Every row in order, for a file: a range sort, not a page at a time."""
     return df.orderBy(*order)
