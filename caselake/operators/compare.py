@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..session import small
 
 #: Pairs of two documents' chunks up to which all of them are compared.
 ALL_PAIRS = 9
-#: Queries of a block.
-QUERY_BLOCK = 20_000
-#: Scores held at once by a task.
-BLOCK_SCORES = 2_000_000
+#: Rows of either side of a block of pairs, and of a block for a core of a small table.
+BLOCK_ROWS, LEAST_ROWS = 16_384, 1_024
+#: Vectors that centroids are fitted on, for each of them; rounds of fitting; queries on which recall is measured.
+SAMPLE_PER_CELL, ROUNDS, MEASURED = 64, 8, 200
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,104 +26,161 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit_vectors(df: DataFrame, vector: str, size: int | None = None) -> DataFrame:
-    """Vectors as unit length; rows with a non-finite part, no length, or another dimension than ``size`` (the first row's) are dropped."""
+    """Vectors as unit length; rows with a non-finite part, no length, or another dimension than ``size`` (the commonest one by default) are dropped."""
     if size is None:
-        first = df.where(F.col(vector).isNotNull()).select(F.size(vector).alias("n")).first()
-        size = first["n"] if first else 0
+        common = df.where(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").first()
+        size = common["n"] if common else 0
     v = F.transform(vector, lambda x: x.cast("double"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     norm = F.sqrt(dot(v, v))
     return df.where((F.size(vector) == size) & finite & (norm > 0)).withColumn(vector, F.transform(v, lambda x: x / norm))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, q: str, r: str, vector: str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """Top ``k`` rows by cosine for each query of a stated set, ties to the least id; a query is no partner of itself.
+def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a block, by id."""
+    ids = t.column("id").to_numpy()
+    v = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
+    order = np.argsort(ids, kind="stable")
+    return ids[order], v[order]
 
-    Queries go out in blocks of bounded size, each in one pass over the rows; a task multiplies matrices and keeps the
-    best ``k`` of each query, so what is shuffled does not grow with the number of rows in a task.
-    """
-    out = None
-    for held in _blocks(queries.where(F.col(q).isNotNull()).select(F.col(q).cast("long"), vector), block):
-        part = rows.where(F.col(r).isNotNull()).select(F.col(r).cast("long"), vector).mapInArrow(_topk(held, k), "q long, r long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = rows.sparkSession.createDataFrame([], "q long, r long, score double")
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "r")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _blocks(queries: DataFrame, block: int) -> Iterator[Broadcast]:
-    """Queries (id, vector) as broadcast arrays of at most ``block`` rows, in the order of their ids."""
-    ids, vectors, context = [], [], queries.sparkSession.sparkContext
-    for i, v in queries.orderBy(queries.columns[0]).toLocalIterator():
-        ids.append(i)
-        vectors.append(v)
-        if len(ids) == block:
-            yield context.broadcast((np.array(ids, np.int64), np.array(vectors, np.float64)))
-            ids, vectors = [], []
-    if ids:
-        yield context.broadcast((np.array(ids, np.int64), np.array(vectors, np.float64)))
-
-
-def _topk(held: Broadcast, k: int):
-    """A task's best ``k`` rows of each query."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = held.value
-        best, who = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows = batch.column(0).to_numpy(zero_copy_only=False)
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-            step = max(k, BLOCK_SCORES // len(ids))
-            for at in range(0, len(rows), step):
-                scores = np.round(vectors @ v[at : at + step].T, 6)
-                some = rows[at : at + step]
-                scores[ids[:, None] == some[None, :]] = -np.inf
-                scores = np.hstack([best, scores])
-                names = np.hstack([who, np.broadcast_to(some, (len(ids), len(some)))])
-                top = np.lexsort((names, -scores))[:, :k] if scores.shape[1] > k else np.argsort(-scores, axis=1, kind="stable")
-                best, who = np.take_along_axis(scores, top, 1), np.take_along_axis(names, top, 1)
+
+def _side(df: DataFrame, key: str, vector: str) -> DataFrame:
+    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+
+
+def _blocks(rows: int, cores: int) -> int:
+    """Blocks of a side: of BLOCK_ROWS rows at most, more for a small table, so that no core idles."""
+    return max(1, -(-rows // BLOCK_ROWS), min(cores, rows // LEAST_ROWS))
+
+
+def _scored(left: DataFrame, right: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``run`` on every pair of a block of ``left`` and a block of ``right`` (id, v); a task holds one block of either."""
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    n_left, n_right = _blocks(left.count(), 1), _blocks(right.count(), cores)
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = left.select("id", "v", block(n_left).alias("x"), every(n_right).alias("y"))
+    b = right.select("id", "v", every(n_left).alias("x"), block(n_right).alias("y"))
+    return a.groupBy("x", "y").cogroup(b.groupBy("x", "y")).applyInArrow(run, schema)
+
+
+def _best_of(k: int):
+    """The best ``k`` rows of a block for each query of another, ties to the least id; a query is no partner of itself."""
+
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        (q, a), (r, b) = _matrix(queries), _matrix(rows)
+        if not len(q) or not len(r):
+            return pa.table({"q": pa.array([], pa.int64()), "r": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        scores = np.round(a @ b.T, 6)
+        scores[q[:, None] == r[None, :]] = -np.inf
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # rows are in the order of their ids
+        best = np.take_along_axis(scores, top, 1)
         seen = best > -np.inf
-        query = np.broadcast_to(ids[:, None], best.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(query[seen]), pa.array(who[seen]), pa.array(best[seen])], names=["q", "r", "score"])
+        return pa.table({"q": np.broadcast_to(q[:, None], best.shape)[seen], "r": r[top][seen], "score": best[seen]})
 
     return run
 
 
+def _top(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "r")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def nearest(queries: DataFrame, rows: DataFrame, q: str, r: str, vector: str, k: int) -> DataFrame:
+    """The exact top ``k`` rows by cosine for each query, ties to the least id; a query is no partner of itself.
+
+    Blocks of queries meet blocks of rows in tasks of bounded size, which keep the best ``k`` of each query: nothing passes through the driver. The work
+    grows with the product of both sides; ``VectorIndex`` is for large ones.
+    """
+    return _top(_scored(_side(queries, q, vector), _side(rows, r, vector), _best_of(k), "q long, r long, score double"), k)
+
+
+class VectorIndex:
+    """An inverted file of unit vectors: every row belongs to the cell of its nearest centroid, and a query looks into the cells nearest to it.
+
+    Centroids are fitted on a bounded sample, SAMPLE_PER_CELL rows of the least hashes for each; they are all that goes to every task. All cells together give the
+    exact result. Rows and queries of a large cell are dealt to several tasks.
+    """
+
+    def __init__(self, rows: DataFrame, key: str, vector: str, cells: int | None = None):
+        self.rows = _side(rows, key, vector)
+        n = self.rows.count()
+        cells = max(1, min(cells or int(n**0.5), n))
+        sample = self.rows.orderBy(F.xxhash64("id"), "id").limit(cells * SAMPLE_PER_CELL).collect()
+        self.centroids = self._fit(np.array([x["v"] for x in sample], float), cells) if sample else np.zeros((0, 1))
+
+    @staticmethod
+    def _fit(v: np.ndarray, cells: int) -> np.ndarray:
+        """Spherical k-means; an empty cell takes the vector that is farthest from its own."""
+        centres = v[np.linspace(0, len(v) - 1, cells).astype(int)]
+        for _ in range(ROUNDS):
+            scores = v @ centres.T
+            near = scores.argmax(axis=1)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, near, v)
+            size = np.linalg.norm(sums, axis=1)
+            far = np.argsort(scores.max(axis=1), kind="stable")
+            empty = np.flatnonzero(size == 0)
+            sums[empty], size[empty] = v[far[: len(empty)]], 1.0
+            centres = sums / size[:, None]
+        return centres
+
+    def _placed(self, df: DataFrame, probes: int) -> DataFrame:
+        """(id, v, cell) for each of the ``probes`` nearest cells of a vector."""
+        held = df.sparkSession.sparkContext.broadcast(self.centroids)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centres = held.value
+            for batch in batches:
+                if batch.num_rows:
+                    v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                    near = np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :probes]
+                    who = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(near.reshape(-1).astype(np.int32))], names=["id", "v", "cell"])
+
+        return df.mapInArrow(run, "id long, v array<double>, cell int")
+
+    def search(self, queries: DataFrame, key: str, vector: str, k: int, probes: int) -> DataFrame:
+        """(q, r, score, rank): the best ``k`` rows of the ``probes`` nearest cells of each query."""
+        rows, asked = self._placed(self.rows, 1), self._placed(_side(queries, key, vector), probes)
+        parts = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
+        sizes = F.broadcast(parts(rows, "n_rows").join(parts(asked, "n_asked"), "cell"))  # a row a centroid
+        block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        a = asked.join(sizes, "cell").select("id", "v", "cell", block("n_asked").alias("x"), every("n_rows").alias("y"))
+        b = rows.join(sizes, "cell").select("id", "v", "cell", every("n_asked").alias("x"), block("n_rows").alias("y"))
+        met = a.groupBy("cell", "x", "y").cogroup(b.groupBy("cell", "x", "y")).applyInArrow(_best_of(k), "q long, r long, score double")
+        return _top(met, k)
+
+    def probes_for(self, queries: DataFrame, key: str, vector: str, k: int, recall: float = 0.9) -> tuple[int, float]:
+        """The fewest cells, by doubling, at which a sample of MEASURED queries finds the stated share of its exact best ``k``, and the share found."""
+        some = _side(queries, key, vector).orderBy(F.xxhash64("id"), "id").limit(MEASURED)
+        exact = {(x["q"], x["r"]) for x in nearest(some, self.rows, "id", "id", "v", k).collect()}  # k * MEASURED rows at most
+        probes = 1
+        while True:
+            found = {(x["q"], x["r"]) for x in self.search(some, "id", "v", k, probes).collect()}
+            share = len(found & exact) / max(1, len(exact))
+            if share >= recall or probes >= len(self.centroids):
+                return probes, share
+            probes = min(2 * probes, len(self.centroids))
+
+
 def best_pairs(left: DataFrame, right: DataFrame, key: str, vector: str) -> DataFrame:
     """Pairs (a, b, score) of unit vectors that hold the best b of each a and the best a of each b, ties to the least.
 
-    Every row of ``left`` is scored against every row of ``right``. As in ``nearest``, ``left`` is a stated, bounded set and goes
-    to all tasks; a task emits the best a of each of its rows and its own best b of each a, so no pair is shuffled.
+    Every row of ``left`` is scored against every row of ``right``, block by block; a block emits the best of each of its rows, so no pair is shuffled.
     """
-    sides = sorted((r[0], r[1]) for r in left.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), vector).collect())
-    held = left.sparkSession.sparkContext.broadcast((np.array([i for i, _ in sides], np.int64), np.array([v for _, v in sides], np.float64)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = held.value
-        best, partner = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
-        for batch in batches:
-            if not len(ids) or not len(batch):
-                continue
-            rows = batch.column(0).to_numpy(zero_copy_only=False)
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-            order = np.argsort(rows, kind="stable")
-            step = max(1, BLOCK_SCORES // len(ids))
-            for at in range(0, len(rows), step):
-                some = order[at : at + step]
-                scores = np.round(v[some] @ vectors.T, 6)
-                first = scores.argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(rows[some]), pa.array(scores[np.arange(len(some)), first])], names=["a", "b", "score"])
-                at_best = scores.argmax(axis=0)
-                top, who = scores[at_best, np.arange(len(ids))], rows[some[at_best]]
-                better = (top > best) | ((top == best) & (who < partner))
-                best[better], partner[better] = top[better], who[better]
-        seen = best > -np.inf
-        yield pa.RecordBatch.from_arrays([pa.array(ids[seen]), pa.array(partner[seen]), pa.array(best[seen])], names=["a", "b", "score"])
 
-    return right.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(run, "a long, b long, score double")
+    def run(a_side: pa.Table, b_side: pa.Table) -> pa.Table:
+        (a, x), (b, y) = _matrix(a_side), _matrix(b_side)
+        if not len(a) or not len(b):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        scores = np.round(x @ y.T, 6)
+        forth, back = scores.argmax(axis=1), scores.argmax(axis=0)
+        pairs = np.concatenate([a, a[back]]), np.concatenate([b[forth], b])
+        return pa.table({"a": pairs[0], "b": pairs[1], "score": np.concatenate([scores[np.arange(len(a)), forth], scores[back, np.arange(len(b))]])})
+
+    return _scored(_side(left, key, vector), _side(right, key, vector), run, "a long, b long, score double")
 
 
 def mutual_best(pairs: DataFrame) -> DataFrame:
@@ -142,21 +199,34 @@ def all_or_best(left: DataFrame, right: DataFrame, doc: str, best: DataFrame) ->
 
 
 def weighted_jaccard(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
-    """Pairs (a, b, jaccard) whose sum of least over sum of greatest counts is at least ``least``; both sides are (id, tokens).
+    """Pairs (a, b, jaccard) whose sum of least over sum of greatest counts is at least ``least``; both sides are (id, tokens), ``left`` the smaller.
 
-    Multisets of such pairs have sizes within that factor of each other: texts of ``right`` outside the range of ``left`` are
-    dropped before their tokens are spread, and no other pair of one token is joined. Sizes travel with the tokens.
+    Three exact filters come before the join. Sizes: such pairs are within that factor of each other. Words: tokens that ``left`` lacks are dropped before they move, and a
+    text whose other tokens are too few goes. Prefixes: with each side's tokens from rare to frequent, such a pair shares one of the first
+    ``size - least * size + 1``; pairs meet by those only, so that frequent words join nothing. What meets is counted in full.
     """
     # filters on a generated column stay above its generator, so that tokens are cut out of a text once only
     once = lambda df, key: df.select(key, F.explode(F.array("tokens")).alias("tokens"))
     sized = lambda df, key: once(df, key).select(key, "tokens", F.size("tokens").alias(f"size_{key}")).where(F.size("tokens") > 0)
-    counts = lambda df, key: df.select(key, f"size_{key}", F.explode("tokens").alias("token")).groupBy(key, f"size_{key}", "token").agg(F.count("*").alias(f"n_{key}"))
     x, y = sized(left, a), sized(right, b)
     span = x.agg(F.min(f"size_{a}").alias("low"), F.max(f"size_{a}").alias("high")).first()
-    y = y.where(F.col(f"size_{b}").between((span["low"] or 0) * least, (span["high"] or 0) / least))
     sa, sb = F.col(f"size_{a}"), F.col(f"size_{b}")
-    both = counts(x, a).join(counts(y, b), "token").where((sb >= sa * least) & (sb * least <= sa))
-    shared = both.groupBy(a, b, sa, sb).agg(F.sum(F.least(f"n_{a}", f"n_{b}")).alias("both"))
+    y = y.where(sb.between((span["low"] or 0) * least, (span["high"] or 0) / least))
+    mine = x.select(a, sa, F.explode("tokens").alias("token")).groupBy(a, sa, "token").agg(F.count("*").alias("n_a"))
+    known = small(mine.select("token").distinct())
+    theirs = y.select(b, sb, F.explode("tokens").alias("token")).join(known, "token").groupBy(b, sb, "token").agg(F.count("*").alias("n_b"))
+    often = small(theirs.groupBy("token").agg(F.sum("n_b").alias("often")))
+
+    def prefix(df: DataFrame, key: str, size: Column, n: str) -> DataFrame:
+        """Tokens of the first ``size - least * size + 1`` places of a text, its own words before those that the other side has."""
+        w = Window.partitionBy(key)
+        before = F.sum(n).over(w.orderBy("often", "token").rowsBetween(Window.unboundedPreceding, -1))
+        shared = F.sum(n).over(w)
+        placed = df.join(often, "token").withColumns({"before": F.coalesce(before, F.lit(0)) + size - shared, "shared": shared})
+        return placed.where((F.col("shared") >= size * least) & (F.col("before") <= size - F.ceil(size * F.lit(least) - 1e-9))).select(key, size, "token")
+
+    met = prefix(mine, a, sa, "n_a").join(prefix(theirs, b, sb, "n_b"), "token").where((sb >= sa * least) & (sb * least <= sa)).select(a, b).distinct()
+    shared = met.join(mine, a).join(theirs, [b, "token"]).groupBy(a, b, sa, sb).agg(F.sum(F.least("n_a", "n_b")).alias("both"))
     return shared.select(a, b, (F.col("both") / (sa + sb - F.col("both"))).alias("jaccard")).where(F.col("jaccard") >= least)
 
 

@@ -439,3 +439,42 @@ def test_official_calendar(spark):
     assert own.days == months.days[(1447 - months.year) * 12 :][:3] and one(spark, own.to_date(F.lit(1447), F.lit(2), F.lit(29))) == dt.date(2025, 8, 23)
     with pytest.raises(ValueError):
         dates.MonthStarts.of_table(table.where("month <> 2"))
+
+
+def test_prefixes_lose_no_pair(spark):
+    """Weighted Jaccard of all pairs, against multisets."""
+    from collections import Counter
+
+    rng = random.Random(12)
+    texts = lambda n, first: [(first + i, [rng.choice("abcdefgh" if rng.random() < 0.6 else "xyz") for _ in range(rng.randrange(0, 9))]) for i in range(n)]
+    left, right = texts(40, 0), texts(120, 1000)
+    left += [(500 + i, t) for i, (_, t) in enumerate(right[:10])]
+    for least in (0.3, 0.5, 0.8, 1.0):
+        want = {}
+        for i, x in left:
+            for j, y in right:
+                both = sum((Counter(x) & Counter(y)).values())
+                if both and both / (len(x) + len(y) - both) >= least:
+                    want[i, j] = both / (len(x) + len(y) - both)
+        got = C.weighted_jaccard(spark.createDataFrame(left, "a int, tokens array<string>"), spark.createDataFrame(right, "b int, tokens array<string>"), "a", "b", least).collect()
+        assert {(r["a"], r["b"]): r["jaccard"] for r in got} == pytest.approx(want) and len(want) > 5
+
+
+def test_the_index_finds_nine_of_ten_in_few_cells(spark):
+    """Rows in clusters, of which one holds a third: the index reaches the stated recall in a few cells, and all cells give the exact result."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 12))
+    which = np.where(rng.random(3000) < 0.33, 0, rng.integers(0, 30, 3000))
+    v = centres[which] + 0.3 * rng.normal(size=(3000, 12))
+    df = C.unit_vectors(spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(9000, None), (9001, [1.0]), (9002, [0.0] * 12), (9003, [float("nan")] * 12)], "i long, v array<double>"), "v")
+    assert df.count() == 3000
+    index = C.VectorIndex(df, "i", "v", cells=40)
+    queries = df.where("i % 20 = 0")
+    probes, share = index.probes_for(queries, "i", "v", 5)
+    assert share >= 0.9 and probes <= 10
+    exact = {(r["q"], r["r"]) for r in C.nearest(queries, df, "i", "i", "v", 5).collect()}
+    assert {(r["q"], r["r"]) for r in index.search(queries, "i", "v", 5, len(index.centroids)).collect()} == exact and len(exact) == 750
+    none = df.where("i < 0")
+    assert C.VectorIndex(none, "i", "v").rows.count() == 0 and C.nearest(none, df, "i", "i", "v", 5).count() == 0
