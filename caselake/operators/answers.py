@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from .compare import nearest
 
 ARTICLE = "ال"
 
@@ -126,6 +127,19 @@ def qualifying_clauses(pairs: DataFrame, doc: str) -> DataFrame:
     return placed.groupBy(doc, "clause").agg(F.max("score").alias("score"), F.transform(best, lambda x: x["passage"]).alias("passages"), F.count("*").alias("n"))
 
 
+def retrieved(passages: DataFrame, clauses: DataFrame, k: int = 50) -> DataFrame:
+    """(doc, clause, score, passages, n): regulations' clauses that a document's passages call up; ``passages`` (doc, passage, words, v), ``clauses`` (clause, words, v), unit vectors.
+
+    Each passage meets its ``k`` nearest clauses; the share of a clause's words that a passage has counts up to MOST_LEXICAL on top of the cosine, and a passage that
+    holds all of them in order is an exact excerpt. ``qualifying_clauses`` decides.
+    """
+    met = nearest(passages, clauses, "passage", "clause", "v", k).select(F.col("q").alias("passage"), F.col("r").alias("clause"), F.col("score").alias("cosine"))
+    said = met.join(passages.select("doc", "passage", F.col("words").alias("__said")), "passage").join(clauses.select("clause", "words"), "clause")
+    share = F.size(F.array_intersect("words", "__said")) / F.greatest(F.size(F.array_distinct("words")), F.lit(1))
+    whole = (F.size("words") > 0) & F.contains(F.concat(F.lit(" "), F.array_join("__said", " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
+    return qualifying_clauses(said.select("doc", "passage", "clause", "cosine", (MOST_LEXICAL * share).alias("lexical"), whole.alias("exact")), "doc")
+
+
 def register_functions(spark: SparkSession) -> None:
     """``cms_fold(text)`` in SQL: the search form, as a function of built-in expressions."""
     folds = X.FOLD_FROM + X.TATWEEL + X.MARKS + X.BIDI

@@ -232,3 +232,60 @@ def supporting_texts(spark, sf):
     letter = F.concat(F.lit("سعادة أمير منطقة الرياض\n"), "text", F.lit("\nحفرة في جدة بإمارة منطقة الرياض"))
     support = P.support_text(letter, F.lit("سعادة أمير منطقة الرياض"), ["إمارة منطقة الرياض"])
     return table(spark, sf, "documents").select("doc_id", F.contains(support, F.lit("جده")).alias("jeddah"), F.contains(support, F.lit("رياض")).alias("riyadh"))
+
+
+_CLAUSE_EDGES = Q._EDGES.replace("'", "''")
+
+
+@query(f"""WITH p AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '\\n+|\\s*\\|\\s*', chr(1), 'g'), '([.!?؟؛;،,:])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS part FROM documents), w AS (SELECT doc_id, list_filter(string_split_regex(trim(part, '{_CLAUSE_EDGES}'), '\\s+'), lambda x: x <> '') AS w FROM p),
+ i AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 10, 1), 10)) AS i FROM w), c AS (SELECT DISTINCT doc_id, trim(array_to_string(w[i + 1:i + 20], ' '), '{_CLAUSE_EDGES}') AS clause FROM i)
+ SELECT doc_id, count(*) AS n, max(clause) AS last_clause FROM c WHERE len(string_split(clause, ' ')) >= 3 GROUP BY doc_id""")
+def clause_lists(spark, sf):
+    """Distinct clauses of every document; long ones as windows of twenty words."""
+    c = table(spark, sf, "documents").select("doc_id", F.explode(Q.clauses(F.col("text"))).alias("clause"))
+    return c.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("clause").alias("last_clause"))
+
+
+@query("""SELECT o_orderkey AS id, 'المكرم/ة ' || CASE WHEN o_custkey % 4 = 0 THEN 'مقدم الشكوى' ELSE 'Customer ' || o_custkey END || chr(10) || 'السلام عليكم ورحمة الله وبركاته، وبعد:' || chr(10) || chr(10) || 'تلقّت الإمارة ' || CASE WHEN r THEN 'خطابكم' ELSE 'شكواكم' END || ' رقم ' || o_orderkey
+ || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ' بتاريخ ' || strftime(o_orderdate, '%Y-%m-%d') END || ' بشأن «' || left(repeat('s' || o_orderkey, 60), 120) || '»' || CASE WHEN r THEN '، وسيُطّلع عليه.' ELSE '، وقد أحالتها إلى ' || CASE WHEN o_custkey % 5 = 0 THEN 'الجهة المختصة' ELSE 'Desk ' || o_custkey % 9 END
+ || CASE WHEN o_orderstatus = 'P' THEN '' ELSE ' بأولوية ' || o_orderpriority || '، ونتوقع الرد خلال ' || o_custkey % 7 || ' days' END || '.' END || chr(10) || CASE WHEN r THEN 'ونأمل ذكر رقمه في أي تواصل لاحق.' ELSE 'وسنوافيكم بما يستجد بشأنها، ونأمل ذكر رقم الشكوى في أي تواصل لاحق.' END || chr(10) || chr(10)
+ || CASE WHEN r THEN 'شاكرين لكم تواصلكم، وتقبلوا خالص التحية والتقدير.' ELSE 'شاكرين لكم تواصلكم وحرصكم، وتقبلوا خالص التحية والتقدير.' END || chr(10) || 'مكتب الشكاوى — الإمارة' AS letter FROM (SELECT *, o_totalprice < 50000 AS r FROM orders)""")
+def reply_letters(spark, sf):
+    """Replies to every case: receipts, letters on to a desk, with and without a name, a date, a priority and a term."""
+    text = lambda c: c.cast("string")
+    letter = A.letter(
+        F.when(F.col("o_custkey") % 4 == 0, " ").otherwise(F.concat(F.lit("Customer "), text(F.col("o_custkey")))), text(F.col("o_orderkey")), F.when(F.col("o_orderkey") % 3 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")),
+        F.repeat(F.concat(F.lit("s"), text(F.col("o_orderkey"))), F.lit(60)), "الإمارة", "مكتب الشكاوى", F.when(F.col("o_custkey") % 5 != 0, F.concat(F.lit("Desk "), text(F.col("o_custkey") % 9))),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")), F.concat(text(F.col("o_custkey") % 7), F.lit(" days")), F.col("o_totalprice") < 50000,
+    )
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), letter.alias("letter"))
+
+
+_LABELLED = "SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS place, CASE CAST(l_quantity AS INT) % 5 WHEN 0 THEN 'name of heir' WHEN 1 THEN 'name of deceased' WHEN 2 THEN 'id' WHEN 3 THEN 'id' ELSE 'other' END AS label, CASE WHEN l_orderkey % 9 = 0 THEN 'estate' ELSE '' END AS section FROM lineitem"
+
+
+@query(f"""WITH l AS ({_LABELLED}), e AS (SELECT doc, section, place, CASE label WHEN 'name of heir' THEN 'heir' ELSE 'dead' END AS role FROM l WHERE label LIKE 'name%'),
+ n AS (SELECT l.doc, l.place, e.role, row_number() OVER (PARTITION BY l.doc, l.place ORDER BY abs(e.place - l.place), e.place > l.place) AS rn FROM l JOIN e ON e.doc = l.doc AND e.section = l.section WHERE l.label = 'id')
+ SELECT l.doc, l.place::INT AS place, CASE WHEN label = 'name of heir' THEN 'heir_name' WHEN label = 'name of deceased' THEN 'dead_name' WHEN label = 'id' AND section = 'estate' THEN 'dead_id' WHEN label = 'id' THEN n.role || '_id' END AS key FROM l LEFT JOIN n ON n.doc = l.doc AND n.place = l.place AND n.rn = 1""")
+def role_votes(spark, sf):
+    """Labels that several roles share, settled by the heading or by the nearest label of one role; the one before wins a tie."""
+    table(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
+    aliases = [("name of heir", "heir_name", "heirs", "heir", False), ("name of deceased", "dead_name", "estate", "dead", False), ("id", "heir_id", "heirs", "heir", True), ("id", "dead_id", "estate", "dead", True)]
+    a = spark.createDataFrame(aliases, "alias string, key string, section string, role string, shared boolean")
+    return A.vote_roles(spark.sql(_LABELLED), a, "doc", "place").select("doc", F.col("place").cast("int").alias("place"), "key")
+
+
+_COSINE = "round(list_inner_product(CAST(p.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) / sqrt(list_inner_product(CAST(p.v AS DOUBLE[]), CAST(p.v AS DOUBLE[]))) / sqrt(list_inner_product(CAST(c.v AS DOUBLE[]), CAST(c.v AS DOUBLE[]))), 6)"
+
+
+@query(f"""WITH e AS (SELECT vec_id AS id, embedding AS v, 'w' || vec_id % 5 AS a, 'w' || vec_id % 3 AS b FROM embeddings), p AS (SELECT * FROM e WHERE id % 4 = 0), c AS (SELECT * FROM e WHERE id % 4 <> 0),
+ s AS (SELECT p.id AS passage, p.id % 10 AS doc, c.id AS clause, {_COSINE} AS cosine, 0.12 * len(list_intersect([c.a, c.b], [p.a, p.b])) / len(list_distinct([c.a, c.b])) AS lexical, p.a = c.a AND p.b = c.b AS exact FROM p, c),
+ k AS (SELECT *, row_number() OVER (PARTITION BY passage ORDER BY cosine DESC, clause) AS rn FROM s), g AS (SELECT *, cosine + least(lexical, 0.12) AS score FROM k WHERE rn <= 50), h AS (SELECT * FROM g WHERE exact OR (cosine >= 0.5 AND score >= 0.6))
+ SELECT doc, clause, CAST(floor(max(score) * 10000 + 0.5) AS BIGINT) AS score, count(*) AS n FROM h GROUP BY 1, 2""")
+def retrieved_clauses(spark, sf):
+    """Clauses that passages call up by cosine and shared words, and how many passages of a document do."""
+    words = F.array(F.concat(F.lit("w"), (F.col("vec_id") % 5).cast("string")), F.concat(F.lit("w"), (F.col("vec_id") % 3).cast("string")))
+    e = V.unit_vectors(table(spark, sf, "embeddings"), "embedding").select("vec_id", F.col("embedding").alias("v"), words.alias("words"))
+    passages = e.where("vec_id % 4 = 0").select((F.col("vec_id") % 10).alias("doc"), F.col("vec_id").alias("passage"), "words", "v")
+    found = A.retrieved(passages, e.where("vec_id % 4 != 0").select(F.col("vec_id").alias("clause"), "words", "v"))
+    return found.select("doc", "clause", F.floor(F.col("score") * 10000 + 0.5).alias("score"), "n")
