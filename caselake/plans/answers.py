@@ -174,15 +174,16 @@ def name_distances(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), S.edit_distance(F.col("c_name"), F.concat(F.reverse("c_name"), F.col("c_mktsegment"))).cast("long").alias("edits"))
 
 
-@query("""SELECT doc_id, len(list_filter(range(0, length(text) - 2), lambda i: substr(text, CAST(i + 1 AS INT), 3) = 'ere')) AS n, CAST(coalesce(list_min(list_filter(range(0, length(text) - 2), lambda i: substr(text, CAST(i + 1 AS INT), 3) = 'ere')), -1) AS INT) AS first
- FROM (SELECT doc_id, left(text, 400) || 'erere' AS text FROM documents)""")
+@query("""WITH t AS (SELECT doc_id, text || 'erere' AS text FROM documents), c AS (SELECT doc_id, generate_subscripts(string_split(text, ''), 1) - 1 AS i, unnest(string_split(text, '')) AS ch FROM t),
+ w AS (SELECT doc_id, i, ch || lead(ch, 1) OVER (PARTITION BY doc_id ORDER BY i) || lead(ch, 2) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM c)
+ SELECT doc_id, count(*) AS n, min(i)::INT AS first FROM w WHERE s = 'ere' GROUP BY doc_id""")
 def literal_places(spark, sf):
-    """Overlapping occurrences of a literal in the first line's characters."""
-    d = table(spark, sf, "documents").select("doc_id", M.find_all(F.concat(F.left("text", F.lit(400)), F.lit("erere")), F.lit("ere")).alias("p"))
+    """Overlapping occurrences of a literal in whole texts."""
+    d = table(spark, sf, "documents").select("doc_id", M.find_all(F.concat("text", F.lit("erere")), F.lit("ere")).alias("p"))
     return d.select("doc_id", F.size("p").cast("long").alias("n"), F.coalesce(F.try_element_at("p", F.lit(1)), F.lit(-1)).alias("first"))
 
 
-@query("SELECT doc_id, length(t) + len(list_filter(string_split(t, ''), lambda c: unicode(c) > 65535)) AS units FROM (SELECT doc_id, left(text, 50) || '😀x' AS t FROM documents)")
+@query("SELECT doc_id, length(t) + len(list_filter(string_split(t, ''), lambda c: unicode(c) > 65535)) AS units FROM (SELECT doc_id, text || '😀x' AS t FROM documents)")
 def utf16_places(spark, sf):
-    t = F.concat(F.left("text", F.lit(50)), F.lit("😀x"))
+    t = F.concat("text", F.lit("😀x"))
     return table(spark, sf, "documents").select("doc_id", X.utf16_offset(t, F.length(t)).alias("units"))

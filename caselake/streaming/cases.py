@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,21 +94,6 @@ def kept_reviews(reviews: DataFrame, fields: DataFrame) -> DataFrame:
     return j.where((F.col("action") != "accept") | F.col("value").eqNullSafe(F.col("__new"))).drop("__new")
 
 
-@contextmanager
-def single_owner(path: str) -> Iterator[None]:
-    """Hold a lock file, so that one process at a time drives the queue; a second owner is an error. A stream's checkpoint has its own."""
-    try:
-        handle = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-    except FileExistsError:
-        raise RuntimeError(f"another process owns {path}") from None
-    try:
-        os.write(handle, str(os.getpid()).encode())
-        yield
-    finally:
-        os.close(handle)
-        os.unlink(path)
-
-
 def progress(spark: SparkSession, group: str) -> dict[str, int]:
     """Stages and tasks of the jobs of a group, for progress events; ``spark.sparkContext.cancelJobGroup(group)`` stops them."""
     tracker = spark.sparkContext.statusTracker()
