@@ -5,6 +5,8 @@ Dates and labels stay nested arrays of their document, so a label meets its date
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,3 +134,12 @@ def verdict(text: Column, dates: Column, fields: Column, as_of: Column, model: C
         F.coalesce(declared_state(fields), F.lit("")).alias("state"),
         date["text"].alias("text"),
     )
+
+
+def with_evidence(found: Column, locate: Callable[[Column], Column] | None = None, verify: Callable[[Column], Column] | None = None, restore: Callable[[Column], Column] | None = None) -> Column:
+    """A ``verdict`` with shown, verified and source, by the functions given: ``restore`` writes the date as the document has it, ``verify`` says whether the document
+    carries that, ``locate`` gives its citation. Without them the date stays as it is, is not verified and has no source."""
+    shown = restore(found["text"]) if restore else found["text"]
+    verified = F.coalesce(verify(shown), F.lit(False)) if verify else F.lit(False)
+    source = locate(shown) if locate else F.lit(None).cast("int")
+    return found.withField("shown", shown).withField("verified", verified).withField("source", F.when(verified, source) if verify else source)

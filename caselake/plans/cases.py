@@ -144,7 +144,7 @@ def rater_agreement(spark, sf):
  r AS (SELECT *, row_number() OVER (PARTITION BY field, "from", "to" ORDER BY last DESC, ref) AS rn FROM d)
  SELECT g.field, g."from", g."to", g.n, string_agg(CAST(r.ref AS VARCHAR), ',' ORDER BY rn) AS refs FROM g JOIN r ON g.field = r.field AND g."from" IS NOT DISTINCT FROM r."from" AND g."to" IS NOT DISTINCT FROM r."to" WHERE rn <= 5 GROUP BY g.field, g."from", g."to", g.n""")
 def net_corrections_topk(spark, sf):
-    df = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref"), F.col("l_shipdate").alias("last"), "l_returnflag", F.nullif("l_returnflag", F.lit("R")).alias("flag0"), "l_linestatus")
+    df = spread(table(spark, sf, "lineitem")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref"), F.col("l_shipdate").alias("last"), "l_returnflag", F.nullif("l_returnflag", F.lit("R")).alias("flag0"), "l_linestatus")
     return A.net_corrections(df, {"status": ("flag0", "l_linestatus"), "flag": ("l_linestatus", "l_returnflag")}, "ref", "last")
 
 

@@ -472,3 +472,19 @@ def test_the_index_finds_nine_of_ten_in_few_cells(spark):
     assert {(r["q"], r["r"]) for r in index.search(queries, "i", "v", 5, len(index.centroids)).collect()} == exact and len(exact) == 750
     none = df.where("i < 0")
     assert C.VectorIndex(none, "i", "v").rows.count() == 0 and C.nearest(none, df, "i", "i", "v", 5).count() == 0
+
+
+def test_expiry_evidence_is_injected(spark):
+    """The date as the document writes it, whether it carries it, and where; without the functions nothing is claimed."""
+    from caselake.operators import citation, expiry
+
+    raw = "تاريخ انتهاء الوكالة: ٢٠٢٦/٠١/٠٥ م"
+    d = spark.createDataFrame([(raw,)], "raw string").withColumn("t", dates.dated_text(F.col("raw"))).withColumn("d", dates.dates_in(F.col("t")))
+    fields = F.array().cast("array<struct<key:string,label:string,value:string>>")
+    v = expiry.verdict(F.col("t"), F.col("d"), fields, F.lit("2026-01-01").cast("date"))
+    full = expiry.with_evidence(F.col("v"), locate=lambda x: F.instr(F.col("raw"), x) - 1, verify=lambda x: F.contains(F.col("raw"), x), restore=lambda x: citation.restore(x, F.col("raw")))
+    d = d.withColumn("v", v)
+    got = d.select(full.alias("x")).first()["x"]
+    assert (got["shown"], got["verified"], got["source"], got["status"]) == ("٢٠٢٦/٠١/٠٥", True, raw.index("٢٠٢٦"), "expiring_soon")
+    bare = d.select(expiry.with_evidence(F.col("v")).alias("x")).first()["x"]
+    assert (bare["shown"], bare["verified"], bare["source"]) == ("2026/01/05", False, None)
