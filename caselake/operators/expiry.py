@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as X
+from .variants import let
 
 #: Characters after a label in which its date begins, and in which words may say that it belongs to something else.
 DATE_REACH, SUBJECT_REACH = 90, 28
@@ -114,26 +115,36 @@ def verdict(text: Column, dates: Column, fields: Column, as_of: Column, model: C
     ``text`` is a ``dated_text``, ``dates`` its dates, ``model`` an optional date of their type from elsewhere. A model's date that
     the text does not carry, and a month without a day, give no verdict (status unknown). Terms count only if asked for.
     """
-    from_field, from_label = field_date(fields), labelled_date(text, dates)["date"]
-    model = from_label if model is None else model
-    sure = F.lit(False) if model_verified is None else model_verified
-    date = F.coalesce(from_field, from_label, model)
-    basis = F.when(from_field.isNotNull(), "template_field").when(from_label.isNotNull(), "label").when(model.isNotNull(), "model")
-    usable = date["on"].isNotNull() & ((basis != "model") | sure)
     term = F.date_add(issue_date(text, dates)["on"], D.days_of_duration(text)) if from_term else F.lit(None).cast("date")
-    derived = date.isNull() & term.isNotNull()
-    expires = F.when(derived, term).otherwise(date["on"])
-    known = F.coalesce(usable, F.lit(False)) | derived
-    verified = basis.isin("template_field", "label") & F.contains(text, date["text"])
-    return F.struct(
-        F.when(known, D.expiry_status(expires, as_of)).otherwise("unknown").alias("status"),
-        F.coalesce(F.when(derived, "duration").otherwise(basis), F.lit("")).alias("basis"),
-        expires.alias("expires"),
-        F.when(known, F.datediff(expires, as_of)).alias("days"),
-        F.when(~known | derived, "low").when(F.coalesce(verified, F.lit(False)), "high").otherwise("medium").alias("confidence"),
-        F.coalesce(declared_state(fields), F.lit("")).alias("state"),
-        date["text"].alias("text"),
-    )
+    facts = [field_date(fields).alias("field"), labelled_date(text, dates)["date"].alias("label"), term.alias("term"), F.coalesce(declared_state(fields), F.lit("")).alias("state")]
+    if model is not None:
+        facts.append(model.alias("model"))
+    sure = F.lit(False) if model_verified is None else model_verified
+
+    def decided(x: Column) -> Column:
+        date, basis = x["date"], x["basis"]
+        usable = date["on"].isNotNull() & ((basis != "model") | sure)
+        derived = date.isNull() & x["term"].isNotNull()
+        expires = F.when(derived, x["term"]).otherwise(date["on"])
+        known = F.coalesce(usable, F.lit(False)) | derived
+        verified = basis.isin("template_field", "label") & F.contains(text, date["text"])
+        return F.struct(
+            F.when(known, D.expiry_status(expires, as_of)).otherwise("unknown").alias("status"),
+            F.coalesce(F.when(derived, "duration").otherwise(basis), F.lit("")).alias("basis"),
+            expires.alias("expires"),
+            F.when(known, F.datediff(expires, as_of)).alias("days"),
+            F.when(~known | derived, "low").when(F.coalesce(verified, F.lit(False)), "high").otherwise("medium").alias("confidence"),
+            x["state"].alias("state"),
+            date["text"].alias("text"),
+        )
+
+    def chosen(x: Column) -> Column:
+        other = x["model"] if model is not None else F.lit(None)
+        basis = F.when(x["field"].isNotNull(), "template_field").when(x["label"].isNotNull(), "label").when(other.isNotNull(), "model")
+        return F.struct((F.coalesce(x["field"], x["label"], other) if model is not None else F.coalesce(x["field"], x["label"])).alias("date"), basis.alias("basis"), x["term"].alias("term"), x["state"].alias("state"))
+
+    # each source is worked out once, though the answer names it many times
+    return let(let(F.struct(*facts), chosen), decided)
 
 
 def with_evidence(found: Column, locate: Callable[[Column], Column] | None = None, verify: Callable[[Column], Column] | None = None, restore: Callable[[Column], Column] | None = None) -> Column:
