@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..session import small
+from ..session import SMALL
 
 #: Pairs of two documents' chunks up to which all of them are compared.
 ALL_PAIRS = 9
@@ -213,16 +213,18 @@ def weighted_jaccard(left: DataFrame, right: DataFrame, a: str, b: str, least: f
     sa, sb = F.col(f"size_{a}"), F.col(f"size_{b}")
     y = y.where(sb.between((span["low"] or 0) * least, (span["high"] or 0) / least))
     mine = x.select(a, sa, F.explode("tokens").alias("token")).groupBy(a, sa, "token").agg(F.count("*").alias("n_a"))
-    known = small(mine.select("token").distinct())
-    theirs = y.select(b, sb, F.explode("tokens").alias("token")).join(known, "token").groupBy(b, sb, "token").agg(F.count("*").alias("n_b"))
-    often = small(theirs.groupBy("token").agg(F.sum("n_b").alias("often")))
+    # any order of words will do if it is the same on both sides: rare ones of ``left`` first
+    words = mine.groupBy("token").agg(F.sum("n_a").alias("often"))
+    known = F.broadcast(words) if words.limit(SMALL + 1).count() <= SMALL else words
+    mine = mine.join(known, "token")
+    theirs = y.select(b, sb, F.explode("tokens").alias("token")).join(known, "token").groupBy(b, sb, "token", "often").agg(F.count("*").alias("n_b"))
 
     def prefix(df: DataFrame, key: str, size: Column, n: str) -> DataFrame:
         """Tokens of the first ``size - least * size + 1`` places of a text, its own words before those that the other side has."""
         w = Window.partitionBy(key)
         before = F.sum(n).over(w.orderBy("often", "token").rowsBetween(Window.unboundedPreceding, -1))
         shared = F.sum(n).over(w)
-        placed = df.join(often, "token").withColumns({"before": F.coalesce(before, F.lit(0)) + size - shared, "shared": shared})
+        placed = df.withColumns({"before": F.coalesce(before, F.lit(0)) + size - shared, "shared": shared})
         return placed.where((F.col("shared") >= size * least) & (F.col("before") <= size - F.ceil(size * F.lit(least) - 1e-9))).select(key, size, "token")
 
     met = prefix(mine, a, sa, "n_a").join(prefix(theirs, b, sb, "n_b"), "token").where((sb >= sa * least) & (sb * least <= sa)).select(a, b).distinct()
