@@ -42,7 +42,8 @@ STATES = {
 }
 EXPIRY_KEYS = ("wakala_expiry_date_hijri", "expiry_date", "expiry_date_hijri", "expiry_date_gregorian", "contract_expiry_date")
 
-_ANY_LABEL = "(?iu)" + "|".join(f"(?:{p})" for rank in (3, 2, 1) for p in LABELS[rank])
+#: Any wording; a look at its first sign spares the wordings at most places.
+_ANY_LABEL = "(?iu)(?=[تيمانصسحلedv])(?:" + "|".join(f"(?:{p})" for rank in (3, 2, 1) for p in LABELS[rank]) + ")"
 
 
 def label_rank(phrase: Column) -> Column:
@@ -63,24 +64,30 @@ def labelled_date(text: Column, dates: Column) -> Column:
 
     def of(label: Column) -> Column:
         near = F.filter(dates, lambda p: p["start"].between(label["end"], label["end"] + DATE_REACH))
-        date = F.try_element_at(near, F.lit(1))
-        later = F.contains(F.substr(text, label["end"] + 1, date["start"] - label["end"]), F.lit("\n"))
-        rank = label_rank(label["text"]) - F.when(later, 1).otherwise(0)
-        ours = date.isNotNull() & ~_foreign(text, label["end"])
-        return F.when(ours, F.struct(rank.alias("rank"), (-date["start"]).alias("early"), label["text"].alias("label"), date.alias("date")))
 
-    hits = F.transform(X.find_spans(text, _ANY_LABEL), of)
-    return F.array_max(hits)
+        def met(date: Column) -> Column:
+            later = F.contains(F.substr(text, label["end"] + 1, date["start"] - label["end"]), F.lit("\n"))
+            rank = label_rank(label["text"]) - F.when(later, 1).otherwise(0)
+            ours = date.isNotNull() & ~_foreign(text, label["end"])
+            return F.when(ours, F.struct(rank.alias("rank"), (-date["start"]).alias("early"), label["text"].alias("label"), date.alias("date")))
+
+        return let(F.try_element_at(near, F.lit(1)), met)
+
+    return F.when(F.size(dates) > 0, F.array_max(F.transform(X.find_spans(text, _ANY_LABEL), of)))
 
 
 def issue_date(text: Column, dates: Column) -> Column:
     """The date within reach after the first issue label, in the labels' order, that has one; else the first date of the text."""
-    hits = []
-    for label in ISSUE_LABELS:
-        after = lambda s: F.try_element_at(F.filter(dates, lambda p: p["start"].between(s["end"], s["end"] + DATE_REACH)), F.lit(1))
-        found = F.filter(F.transform(X.find_spans(text, label), after), lambda p: p.isNotNull())
-        hits.append(F.try_element_at(found, F.lit(1)))
-    return F.coalesce(*hits, F.try_element_at(dates, F.lit(1)))
+
+    def first(x: Column) -> Column:
+        hits = []
+        for label in ISSUE_LABELS:
+            after = lambda s: F.try_element_at(F.filter(x["dates"], lambda p: p["start"].between(s["end"], s["end"] + DATE_REACH)), F.lit(1))
+            found = F.filter(F.transform(X.find_spans(x["text"], label), after), lambda p: p.isNotNull())
+            hits.append(F.when(F.contains(x["text"], F.lit(label)), F.try_element_at(found, F.lit(1))))
+        return F.when(F.size(x["dates"]) > 0, F.coalesce(*hits, F.try_element_at(x["dates"], F.lit(1))))
+
+    return let(F.struct(text.alias("text"), dates.alias("dates")), first)
 
 
 def declared_state(fields: Column) -> Column:
@@ -90,8 +97,8 @@ def declared_state(fields: Column) -> Column:
         label, value = (F.lower(F.trim(D.dated_text(F.coalesce(f[c], F.lit(""))))) for c in ("label", "value"))
         key = F.coalesce(f["key"], F.lit(""))
         named = key.rlike("(_status|^status)$") | label.rlike("^(" + "|".join(STATE_LABELS) + ")")
-        state = F.coalesce(*(F.when(F.contains(value, F.lit(word)), s) for word, s in STATES.items()))
-        return F.when(named & (value != ""), state)
+        state = let(value, lambda v: F.coalesce(*(F.when(F.contains(v, F.lit(word)), s) for word, s in STATES.items())))
+        return F.when(named, state)
 
     return F.try_element_at(F.filter(F.transform(fields, of), lambda s: s.isNotNull()), F.lit(1))
 
@@ -101,8 +108,8 @@ def field_date(fields: Column) -> Column:
 
     def of(f: Column) -> Column:
         label = F.lower(F.trim(D.dated_text(F.coalesce(f["label"], F.lit("")))))
-        hit = F.try_element_at(X.find_spans(label, _ANY_LABEL), F.lit(1))
-        named = hit.isNotNull() & (label_rank(hit["text"]) >= 2) & ~_foreign(label, hit["end"])
+        hit = lambda t: F.try_element_at(X.find_spans(t, _ANY_LABEL), F.lit(1))
+        named = let(label, lambda t: let(hit(t), lambda h: h.isNotNull() & (label_rank(h["text"]) >= 2) & ~_foreign(t, h["end"])))
         date = F.try_element_at(D.dates_in(D.dated_text(F.coalesce(f["value"], F.lit("")))), F.lit(1))
         return F.when(F.coalesce(f["key"].isin(*EXPIRY_KEYS), F.lit(False)) | F.coalesce(named, F.lit(False)), date)
 
@@ -116,7 +123,7 @@ def verdict(text: Column, dates: Column, fields: Column, as_of: Column, model: C
     the text does not carry, and a month without a day, give no verdict (status unknown). Terms count only if asked for.
     """
     term = F.date_add(issue_date(text, dates)["on"], D.days_of_duration(text)) if from_term else F.lit(None).cast("date")
-    facts = [field_date(fields).alias("field"), labelled_date(text, dates)["date"].alias("label"), term.alias("term"), F.coalesce(declared_state(fields), F.lit("")).alias("state")]
+    facts = [field_date(fields).alias("field"), labelled_date(text, dates)["date"].alias("label"), F.coalesce(declared_state(fields), F.lit("")).alias("state")]
     if model is not None:
         facts.append(model.alias("model"))
     sure = F.lit(False) if model_verified is None else model_verified
@@ -141,7 +148,10 @@ def verdict(text: Column, dates: Column, fields: Column, as_of: Column, model: C
     def chosen(x: Column) -> Column:
         other = x["model"] if model is not None else F.lit(None)
         basis = F.when(x["field"].isNotNull(), "template_field").when(x["label"].isNotNull(), "label").when(other.isNotNull(), "model")
-        return F.struct((F.coalesce(x["field"], x["label"], other) if model is not None else F.coalesce(x["field"], x["label"])).alias("date"), basis.alias("basis"), x["term"].alias("term"), x["state"].alias("state"))
+        # a term is read only where nothing gives a date
+        return F.struct(
+            (F.coalesce(x["field"], x["label"], other) if model is not None else F.coalesce(x["field"], x["label"])).alias("date"), basis.alias("basis"), F.when(basis.isNull(), term).alias("term"), x["state"].alias("state")
+        )
 
     # each source is worked out once, though the answer names it many times
     return let(let(F.struct(*facts), chosen), decided)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import masking as K
+from ..functions.text import let
 
 #: Levels that are opened, items of a list that are kept, characters of a text.
 MOST_LEVELS, MOST_ITEMS, MOST_TEXT = 10, 300, 6000
@@ -18,11 +19,6 @@ PLACEHOLDER = "string"
 CUT = "…"
 
 
-def let(value: Column, use) -> Column:
-    """``use`` of a value that is worked out once, however often it is named there."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def kind(v: Column) -> Column:
     """object, array, string, boolean, null or number; null for no value at all."""
     word = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)

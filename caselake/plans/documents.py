@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import expiry as E
 from ..operators import gazetteer as P
 from ..operators import signals as S
-from ..session import table
+from ..session import spread, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -31,7 +31,7 @@ _MONTHS = ("January", "February", "March", "April", "May", "June", "July", "Augu
 
 
 def _deeds(spark, sf):
-    o = table(spark, sf, "orders")
+    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"))
     made = F.to_date("o_orderdate")
     due = F.date_add(made, 400)
     month = F.element_at(F.array(*map(F.lit, _MONTHS)), F.month(due))
@@ -49,8 +49,9 @@ def _deeds(spark, sf):
         F.concat(F.lit("Expiry date\n"), iso, F.lit(" and valid until "), F.date_format(F.date_add(due, 50), "yyyy-MM-dd")),
         F.lit("nothing"),
     ]
-    way = F.col("o_orderkey") % 10
-    text = F.element_at(F.array(*texts), (way + 1).cast("int"))
+    text = F.lit(None).cast("string")
+    for way, t in enumerate(texts):  # only the one that is asked for is written
+        text = F.when(F.col("o_orderkey") % 10 == way, t).otherwise(text)
     fields = F.when(F.col("o_orderkey") % 20 == 13, F.expr("array(named_struct('key', 'deed_status', 'label', 'x', 'value', 'ملغاة'))")).otherwise(
         F.expr("array(named_struct('key', '', 'label', 'الحالة', 'value', 'سارية'))")
     )
@@ -84,7 +85,8 @@ def dates_in_text(spark, sf):
 def issue_dates(spark, sf):
     """The date after an issue label, else the first date of the text."""
     d = _deeds(spark, sf).withColumn("dates", D.dates_in(F.col("text")))
-    return d.select("id", E.issue_date(F.col("text"), F.col("dates"))["on"].alias("issued")).where("issued is not null")
+    # a filter stays above a generated column; on one that is not, Spark would work out every date once more for each time its expression names them
+    return d.select("id", F.explode(F.array(E.issue_date(F.col("text"), F.col("dates"))["on"])).alias("issued")).where("issued is not null")
 
 
 @query("""SELECT l_orderkey AS id, l_linenumber AS line, CASE l_linenumber % 5 WHEN 0 THEN CAST(l_quantity AS INT) WHEN 1 THEN CAST(l_quantity AS INT) * 30 WHEN 2 THEN 730 WHEN 3 THEN 1095 END AS days FROM lineitem""")
