@@ -6,11 +6,12 @@ a bounded number of levels, as a plan has to know it. VARIANT keeps the members
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import masking as K
 from ..functions.text import let
+from ..session import spread
 
 #: Levels that are opened, items of a list that are kept, characters of a text.
 MOST_LEVELS, MOST_ITEMS, MOST_TEXT = 10, 300, 6000
@@ -21,8 +22,12 @@ CUT = "…"
 
 def kind(v: Column) -> Column:
     """object, array, string, boolean, null or number; null for no value at all."""
-    word = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
-    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k in ("OBJECT", "ARRAY", "STRING", "BOOLEAN") for x in (k, k.lower())), F.lit("VOID"), F.lit("null")), word), F.when(word.isNotNull(), F.lit("number")))
+
+    def word(said: Column) -> Column:
+        named = F.when(said.startswith("OBJECT"), "object").when(said.startswith("ARRAY"), "array")
+        return named.when(said == "STRING", "string").when(said == "BOOLEAN", "boolean").when(said == "VOID", "null").when(said.isNotNull(), "number")
+
+    return let(F.schema_of_variant(v), word)
 
 
 def at(v: Column, *keys: str) -> Column:
@@ -30,11 +35,19 @@ def at(v: Column, *keys: str) -> Column:
     return F.try_variant_get(v, "$" + "".join(f"['{k}']" for k in keys), "variant") if keys else v
 
 
+def _said(v: Column) -> Column:
+    """struct(said, text): the type of a value and its text; the value is looked up once."""
+    return let(v, lambda x: F.struct(F.schema_of_variant(x).alias("said"), F.try_variant_get(x, "$", "string").alias("text")))
+
+
+def _plain(x: Column) -> Column:
+    number = F.when(x["said"].rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.regexp_replace(x["text"], r"\.0+$", "")).otherwise("")
+    return F.when(x["said"] == "STRING", F.btrim(x["text"], F.lit(" \t\n\r\x0b\f"))).otherwise(number)
+
+
 def scalar(v: Column) -> Column:
     """A text (trimmed) or a number as digits without an empty fraction; anything else is the empty text."""
-    number = lambda x: F.when(x["said"].rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.regexp_replace(x["text"], r"\.0+$", "")).otherwise("")
-    text = lambda x: F.when(x["said"] == "STRING", F.btrim(x["text"], F.lit(" \t\n\r\x0b\f"))).otherwise(number(x))
-    return let(F.struct(F.schema_of_variant(v).alias("said"), F.try_variant_get(v, "$", "string").alias("text")), text)
+    return let(_said(v), _plain)
 
 
 def limited(text: Column, most: int = MOST_TEXT) -> Column:
@@ -127,46 +140,69 @@ DEEPER = "بيانات أعمق لم تُعرض"
 
 
 def _clip(v: Column) -> Column:
-    said = F.coalesce(F.when(kind(v) == "boolean", F.initcap(F.try_variant_get(v, "$", "string"))), scalar(v))
+    said = let(_said(v), lambda x: F.coalesce(F.when(x["said"] == "BOOLEAN", F.initcap(x["text"])), _plain(x)))
     return F.left(F.btrim(F.regexp_replace(said, r"(?U)\s+", " ")), F.lit(MOST_VALUE))
 
 
+_LISTED = "array<variant>"
+
+
+def _leaf_lines(node: Column, over: Column) -> Column:
+    """Lines of a field, a list or a table."""
+    none = F.array().cast(_LISTED)
+    line = lambda label, value: F.struct(label.alias("label"), value.alias("value"))
+    listed = lambda key, most: F.slice(F.coalesce(F.try_variant_get(node, f"$.{key}", _LISTED), none), 1, most)
+    of_row = lambda name, columns, cells, i: F.transform(
+        F.slice(columns, 1, F.least(F.size(columns), F.size(cells))), lambda c, j: line(F.concat(name, F.lit(" "), (i + 1).cast("string"), F.lit(" - "), c), _clip(F.get(cells, j)))
+    )
+    rows = lambda name, columns: F.flatten(
+        F.transform(listed("rows", LINE_ROWS), lambda r, i: let(F.coalesce(F.try_variant_get(r, "$", _LISTED), none), lambda cells: of_row(name, columns, cells, i)))
+    )
+
+    def of(x: Column) -> Column:
+        return (
+            F.when(x["kind"] == "field", F.array(line(x["name"], _clip(at(node, "value")))))
+            .when(x["kind"] == "list", F.array(line(x["name"], F.left(F.array_join(F.transform(listed("items", LINE_ITEMS), _clip), "، "), F.lit(MOST_VALUE)))))
+            .when(x["kind"] == "table", let(F.transform(listed("columns", MOST_ITEMS), _clip), lambda columns: rows(x["name"], columns)))
+        )
+
+    name = F.concat_ws(" - ", F.nullif(over, F.lit("")), F.nullif(_clip(at(node, "label")), F.lit("")))
+    return let(F.struct(scalar(at(node, "type")).alias("kind"), name.alias("name")), of)
+
+
+def _opened(x: Column) -> Column:
+    """What stands for a struct(node, over, leaf) one level down: the children of a group, cards or a list, in order, or a leaf itself."""
+    node = x["node"]
+    inside = lambda key: F.try_variant_get(node, f"$.{key}", _LISTED)
+    held = lambda said: F.coalesce(F.try_variant_get(node, "$", _LISTED), F.when(said == "group", inside("children")).when(said == "cards", F.slice(inside("items"), 1, LINE_ROWS)))
+    flat = lambda many: F.flatten(F.transform(many, lambda y: F.coalesce(F.try_variant_get(y, "$", _LISTED), F.array(y))))
+    child = lambda y, over, leaf: F.struct(y.alias("node"), over.alias("over"), F.lit(leaf).alias("leaf"))
+
+    def of(k: Column) -> Column:
+        label = F.concat_ws(" - ", F.nullif(x["over"], F.lit("")), F.nullif(_clip(at(node, "label")), F.lit("")))
+        over = F.when(k["said"] == "group", label).otherwise(x["over"])
+        below = let(over, lambda o: F.transform(flat(k["many"]), lambda y: child(y, o, False)))
+        none = F.slice(F.array(child(node, x["over"], False)), 1, 0)
+        return F.when(k["many"].isNotNull(), below).when(F.coalesce(k["said"].isin("group", "cards"), F.lit(False)), none).otherwise(F.array(child(node, x["over"], True)))
+
+    said = F.try_variant_get(node, "$.type", "string")
+    return F.when(x["leaf"], F.array(x)).otherwise(let(let(said, lambda t: F.struct(t.alias("said"), held(t).alias("many"))), of))
+
+
 def view_lines(df: DataFrame, doc: str, view: str, levels: int = MOST_LEVELS) -> DataFrame:
     """(doc, line, label, value) of view trees (JSON): the first MOST_LINES values of each, in order, with the labels above them in their own.
 
     A node is a field, a list, a table, or holds others: a group under its label, cards (lists of nodes among them) without one. Damaged JSON has
-    no lines; nodes below ``levels`` groups or cards, two more than a view nests, are left out.
+    no lines; nodes below ``levels`` groups or cards, two more than a view nests, are left out. A tree is walked inside its row, without a shuffle.
     """
-    children = "array<variant>"
-    inside = lambda key: F.try_variant_get("node", f"$.{key}", children)
-    rows = df.select(doc, F.array().cast("array<int>").alias("at"), F.lit("").alias("over"), F.to_variant_object(F.array(F.try_parse_json(view))).alias("node"))
-    for _ in range(levels):
-        said = rows.withColumn("said", F.try_variant_get("node", "$.type", "string")).withColumn("label", F.when(F.col("said") == "group", _clip(at(F.col("node"), "label"))))
-        many = F.coalesce(F.try_variant_get("node", "$", children), F.when(F.col("said") == "group", inside("children")).when(F.col("said") == "cards", F.slice(inside("items"), 1, LINE_ROWS)))
-        # a list among the children is opened with them
-        flat = F.flatten(F.transform(many, lambda x: F.coalesce(F.try_variant_get(x, "$", children), F.array(x))))
-        held = F.coalesce(flat, F.when(F.coalesce(F.col("said").isin("group", "cards"), F.lit(False)), F.array().cast(children)), F.array("node"))
-        whole = said.withColumn("held", held).withColumn("leaf", F.coalesce(~F.col("said").isin("group", "cards"), F.lit(True)) & flat.isNull())
-        over = F.when(F.col("said") == "group", F.concat_ws(" - ", F.nullif("over", F.lit("")), F.nullif("label", F.lit("")))).otherwise(F.col("over"))
-        opened = whole.select(doc, "at", over.alias("over"), "leaf", F.posexplode("held").alias("pos", "node"))
-        rows = opened.select(doc, F.when(F.col("leaf"), F.col("at")).otherwise(F.array_append("at", F.col("pos"))).alias("at"), "over", "node")
-    node, kinds = F.col("node"), scalar(at(F.col("node"), "type"))
-    name = F.concat_ws(" - ", F.nullif("over", F.lit("")), F.nullif(_clip(at(node, "label")), F.lit("")))
-    line = lambda label, value: F.struct(label.alias("label"), value.alias("value"))
-    listed = lambda key, most: F.slice(F.coalesce(F.try_variant_get(node, f"$.{key}", "array<variant>"), F.array().cast("array<variant>")), 1, most)
-    columns = F.transform(listed("columns", MOST_ITEMS), _clip)
-    cells = lambda r: F.coalesce(F.try_variant_get(r, "$", "array<variant>"), F.array().cast("array<variant>"))
-    of_row = lambda r, i: F.transform(
-        F.slice(columns, 1, F.least(F.size(columns), F.size(cells(r)))), lambda c, j: line(F.concat(name, F.lit(" "), (i + 1).cast("string"), F.lit(" - "), c), _clip(F.get(cells(r), j)))
-    )
-    lines = (
-        F.when(kinds == "field", F.array(line(name, _clip(at(node, "value")))))
-        .when(kinds == "list", F.array(line(name, F.left(F.array_join(F.transform(listed("items", LINE_ITEMS), _clip), "، "), F.lit(MOST_VALUE)))))
-        .when(kinds == "table", F.flatten(F.transform(listed("rows", LINE_ROWS), of_row)))
-    )
-    told = rows.select(doc, "at", F.posexplode(lines).alias("j", "l")).where((F.col("l.value") != "") & (F.col("l.value") != DEEPER))
-    number = F.row_number().over(Window.partitionBy(doc).orderBy("at", "j"))
-    return told.withColumn("line", number).where(F.col("line") <= MOST_LINES).select(doc, "line", "l.label", "l.value")
+    top = let(F.try_parse_json(view), lambda v: F.coalesce(F.try_variant_get(v, "$", _LISTED), F.array(v)))
+    rows = spread(df).select(doc, F.transform(top, lambda node: F.struct(node.alias("node"), F.lit("").alias("over"), F.lit(False).alias("leaf"))).alias("found"))
+    for _ in range(levels - 1):
+        rows = rows.withColumn("found", F.flatten(F.transform("found", _opened)))
+    lines = F.flatten(F.filter(F.transform("found", lambda x: _leaf_lines(x["node"], x["over"])), lambda l: l.isNotNull()))  # noqa: E741
+    told = F.slice(F.filter(lines, lambda l: (l["value"] != "") & (l["value"] != DEEPER)), 1, MOST_LINES)  # noqa: E741
+    rows = rows.select(doc, F.explode(F.array(told)).alias("told"))  # worked out once, as explode asks for a list's size before it opens it
+    return rows.select(doc, F.posexplode("told").alias("line", "l")).select(doc, (F.col("line") + 1).alias("line"), "l.label", "l.value")
 
 
 # Contracts held to a fixed shape.
