@@ -32,5 +32,30 @@ def test_names_of_months_one_by_one_and_no_others(spark):
         assert [(x["calendar"], x["m"], x["d"]) for x in r["d"]] == ([(r["c"], r["i"], 5)] if r["c"] else []), r
 
 
+def test_a_block_holds_few_scores_at_a_time(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from caselake.operators import compare
+
+    rng = np.random.default_rng(1)
+    v = np.round(rng.normal(size=(3000, 4)), 1)  # many ties
+    block = pa.table({"id": pa.array(rng.permutation(3000)), "v": pa.array(list(v), pa.list_(pa.float64()))})
+    monkeypatch.setattr(compare, "CELLS", 100_000)
+    ids, x = compare._matrix(block)
+    scores = np.round(x @ x.T, 6)
+    np.fill_diagonal(scores, -np.inf)
+    order = np.argsort(-scores, axis=1, kind="stable")[:, :7]
+    del scores
+    tracemalloc.start()
+    got = compare._best_of(7)(block, block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6, peak  # all scores are 72 MB
+    assert got.column("q").to_pylist() == list(np.repeat(ids, 7)) and got.column("r").to_pylist() == list(ids[order].reshape(-1))
+
+
 def test_view_trees_are_walked_without_a_shuffle(spark):
     assert "Exchange hashpartitioning" not in plan(spark, "view_tree_lines") and "Window" not in plan(spark, "view_tree_lines")
