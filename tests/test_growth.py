@@ -67,3 +67,11 @@ def test_words_on_two_lines_are_not_side_by_side(spark):
     d = spark.createDataFrame([(1, "the\nand"), (2, "The  AND"), (3, "x THE and y"), (4, None)], "id int, t string")
     found = lambda **how: [r["id"] for r in register.search(d, "The  AND", ["t"], **how).orderBy("id").collect()]
     assert found() == [1, 2, 3] and found(side_by_side=True) == [3]
+
+
+def test_a_text_is_squeezed_once_for_all_sayings(spark):
+    from caselake.operators import signals
+
+    d = spark.createDataFrame([("",)], "t string").select(signals.suspected_instructions(F.col("t"), ["a_b"], ["high"]).alias("s"))
+    said = d._jdf.queryExecution().optimizedPlan().toString()
+    assert said.count("\\p{Cf}") == 1
