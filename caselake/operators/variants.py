@@ -52,7 +52,7 @@ def scalar(v: Column) -> Column:
 
 def limited(text: Column, most: int = MOST_TEXT) -> Column:
     """A text without placeholders, with a mark where it is cut."""
-    return let(text, lambda t: F.when(F.lower(t) == PLACEHOLDER, "").when(F.length(t) > most, F.concat(F.left(t, F.lit(most)), F.lit(CUT))).otherwise(t))
+    return let(text, lambda t: F.when((F.length(t) == len(PLACEHOLDER)) & (F.lower(t) == PLACEHOLDER), "").when(F.length(t) > most, F.concat(F.left(t, F.lit(most)), F.lit(CUT))).otherwise(t))
 
 
 def items(v: Column, most: int = MOST_ITEMS) -> Column:
@@ -318,28 +318,64 @@ def _day(v: Column) -> Column:
     return F.concat_ws("/", F.nullif(year, F.lit("")), two(month), two(day))
 
 
-def shaped_field(v: Column, place: str, how: str, most: int = MOST_TEXT) -> Column:
-    """A value of an answer: plain (digits or text as it stands), text (cut), free (long numbers hidden, then cut), number, flag, masked, names or day."""
-    found = at(v, *place.split(".")) if place else v
-    names = F.transform(objects(found, MOST_ENTRIES), lambda x: limited(scalar(at(x, "name")), 300))
+def shaped_field(found: Column, how: str, most: int = MOST_TEXT) -> Column:
+    """A value of an answer: plain (digits or text as it stands), text (cut), free (long numbers hidden, then cut), number, flag, masked, names or day.
+
+    Most fields of a shape are missing in most answers; what no value gives is said without a look at it.
+    """
+    some = lambda c: F.when(found.isNull(), "").otherwise(c)
+    name = lambda x: limited(scalar(F.try_variant_get(x, "$", "struct<name:variant>")["name"]), 300)
     return {
         "nothing": lambda: F.lit(""),
-        "plain": lambda: scalar(found),
-        "text": lambda: limited(scalar(found), most),
-        "free": lambda: limited(K.long_numbers(scalar(found)), most),
-        "number": lambda: _number(scalar(found)),
-        "flag": lambda: F.when(kind(found) == "boolean", F.try_variant_get(found, "$", "boolean")),
-        "masked": lambda: _masked(scalar(found)),
-        "names": lambda: F.filter(names, lambda n: n != ""),
-        "day": lambda: _day(found),
+        "plain": lambda: some(scalar(found)),
+        "text": lambda: some(limited(scalar(found), most)),
+        "free": lambda: some(limited(K.long_numbers(scalar(found)), most)),
+        "number": lambda: some(_number(scalar(found))),
+        "flag": lambda: F.when(found.isNotNull() & (kind(found) == "boolean"), F.try_variant_get(found, "$", "boolean")),
+        "masked": lambda: some(_masked(scalar(found))),
+        "names": lambda: F.when(found.isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.transform(objects(found, MOST_ENTRIES), name), lambda n: n != "")),
+        "day": lambda: some(_day(found)),
     }[how]()
 
 
-def _there(v: Column, place: str) -> Column:
+def _there(found: Column) -> Column:
     """Whether a part of the shape is filled: an object with members, a text, or true."""
     filled = lambda x: ((x["said"].startswith("OBJECT")) & (x["said"] != "OBJECT<>")) | (~F.lower(x["text"]).isin("", PLACEHOLDER)) | (x["said"].eqNullSafe("BOOLEAN") & x["flag"].eqNullSafe(True))
-    found = at(v, *place.split("."))
-    return F.coalesce(let(F.struct(F.coalesce(F.schema_of_variant(found), F.lit("")).alias("said"), scalar(found).alias("text"), F.try_variant_get(found, "$", "boolean").alias("flag")), filled), F.lit(False))
+    known = let(F.struct(F.coalesce(F.schema_of_variant(found), F.lit("")).alias("said"), scalar(found).alias("text"), F.try_variant_get(found, "$", "boolean").alias("flag")), filled)
+    return F.when(found.isNull(), False).otherwise(F.coalesce(known, F.lit(False)))
+
+
+def _places(shape: dict) -> dict:
+    """The places that a shape names, as a tree of names; those inside lists are places of an item."""
+    tree: dict = {}
+    for name, rule in shape.items():
+        below = _places(rule) if isinstance(rule, dict) else {}
+        place = rule if name == "?" else "" if isinstance(rule, dict) else rule[0]
+        for key in reversed(place.split(".") if place else []):
+            below = {key: below}
+        _grow(tree, below)
+    return tree
+
+
+def _grow(tree: dict, other: dict) -> None:
+    for key, below in other.items():
+        _grow(tree.setdefault(key, {}), below)
+
+
+def _laid_out(v: Column, tree: dict) -> Column:
+    """The values at a tree of places, each struct(it, below): an object is opened once for all names that are looked for in it, there or not."""
+
+    def members(row: Column) -> Column:
+        return F.struct(*(F.struct(row[key].alias("it"), *([_laid_out(row[key], below).alias("below")] if below else [])).alias(key) for key, below in tree.items()))
+
+    return let(F.try_variant_get(v, "$", "struct<" + ",".join(f"`{key}`:variant" for key in tree) + ">"), members)
+
+
+def _found(laid: Column, place: str) -> Column:
+    *above, last = place.split(".")
+    for key in above:
+        laid = laid[key]["below"]
+    return laid[last]["it"]
 
 
 def _shaper(shape: dict):
@@ -350,25 +386,30 @@ def _filled(name: str):
     return lambda x: x.getField(name) != ""
 
 
-def shaped(v: Column, shape: dict) -> Column:
-    """A VARIANT as a struct of the stated fields. A part marked by ``?`` is null unless the place named there is filled."""
+def _fields(laid: Column, shape: dict) -> Column:
     fields = []
     for name, rule in shape.items():
         if name == "?":
             continue
         if isinstance(rule, dict):
-            part = shaped(v, rule)
-            fields.append((F.when(_there(v, rule["?"]), part) if "?" in rule else part).alias(name))
+            part = _fields(laid, rule)
+            fields.append((F.when(_there(_found(laid, rule["?"])), part) if "?" in rule else part).alias(name))
         elif isinstance(rule[1], int):
             place, most, inner, needed = rule
-            entries = F.transform(objects(at(v, *place.split(".")), most), _shaper(inner))
+            entries = F.transform(objects(_found(laid, place), most), _shaper(inner))
             fields.append((F.filter(entries, _filled(needed)) if needed else entries).alias(name))
         else:
-            fields.append(shaped_field(v, *rule).alias(name))
+            place, *how = rule
+            fields.append(shaped_field(_found(laid, place) if place else F.lit(None), *how).alias(name))
     return F.struct(*fields)
 
 
+def shaped(v: Column, shape: dict) -> Column:
+    """A VARIANT as a struct of the stated fields. A part marked by ``?`` is null unless the place named there is filled."""
+    return let(_laid_out(v, _places(shape)), lambda laid: _fields(laid, shape))
+
+
 def contracts(df: DataFrame, answer: str, into: str = "contract") -> DataFrame:
     """``df`` with a register's contract answer (JSON) in the shape of CONTRACT; null if it is damaged or names no entity."""
     parsed = df.withColumn("__parsed", F.try_parse_json(answer))
-    return parsed.withColumn(into, F.when(_there(F.col("__parsed"), "entity"), shaped(F.col("__parsed"), CONTRACT))).drop("__parsed")
+    return parsed.withColumn(into, F.when(let(at(F.col("__parsed"), "entity"), _there), shaped(F.col("__parsed"), CONTRACT))).drop("__parsed")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import layout as L
 from ..operators import variants as V
-from ..session import table
+from ..session import spread, table
 from .checks import query_into
 
 QUERIES, ORACLES = {}, {}
@@ -39,7 +39,7 @@ def _orders(spark, sf):
  FROM (SELECT *, 'Firm ' || k || repeat(' long', k % 90) AS n FROM p)""")
 def contract_shapes(spark, sf):
     """Contract answers held to their shape: coerced lists, masks, cuts and typed readers."""
-    s = V.contracts(_orders(spark, sf).select("k", F.expr(ANSWER).alias("answer")), "answer", "s")
+    s = V.contracts(spread(_orders(spark, sf)).select("k", F.expr(ANSWER).alias("answer")), "answer", "s")
     party = lambda p: F.concat_ws(" ", p["name"], p["id_masked"], p["nationality"], F.array_join(p["roles"], ","), p["cash_shares"], p["guardian"]["name"])
     return s.select(
         F.col("k").alias("id"), F.col("s").isNotNull().alias("shaped"), "s.contract.copy_number", "s.contract.date", "s.entity.national_number", "s.entity.cr_number", "s.entity.name", "s.entity.duration", "s.entity.license_based",

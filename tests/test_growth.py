@@ -75,3 +75,8 @@ def test_a_text_is_squeezed_once_for_all_sayings(spark):
     d = spark.createDataFrame([("",)], "t string").select(signals.suspected_instructions(F.col("t"), ["a_b"], ["high"]).alias("s"))
     said = d._jdf.queryExecution().optimizedPlan().toString()
     assert said.count("\\p{Cf}") == 1
+
+
+def test_an_object_of_an_answer_is_opened_once_for_all_names(spark):
+    said = registry.QUERIES["contract_shapes"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert said.count("$['entity']") == 1  # whether there is one; each field looked its value up from the top
