@@ -1,7 +1,6 @@
 """Answers of unknown or loosely kept shape, as VARIANT: trees as rows, profiles of their paths, view trees as lines, and contracts held to a fixed shape.
 
-A tree is opened level by level, each level one ``variant_explode`` in the same stage: one scan, no shuffle, no Python, and
-a bounded number of levels, as a plan has to know it. VARIANT keeps the members of an object by name, so members come in the order of their names.
+A tree is opened level by level inside its row, in one expression of a bounded number of levels: one scan, no shuffle, no Python. VARIANT keeps the members of an object by name, so members come in the order of their names.
 """
 
 from __future__ import annotations
@@ -66,11 +65,21 @@ def objects(v: Column, most: int) -> Column:
     return F.filter(F.coalesce(items(v, most), F.array().cast("array<variant>")), lambda x: F.schema_of_variant(x).startswith("OBJECT"))
 
 
-def _open(rows: DataFrame, container: Column) -> DataFrame:
-    """A row for each child of a container (columns pos, name, child); one with nulls where there is none."""
-    rows = rows.withColumn("__open", container)
-    children = rows.sparkSession.tvf.variant_explode_outer(F.col("__open").outer()).toDF("pos", "name", "child")
-    return rows.lateralJoin(children).drop("__open")
+_NODES = "array<struct<at:array<int>,path:string,parent_path:string,key:string,parent:string,record:string,kind:string,value:variant>>"
+
+
+def _children(x: Column, most: int) -> Column:
+    """The values inside a node, members by name and items in order; no items where it is no container."""
+
+    def node(i: Column, path: Column, key: Column, parent: Column, record: Column, value: Column) -> Column:
+        parts = {"at": F.array_append(x["at"], i), "path": path, "parent_path": x["path"], "key": key, "parent": parent, "record": record, "kind": kind(value), "value": value}
+        return F.struct(*(c.alias(name) for name, c in parts.items()))
+
+    member = lambda e, i: node(i, F.concat(x["path"], F.when(x["path"] != "", ".").otherwise(""), e["key"]), e["key"], x["key"], x["record"], e["value"])
+    item = lambda v, i: node(i, F.concat(x["path"], F.lit("[]")), x["key"], x["parent"], F.concat(x["record"], F.lit("/"), x["key"], F.lit("."), (i + 1).cast("string")), v)
+    members = F.transform(F.map_entries(F.try_variant_get(x["value"], "$", "map<string,variant>")), member)
+    items = F.transform(F.slice(F.try_variant_get(x["value"], "$", "array<variant>"), 1, most), item)
+    return F.when(x["kind"] == "object", members).when(x["kind"] == "array", items).otherwise(F.array().cast(_NODES))
 
 
 def nodes(df: DataFrame, doc: str, v: str, levels: int = MOST_LEVELS, most: int = MOST_ITEMS, above: bool = True) -> DataFrame:
@@ -79,30 +88,20 @@ def nodes(df: DataFrame, doc: str, v: str, levels: int = MOST_LEVELS, most: int
     ``path`` joins names by dots, with ``[]`` for an item of a list, ``at`` is its place, ``parent`` the key above, and ``record`` names the list items that hold a
     value. What lies deeper than ``levels``, and items after the first ``most``, are left out. Without ``above`` only values without children come, empty containers too.
     """
-    empty = F.array().cast("array<struct<at:array<int>,path:string,parent_path:string,key:string,parent:string,record:string,kind:string,value:variant>>")
-    blank = [F.lit("").alias(c) for c in ("path", "parent_path", "key", "parent", "record")]
-    rows = df.where(F.col(v).isNotNull()).select(doc, F.array().cast("array<int>").alias("at"), *blank, kind(F.col(v)).alias("kind"), F.col(v).alias("value"), empty.alias("over"))
-    own = F.struct("at", "path", "parent_path", "key", "parent", "record", "kind", "value")
-    for _ in range(levels):
-        inner = F.col("kind").isin("object", "array")
-        found = _open(rows, F.when(inner, F.col("value")))
-        found = found.where(F.col("pos").isNull() | (F.col("kind") == "object") | (F.col("pos") < most))
-        new, member = F.col("pos").isNotNull(), F.col("name").isNotNull()
-        listed = F.concat("record", F.lit("/"), "key", F.lit("."), (F.col("pos") + 1).cast("string"))
-        step = {
-            "over": F.when(new & (F.col("pos") == 0), F.array_append("over", own)).when(new, empty).otherwise(F.col("over")) if above else F.col("over"),
-            "at": F.when(new, F.array_append("at", F.col("pos"))).otherwise(F.col("at")),
-            "parent_path": F.when(new, F.col("path")).otherwise(F.col("parent_path")),
-            "path": F.when(member, F.concat("path", F.when(F.col("path") != "", ".").otherwise(""), "name")).when(new, F.concat("path", F.lit("[]"))).otherwise(F.col("path")),
-            "parent": F.when(member, F.col("key")).otherwise(F.col("parent")),
-            "key": F.coalesce("name", "key"),
-            "record": F.when(new & ~member, listed).otherwise(F.col("record")),
-            "kind": F.when(new, kind(F.col("child"))).otherwise(F.col("kind")),
-            "value": F.when(new, F.col("child")).otherwise(F.col("value")),
-        }
-        rows = found.select(doc, *(F.col(c) if isinstance(c, str) else c for c in (step[c].alias(c) for c in ("at", "path", "parent_path", "key", "parent", "record", "kind", "value", "over"))))
-    last = rows.withColumn("node", F.explode(F.array_append("over", own))) if above else rows.withColumn("node", own)
-    return last.select(doc, "node.*")
+    none = F.array().cast(_NODES)
+    top = lambda x: F.array(F.struct(F.array().cast("array<int>").alias("at"), *(F.lit("").alias(c) for c in ("path", "parent_path", "key", "parent", "record")), kind(x).alias("kind"), x.alias("value")))
+
+    def down(acc: Column, _: Column) -> Column:
+        def met(opened: Column) -> Column:
+            kept = acc["level"] if above else F.transform(F.filter(opened, lambda o: F.size(o["inside"]) == 0), lambda o: o["own"])
+            return F.struct(F.concat(acc["out"], kept).alias("out"), F.flatten(F.transform(opened, lambda o: o["inside"])).alias("level"))
+
+        opened = let(F.transform(acc["level"], lambda x: F.struct(x.alias("own"), _children(x, most).alias("inside"))), met)
+        return F.when(F.size(acc["level"]) == 0, acc).otherwise(opened)
+
+    tree = F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.struct(none.alias("out"), let(F.col(v), top).alias("level")), down, lambda acc: F.concat(acc["out"], acc["level"]))
+    rows = df.where(F.col(v).isNotNull()).select(doc, F.explode(F.array(tree)).alias("nodes"))  # worked out once, as explode asks for a list's size before it opens it
+    return rows.select(doc, F.explode("nodes").alias("node")).select(doc, "node.*")
 
 
 def profile(df: DataFrame, v: str, levels: int = MOST_LEVELS) -> DataFrame:

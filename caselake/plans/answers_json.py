@@ -71,7 +71,8 @@ _KIND = "CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'V
 
 
 def _events(spark, sf):
-    return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.try_parse_json(F.expr(NESTED)).alias("v"))
+    e = spread(table(spark, sf, "events").select("event_id", "user_id", "props"))
+    return e.select(F.col("event_id").alias("id"), F.try_parse_json(F.expr(NESTED)).alias("v"))
 
 
 @query(f"""SELECT id, path, {_KIND} AS kind, CASE WHEN type IN ('OBJECT', 'ARRAY', 'NULL', 'BOOLEAN') THEN '' ELSE trim(atom::VARCHAR, '"') END AS value FROM {_WALK}""")

@@ -80,3 +80,17 @@ def test_a_text_is_squeezed_once_for_all_sayings(spark):
 def test_an_object_of_an_answer_is_opened_once_for_all_names(spark):
     said = registry.QUERIES["contract_shapes"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert said.count("$['entity']") == 1  # whether there is one; each field looked its value up from the top
+
+
+def test_a_tree_is_opened_inside_its_row(spark):
+    assert plan(spark, "answer_paths").count("Generate") == 2  # all nodes of a row, then one by one: not a row for each node and level
+
+
+def test_levels_items_and_empty_containers_of_a_tree(spark):
+    from caselake.operators import variants
+
+    d = spark.createDataFrame([(1, '{"b": {}, "a": [[1, [2]], [], null, 3], "c": null}'), (2, "7"), (3, None)], "id int, t string").select("id", F.try_parse_json("t").alias("v"))
+    found = lambda **how: sorted((r["id"], r["at"], r["path"], r["kind"], r["record"]) for r in variants.nodes(d, "id", "v", **how).collect())
+    ends = [(1, [0, 0], "a[]", "array", "/a.1"), (1, [0, 1], "a[]", "array", "/a.2"), (1, [0, 2], "a[]", "null", "/a.3"), (1, [1], "b", "object", ""), (1, [2], "c", "null", ""), (2, [], "", "number", "")]
+    assert found(levels=2, most=3, above=False) == ends
+    assert found(levels=2, most=3) == sorted([*ends, (1, [], "", "object", ""), (1, [0], "a", "array", "")])
