@@ -94,3 +94,16 @@ def test_levels_items_and_empty_containers_of_a_tree(spark):
     ends = [(1, [0, 0], "a[]", "array", "/a.1"), (1, [0, 1], "a[]", "array", "/a.2"), (1, [0, 2], "a[]", "null", "/a.3"), (1, [1], "b", "object", ""), (1, [2], "c", "null", ""), (2, [], "", "number", "")]
     assert found(levels=2, most=3, above=False) == ends
     assert found(levels=2, most=3) == sorted([*ends, (1, [], "", "object", ""), (1, [0], "a", "array", "")])
+
+
+def test_pairs_of_two_sides_need_no_join(spark):
+    from caselake.operators import compare
+
+    side = lambda rows: spark.createDataFrame(rows, "doc int, id int")
+    left = side([(1, 1), (1, 1), (1, None), *((2, i) for i in range(5)), (3, 1), (None, 1)])
+    right = side([(1, 7), (1, 8), (2, 1), (2, 2), (4, 1), (None, 1)])
+    best = spark.createDataFrame([(1, 0, 0), (2, 4, 2), (3, 3, 3), (None, 9, 9), (5, 5, 5)], "doc int, a int, b int")
+    found = compare.all_or_best(left, right, "doc", best)
+    want = [(1, a, b) for a in (1, 1, None) for b in (7, 8)] + [(2, 4, 2), (3, 3, 3), (None, 9, 9), (5, 5, 5)]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    assert "Join" not in plan(spark, "few_pairs")
