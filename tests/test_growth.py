@@ -107,3 +107,8 @@ def test_pairs_of_two_sides_need_no_join(spark):
     want = [(1, a, b) for a in (1, 1, None) for b in (7, 8)] + [(2, 4, 2), (3, 3, 3), (None, 9, 9), (5, 5, 5)]
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
     assert "Join" not in plan(spark, "few_pairs")
+
+
+def test_clauses_are_counted_inside_their_row(spark):
+    said = plan(spark, "clause_lists")
+    assert "array_max(" in said and said.count("Generate") == 1  # every clause of every document was moved and sorted
