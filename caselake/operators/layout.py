@@ -94,6 +94,8 @@ _DIGIT = "[0-9٠-٩۰-۹]"
 _FIELD = r"^([^:：]{1,32}?)\s*([:：])\s*(.*\S)$"
 _NUMBER = rf"{_DIGIT}(?:[0-9٠-٩۰-۹/\-.\s]*{_DIGIT})?\s*(?:هـ|ه|م)?"
 _TAIL = rf"^([^0-9٠-٩۰-۹|:：]*[^0-9٠-٩۰-۹|:：\s])\s+({_NUMBER})$"
+#: The last signs of every line that ends with a number, and how many they are at most.
+_NUMBER_ENDS, _END = rf"{_DIGIT}\s*(?:هـ|ه|م)?$", 4
 _HEADING_ENDS = r"[.،:؛]$"
 
 
@@ -110,7 +112,7 @@ def line_shapes(lines: DataFrame, doc: str, order: str, text: str, labels: list[
     s = F.col("__s")
     among = lambda c, names: X.fold(c).isin(names) if names else F.lit(False)
     is_label = lambda c: among(c, declared) & ~among(c, held)
-    words = lambda c: F.size(F.split(c, r"\s+"))
+    words = lambda c: F.size(F.split(c, " "))  # noqa: E731  # blanks are single by then
 
     def field(c: Column) -> Column:
         part = lambda k: F.regexp_extract(c, _FIELD, k)
@@ -141,7 +143,8 @@ def line_shapes(lines: DataFrame, doc: str, order: str, text: str, labels: list[
     company = near(f.isNotNull() & ~F.col("__takes"))
     rows = base.withColumn("cells", cells).withColumn("cells", F.coalesce("cells", F.when(f.isNotNull() & company, of_field)))
     # labels with a number after them, from row to row: an unbroken stretch of such lines and rows that holds a row
-    name = F.regexp_extract(s, _TAIL, 1)
+    # the pattern reads a line from its start, sign by sign, so it is asked only where the end fits
+    name = F.when(F.col("cells").isNull() & F.right(s, F.lit(_END)).rlike(_NUMBER_ENDS), F.regexp_extract(s, _TAIL, 1)).otherwise("")
     tail = F.col("cells").isNull() & name.rlike(letter) & (words(name) <= LABEL_WORDS) & ~among(name, held)
     rows = rows.withColumns({"__tail": tail, "__row": F.col("cells").isNotNull()})
     rows = rows.withColumn("__stretch", F.sum((~(F.col("__tail") | F.col("__row"))).cast("int")).over(w))

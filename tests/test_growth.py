@@ -112,3 +112,19 @@ def test_pairs_of_two_sides_need_no_join(spark):
 def test_clauses_are_counted_inside_their_row(spark):
     said = plan(spark, "clause_lists")
     assert "array_max(" in said and said.count("Generate") == 1  # every clause of every document was moved and sorted
+
+
+def test_a_long_line_is_read_for_a_number_only_if_it_ends_with_one(spark):
+    from caselake.operators import layout
+    from tests.shapes import shapes
+
+    ends = ["99", "1445/01/02هـ", "1445/01/02 هـ", "5 م", "٥ ه", "۷۷", "5 mm", "5.", "5 هـم", "1 2", "هـ", "5 م", "5م ", "", "12 345"]
+    texts = [[f"{head} {end}", "Name: Ali", "Place: x", f"{head} {end}", "plain words that end here."] for head in ("Issued on", "one two three four five six", "Sum 4 and", "a | b", "Label:", "") for end in ends]
+    d = spark.createDataFrame([(k, i, t) for k, x in enumerate(texts) for i, t in enumerate(x)], "doc int, n int, t string")
+    shaped = layout.line_shapes(d, "doc", "n", "t", ["Owner"], [])
+    got = {}
+    for r in shaped.orderBy("doc", "n").collect():
+        got.setdefault(r["doc"], []).append((r["n"], r["shape"], r["cells"]))
+    for k, x in enumerate(texts):
+        assert got.get(k, []) == shapes(list(enumerate(x)), {"owner"}, set()), x
+    assert layout._NUMBER_ENDS in plan(spark, "line_shapes")  # every line was read from its start for one
