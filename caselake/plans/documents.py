@@ -31,7 +31,7 @@ _MONTHS = ("January", "February", "March", "April", "May", "June", "July", "Augu
 
 
 def _deeds(spark, sf):
-    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"))
+    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), cut=True)
     made = F.to_date("o_orderdate")
     due = F.date_add(made, 400)
     month = F.element_at(F.array(*map(F.lit, _MONTHS)), F.month(due))

@@ -128,3 +128,15 @@ def test_a_long_line_is_read_for_a_number_only_if_it_ends_with_one(spark):
     for k, x in enumerate(texts):
         assert got.get(k, []) == shapes(list(enumerate(x)), {"owner"}, set()), x
     assert layout._NUMBER_ENDS in plan(spark, "line_shapes")  # every line was read from its start for one
+
+
+def test_numbers_of_a_date_come_with_the_pass_that_finds_it(spark):
+    assert "regexp_extract(" not in plan(spark, "dates_in_text")  # each number and the era were looked for again in every date
+    odd = [f"x{text.MARK} 1/2/2024 ه, ٣", "1/2/2024 هجري 5 may 2024 رجب 1445", "من 2024 may, 2024", "ربيع 1 1445 and ربيع 11445", "MAY\n\n 2024", "may 144", "", None]
+    got = [r["d"] and [(x["text"], x["start"], x["calendar"], x["y"], x["m"], x["d"], x["complete"]) for x in r["d"]] for r in spark.createDataFrame([(t,) for t in odd], "t string").select(dates.dates_in(F.col("t")).alias("d")).collect()]
+    assert got == [
+        [], [("5 may 2024", 14, "gregorian", 2024, 5, 5, True), ("رجب 1445", 25, "hijri", 1445, 7, 1, False)], [], [("ربيع 1 1445", 0, "hijri", 1445, 3, 1, False), ("ربيع 11445", 16, "hijri", 1445, 3, 1, False)],
+        [("MAY\n\n 2024", 0, "gregorian", 2024, 5, 1, False)], [], [], None,
+    ]
+    spans = spark.createDataFrame([("a1b", ), (f"{text.MARK}a1{text.MARK}2",), ("",), (None,)], "t string").select(text.find_spans(F.col("t"), "([a-z])?([0-9])", 2).alias("s")).collect()
+    assert [r["s"] and [(x["text"], x["start"], x["end"], x["parts"]) for x in r["s"]] for r in spans] == [[("a1", 0, 2, ["a", "1"])], [("a1", 1, 3, ["a", "1"]), ("2", 4, 5, ["", "2"])], [], None]
