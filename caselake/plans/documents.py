@@ -195,7 +195,8 @@ OFFICIAL = {
 def official_hijri(spark, sf):
     """Dates of the orders by the official calendar's table, back again, and as a written month of a deed."""
     months = D.MonthStarts.of_runtime(spark)
-    t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), months.from_date(F.to_date("o_orderdate")).alias("h"))
+    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), cut=True)
+    t = o.select(F.col("o_orderkey").alias("id"), months.from_date(F.to_date("o_orderdate")).alias("h"))
     t = t.select("id", "h.*").withColumn("day", D.hijri_day(F.col("y"), F.col("m"), F.col("d"), months))
     written = F.concat_ws("/", F.col("y").cast("string"), F.col("m").cast("string"), F.when(F.col("id") % 2 == 0, F.col("d")).otherwise(1).cast("string"))
     return t.withColumn("said", F.get(D.dates_in(D.dated_text(F.concat(F.lit("تاريخ الانتهاء "), written, F.lit(" هـ"))), months), 0)["on"])

@@ -140,3 +140,29 @@ def test_numbers_of_a_date_come_with_the_pass_that_finds_it(spark):
     ]
     spans = spark.createDataFrame([("a1b", ), (f"{text.MARK}a1{text.MARK}2",), ("",), (None,)], "t string").select(text.find_spans(F.col("t"), "([a-z])?([0-9])", 2).alias("s")).collect()
     assert [r["s"] and [(x["text"], x["start"], x["end"], x["parts"]) for x in r["s"]] for r in spans] == [[("a1", 0, 2, ["a", "1"])], [("a1", 1, 3, ["a", "1"]), ("2", 4, 5, ["", "2"])], [], None]
+
+
+def test_days_of_a_calendar_table_and_no_others(spark):
+    months = dates.MonthStarts(1412, (7863, 7893, 7922, 7952, 7981, 8011, 8041, 8070, 8100, 8129, 8158, 8188, 8217))
+    d = spark.range(7800, 8300).selectExpr("date_from_unix_date(cast(id as int)) AS c").select("c", months.from_date(F.col("c")).alias("h"))
+    for r in d.select(F.unix_date("c").alias("day"), "h", months.to_date(F.col("h.y"), F.col("h.m"), F.col("h.d")).alias("back"), "c").collect():
+        assert (r["h"] is not None) == (7863 <= r["day"] < 8217) and (r["h"] is None or r["back"] == r["c"] and r["h"]["d"] >= 1)
+    assert "sequence(" not in d._jdf.queryExecution().executedPlan().toString()  # a list of months was made for every day
+
+
+def test_rows_of_one_row_group_are_dealt_although_it_has_many_splits(spark, tmp_path):
+    from caselake import session
+
+    spark.range(5000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in was:
+            spark.conf.set(k, "4096")
+        df = spark.read.parquet(str(tmp_path / "t"))
+        held = lambda x: sum(n > 0 for n in x.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
+        assert df.rdd.getNumPartitions() >= 4 and held(df) == 1 and held(session.spread(df, cut=True)) == 4
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    for name in ("dates_in_text", "official_hijri"):
+        assert "RoundRobinPartitioning" in plan(spark, name) or "REPARTITION_BY_NUM" in plan(spark, name)
